@@ -82,9 +82,10 @@ def target_entity(
     candidates = [F.when(lowered.contains(term), answer(code, PHRASE_CONFIDENCE)) for term, code in phrases]
     if ranked:
         present = F.array_intersect(words, _strings([term for term, _, _ in ranked]))
-        ranks = _lookup([(term, i + 1) for i, (term, _, _) in enumerate(ranked)])
+        ranks = _lookup([(term, i) for i, (term, _, _) in enumerate(ranked)])
         best = F.array_min(F.transform(present, lambda t: F.try_element_at(ranks, t)))
-        candidates.append(F.element_at(F.array(*[answer(code, conf) for _, code, conf in ranked]), best))
+        # get() gives NULL for a missing index, element_at() the last item.
+        candidates.append(F.get(F.array(*[answer(code, conf) for _, code, conf in ranked]), best))
     return F.coalesce(*candidates, answer(None, 0.0))
 
 
