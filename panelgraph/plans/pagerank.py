@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from panelgraph.plans.skew import fits_broadcast, hot_keys, replicate, salt
-from panelgraph.session import cut
+from panelgraph.session import checkpoint, cut
 
 
 def rank_nodes(
@@ -21,106 +21,109 @@ def rank_nodes(
     tol: float,
     group: Sequence[str] = (),
 ) -> DataFrame:
-    """(group..., node, rank) by power iteration.
+    """(group..., node, rank) by power iteration from equal ranks.
 
     ``nodes`` are (group..., node), ``steps`` are (group..., src, dst, weight). Parallel steps
     add up, weights <= 0 and steps that leave the node set are ignored, the rank of nodes
-    without a way out is spread evenly, and each group stops by itself once the L1 change of
-    an iteration falls below ``tol``. Each iteration writes one row per node to the shared
-    folder, so lineage never grows; the steps are written and cached once.
+    without a way out is spread evenly, and each graph stops by itself at the first iteration
+    whose L1 change is below ``tol``.
 
-    While the rank table fits Spark's broadcast threshold an iteration shuffles only the new
-    ranks. Beyond it the steps stay partitioned by source, hubs split over tasks.
+    Each node has one own row (weight NULL) among the ways, which carries its old rank along.
+    So an iteration is one join and one aggregate over the same input, its totals are observed
+    in the job that computes it, and only one row per node is checkpointed.
+
+    While one row per node fits Spark's broadcast threshold, an iteration shuffles only the
+    summed ranks. Beyond it the ways stay partitioned by source, with hubs split over tasks.
     """
     g = list(group)
-    sized = nodes.select(*g, "node").distinct()
-    counts = sized.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
-    ranks = _join_groups(sized, counts, g)
-    shares = cut(_shares(sized, steps, g))
-    leaving = shares.select(*g, F.col("src").alias("node")).distinct().withColumn("leaves", F.lit(True))
-    ranks = ranks.join(leaving, [*g, "node"], "left").select(
-        *g,
-        "node",
-        "n",
-        F.col("leaves").isNull().alias("dangling"),
-        (F.lit(1.0) / F.col("n")).alias("rank"),
-        F.lit(None).cast("double").alias("previous"),
-    )
-    ranks = cut(ranks)
-    small = fits_broadcast(ranks, ranks.count())
-    hot = None
-    if not small:
-        hot = cut(hot_keys(shares, [*g, "src"]))
-        shares = salt(shares, [*g, "src"], hot, F.col("dst")).repartition(*g, "src", "slot")
-    shares = shares.persist(StorageLevel.MEMORY_AND_DISK)
+    size = Observation()
+    own = nodes.select(*g, F.col("node").alias("src")).distinct()
+    own = own.select("*", F.col("src").alias("dst"), F.lit(None).cast("double").alias("weight"))
+    is_own = F.col("weight").isNull()
+    ways = cut(_inside(nodes, steps, g).unionByName(own).observe(size, F.count_if(is_own).alias("n")))
+    n = size.get["n"]
+    if n == 0:
+        return nodes.select(*g, "node", F.lit(1.0).alias("rank"))
+
+    out = ways.groupBy(*g, F.col("src").alias("node")).agg(F.sum("weight").alias("out"))
+    if g:
+        counts = ways.filter(is_own).groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
+        state = out.join(counts, g).withColumn("rank", 1.0 / F.col("n")).drop("n")
+    else:
+        state = out.withColumn("rank", F.lit(1.0 / n))
+    state, totals = _observed(state.withColumn("previous", F.lit(None).cast("double")))
 
+    hot = None
+    if not fits_broadcast(state, n):
+        hot = cut(hot_keys(ways, [*g, "src"]))
+        ways = salt(ways, [*g, "src"], hot, F.col("dst")).repartition(*g, "src", "slot")
+    ways = ways.persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(max_iter):
-        change = Observation()
-        following = _iterate(ranks, shares, g, alpha, tol, hot)
-        moved = F.sum(F.abs(F.col("rank") - F.col("previous"))).alias("moved")
-        ranks = cut(following.observe(change, moved))
-        # One group: the total is its L1 change. Many: once nothing moves, all have stopped.
-        total = change.get["moved"]
-        if total is None or total < tol:
+        constants = _constants(state, tol, g) if g else None
+        lost = totals["lost"] or 0.0
+        state, totals = _observed(_iterate(state, ways, g, alpha, hot, constants, n, lost))
+        # One graph: its L1 change. Many: nothing moves once all of them have stopped.
+        if totals["moved"] < tol:
             break
-    shares.unpersist()
-    sums = ranks.groupBy(*g).agg(F.sum("rank").alias("_total"))
-    return _join_groups(ranks.select(*g, "node", "rank"), sums, g).select(
-        *g, "node", (F.col("rank") / F.col("_total")).alias("rank")
-    )
-
-
-def _join_groups(df: DataFrame, per_group: DataFrame, g: Sequence[str]) -> DataFrame:
-    """Attach one row per group: a scalar for one graph, a join on the group key for many."""
+    ways.unpersist()
     if g:
-        return df.join(per_group, list(g), "left")
-    row = per_group.select(F.struct("*").alias("_row")).scalar()
-    return df.withColumn("_row", row).select("*", "_row.*").drop("_row")
+        sums = state.groupBy(*g).agg(F.sum("rank").alias("_total"))
+        return state.join(sums, g).select(*g, "node", (F.col("rank") / F.col("_total")).alias("rank"))
+    return state.select("node", (F.col("rank") / F.lit(totals["total"])).alias("rank"))
 
 
-def _shares(nodes: DataFrame, steps: DataFrame, g: Sequence[str]) -> DataFrame:
-    """Steps inside the node set with weights normalised per source.
+def _inside(nodes: DataFrame, steps: DataFrame, g: Sequence[str]) -> DataFrame:
+    """Positive steps between nodes, parallel ones added up.
 
-    Every join is followed by another shuffle or the write, so adaptive execution may split
-    the partition of a hub.
+    Every join is followed by a shuffle or the write, so adaptive execution may split a hub.
     """
-    positive = steps.filter(F.col("weight") > 0)
-    merged = positive.groupBy(*g, "src", "dst").agg(F.sum("weight").alias("weight"))
+    merged = steps.filter(F.col("weight") > 0).groupBy(*g, "src", "dst").agg(F.sum("weight").alias("weight"))
     for end in ("src", "dst"):
         merged = merged.join(nodes.select(*g, F.col("node").alias(end)), [*g, end], "left_semi")
-    out = merged.groupBy(*g, "src").agg(F.sum("weight").alias("_out"))
-    return merged.join(out, [*g, "src"]).select(*g, "src", "dst", (F.col("weight") / F.col("_out")).alias("share"))
+    return merged.select(*g, "src", "dst", "weight")
+
+
+def _observed(state: DataFrame) -> tuple[DataFrame, dict]:
+    """Checkpoint the state and return its totals from the same job."""
+    seen = Observation()
+    totals = ("sum(abs(rank - previous)) AS moved", "sum(if(out IS NULL, rank, NULL)) AS lost", "sum(rank) AS total")
+    kept = checkpoint(state.observe(seen, *[F.expr(t) for t in totals]))
+    return kept, seen.get
+
+
+def _constants(state: DataFrame, tol: float, g: Sequence[str]) -> DataFrame:
+    """Per graph: its size, the rank stuck in nodes without a way out, and whether it has stopped."""
+    return state.groupBy(*g).agg(
+        F.expr("count(1) AS n"),
+        F.expr("coalesce(sum(if(out IS NULL, rank, NULL)), 0D) AS lost"),
+        F.expr(f"coalesce(sum(abs(rank - previous)) < {tol!r}D, false) AS done"),
+    )
 
 
 def _iterate(
-    ranks: DataFrame, shares: DataFrame, g: Sequence[str], alpha: float, tol: float, hot: DataFrame | None
+    state: DataFrame,
+    ways: DataFrame,
+    g: Sequence[str],
+    alpha: float,
+    hot: DataFrame | None,
+    constants: DataFrame | None,
+    n: int,
+    lost: float,
 ) -> DataFrame:
-    state = ranks
-    if g:
-        # Groups that have converged keep their ranks and send nothing.
-        l1 = ranks.groupBy(*g).agg(
-            (F.coalesce(F.sum(F.abs(F.col("rank") - F.col("previous"))), F.lit(float("inf"))) < tol).alias("done")
-        )
-        state = state.join(l1, list(g), "left")
-    else:
-        state = state.withColumn("done", F.lit(False))
-    senders = state.filter(~F.col("done")).select(*g, F.col("node").alias("src"), "rank")
+    # Built again in every iteration, so expressions are short SQL text, quick to build.
+    senders = state.selectExpr(*g, "node AS src", "out", "rank")
     if hot is None:
-        sent = shares.join(F.broadcast(senders), [*g, "src"])
+        sent = ways.join(F.broadcast(senders), [*g, "src"])
     else:
-        sent = shares.join(replicate(senders, [*g, "src"], hot), [*g, "src", "slot"])
-    received = sent.groupBy(*g, F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("received"))
-    lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost")) if not g else ranks.groupBy(*g).agg(
-        F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost")
-    )
-    joined = _join_groups(state.join(received, [*g, "node"], "left"), lost, g)
-    n = F.col("n")
-    fresh = alpha * (F.coalesce("received", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / n) + (1.0 - alpha) / n
-    return joined.select(
-        *g,
-        "node",
-        "n",
-        "dangling",
-        F.when(F.col("done"), F.col("rank")).otherwise(fresh).alias("rank"),
-        F.col("rank").alias("previous"),
+        sent = ways.join(replicate(senders, [*g, "src"], hot), [*g, "src", "slot"])
+    received = sent.groupBy(*g, "dst").agg(
+        F.expr("max(if(weight IS NULL, out, NULL)) AS out"),
+        F.expr("max(if(weight IS NULL, rank, NULL)) AS previous"),
+        F.expr("coalesce(sum(rank * weight / out), 0D) AS received"),
     )
+    if constants is None:
+        rank = f"{alpha!r}D * (received + {lost / n!r}D) + {(1.0 - alpha) / n!r}D"
+    else:
+        received = received.join(constants, list(g))
+        rank = f"if(done, previous, {alpha!r}D * (received + lost / n) + {1.0 - alpha!r}D / n)"
+    return received.selectExpr(*g, "dst AS node", "out", f"{rank} AS rank", "previous")

@@ -52,3 +52,11 @@ def cut(df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: cheaper than ``cut`` for small iterative state."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

@@ -141,7 +141,7 @@ def nodes_of(table, names):
 
 
 def test_symmetric_conflict(table):
-    got = rows_by(graph.node_metrics(nodes_of(table, ["IRQ", "KWT", "USA"]), table([conflict("IRQ", "KWT", 1.0)], DYADS)), "country_iso3")
+    got = rows_by(graph.node_metrics(nodes_of(table, ["IRQ", "KWT", "USA"]), table([conflict("IRQ", "KWT", 1.0)], DYADS), max_iter=4), "country_iso3")
     for c in ("IRQ", "KWT"):
         r = got[c]
         assert (r.in_degree, r.out_degree, r.total_degree, r.weighted_in_degree, r.weighted_out_degree) == (1, 1, 1, 1.0, 1.0)
@@ -154,7 +154,7 @@ def test_symmetric_conflict(table):
 
 def test_directed_news(table):
     edge = conflict("USA", "COD", 0.25, 0.0, "directed_news", True, -0.5, False)
-    got = rows_by(graph.node_metrics(nodes_of(table, ["USA", "COD", "XXX"]), table([edge], DYADS)), "country_iso3")
+    got = rows_by(graph.node_metrics(nodes_of(table, ["USA", "COD", "XXX"]), table([edge], DYADS), max_iter=3), "country_iso3")
     usa, cod = got["USA"], got["COD"]
     assert (usa.out_degree, usa.in_degree, usa.weighted_out_degree, usa.weighted_in_degree) == (1, 0, 0.25, 0.0)
     assert (cod.in_degree, cod.out_degree, cod.weighted_in_degree, cod.weighted_out_degree) == (1, 0, 0.25, 0.0)
@@ -219,8 +219,8 @@ def test_pagerank_equals_dense(table, monkeypatch, shuffled):
     rng = random.Random(11)
     names = [f"n{i:02d}" for i in range(12)]
     steps = random_steps(rng, names) + [("n00", n, 0.3) for n in names[1:]]
-    got = {r.country_iso3: r.pagerank for r in graph.pagerank(nodes_of(table, names), table(steps, "src string, dst string, weight double")).collect()}
-    want = dense_pagerank(names, steps)
+    got = {r.country_iso3: r.pagerank for r in graph.pagerank(nodes_of(table, names), table(steps, "src string, dst string, weight double"), tol=1e-2).collect()}
+    want = dense_pagerank(names, steps, tol=1e-2)
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-12)
@@ -232,16 +232,16 @@ def test_pagerank_of_many_graphs_stops_each_by_itself(table):
     per = {g: random_steps(rng, names) for g in ("g1", "g2")} | {"g3": [], "g4": [("n0", "n1", 1.0), ("n1", "n0", 1.0)]}
     steps = table([(g, *s) for g, ss in per.items() for s in ss], "g string, src string, dst string, weight double")
     nodes = table([(g, n) for g in per for n in names], "g string, node string")
-    got = pr.rank_nodes(nodes, steps, alpha=0.85, max_iter=100, tol=1e-6, group=("g",)).collect()
+    got = pr.rank_nodes(nodes, steps, alpha=0.85, max_iter=100, tol=3e-2, group=("g",)).collect()
     for g, ss in per.items():
-        want = dense_pagerank(names, ss)
+        want = dense_pagerank(names, ss, tol=3e-2)
         mine = {r.node: r.rank for r in got if r.g == g}
         assert mine == pytest.approx(want, abs=1e-12), g
 
 
 def test_graph_form_and_summary(table):
     edges = table([conflict("RUS", "UKR", 0.95444), conflict("USA", "RUS", 0.2, 0.0, "directed_news", True, -0.3, False)], DYADS)
-    metrics = graph.node_metrics(nodes_of(table, ["RUS", "UKR", "USA", "FRA"]), edges)
+    metrics = graph.node_metrics(nodes_of(table, ["RUS", "UKR", "USA", "FRA"]), edges, max_iter=6)
     nodes, links = graph.graph_nodes(metrics).collect(), rows_by(graph.graph_links(edges), "source", "target")
     assert {n.id for n in nodes} == {"RUS", "UKR", "USA", "FRA"} and sum(n.pagerank for n in nodes) == pytest.approx(1, abs=1e-5)
     link = links["RUS", "UKR"]
