@@ -169,7 +169,9 @@ def pagerank(
     return ranked.select(F.col("node").alias(NODE), F.col("rank").alias("pagerank"))
 
 
-def node_degrees(nodes: DataFrame, dyads: DataFrame, *, weight: str = "composite_tension_index") -> DataFrame:
+def node_degrees(
+    nodes: DataFrame, dyads: DataFrame, *, weight: str = "composite_tension_index", digits: int = 4
+) -> DataFrame:
     """Everything about a node that one pass over its edges gives, isolated nodes included."""
     edges = with_edge_defaults(dyads, weight)
     totals = node_totals(half_edges(within(edges, nodes), baseline_back_weight(F.col("weight"))))
@@ -188,12 +190,12 @@ def node_degrees(nodes: DataFrame, dyads: DataFrame, *, weight: str = "composite
         "in_degree",
         "out_degree",
         "total_degree",
-        F.round(F.coalesce("weighted_in", F.lit(0.0)), 4).alias("weighted_in_degree"),
-        F.round(F.coalesce("weighted_out", F.lit(0.0)), 4).alias("weighted_out_degree"),
+        F.round(F.coalesce("weighted_in", F.lit(0.0)), digits).alias("weighted_in_degree"),
+        F.round(F.coalesce("weighted_out", F.lit(0.0)), digits).alias("weighted_out_degree"),
         "conflict_adversary_count",
-        F.round("mean_incoming_tone", 4).alias("mean_incoming_tone"),
-        F.round("mean_outgoing_tone", 4).alias("mean_outgoing_tone"),
-        F.round(F.coalesce("mean_tension", F.lit(0.0)), 4).alias("mean_dyadic_tension"),
+        F.round("mean_incoming_tone", digits).alias("mean_incoming_tone"),
+        F.round("mean_outgoing_tone", digits).alias("mean_outgoing_tone"),
+        F.round(F.coalesce("mean_tension", F.lit(0.0)), digits).alias("mean_dyadic_tension"),
         (F.col("total_degree") > 0).alias("has_active_edges"),
     )
 
@@ -206,12 +208,14 @@ def node_metrics(
     alpha: float = PAGERANK_ALPHA,
     max_iter: int = PAGERANK_MAX_ITER,
     tol: float = PAGERANK_TOL,
+    digits: int = 4,
+    rank_digits: int = 6,
 ) -> DataFrame:
     """Degrees, strengths, adversaries, tones, tension and PageRank of every reference node."""
     steps = transitions(with_edge_defaults(dyads, weight), baseline_back_weight(F.col("weight")))
     ranks = pagerank(nodes, steps, alpha=alpha, max_iter=max_iter, tol=tol)
-    rounded = ranks.select(NODE, F.round("pagerank", 6).alias("pagerank_centrality"))
-    return node_degrees(nodes, dyads, weight=weight).join(rounded, NODE).select(*METRIC_COLUMNS)
+    rounded = ranks.select(NODE, F.round("pagerank", rank_digits).alias("pagerank_centrality"))
+    return node_degrees(nodes, dyads, weight=weight, digits=digits).join(rounded, NODE).select(*METRIC_COLUMNS)
 
 
 def by_rank(metrics: DataFrame) -> DataFrame:
@@ -234,7 +238,7 @@ def graph_nodes(metrics: DataFrame) -> DataFrame:
     )
 
 
-def graph_links(dyads: DataFrame) -> DataFrame:
+def graph_links(dyads: DataFrame, *, digits: int = 4) -> DataFrame:
     """Links of the node-link form; a missing tone stays NULL."""
     return dyads.select(
         F.col(SOURCE).alias("source"),
@@ -245,7 +249,7 @@ def graph_links(dyads: DataFrame) -> DataFrame:
         F.coalesce("fatalities_best_total", F.lit(0.0)).alias("fatalities"),
         F.coalesce("news_article_count", F.lit(0)).alias("news_articles"),
         F.col("news_avg_tone").alias("avg_tone"),
-        F.round(F.coalesce("composite_tension_index", F.lit(0.0)), 4).alias("tension_index"),
+        F.round(F.coalesce("composite_tension_index", F.lit(0.0)), digits).alias("tension_index"),
         F.col("has_historical_conflict").alias("has_conflict"),
     )
 

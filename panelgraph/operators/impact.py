@@ -389,6 +389,8 @@ def counterfactual_metrics(
     alpha: float = PAGERANK_ALPHA,
     max_iter: int = PAGERANK_MAX_ITER,
     tol: float = PAGERANK_TOL,
+    digits: int = 4,
+    rank_digits: int = 6,
 ) -> DataFrame:
     """Degrees, strengths and PageRank per scenario and node on the shocked edges.
 
@@ -412,12 +414,12 @@ def counterfactual_metrics(
     return joined.select(
         SCENARIO,
         NODE,
-        F.round("rank", 6).alias("counterfactual_pagerank"),
+        F.round("rank", rank_digits).alias("counterfactual_pagerank"),
         F.coalesce("in_degree", zero).alias("counterfactual_in_degree"),
         F.coalesce("out_degree", zero).alias("counterfactual_out_degree"),
         F.coalesce("total_degree", zero).alias("counterfactual_total_degree"),
-        F.round(F.coalesce("weighted_in", F.lit(0.0)), 4).alias("counterfactual_weighted_in"),
-        F.round(F.coalesce("weighted_out", F.lit(0.0)), 4).alias("counterfactual_weighted_out"),
+        F.round(F.coalesce("weighted_in", F.lit(0.0)), digits).alias("counterfactual_weighted_in"),
+        F.round(F.coalesce("weighted_out", F.lit(0.0)), digits).alias("counterfactual_weighted_out"),
     )
 
 

@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 RANK_STEPS, TRADE_STEPS = 8, 5
 
 
-def shown(df: DataFrame, digits: int = 6, *, counts: tuple[str, ...] = ()) -> DataFrame:
+def shown(df: DataFrame, digits: int = 9, *, counts: tuple[str, ...] = ()) -> DataFrame:
     """Comparable output: rounded doubles without negative zero, long counts, dates as text."""
     out = []
     for field in df.schema.fields:
@@ -50,7 +50,7 @@ def nullable_as_double(df: DataFrame, *names: str) -> DataFrame:
 def events_clean(spark, d):
     codes, names = views.code_tables(spark, d)
     cleaned = clean.clean_events(views.raw_events(spark, d), order=F.col("ingest_order"), codes=codes, names=names)
-    return shown(cleaned.withColumn("country_id", F.col("country_id").cast("double")), 4)
+    return shown(cleaned.withColumn("country_id", F.col("country_id").cast("double")))
 
 
 def events_unmapped(spark, d):
@@ -58,23 +58,23 @@ def events_unmapped(spark, d):
 
 
 def event_monthly_totals(spark, d):
-    return shown(panel.monthly_event_totals(views.order_events(spark, d)), 2)
+    return shown(panel.monthly_event_totals(views.order_events(spark, d)))
 
 
 def event_panel(spark, d):
-    return shown(panel.event_panel(views.order_events(spark, d)), 2)
+    return shown(panel.event_panel(views.order_events(spark, d)))
 
 
 def event_panel_years(spark, d):
-    return shown(panel.event_panel(views.order_events(spark, d), min_year=1997, max_year=1999), 2)
+    return shown(panel.event_panel(views.order_events(spark, d), min_year=1997, max_year=1999))
 
 
 def event_features(spark, d):
-    return shown(views.order_features(spark, d), 4)
+    return shown(views.order_features(spark, d))
 
 
 def event_features_customer(spark, d):
-    return shown(views.order_features(spark, d, "customer"), 4)
+    return shown(views.order_features(spark, d, "customer"))
 
 
 def event_panel_metadata(spark, d):
@@ -191,7 +191,7 @@ def dyads_monthly(spark, d):
 
 
 def node_degrees(spark, d):
-    return shown(graph.node_degrees(views.nodes(spark, d), views.pair_table(spark, d)), 3)
+    return shown(graph.node_degrees(views.nodes(spark, d), views.pair_table(spark, d), digits=9))
 
 
 def node_ranks(spark, d):
@@ -221,16 +221,16 @@ def trade_ranks(spark, d):
     known = views.table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("country_iso3")).unionByName(
         views.table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("country_iso3"))
     )
-    return shown(graph.pagerank(known, sold.unionByName(returned), max_iter=TRADE_STEPS, tol=0.0), 9)
+    return shown(graph.pagerank(known, sold.unionByName(returned), max_iter=TRADE_STEPS, tol=0.0))
 
 
 def graph_links(spark, d):
-    return shown(graph.graph_links(views.pair_table(spark, d)), 3)
+    return shown(graph.graph_links(views.pair_table(spark, d), digits=9))
 
 
 def graph_nodes(spark, d):
-    metrics = graph.node_metrics(views.nodes(spark, d), cut(views.pair_table(spark, d)), max_iter=2, tol=0.0)
-    return shown(graph.graph_nodes(metrics), 3)
+    metrics = graph.node_metrics(views.nodes(spark, d), cut(views.pair_table(spark, d)), max_iter=2, tol=0.0, digits=9, rank_digits=9)
+    return shown(graph.graph_nodes(metrics))
 
 
 def graph_summary(spark, d):
@@ -295,7 +295,7 @@ def _what_if(spark, d):
     pairs_ = cut(views.pair_table(spark, d))
     metrics = graph.node_degrees(views.nodes(spark, d), pairs_).withColumn("pagerank_centrality", F.lit(0.04))
     return what_if(
-        views.scenarios(spark), cut(metrics), pairs_, cut(views.report_panel(spark, d)), month="1998-06", max_iter=3, tol=0.0
+        views.scenarios(spark), cut(metrics), pairs_, cut(views.report_panel(spark, d)), month="1998-06", max_iter=3, tol=0.0, digits=9, rank_digits=9
     )
 
 
@@ -303,13 +303,13 @@ def impact_countries(spark, d):
     return shown(
         _what_if(spark, d)["countries"].select(
             "scenario_id", "country_iso3", "is_direct_target", "ripple_hop",
-            F.round("counterfactual_tone", 5).alias("counterfactual_tone"),
+            "counterfactual_tone",
             "counterfactual_conflict_news_count",
             "counterfactual_escalation_signal",
-            F.round("counterfactual_pagerank", 5).alias("counterfactual_pagerank"),
+            "counterfactual_pagerank",
             "counterfactual_in_degree", "counterfactual_out_degree", "counterfactual_total_degree",
-            F.round("counterfactual_weighted_in", 3).alias("counterfactual_weighted_in"),
-            F.round("counterfactual_weighted_out", 3).alias("counterfactual_weighted_out"),
+            "counterfactual_weighted_in",
+            "counterfactual_weighted_out",
             "delta_conflict_news_count", "delta_in_degree", "delta_out_degree", "delta_total_degree",
         )
     )
@@ -376,7 +376,7 @@ def _records(spark, d):
 
 
 def entity_totals(spark, d):
-    return shown(scoring.entity_totals(_records(spark, d)), 2)
+    return shown(scoring.entity_totals(_records(spark, d)), 4)
 
 
 def entity_warnings(spark, d):
@@ -420,7 +420,7 @@ def contribution_split(spark, d):
     changes = views.order_features(spark, d).select("country_iso3", "year_month", F.col("delta_fatalities_1m").alias("contribution"))
     raising, lowering = scoring.split_contributions(changes)
     both = raising.withColumn("direction", F.lit("up")).unionByName(lowering.withColumn("direction", F.lit("down")))
-    return shown(both.groupBy("country_iso3", "direction").agg(F.count(F.lit(1)).alias("months"), F.sum("contribution").alias("total")), 2)
+    return shown(both.groupBy("country_iso3", "direction").agg(F.count(F.lit(1)).alias("months"), F.sum("contribution").alias("total")))
 
 
 def risk_outlook(spark, d):

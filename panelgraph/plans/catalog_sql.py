@@ -6,7 +6,7 @@ from panelgraph.fixed_values import LAGS, WHITE_SPACE, WINDOWS
 from panelgraph.plans.views import BASE_SECONDS, CATEGORIES, GOVERNMENTS, LANGUAGES, SCENARIOS, TERMS, WORDS
 
 
-def r(expression: str, name: str | None = None, digits: int = 6) -> str:
+def r(expression: str, name: str | None = None, digits: int = 9) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name or expression}"
 
 
@@ -50,13 +50,13 @@ tidy AS (
 
 ORDER_EVENTS = {
     "nation": "ev AS (SELECT o_orderkey AS id, " + code("n_name") + """ AS ent, CAST(date_trunc('month', o_orderdate) AS DATE) AS m,
-  o_orderstatus AS st, o_totalprice AS p FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""",
+  o_orderstatus AS st, floor(o_totalprice / 1000) AS p, floor(o_totalprice / 2000) AS p2, floor(o_totalprice / 500) AS p3, floor(o_totalprice / 4000) AS p4 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""",
     "customer": """ev AS (SELECT o_orderkey AS id, o_custkey AS ent, CAST(date_trunc('month', o_orderdate) AS DATE) AS m,
-  o_orderstatus AS st, o_totalprice AS p FROM orders)""",
+  o_orderstatus AS st, floor(o_totalprice / 1000) AS p, floor(o_totalprice / 2000) AS p2, floor(o_totalprice / 500) AS p3, floor(o_totalprice / 4000) AS p4 FROM orders)""",
 }
 TOTALS = """agg AS (
-  SELECT ent, m, count(*) AS events_total, sum(p) AS fatalities_best_total, sum(p / 2) AS fatalities_low_total,
-    sum(p * 2) AS fatalities_high_total, sum(p / 4) AS fatalities_civilian_total,
+  SELECT ent, m, count(*) AS events_total, sum(p) AS fatalities_best_total, sum(p2) AS fatalities_low_total,
+    sum(p3) AS fatalities_high_total, sum(p4) AS fatalities_civilian_total,
     count(*) FILTER (st = 'F') AS events_state_based, sum(p) FILTER (st = 'F') AS fatalities_state_based,
     count(*) FILTER (st = 'O') AS events_non_state, sum(p) FILTER (st = 'O') AS fatalities_non_state,
     count(*) FILTER (st = 'P') AS events_one_sided, sum(p) FILTER (st = 'P') AS fatalities_one_sided
@@ -79,7 +79,7 @@ panel AS (SELECT g.ent, g.m, {', '.join(values)} FROM (SELECT ent, m FROM ents,
 
 
 PANEL_OUT = ", ".join(
-    ["ent AS country_iso3", PERIOD, *EVENT_COUNTS, *[r(c, digits=2) for c in EVENT_SUMS],
+    ["ent AS country_iso3", PERIOD, *EVENT_COUNTS, *[r(c) for c in EVENT_SUMS],
      "CAST(events_total > 0 AS BIGINT) AS has_conflict_event"]
 )
 
@@ -87,11 +87,11 @@ PANEL_OUT = ", ".join(
 def event_feature_sql(entity: str) -> str:
     w = "PARTITION BY ent ORDER BY m"
     both = {"fatalities": "fatalities_best_total", "events": "events_total"}
-    out = ["ent AS country_iso3", PERIOD, *EVENT_COUNTS, *[r(c, digits=4) for c in EVENT_SUMS],
+    out = ["ent AS country_iso3", PERIOD, *EVENT_COUNTS, *[r(c) for c in EVENT_SUMS],
            "CAST(events_total > 0 AS BIGINT) AS has_conflict_event"]
 
     def shown(expression: str, kind: str, name: str) -> str:
-        return r(expression, name, 4) if kind == "fatalities" else f"CAST({expression} AS BIGINT) AS {name}"
+        return r(expression, name) if kind == "fatalities" else f"CAST({expression} AS BIGINT) AS {name}"
 
     for kind, c in both.items():
         for k in LAGS:
@@ -101,10 +101,10 @@ def event_feature_sql(entity: str) -> str:
             out.append(shown(f"sum({c}) OVER ({w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)", kind, f"{kind}_rolling_sum_{n}m"))
         p = f"coalesce(lag({c}) OVER ({w}), 0)"
         out.append(shown(f"{c} - {p}", kind, f"delta_{kind}_1m"))
-        out.append(r(f"least(greatest(({c} - {p}) / greatest({p}, 1.0::DOUBLE), -10.0), 10.0)", f"growth_rate_{kind}_1m", 4))
-        out.append(r(f"ln(1 + {c}::DOUBLE) - ln(1 + {p}::DOUBLE)", f"momentum_{kind}_log_1m", 4))
+        out.append(r(f"least(greatest(({c} - {p}) / greatest({p}, 1.0::DOUBLE), -10.0), 10.0)", f"growth_rate_{kind}_1m"))
+        out.append(r(f"ln(1 + {c}::DOUBLE) - ln(1 + {p}::DOUBLE)", f"momentum_{kind}_log_1m"))
     for n in WINDOWS:
-        out.append(r(f"avg(fatalities_best_total) OVER ({w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)", f"fatalities_rolling_mean_{n}m", 4))
+        out.append(r(f"avg(fatalities_best_total) OVER ({w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)", f"fatalities_rolling_mean_{n}m"))
     out.append(f"CAST(sum(fatalities_best_total) OVER ({w} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) >= 25 AS BIGINT) AS project_active_conflict_indicator")
     return f"WITH {panel_ctes(entity)} SELECT {', '.join(out)} FROM panel"
 
@@ -115,13 +115,13 @@ _country = "CASE {c} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in LANGUAG
 _space = q(WHITE_SPACE)
 _lang = r"regexp_extract(url, 'example\.[a-z]+/([a-z]+)/', 1)"
 ARTICLES = f"""pages_at AS (
-  SELECT *, make_timestamp(CAST({BASE_SECONDS} + page_id * 7919 % 40000 * 1000 AS BIGINT) * 1000000) AS at,
+  SELECT *, make_timestamp(CAST({BASE_SECONDS} + page_id * 7919 % 40000 * 1000 AS BIGINT) * 1000000) AS seen_at,
     regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, {_lang} AS lg FROM pages),
 raw AS (
   SELECT 0 AS kind, page_id AS number, url || chr(10) AS url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-    CASE WHEN contains(url, 'utm_') THEN 'soon' ELSE CASE page_id % 5 WHEN 0 THEN strftime(at, '%Y%m%dT%H%M%SZ')
-      WHEN 1 THEN strftime(at, '%Y%m%d%H%M%S') WHEN 2 THEN strftime(at, '%Y%m%d') WHEN 3 THEN strftime(at, '%Y-%m-%d %H:%M:%S')
-      ELSE strftime(at, '%Y-%m-%d') END END AS seen,
+    CASE WHEN contains(url, 'utm_') THEN 'soon' ELSE CASE page_id % 5 WHEN 0 THEN strftime(seen_at, '%Y%m%dT%H%M%SZ')
+      WHEN 1 THEN strftime(seen_at, '%Y%m%d%H%M%S') WHEN 2 THEN strftime(seen_at, '%Y%m%d') WHEN 3 THEN strftime(seen_at, '%Y-%m-%d %H:%M:%S')
+      ELSE strftime(seen_at, '%Y-%m-%d') END END AS seen,
     CASE WHEN url LIKE 'https%' THEN 'WWW.' || host ELSE host END AS domain,
     CASE WHEN lg <> 'en' THEN lg END AS lang, {_country.format(c='lg')} AS sc FROM pages_at
   UNION ALL
@@ -131,14 +131,14 @@ raw AS (
 usable AS (
   SELECT kind, number, trim(url, {_space}) AS url, trim(coalesce(title, ''), {_space}) AS title,
     coalesce(try_strptime(seen, '%Y%m%dT%H%M%SZ'), try_strptime(seen, '%Y%m%d%H%M%S'), try_strptime(seen, '%Y%m%d'),
-      try_strptime(seen, '%Y-%m-%d %H:%M:%S'), try_strptime(seen, '%Y-%m-%d')) AS at,
+      try_strptime(seen, '%Y-%m-%d %H:%M:%S'), try_strptime(seen, '%Y-%m-%d')) AS seen_at,
     regexp_replace(lower(trim(domain, {_space})), '^www\\.', '') AS domain, coalesce(lang, 'English') AS language,
     trim(coalesce(sc, ''), {_space}) AS raw_sourcecountry FROM raw),
 keyed AS (
   SELECT *, substr(sha256(lower(url) || '::' || lower(title)), 1, 16) AS article_id FROM usable
-  WHERE url <> '' AND title <> '' AND at IS NOT NULL),
+  WHERE url <> '' AND title <> '' AND seen_at IS NOT NULL),
 first_id AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY kind, number) = 1),
-first_day AS (SELECT * FROM first_id QUALIFY row_number() OVER (PARTITION BY CAST(at AS DATE), title ORDER BY kind, number) = 1)"""
+first_day AS (SELECT * FROM first_id QUALIFY row_number() OVER (PARTITION BY CAST(seen_at AS DATE), title ORDER BY kind, number) = 1)"""
 
 # Letters, digits and marks outside a-z and 0-9 become 0, so that the ASCII word boundary is the Unicode one.
 _plain = (
@@ -178,8 +178,8 @@ _value = "CASE x " + " ".join(f"WHEN {q(k)} THEN {v}::DOUBLE" for k, v in WORDS.
 def scored_ctes(source: str = "first_day") -> str:
     return normalized_ctes(source) + f""",
 hit AS (SELECT *, {', '.join(f'{_hits(n)} AS h_{n}' for n in _names)},
-  list_filter(list_transform(words, x -> {_value}), x -> x IS NOT NULL) AS vals,
-  len(list_filter(regexp_split_to_array(title, '[\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), x -> x <> '')) AS n_words
+  list_filter(list_transform(words, lambda x: {_value}), lambda x: x IS NOT NULL) AS vals,
+  len(list_filter(regexp_split_to_array(title, '[\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')) AS n_words
   FROM normal),
 summed AS (SELECT *, {' + '.join(f'h_{n}' for n in _names)} AS total,
   CASE WHEN len(vals) = 0 THEN 0.0 ELSE list_sum(vals) / len(vals) END AS tone FROM hit),
@@ -189,7 +189,7 @@ scored AS (SELECT *, total > 0 AS is_conflict_relevant, total AS conflict_catego
 
 
 NEWS_AGG = """nagg AS (
-  SELECT ent, CAST(date_trunc('month', at) AS DATE) AS m, count(*) AS news_count_total, count(DISTINCT domain) AS unique_domains_count,
+  SELECT ent, CAST(date_trunc('month', seen_at) AS DATE) AS m, count(*) AS news_count_total, count(DISTINCT domain) AS unique_domains_count,
     avg(tone_score) AS avg_tone, count(*) FILTER (is_negative_tone) AS negative_tone_count,
     count(*) FILTER (is_extreme_tone) AS extreme_tone_count, count(*) FILTER (is_conflict_relevant) AS conflict_news_count,
     avg(tone_score) FILTER (is_conflict_relevant) AS conflict_news_avg_tone,
@@ -205,10 +205,10 @@ NEWS_COUNTS = [
 
 
 def news_panel_ctes(articles: str, extra: str = "") -> str:
-    """``articles``: CTEs that define na(ent, at, ...)."""
+    """``articles``: CTEs that define na(ent, seen_at, ...)."""
     counts = ", ".join(f"coalesce({c}, 0) AS {c}" for c in NEWS_COUNTS)
     return f"""{articles}, {NEWS_AGG},
-nb AS (SELECT min(at) AS first_at, max(at) AS last_at FROM na),
+nb AS (SELECT min(seen_at) AS first_at, max(seen_at) AS last_at FROM na),
 nmonths AS (SELECT CAST(unnest(generate_series(CAST(date_trunc('month', first_at) AS DATE), CAST(date_trunc('month', last_at) AS DATE), INTERVAL 1 MONTH)) AS DATE) AS m FROM nb),
 nents AS (SELECT DISTINCT ent FROM na {extra}),
 nfill AS (SELECT g.ent, g.m, {counts}, coalesce(avg_tone, 0.0) AS avg_tone, coalesce(conflict_news_avg_tone, 0.0) AS conflict_news_avg_tone
@@ -229,7 +229,7 @@ NEWS_OUT = ", ".join(
 )
 
 REPORTS = f"""rep AS (
-  SELECT l_orderkey || '-' || l_linenumber AS article_id, l_shipdate AS at, {code('sn.n_name')} AS src, {code('cn.n_name')} AS dst,
+  SELECT l_orderkey || '-' || l_linenumber AS article_id, l_shipdate AS seen_at, {code('sn.n_name')} AS src, {code('cn.n_name')} AS dst,
     strftime(l_shipdate, '%Y-%m') AS ym, 1 - 20 * l_discount AS tone_score, 1 - 20 * l_discount < -0.2 AS is_negative_tone,
     abs(1 - 20 * l_discount) >= 0.6 AS is_extreme_tone, l_returnflag = 'R' AS is_conflict_relevant, l_returnflag = 'R' AS cat_military_escalation,
     l_linenumber = 1 AS cat_armed_conflict, l_linenumber = 2 AS cat_ceasefire_peace, l_linenumber = 3 AS cat_sanctions_economic
@@ -271,7 +271,7 @@ _known = ", ".join(f"({q(n)}, {q(c)})" for n, c in GOVERNMENTS)
 SIDED = f"""gov(name, iso) AS (VALUES {_known}),
 bside AS (SELECT DISTINCT l_orderkey, n_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag = 'R'),
 sided AS (SELECT o_orderkey AS id, n_name AS a_name, strftime(o_orderdate, '%Y-%m') AS ym, CAST(o_orderdate AS DATE) AS event_date,
-  o_totalprice / 100000 AS best, o_totalprice / 200000 AS low, o_totalprice / 50000 AS high, o_totalprice / 400000 AS civ, o_orderpriority AS conflict_name
+  floor(o_totalprice / 50000) AS best, floor(o_totalprice / 100000) AS low, floor(o_totalprice / 25000) AS high, floor(o_totalprice / 200000) AS civ, o_orderpriority AS conflict_name
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 pe AS (SELECT id, least(ga.iso, gb.iso) AS a, greatest(ga.iso, gb.iso) AS b, ym, event_date, best, low, high, civ, conflict_name
   FROM sided JOIN gov ga ON a_name = ga.name JOIN bside ON id = l_orderkey JOIN gov gb ON bside.n_name = gb.name WHERE ga.iso <> gb.iso)"""
@@ -367,7 +367,7 @@ chk AS (SELECT *, list_filter([
   CASE WHEN sever AND (da IS NULL OR db IS NULL) THEN 'severance without pair' END,
   CASE WHEN sever AND da IS NOT NULL AND db IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d WHERE least(src, dst) = least(da, db) AND greatest(src, dst) = greatest(da, db)) THEN 'severance of a missing edge' END,
   CASE WHEN mult < 0 THEN 'negative multiplier' END, CASE WHEN depth < 0 THEN 'negative depth' END,
-  CASE WHEN decay NOT BETWEEN 0 AND 1 THEN 'decay outside 0..1' END], x -> x IS NOT NULL) AS reasons,
+  CASE WHEN decay NOT BETWEEN 0 AND 1 THEN 'decay outside 0..1' END], lambda x: x IS NOT NULL) AS reasons,
   EXISTS (SELECT 1 FROM d WHERE (src = da AND dst = db) OR (NOT is_directed AND src = db AND dst = da)) AS edge_matched FROM sc1)"""
 VALID = CHECKED + """,
 sc AS (SELECT *, coalesce(tension_delta, -0.5 * tone_delta + 0.2 * (mult - 1)) AS seed FROM chk WHERE len(reasons) = 0),
@@ -433,10 +433,10 @@ SHOWN_DYADS = f"""{LINK}, is_directed, nat AS relationship_nature, 'cumulative_h
   {r('w', 'composite_tension_index')}"""
 TARGET_FACTS = f"""{r('neg / n', 'news_negative_tone_share')}, {r('con / n', 'news_conflict_ratio')}, n AS news_article_count, neg AS news_negative_tone_count, con AS news_conflict_article_count"""
 
-_days = f"""sd AS (SELECT CAST(at AS DATE) AS day, target_country_iso3, count(*) AS news_count_total, sum(tone_score) AS tone_sum,
+_days = f"""sd AS (SELECT CAST(seen_at AS DATE) AS day, target_country_iso3, count(*) AS news_count_total, sum(tone_score) AS tone_sum,
   count(*) FILTER (is_negative_tone) AS negative_tone_count, count(*) FILTER (is_extreme_tone) AS extreme_tone_count,
   count(*) FILTER (is_conflict_relevant) AS conflict_news_count FROM scored WHERE target_country_iso3 IS NOT NULL GROUP BY 1, 2),
-closed AS (SELECT * FROM sd WHERE day + INTERVAL 1 DAY <= (SELECT max(at) - INTERVAL 2 DAY FROM scored))"""
+closed AS (SELECT * FROM sd WHERE day + INTERVAL 1 DAY <= (SELECT max(seen_at) - INTERVAL 2 DAY FROM scored))"""
 
 
 def rule(name: str, count: str, source: str, passed: str | None = None) -> str:
@@ -447,16 +447,16 @@ ORACLES: dict[str, str] = {
     "events_clean": f"""WITH {CLEANED} SELECT id, country_iso3, country, country_id, region, CAST(event_date AS VARCHAR) AS event_date,
       year(event_date) AS event_year, month(event_date) AS event_month, strftime(event_date, '%Y-%m') AS year_month, CAST(kind AS BIGINT) AS type_of_violence,
       CASE kind WHEN 1 THEN 'state_based' WHEN 2 THEN 'non_state' ELSE 'unknown' END AS violence_type_label, conflict_name, side_a, side_b,
-      {r('best', digits=4)}, {r('high', digits=4)}, {r('low', digits=4)}, {r('deaths_civilians', digits=4)}, {r('latitude', digits=4)}, {r('longitude', digits=4)} FROM tidy""",
+      {r('best')}, {r('high')}, {r('low')}, {r('deaths_civilians')}, {r('latitude')}, {r('longitude')} FROM tidy""",
     "events_unmapped": f"WITH {RAW} SELECT ' ' || n_name AS country, count(*) AS records FROM coded WHERE country_iso3 IS NULL GROUP BY 1",
-    "event_monthly_totals": f"WITH {ORDER_EVENTS['nation']}, {TOTALS} SELECT ent AS country_iso3, CAST(m AS VARCHAR) AS month_start, {', '.join(EVENT_COUNTS)}, {', '.join(r(c, digits=2) for c in EVENT_SUMS)} FROM agg",
+    "event_monthly_totals": f"WITH {ORDER_EVENTS['nation']}, {TOTALS} SELECT ent AS country_iso3, CAST(m AS VARCHAR) AS month_start, {', '.join(EVENT_COUNTS)}, {', '.join(r(c) for c in EVENT_SUMS)} FROM agg",
     "event_panel": f"WITH {panel_ctes()} SELECT {PANEL_OUT} FROM panel",
     "event_panel_years": f"WITH {panel_ctes(low=1997, high=1999)} SELECT {PANEL_OUT} FROM panel",
     "event_features": event_feature_sql("nation"),
     "event_features_customer": event_feature_sql("customer"),
     "event_panel_metadata": f"WITH {panel_ctes()} SELECT count(*) AS total_rows, count(DISTINCT ent) AS unique_entities, min(strftime(m, '%Y-%m')) AS start_year_month, max(strftime(m, '%Y-%m')) AS end_year_month FROM panel",
-    "articles_normalized": f"""WITH {normalized_ctes()} SELECT article_id, strftime(at, '%Y-%m-%d %H:%M:%S') AS published_at_utc, year(at) AS year, month(at) AS month,
-      strftime(at, '%Y-%m') AS year_month, domain, language, raw_sourcecountry, source_country_iso3, target_country_iso3, {r('CAST(target_country_confidence AS DOUBLE)', 'target_country_confidence')} FROM normal""",
+    "articles_normalized": f"""WITH {normalized_ctes()} SELECT article_id, strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS published_at_utc, year(seen_at) AS year, month(seen_at) AS month,
+      strftime(seen_at, '%Y-%m') AS year_month, domain, language, raw_sourcecountry, source_country_iso3, target_country_iso3, {r('CAST(target_country_confidence AS DOUBLE)', 'target_country_confidence')} FROM normal""",
     "articles_scored": f"""WITH {scored_ctes()} SELECT article_id, target_country_iso3, is_conflict_relevant, conflict_category_count, primary_conflict_category,
       {', '.join(f'cat_{n}' for n in _names)}, {r('tone_score')}, is_negative_tone, is_extreme_tone, {r('conflict_intensity')} FROM scored""",
     "articles_relevance": f"WITH {scored_ctes()} SELECT count(*) AS articles, count(*) FILTER (is_conflict_relevant) AS relevant, {r('count(*) FILTER (is_conflict_relevant) / count(*)', 'relevant_share')} FROM scored",
@@ -491,18 +491,18 @@ ORACLES: dict[str, str] = {
       {r('CAST(lag(events) OVER x AS DOUBLE)', 'conflict_events_lag_1m')}, {r('CAST(lag(n) OVER x AS DOUBLE)', 'news_count_lag_1m')},
       CASE WHEN count(*) OVER (PARTITION BY src, dst ORDER BY ym ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3 THEN CAST(sum(events) OVER (PARTITION BY src, dst ORDER BY ym ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS DOUBLE) END AS conflict_events_prior_sum_3m
       FROM t WINDOW x AS (PARTITION BY src, dst ORDER BY ym)""",
-    "node_degrees": f"""WITH {HALVES} SELECT c AS country_iso3, c AS country_name, in_degree, out_degree, total_degree, {r('weighted_in', 'weighted_in_degree', 3)}, {r('weighted_out', 'weighted_out_degree', 3)},
-      adversaries AS conflict_adversary_count, {r('ti', 'mean_incoming_tone', 3)}, {r('tu', 'mean_outgoing_tone', 3)}, {r('mean_tension', 'mean_dyadic_tension', 3)}, total_degree > 0 AS has_active_edges FROM met""",
+    "node_degrees": f"""WITH {HALVES} SELECT c AS country_iso3, c AS country_name, in_degree, out_degree, total_degree, {r('weighted_in', 'weighted_in_degree')}, {r('weighted_out', 'weighted_out_degree')},
+      adversaries AS conflict_adversary_count, {r('ti', 'mean_incoming_tone')}, {r('tu', 'mean_outgoing_tone')}, {r('mean_tension', 'mean_dyadic_tension')}, total_degree > 0 AS has_active_edges FROM met""",
     "node_ranks": f"WITH {HALVES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes', 8)} SELECT c AS country_iso3, {r('p', 'pagerank')} FROM r8",
     "node_ranks_converged": f"WITH {HALVES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes', 30)} SELECT c AS country_iso3, {r('p', 'pagerank_centrality', 4)} FROM r30",
     "trade_ranks": f"""WITH nodes AS (SELECT 'C' || c_custkey AS c FROM customer UNION ALL SELECT 'S' || s_suppkey FROM supplier),
       steps AS (SELECT 'S' || l_suppkey AS s, 'C' || o_custkey AS t, l_quantity AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         UNION ALL SELECT 'C' || o_custkey, 'S' || l_suppkey, 1.0 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'),
-      {rank_ctes('steps', 'nodes', 5)} SELECT c AS country_iso3, {r('p', 'pagerank', 9)} FROM r5""",
-    "graph_links": f"""WITH {DYADS} SELECT src AS source, dst AS target, is_directed, nat AS relationship_nature, events AS conflict_events, {r('best', 'fatalities', 3)}, n AS news_articles,
-      {r('tone', 'avg_tone', 3)}, {r('w', 'tension_index', 3)}, has_conflict FROM d""",
-    "graph_nodes": f"""WITH {HALVES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes', 2)} SELECT c AS id, c AS label, in_degree, out_degree, total_degree, adversaries AS conflict_adversaries, {r('p', 'pagerank', 3)},
-      {r('mean_tension', 'mean_dyadic_tension', 3)}, total_degree > 0 AS has_active_edges FROM met JOIN r2 USING (c)""",
+      {rank_ctes('steps', 'nodes', 5)} SELECT c AS country_iso3, {r('p', 'pagerank')} FROM r5""",
+    "graph_links": f"""WITH {DYADS} SELECT src AS source, dst AS target, is_directed, nat AS relationship_nature, events AS conflict_events, {r('best', 'fatalities')}, n AS news_articles,
+      {r('tone', 'avg_tone')}, {r('w', 'tension_index')}, has_conflict FROM d""",
+    "graph_nodes": f"""WITH {HALVES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes', 2)} SELECT c AS id, c AS label, in_degree, out_degree, total_degree, adversaries AS conflict_adversaries, {r('p', 'pagerank')},
+      {r('mean_tension', 'mean_dyadic_tension')}, total_degree > 0 AS has_active_edges FROM met JOIN r2 USING (c)""",
     "graph_summary": f"""WITH {HALVES} SELECT (SELECT count(*) FROM met) AS total_reference_nodes, (SELECT count(*) FROM met WHERE total_degree > 0) AS active_nodes_with_edges,
       count(*) AS total_directed_dyads, count(*) FILTER (has_conflict) AS bilateral_conflict_dyads, count(*) FILTER (n > 0) AS directed_news_dyads, {r('max(w)', 'max_tension_index')} FROM d""",
     "scenarios_checked": f"WITH {CHECKED} SELECT id AS scenario_id, array_to_string(reasons, '; ') AS reasons, edge_matched FROM chk",
@@ -517,10 +517,10 @@ ORACLES: dict[str, str] = {
         SELECT c, CAST(sum(CASE WHEN nat = 'directed_news' THEN e = 1 ELSE true END::INT) AS BIGINT) AS bi, CAST(sum(CASE WHEN nat = 'directed_news' THEN e = 0 ELSE true END::INT) AS BIGINT) AS bo, count(DISTINCT o) AS bt
         FROM (SELECT src AS c, dst AS o, nat, 0 AS e FROM d UNION ALL SELECT dst, src, nat, 1 FROM d) GROUP BY c))
       SELECT cn.id AS scenario_id, cn.c AS country_iso3, tg.id IS NOT NULL AS is_direct_target, CAST(CASE WHEN tg.id IS NOT NULL THEN 0 ELSE coalesce(hop, -1) END AS BIGINT) AS ripple_hop,
-      {r('CASE WHEN tg.id IS NOT NULL THEN tone2 ELSE least(greatest(tone + coalesce(shift, 0.0), -1.0), 1.0) END', 'counterfactual_tone', 5)},
-      coalesce(news2, news) AS counterfactual_conflict_news_count, {r('coalesce(esc2, esc)', 'counterfactual_escalation_signal')}, {r('p', 'counterfactual_pagerank', 5)},
+      {r('CASE WHEN tg.id IS NOT NULL THEN tone2 ELSE least(greatest(tone + coalesce(shift, 0.0), -1.0), 1.0) END', 'counterfactual_tone')},
+      coalesce(news2, news) AS counterfactual_conflict_news_count, {r('coalesce(esc2, esc)', 'counterfactual_escalation_signal')}, {r('p', 'counterfactual_pagerank')},
       coalesce(i, 0) AS counterfactual_in_degree, coalesce(u, 0) AS counterfactual_out_degree, coalesce(o, 0) AS counterfactual_total_degree,
-      {r('coalesce(wi, 0.0)', 'counterfactual_weighted_in', 3)}, {r('coalesce(wo, 0.0)', 'counterfactual_weighted_out', 3)},
+      {r('coalesce(wi, 0.0)', 'counterfactual_weighted_in')}, {r('coalesce(wo, 0.0)', 'counterfactual_weighted_out')},
       coalesce(news2, news) - news AS delta_conflict_news_count, coalesce(i, 0) - coalesce(bi, 0) AS delta_in_degree, coalesce(u, 0) - coalesce(bo, 0) AS delta_out_degree, coalesce(o, 0) - coalesce(bt, 0) AS delta_total_degree
       FROM cn JOIN bn USING (c) LEFT JOIN tg USING (id, c) LEFT JOIN narr USING (id, c) LEFT JOIN dg USING (id, c) LEFT JOIN r3 USING (id, c) LEFT JOIN mt USING (c)""",
     "impact_summary": f"""WITH {SPREAD}, reach AS (SELECT sc.id, sc.target, count(narr.c) AS k FROM sc LEFT JOIN narr USING (id) GROUP BY 1, 2)
@@ -549,11 +549,11 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'joinable on country_iso3, year_month', count(*) > 0, CAST(count(*) AS DOUBLE) FROM panel JOIN npanel USING (ent, m)
       UNION ALL SELECT 'finite avg_tone', true, 0.0 UNION ALL SELECT 'finite avg_tone_lag_1m', true, 0.0""",
     "entity_totals": f"""WITH s AS (SELECT c_mktsegment AS country, c_acctbal AS f FROM customer UNION ALL SELECT p_brand, p_size FROM part UNION ALL SELECT s_name, NULL FROM supplier)
-      SELECT country, count(*) AS recent_events, {r('sum(coalesce(f, 0.0))', 'conflict_intensity', 2)}, CAST(sum(coalesce(f, 0.0)) > 50 AS BIGINT) AS escalation_warning FROM s GROUP BY country""",
+      SELECT country, count(*) AS recent_events, {r('sum(coalesce(f, 0.0))', 'conflict_intensity', 4)}, CAST(sum(coalesce(f, 0.0)) > 50 AS BIGINT) AS escalation_warning FROM s GROUP BY country""",
     "pair_status": f"WITH {DYADS}, x AS (SELECT {LINK}, round(100 * w, 4) + 0.0 AS score, unnest(['conflict', 'economy', 'energy', 'global_impact', 'overview', 'hotspot']) AS domain FROM d) SELECT *, {STATUS} AS status FROM x",
     "pair_sub_scores": f"WITH {BASES} SELECT pair_a, pair_b, base AS score, signal, least(95.0, base - k)::DOUBLE AS sub_score FROM pb, (VALUES ('political', 6), ('border', 12), ('cyber', 18)) v(signal, k)",
     "contribution_split": f"""WITH {panel_ctes()}, x AS (SELECT ent, fatalities_best_total - coalesce(lag(fatalities_best_total) OVER (PARTITION BY ent ORDER BY m), 0) AS d FROM panel)
-      SELECT ent AS country_iso3, CASE WHEN d > 0 THEN 'up' ELSE 'down' END AS direction, count(*) AS months, {r('sum(d)', 'total', 2)} FROM x WHERE d <> 0 GROUP BY 1, 2""",
+      SELECT ent AS country_iso3, CASE WHEN d > 0 THEN 'up' ELSE 'down' END AS direction, count(*) AS months, {r('sum(d)', 'total')} FROM x WHERE d <> 0 GROUP BY 1, 2""",
     "risk_outlook": f"WITH {OUTLOOK} SELECT *, {STATUS} AS status FROM ol",
     "risk_outlook_fan": f"""WITH {OUTLOOK}, st(step, horizon, f) AS (VALUES (0, 'Now', 0.0), (1, '30D', 0.25), (2, '60D', 0.5), (3, '90D', 0.75), (4, '180D', 1.0), (5, '365D', 1.25)),
       k AS (SELECT pair_a, pair_b, horizon_days, CAST(step AS BIGINT) AS step, horizon, CAST(floor(least(98.0, greatest(20.0, score + f::DOUBLE * 8)) + 0.5) AS BIGINT) AS risk FROM ol, st WHERE domain = 'escalation')

@@ -109,6 +109,8 @@ def what_if(
     back: float = fv.HYBRID_BACK_COUNTERFACTUAL,
     max_iter: int = fv.PAGERANK_MAX_ITER,
     tol: float = fv.PAGERANK_TOL,
+    digits: int = 4,
+    rank_digits: int = 6,
 ) -> dict[str, DataFrame]:
     """Run a table of scenarios; returns countries, dyads, summary and rejected scenarios."""
     filled = impact.with_scenario_defaults(scenarios, archetypes)
@@ -118,7 +120,9 @@ def what_if(
     shocked = cut(impact.shocked_edges(valid, dyad_table))
     node_arrivals, edge_arrivals = impact.propagate(valid, nodes, dyad_table, shocked)
     edges = cut(impact.counterfactual_edges(valid, dyad_table, shocked, edge_arrivals))
-    after = impact.counterfactual_metrics(valid, nodes, edges, back=back, max_iter=max_iter, tol=tol)
+    after = impact.counterfactual_metrics(
+        valid, nodes, edges, back=back, max_iter=max_iter, tol=tol, digits=digits, rank_digits=rank_digits
+    )
     countries = impact.country_impacts(valid, nodes, after, node_arrivals)
     return {
         "countries": countries,

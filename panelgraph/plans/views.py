@@ -123,16 +123,19 @@ def order_events(spark: SparkSession, folder: str, entity: str = "nation") -> Da
         placed = orders.join(customers.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(
             nations, F.col("c_nationkey") == F.col("n_nationkey")
         )
-    price = F.col("o_totalprice")
+
+    def deaths(scale: int):
+        return F.floor(F.col("o_totalprice") / scale).cast("double")
+
     return placed.select(
         F.col("o_orderkey").alias("id"),
         "country_iso3",
         F.col("o_orderdate").cast("date").alias("event_date"),
         F.expr("decode(o_orderstatus, 'F', 1, 'O', 2, 'P', 3)").alias("type_of_violence"),
-        price.alias("best"),
-        (price / 2).alias("low"),
-        (price * 2).alias("high"),
-        (price / 4).alias("deaths_civilians"),
+        deaths(1000).alias("best"),
+        deaths(2000).alias("low"),
+        deaths(500).alias("high"),
+        deaths(4000).alias("deaths_civilians"),
     )
 
 
@@ -165,10 +168,10 @@ def sided_events(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("side_b", F.lit("Rebels")).alias("side_b"),
         F.date_format("o_orderdate", "yyyy-MM").alias("year_month"),
         F.col("o_orderdate").cast("date").alias("event_date"),
-        (F.col("o_totalprice") / 100000).alias("best"),
-        (F.col("o_totalprice") / 200000).alias("low"),
-        (F.col("o_totalprice") / 50000).alias("high"),
-        (F.col("o_totalprice") / 400000).alias("deaths_civilians"),
+        F.floor(F.col("o_totalprice") / 50000).cast("double").alias("best"),
+        F.floor(F.col("o_totalprice") / 100000).cast("double").alias("low"),
+        F.floor(F.col("o_totalprice") / 25000).cast("double").alias("high"),
+        F.floor(F.col("o_totalprice") / 200000).cast("double").alias("deaths_civilians"),
         F.col("o_orderpriority").alias("conflict_name"),
     )
 
