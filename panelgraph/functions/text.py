@@ -136,12 +136,18 @@ def primary_category(hits: Mapping[str, Column]) -> Column:
     return F.when(best["hits"] > 0, best["name"]).otherwise(F.lit("none"))
 
 
-def tone_score(words: Column, valences: Mapping[str, float] = VALENCES) -> Column:
+def known_words(words: Column, valences: Mapping[str, float] = VALENCES) -> Column:
+    """Distinct scored words among the tokens."""
+    return F.array_intersect(words, _strings(list(valences)))
+
+
+def tone_score(words: Column, known: Column, valences: Mapping[str, float] = VALENCES) -> Column:
     """Mean valence over all occurrences of known words, in [-1, 1]; 0 without a known word.
 
-    The valences are added in text order, so equal texts give bit-equal scores.
+    ``known`` must be a column of its own (from ``known_words``): inside the filter below an
+    expression would be computed again for every token. The valences are added in text order,
+    so equal texts give bit-equal scores.
     """
-    known = F.array_intersect(words, _strings(list(valences)))
     values = _lookup(list(valences.items()))
     scored = F.transform(
         F.filter(words, lambda t: F.array_contains(known, t)), lambda t: F.try_element_at(values, t)
@@ -150,9 +156,9 @@ def tone_score(words: Column, valences: Mapping[str, float] = VALENCES) -> Colum
         scored,
         F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n")),
         lambda acc, v: F.struct((acc["total"] + v).alias("total"), (acc["n"] + 1).alias("n")),
-        lambda acc: F.when(acc["n"] > 0, acc["total"] / acc["n"]).otherwise(F.lit(0.0)),
+        lambda acc: acc["total"] / acc["n"],
     )
-    return clip(F.coalesce(mean, F.lit(0.0)), -1.0, 1.0)
+    return F.when(F.size(known) > 0, F.least(F.greatest(mean, F.lit(-1.0)), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
 def is_negative(tone: Column) -> Column:

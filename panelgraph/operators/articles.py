@@ -114,15 +114,16 @@ def with_taxonomy(articles: DataFrame, taxonomy: Mapping[str, Sequence[str]] = T
 
 def with_tone(articles: DataFrame, valences: Mapping[str, float] = VALENCES) -> DataFrame:
     """Add tone, its negative and extreme flags, and conflict intensity."""
-    scored = articles.withColumn("_words", text.tokens(F.col("title")))
-    scored = scored.withColumn("tone_score", text.tone_score(F.col("_words"), valences))
+    worded = articles.withColumn("_words", text.tokens(F.col("title")))
+    worded = worded.withColumn("_known", text.known_words(F.col("_words"), valences))
+    scored = worded.withColumn("tone_score", text.tone_score(F.col("_words"), F.col("_known"), valences))
     return scored.withColumns(
         {
             "is_negative_tone": text.is_negative(F.col("tone_score")),
             "is_extreme_tone": text.is_extreme(F.col("tone_score")),
             "conflict_intensity": text.conflict_intensity(F.col("conflict_category_count"), F.col("title")),
         }
-    ).drop("_words")
+    ).drop("_words", "_known")
 
 
 def score_articles(

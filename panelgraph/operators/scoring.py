@@ -63,7 +63,17 @@ def train_classifier(totals: DataFrame, *, seed: int = SPLIT_SEED, trees: int =
         raise ValueError("not enough data to train the model")
     forest = RandomForestClassifier(labelCol=LABEL, featuresCol="features", numTrees=trees, seed=seed)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    return Pipeline(stages=[assembler, forest]).fit(totals.filter("is_train"))
+    fitted = Pipeline(stages=[assembler, forest]).fit(totals.filter("is_train"))
+    # The fitted forest keeps a training summary that holds the session; a copy does not.
+    return fitted.copy()
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 
 
 def accuracy(model: PipelineModel, totals: DataFrame) -> float:

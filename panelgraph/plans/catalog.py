@@ -178,7 +178,7 @@ def dyads_by_supplier(spark, d):
 
 def dyads_strongest(spark, d):
     """Top ten of the tension report."""
-    top = dyads.by_tension(views.pair_table(spark, d).withColumn("composite_tension_index", F.round("composite_tension_index", 6)))
+    top = dyads.by_tension(views.pair_table(spark, d).withColumn("composite_tension_index", F.round("composite_tension_index", 9)))
     return shown(top.limit(10).select("source_country_iso3", "target_country_iso3", "composite_tension_index"))
 
 

@@ -481,7 +481,7 @@ ORACLES: dict[str, str] = {
       s AS (SELECT src, dst, CAST(sum(n) AS BIGINT) AS n, avg(tone) AS tone, sum(con) AS con FROM m GROUP BY 1, 2)
       SELECT {LINK}, 'directed_news' AS relationship_nature, n AS news_article_count, {r('tone', 'news_avg_tone')},
       {r('least(0.5 * greatest(0.0, -tone) + 0.5 * con / n, 1.0)', 'composite_tension_index')} FROM s""",
-    "dyads_strongest": f"WITH {DYADS} SELECT {LINK}, {r('w', 'composite_tension_index')} FROM d ORDER BY round(w, 6) DESC, src, dst LIMIT 10",
+    "dyads_strongest": f"WITH {DYADS} SELECT {LINK}, {r('w', 'composite_tension_index')} FROM d ORDER BY round(w, 9) DESC, src, dst LIMIT 10",
     "dyads_monthly": f"""WITH {SIDED}, {NEWS_MONTHS}, cm AS (SELECT a, b, ym, count(*) AS events, sum(best) AS best FROM pe GROUP BY 1, 2, 3),
       j AS (SELECT coalesce(a, src) AS src, coalesce(b, dst) AS dst, coalesce(cm.ym, nm.ym) AS ym, {nature('events IS NOT NULL', 'n IS NOT NULL')} AS nat, n IS NOT NULL AS is_directed,
         coalesce(events, 0) AS events, coalesce(best, 0.0) AS best, coalesce(n, 0) AS n, tone, coalesce(con, 0) AS con FROM cm FULL JOIN nm ON a = src AND b = dst AND cm.ym = nm.ym),
