@@ -60,10 +60,15 @@ def with_target_country(articles: DataFrame, gazetteer: Sequence[tuple[str, str]
 
 
 def first_articles(articles: DataFrame, order: Column) -> DataFrame:
-    """First copy of each article_id, then the first of each title on one UTC day."""
+    """First copy of each article_id, then the first of each title on one UTC day.
+
+    Titles can be whole texts, so the second key holds the title's SHA-256: sorting and
+    hashing copies costs the same however long they are.
+    """
     ordered = articles.withColumn("_order", order)
     by_id = keep_first(ordered, ["article_id"], F.col("_order"))
-    by_day = keep_first(by_id, [F.to_date("published_at_utc").alias("_day"), "title"], F.col("_order"))
+    same_day = [F.to_date("published_at_utc").alias("_day"), F.sha2("title", 256).alias("_title")]
+    by_day = keep_first(by_id, same_day, F.col("_order"))
     return by_day.drop("_order")
 
 

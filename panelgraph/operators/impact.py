@@ -96,16 +96,21 @@ def check_scenarios(scenarios: DataFrame, nodes: DataFrame, dyads: DataFrame) ->
         flag = known.withColumnRenamed("_node", column).withColumn(f"_known_{column}", F.lit(True))
         checked = checked.join(flag, column, "left")
     low, high = pairs.canonical(F.col("dyad_a"), F.col("dyad_b"))
+    checked = checked.withColumns({"_low": low, "_high": high})
+    # Only edges that some scenario names are looked at further; the scenario side is small,
+    # so the edge table is filtered where it is read.
+    named = checked.select("_low", "_high").distinct()
     edge_low, edge_high = pairs.canonical(F.col(SOURCE), F.col(TARGET))
-    exact = dyads.select(F.col(SOURCE).alias("dyad_a"), F.col(TARGET).alias("dyad_b")).distinct()
-    either = dyads.select(edge_low.alias("_low"), edge_high.alias("_high")).distinct()
-    undirected = dyads.filter(~F.col("is_directed")).select(edge_low.alias("_low"), edge_high.alias("_high")).distinct()
-    checked = (
-        checked.withColumns({"_low": low, "_high": high})
-        .join(exact.withColumn("_exact", F.lit(True)), ["dyad_a", "dyad_b"], "left")
-        .join(either.withColumn("_either", F.lit(True)), ["_low", "_high"], "left")
-        .join(undirected.withColumn("_undirected", F.lit(True)), ["_low", "_high"], "left")
+    met = dyads.select(SOURCE, TARGET, "is_directed", edge_low.alias("_low"), edge_high.alias("_high")).join(
+        named, ["_low", "_high"], "left_semi"
     )
+    edges = met.groupBy("_low", "_high").agg(
+        F.bool_or(F.col(SOURCE) == F.col("_low")).alias("_forward"),
+        F.bool_or(F.col(SOURCE) == F.col("_high")).alias("_backward"),
+        F.bool_or(~F.col("is_directed")).alias("_undirected"),
+        F.lit(True).alias("_either"),
+    )
+    checked = checked.join(edges, ["_low", "_high"], "left")
 
     def holds(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
@@ -121,13 +126,14 @@ def check_scenarios(scenarios: DataFrame, nodes: DataFrame, dyads: DataFrame) ->
         & ~(holds("_known_dyad_a") & holds("_known_dyad_b")),
         "tension change without pair": F.col("tension_delta").isNotNull() & ~has_pair,
         "severance without pair": F.col("sever_dyadic_tie") & ~has_pair,
-        "severance of a missing edge": F.col("sever_dyadic_tie") & has_pair & ~(holds("_exact") | holds("_either")),
+        "severance of a missing edge": F.col("sever_dyadic_tie") & has_pair & ~holds("_either"),
         "negative multiplier": F.col("conflict_news_multiplier") < 0,
         "negative depth": F.col("propagation_depth") < 0,
         "decay outside 0..1": ~F.col("decay_factor").between(0.0, 1.0),
     }
     reasons = F.array_compact(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]))
-    matched = holds("_exact") | holds("_undirected")
+    exact = F.when(F.col("dyad_a") == F.col("_low"), holds("_forward")).otherwise(holds("_backward"))
+    matched = has_pair & (exact | holds("_undirected"))
     return checked.select(*scenarios.columns, reasons.alias("reasons"), matched.alias("edge_matched"))
 
 

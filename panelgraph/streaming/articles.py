@@ -80,4 +80,4 @@ def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def first_of_day(stored: DataFrame) -> DataFrame:
     """Second dedup rule over the stored stream: the first article of each title and UTC day."""
     order = F.struct("published_at_utc", "article_id")
-    return keep_first(stored, [F.to_date("published_at_utc").alias("_day"), "title"], order)
+    return keep_first(stored, [F.to_date("published_at_utc").alias("_day"), F.sha2("title", 256).alias("_title")], order)
