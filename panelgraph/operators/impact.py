@@ -256,21 +256,18 @@ def propagate(scenarios: DataFrame, nodes: DataFrame, dyads: DataFrame, shocked:
 
     The tone shift of each single arrival is capped. Every way shares out its node's shock, so
     a scenario's arrivals at hop h add up to at most |seed| * decay^h: fewer than
-    |seed| / cap arrivals can ever exceed the cap. Those stay single rows; all others at one
-    node are added up, and nothing is lost: the frontier never outgrows nodes plus that few.
+    |seed| / cap arrivals can ever exceed the cap. Those stay single rows. All others are
+    light, and so is everything that comes of them: light arrivals at one node are added up,
+    marked, and never capped. The frontier never outgrows nodes plus that few.
     """
     edges = within(with_edge_defaults(dyads, "composite_tension_index"), nodes)
     ways = cut(adjacency(edges))
-    totals = ways.groupBy("node").agg(F.sum("way_weight").alias("_total"))
+    # Joined to the few frontier nodes of a hop, never to all ways.
+    totals = cut(ways.groupBy("node").agg(F.sum("way_weight").alias("_total")))
     severed = shocked.filter("is_severed").select(SCENARIO, SOURCE, TARGET)
     # Severing takes ways out of a scenario, so its two ends share out less weight there.
-    lost = (
-        ways.join(severed, [SOURCE, TARGET])
-        .groupBy(SCENARIO, "node")
-        .agg(F.sum("way_weight").alias("_lost"), F.count(F.lit(1)).alias("_cut"))
-    )
-    ways = cut(
-        ways.join(totals, "node").select("node", "neighbour", "way_weight", "_total", SOURCE, TARGET)
+    lost = cut(
+        ways.join(severed, [SOURCE, TARGET]).groupBy(SCENARIO, "node").agg(F.sum("way_weight").alias("_lost"))
     )
     seeds = scenarios.withColumn("delta", seed_shock()).filter(
         (F.col("propagation_depth") > 0) & (F.abs(F.col("delta")) > MIN_SEED)
@@ -282,7 +279,7 @@ def propagate(scenarios: DataFrame, nodes: DataFrame, dyads: DataFrame, shocked:
             "delta",
             F.col("decay_factor").alias("decay"),
             F.col("propagation_depth").alias("depth"),
-            F.lit(0).alias("hop"),
+            F.lit(False).alias("light"),
         )
     )
     visited = frontier.select(SCENARIO, "node")
@@ -291,10 +288,11 @@ def propagate(scenarios: DataFrame, nodes: DataFrame, dyads: DataFrame, shocked:
     for hop in range(1, deepest + 1):
         moving = frontier.filter(F.col("depth") >= hop)
         arrivals = (
-            moving.join(ways, "node")
+            moving.join(totals, "node")
+            .join(lost, [SCENARIO, "node"], "left")
+            .join(ways, "node")
             .join(severed.withColumn("_severed", F.lit(True)), [SCENARIO, SOURCE, TARGET], "left")
             .filter(F.col("_severed").isNull())
-            .join(lost, [SCENARIO, "node"], "left")
             .join(
                 visited.select(SCENARIO, F.col("node").alias("neighbour")), [SCENARIO, "neighbour"], "left_anti"
             )
@@ -308,29 +306,34 @@ def propagate(scenarios: DataFrame, nodes: DataFrame, dyads: DataFrame, shocked:
                 (F.col("delta") * F.col("decay") * part).alias("delta"),
                 "decay",
                 "depth",
+                "light",
                 SOURCE,
                 TARGET,
             )
         )
         size = F.abs(F.col("delta"))
-        heavy = size > ARRIVAL_TONE_CAP
+        heavy = ~F.col("light") & (size > ARRIVAL_TONE_CAP)
+        effect = F.when(heavy, F.lit(ARRIVAL_TONE_CAP)).otherwise(size)
         node_parts.append(
             arrived.groupBy(SCENARIO, "node")
-            .agg(F.sum(-F.signum("delta") * F.least(size, F.lit(ARRIVAL_TONE_CAP))).alias("tone_shift"))
+            .agg(F.sum(-F.signum("delta") * effect).alias("tone_shift"))
             .withColumn("hop", F.lit(hop))
         )
         edge_parts.append(arrived.groupBy(SCENARIO, SOURCE, TARGET).agg(F.sum("delta").alias("tension_shift")))
+        if hop == deepest:
+            break
         # Light arrivals at a node merge into one row, heavy ones keep their own (by edge).
         own = F.when(heavy, F.monotonically_increasing_id()).otherwise(F.lit(-1))
         frontier = cut(
             arrived.withColumn("_own", own)
             .groupBy(SCENARIO, "node", "_own")
             .agg(F.sum("delta").alias("delta"), F.first("decay").alias("decay"), F.first("depth").alias("depth"))
+            .withColumn("light", F.col("_own") < 0)
             .drop("_own")
         )
-        visited = visited.unionByName(arrived.select(SCENARIO, "node").distinct())
         if frontier.isEmpty():
             break
+        visited = visited.unionByName(arrived.select(SCENARIO, "node").distinct())
     return _stack(node_parts, scenarios, "node string, tone_shift double, hop int"), _stack(
         edge_parts, scenarios, f"{SOURCE} string, {TARGET} string, tension_shift double"
     )

@@ -184,6 +184,23 @@ def test_what_if_equals_brute_force(table, base):
     assert countries["down", "CCC"].counterfactual_tone == 1.0
 
 
+def test_merged_light_arrivals_are_not_capped(table):
+    """Two arrivals of 0.4 meet at DDD; together they exceed the cap, each alone does not."""
+    way = lambda a, b: (a, b, True, "directed_news", False, 0, 0.0, 0, None, 0.5)
+    edges = [way("AAA", "BBB"), way("AAA", "CCC"), way("BBB", "DDD"), way("CCC", "DDD"), way("DDD", "EEE"), way("EEE", "FFF")]
+    rows = [scenario("light", "AAA", tone=-1.6, depth=4, decay=1.0), scenario("heavy", "AAA", tone=-4.0, depth=4, decay=1.0)]
+    valid, dyads = impact.with_scenario_defaults(table(rows, SCEN_DDL)), table(edges, DYADS)
+    arrived, _ = impact.propagate(valid, table([(n,) for n in NODES], "country_iso3 string"), dyads, impact.shocked_edges(valid, dyads))
+    got = {(r.scenario_id, r.node): r.tone_shift for r in arrived.collect()}
+    assert got["light", "BBB"] == pytest.approx(-0.4) and got["light", "DDD"] == pytest.approx(-0.8)
+    assert got["light", "EEE"] == pytest.approx(-0.8) and got["light", "FFF"] == pytest.approx(-0.8)
+    assert got["heavy", "BBB"] == pytest.approx(-0.4) and got["heavy", "FFF"] == pytest.approx(-0.8)
+    for s in rows:
+        tone = brute_force(s, edges)[0]
+        for n in NODES[1:]:
+            assert max(-1.0, got[s[0], n]) == pytest.approx(tone[n])
+
+
 def test_propagation_on_random_graphs(table):
     """Parallel ways, zero weights, strong seeds, depth up to four."""
     rng = random.Random(2)
