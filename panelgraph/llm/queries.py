@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality
+from . import chat, mixing, packing, quality, simhash, token_counts, token_files
 from .tables import Tables
 
 
@@ -33,18 +34,41 @@ def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.read_documents(token_files.write_tokens(docs, tokenizer, 2, Tables(spark, "tokens")))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(_read(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"),
     )
 
 
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
 }
