@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, simhash, token_counts, token_files
+from . import chat, licenses, mixing, packing, personal, quality, simhash, sketches, token_counts, token_files
 from .tables import Tables
 
 
@@ -44,6 +44,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.against_next(_read(spark, folder, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,12 +67,29 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_read(spark, folder, "documents"))
+
+
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.detect(_read(spark, folder, "documents"))
+    base = {k: F.col(k) for k in personal.KINDS}
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in personal.KINDS],
+        F.sha2(personal.labelled(base), 256).alias("base_sha256"),
+        personal.labelled(base | {personal.TERM_KIND: F.col(personal.TERM_KIND)}).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_license_scans": op9_license_scans,
+    "op10_personal_data": op10_personal_data,
 }

@@ -1,6 +1,6 @@
 """DuckDB counterparts of the registered queries, where SQL can express them."""
 
-_CLEAN_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+from .licenses import TEMPLATES
 
 #: formatted_chars: 12 for <|im_start|>, 1 line break, 11 for <|im_end|> and its line break; one more
 #: for every escaped lead.
@@ -58,4 +58,19 @@ select doc_id, size, source_size, target,
 from placed
 """
 
-ORACLES = {"op1_chat_formatting": OP1, "op3_mixing": OP3}
+def _license_sql() -> str:
+    """Exact containment of every template, without the windows."""
+    rows = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in TEMPLATES.items())
+    words = "string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    shingles = "list_distinct(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' ')))"
+    return f"""
+with templates as (select license, {shingles} as own from (select license, {words} as ws from (values {rows}) t(license, text))),
+texts as (select doc_id, {shingles} as had from (select doc_id, {words} as ws from documents)),
+met as (
+  select doc_id, license, len(own)::BIGINT as n_shingles, len(list_intersect(own, had))::BIGINT as n_shared from texts, templates
+)
+select *, n_shared / n_shingles as containment from met where n_shared >= 0.8 * n_shingles
+"""
+
+
+ORACLES = {"op1_chat_formatting": OP1, "op3_mixing": OP3, "op9_license_scans": _license_sql()}
