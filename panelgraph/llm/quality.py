@@ -29,7 +29,7 @@ RULES: dict[str, tuple[str, str]] = {
 FIRST_GOOD = 0.8
 FIRST_RATES = {"good": {-1: 0.05, 0: 0.25, 1: 0.70}, "bad": {-1: 0.30, 0: 0.30, 1: 0.40}}
 #: Pseudo-documents behind the first guess, and when to stop.
-PSEUDO, MOST_STEPS, TOLERANCE = 20.0, 40, 1e-4
+PSEUDO, MOST_STEPS, TOLERANCE = 2.0, 40, 1e-4
 KEEP_FROM = 0.5
 
 
