@@ -7,189 +7,203 @@ its table as a parameter and uses the one here only as the default.
 from __future__ import annotations
 
 
-def code_rows(text: str) -> list[tuple[str, str]]:
-    """``"615 DZA, 616 TUN"`` -> ``[("615", "DZA"), ("616", "TUN")]``: the last word is the code."""
-    items = [item.strip() for line in text.splitlines() for item in line.split(",")]
-    return [tuple(item.rsplit(" ", 1)) for item in items if item]
-
-
-def keyword_rows(text: str) -> dict[str, list[str]]:
-    """``"name: a, b"`` lines -> ``{"name": ["a", "b"]}``; order is kept, it decides ties."""
-    out: dict[str, list[str]] = {}
-    for line in text.strip().splitlines():
-        name, words = line.split(":", 1)
-        out[name.strip()] = [w.strip() for w in words.split(",") if w.strip()]
-    return out
-
-
-def valence_rows(text: str) -> dict[str, float]:
-    """``"war -0.8, peace 0.8"`` -> ``{"war": -0.8, "peace": 0.8}``."""
-    return {word: float(value) for word, value in code_rows(text)}
-
-
-# --- Fixed values: state codes (integer state number, ISO 3166-1 alpha-3 code). ---
-STATE_CODES = code_rows("""
-2 USA, 20 CAN, 40 CUB, 41 HTI, 42 DOM, 51 JAM, 52 TTO, 70 MEX, 90 GTM, 91 HND, 92 SLV
-93 NIC, 94 CRI, 95 PAN, 100 COL, 101 VEN, 110 GUY, 115 SUR, 130 ECU, 135 PER, 140 BRA
-145 BOL, 150 PRY, 155 CHL, 160 ARG, 165 URY, 200 GBR, 205 IRL, 210 NLD, 211 BEL, 212 LUX
-220 FRA, 225 CHE, 230 ESP, 235 PRT, 260 DEU, 290 POL, 305 AUT, 310 HUN, 315 CZE, 316 CZE
-317 SVK, 325 ITA, 338 MLT, 339 ALB, 341 MNE, 343 MKD, 344 HRV, 345 SRB, 346 BIH, 347 KOS
-349 SVN, 350 GRC, 352 CYP, 355 BGR, 359 MDA, 360 ROU, 365 RUS, 366 EST, 367 LVA, 368 LTU
-369 UKR, 370 BLR, 371 ARM, 372 GEO, 373 AZE, 375 FIN, 380 SWE, 385 NOR, 390 DNK, 395 ISL
-402 CPV, 404 GNB, 411 GNQ, 420 GMB, 432 MLI, 433 SEN, 434 BEN, 435 MRT, 436 NER, 437 CIV
-438 GIN, 439 BFA, 450 LBR, 451 SLE, 452 GHA, 461 TGO, 471 CMR, 475 NGA, 481 GAB, 482 CAF
-483 TCD, 484 COG, 490 COD, 500 UGA, 501 KEN, 510 TZA, 516 BDI, 517 RWA, 520 SOM, 522 SOM
-530 ETH, 531 ERI, 540 AGO, 541 MOZ, 551 ZMB, 552 ZWE, 553 MWI, 560 ZAF, 565 NAM, 570 LSO
-571 BWA, 572 SWZ, 580 MDG, 581 COM, 590 MUS, 600 MAR, 615 DZA, 616 TUN, 620 LBY, 625 SDN
-626 SSD, 630 IRN, 640 TUR, 645 IRQ, 651 EGY, 652 SYR, 660 LBN, 663 JOR, 666 ISR, 670 SAU
-678 YEM, 680 YEM, 690 KWT, 692 BHR, 694 QAT, 696 ARE, 698 OMN, 700 AFG, 701 TKM, 702 TJK
-703 KGZ, 704 UZB, 705 KAZ, 710 CHN, 712 MNG, 713 TWN, 731 PRK, 732 KOR, 740 JPN, 750 IND
-760 BTN, 770 PAK, 771 BGD, 775 MMR, 780 LKA, 781 MDV, 790 NPL, 800 THA, 811 KHM, 812 LAO
-816 VNM, 820 MYS, 830 SGP, 835 BRN, 840 PHL, 850 IDN, 860 TLS, 900 AUS, 910 PNG, 920 NZL
-940 SLB, 950 FJI
-""")
+# --- Fixed values: state number -> ISO 3166-1 alpha-3 code. ---
+STATE_CODES = {
+    2: "USA", 20: "CAN", 40: "CUB", 41: "HTI", 42: "DOM", 51: "JAM", 52: "TTO", 70: "MEX", 90: "GTM", 91: "HND",
+    92: "SLV", 93: "NIC", 94: "CRI", 95: "PAN", 100: "COL", 101: "VEN", 110: "GUY", 115: "SUR", 130: "ECU",
+    135: "PER", 140: "BRA", 145: "BOL", 150: "PRY", 155: "CHL", 160: "ARG", 165: "URY", 200: "GBR", 205: "IRL",
+    210: "NLD", 211: "BEL", 212: "LUX", 220: "FRA", 225: "CHE", 230: "ESP", 235: "PRT", 260: "DEU", 290: "POL",
+    305: "AUT", 310: "HUN", 315: "CZE", 316: "CZE", 317: "SVK", 325: "ITA", 338: "MLT", 339: "ALB", 341: "MNE",
+    343: "MKD", 344: "HRV", 345: "SRB", 346: "BIH", 347: "KOS", 349: "SVN", 350: "GRC", 352: "CYP", 355: "BGR",
+    359: "MDA", 360: "ROU", 365: "RUS", 366: "EST", 367: "LVA", 368: "LTU", 369: "UKR", 370: "BLR", 371: "ARM",
+    372: "GEO", 373: "AZE", 375: "FIN", 380: "SWE", 385: "NOR", 390: "DNK", 395: "ISL", 402: "CPV", 404: "GNB",
+    411: "GNQ", 420: "GMB", 432: "MLI", 433: "SEN", 434: "BEN", 435: "MRT", 436: "NER", 437: "CIV", 438: "GIN",
+    439: "BFA", 450: "LBR", 451: "SLE", 452: "GHA", 461: "TGO", 471: "CMR", 475: "NGA", 481: "GAB", 482: "CAF",
+    483: "TCD", 484: "COG", 490: "COD", 500: "UGA", 501: "KEN", 510: "TZA", 516: "BDI", 517: "RWA", 520: "SOM",
+    522: "SOM", 530: "ETH", 531: "ERI", 540: "AGO", 541: "MOZ", 551: "ZMB", 552: "ZWE", 553: "MWI", 560: "ZAF",
+    565: "NAM", 570: "LSO", 571: "BWA", 572: "SWZ", 580: "MDG", 581: "COM", 590: "MUS", 600: "MAR", 615: "DZA",
+    616: "TUN", 620: "LBY", 625: "SDN", 626: "SSD", 630: "IRN", 640: "TUR", 645: "IRQ", 651: "EGY", 652: "SYR",
+    660: "LBN", 663: "JOR", 666: "ISR", 670: "SAU", 678: "YEM", 680: "YEM", 690: "KWT", 692: "BHR", 694: "QAT",
+    696: "ARE", 698: "OMN", 700: "AFG", 701: "TKM", 702: "TJK", 703: "KGZ", 704: "UZB", 705: "KAZ", 710: "CHN",
+    712: "MNG", 713: "TWN", 731: "PRK", 732: "KOR", 740: "JPN", 750: "IND", 760: "BTN", 770: "PAK", 771: "BGD",
+    775: "MMR", 780: "LKA", 781: "MDV", 790: "NPL", 800: "THA", 811: "KHM", 812: "LAO", 816: "VNM", 820: "MYS",
+    830: "SGP", 835: "BRN", 840: "PHL", 850: "IDN", 860: "TLS", 900: "AUS", 910: "PNG", 920: "NZL", 940: "SLB",
+    950: "FJI",
+}
 
 # --- Fixed values: country name as written in event records -> code. ---
-EVENT_COUNTRY_NAMES = code_rows("""
-Afghanistan AFG, Algeria DZA, Angola AGO, Azerbaijan AZE, Bangladesh BGD, Burundi BDI
-Cambodia KHM, Cameroon CMR, Central African Republic CAF, Chad TCD, Colombia COL, Congo COG
-DR Congo (Zaire) COD, Democratic Republic of Congo COD, Djibouti DJI, Egypt EGY, Eritrea ERI
-Ethiopia ETH, Georgia GEO, Ghana GHA, Guatemala GTM, Guinea GIN, Guinea-Bissau GNB, Haiti HTI
-India IND, Indonesia IDN, Iran IRN, Iraq IRQ, Israel ISR, Ivory Coast CIV, Jamaica JAM
-Kenya KEN, Lebanon LBN, Liberia LBR, Libya LBY, Mali MLI, Malta MLT, Mauritania MRT
-Mexico MEX, Mozambique MOZ, Myanmar (Burma) MMR, Nepal NPL, Nicaragua NIC, Niger NER
-Nigeria NGA, Pakistan PAK, Papua New Guinea PNG, Peru PER, Philippines PHL
-Russia (Soviet Union) RUS, Rwanda RWA, Senegal SEN, Sierra Leone SLE, Somalia SOM
-South Africa ZAF, South Sudan SSD, Sri Lanka LKA, Sudan SDN, Syria SYR, Tajikistan TJK
-Thailand THA, Trinidad and Tobago TTO, Turkey TUR, Uganda UGA, Ukraine UKR
-United States USA, Venezuela VEN, Yemen (North Yemen) YEM, Zimbabwe ZWE
-""")
+EVENT_COUNTRY_NAMES = [
+    ("Afghanistan", "AFG"), ("Algeria", "DZA"), ("Angola", "AGO"), ("Azerbaijan", "AZE"), ("Bangladesh", "BGD"),
+    ("Burundi", "BDI"), ("Cambodia", "KHM"), ("Cameroon", "CMR"), ("Central African Republic", "CAF"),
+    ("Chad", "TCD"), ("Colombia", "COL"), ("Congo", "COG"), ("DR Congo (Zaire)", "COD"),
+    ("Democratic Republic of Congo", "COD"), ("Djibouti", "DJI"), ("Egypt", "EGY"), ("Eritrea", "ERI"),
+    ("Ethiopia", "ETH"), ("Georgia", "GEO"), ("Ghana", "GHA"), ("Guatemala", "GTM"), ("Guinea", "GIN"),
+    ("Guinea-Bissau", "GNB"), ("Haiti", "HTI"), ("India", "IND"), ("Indonesia", "IDN"), ("Iran", "IRN"),
+    ("Iraq", "IRQ"), ("Israel", "ISR"), ("Ivory Coast", "CIV"), ("Jamaica", "JAM"), ("Kenya", "KEN"),
+    ("Lebanon", "LBN"), ("Liberia", "LBR"), ("Libya", "LBY"), ("Mali", "MLI"), ("Malta", "MLT"),
+    ("Mauritania", "MRT"), ("Mexico", "MEX"), ("Mozambique", "MOZ"), ("Myanmar (Burma)", "MMR"),
+    ("Nepal", "NPL"), ("Nicaragua", "NIC"), ("Niger", "NER"), ("Nigeria", "NGA"), ("Pakistan", "PAK"),
+    ("Papua New Guinea", "PNG"), ("Peru", "PER"), ("Philippines", "PHL"), ("Russia (Soviet Union)", "RUS"),
+    ("Rwanda", "RWA"), ("Senegal", "SEN"), ("Sierra Leone", "SLE"), ("Somalia", "SOM"), ("South Africa", "ZAF"),
+    ("South Sudan", "SSD"), ("Sri Lanka", "LKA"), ("Sudan", "SDN"), ("Syria", "SYR"), ("Tajikistan", "TJK"),
+    ("Thailand", "THA"), ("Trinidad and Tobago", "TTO"), ("Turkey", "TUR"), ("Uganda", "UGA"),
+    ("Ukraine", "UKR"), ("United States", "USA"), ("Venezuela", "VEN"), ("Yemen (North Yemen)", "YEM"),
+    ("Zimbabwe", "ZWE"),
+]
 
 # --- Fixed values: X in "Government of X" -> code. ---
-GOVERNMENT_NAMES = code_rows("""
-Afghanistan AFG, Algeria DZA, Angola AGO, Australia AUS, Azerbaijan AZE, Bahrain BHR
-Bangladesh BGD, Benin BEN, Bosnia-Herzegovina BIH, Brazil BRA, Burkina Faso BFA, Burundi BDI
-Cambodia (Kampuchea) KHM, Cambodia KHM, Cameroon CMR, Central African Republic CAF, Chad TCD
-China CHN, Colombia COL, Comoros COM, Congo COG, Croatia HRV, DR Congo (Zaire) COD
-Democratic Republic of Congo COD, Djibouti DJI, Ecuador ECU, Egypt EGY, El Salvador SLV
-Eritrea ERI, Ethiopia ETH, Gambia GMB, Georgia GEO, Ghana GHA, Guatemala GTM, Guinea GIN
-Guinea-Bissau GNB, Haiti HTI, India IND, Indonesia IDN, Iran IRN, Iraq IRQ, Israel ISR
-Ivory Coast CIV, Jamaica JAM, Jordan JOR, Kenya KEN, Kuwait KWT, Kyrgyzstan KGZ, Laos LAO
-Lebanon LBN, Lesotho LSO, Liberia LBR, Libya LBY, Madagascar MDG, Malaysia MYS, Mali MLI
-Malta MLT, Mauritania MRT, Mexico MEX, Moldova MDA, Morocco MAR, Mozambique MOZ
-Myanmar (Burma) MMR, Nepal NPL, Nicaragua NIC, Niger NER, Nigeria NGA, North Macedonia MKD
-Pakistan PAK, Panama PAN, Papua New Guinea PNG, Paraguay PRY, Peru PER, Philippines PHL
-Romania ROU, Russia (Soviet Union) RUS, Rwanda RWA, Senegal SEN, Serbia (Yugoslavia) SRB
-Sierra Leone SLE, Somalia SOM, South Africa ZAF, South Sudan SSD, Spain ESP, Sri Lanka LKA
-Sudan SDN, Syria SYR, Tajikistan TJK, Tanzania TZA, Thailand THA, Togo TGO
-Trinidad and Tobago TTO, Tunisia TUN, Turkey TUR, Uganda UGA, Ukraine UKR, United Kingdom GBR
-United States USA, United States of America USA, Uzbekistan UZB, Venezuela VEN
-Yemen (North Yemen) YEM, Zimbabwe ZWE, Zimbabwe (Rhodesia) ZWE, eSwatini (Swaziland) SWZ
-""")
+GOVERNMENT_NAMES = [
+    ("Afghanistan", "AFG"), ("Algeria", "DZA"), ("Angola", "AGO"), ("Australia", "AUS"), ("Azerbaijan", "AZE"),
+    ("Bahrain", "BHR"), ("Bangladesh", "BGD"), ("Benin", "BEN"), ("Bosnia-Herzegovina", "BIH"),
+    ("Brazil", "BRA"), ("Burkina Faso", "BFA"), ("Burundi", "BDI"), ("Cambodia (Kampuchea)", "KHM"),
+    ("Cambodia", "KHM"), ("Cameroon", "CMR"), ("Central African Republic", "CAF"), ("Chad", "TCD"),
+    ("China", "CHN"), ("Colombia", "COL"), ("Comoros", "COM"), ("Congo", "COG"), ("Croatia", "HRV"),
+    ("DR Congo (Zaire)", "COD"), ("Democratic Republic of Congo", "COD"), ("Djibouti", "DJI"),
+    ("Ecuador", "ECU"), ("Egypt", "EGY"), ("El Salvador", "SLV"), ("Eritrea", "ERI"), ("Ethiopia", "ETH"),
+    ("Gambia", "GMB"), ("Georgia", "GEO"), ("Ghana", "GHA"), ("Guatemala", "GTM"), ("Guinea", "GIN"),
+    ("Guinea-Bissau", "GNB"), ("Haiti", "HTI"), ("India", "IND"), ("Indonesia", "IDN"), ("Iran", "IRN"),
+    ("Iraq", "IRQ"), ("Israel", "ISR"), ("Ivory Coast", "CIV"), ("Jamaica", "JAM"), ("Jordan", "JOR"),
+    ("Kenya", "KEN"), ("Kuwait", "KWT"), ("Kyrgyzstan", "KGZ"), ("Laos", "LAO"), ("Lebanon", "LBN"),
+    ("Lesotho", "LSO"), ("Liberia", "LBR"), ("Libya", "LBY"), ("Madagascar", "MDG"), ("Malaysia", "MYS"),
+    ("Mali", "MLI"), ("Malta", "MLT"), ("Mauritania", "MRT"), ("Mexico", "MEX"), ("Moldova", "MDA"),
+    ("Morocco", "MAR"), ("Mozambique", "MOZ"), ("Myanmar (Burma)", "MMR"), ("Nepal", "NPL"),
+    ("Nicaragua", "NIC"), ("Niger", "NER"), ("Nigeria", "NGA"), ("North Macedonia", "MKD"), ("Pakistan", "PAK"),
+    ("Panama", "PAN"), ("Papua New Guinea", "PNG"), ("Paraguay", "PRY"), ("Peru", "PER"),
+    ("Philippines", "PHL"), ("Romania", "ROU"), ("Russia (Soviet Union)", "RUS"), ("Rwanda", "RWA"),
+    ("Senegal", "SEN"), ("Serbia (Yugoslavia)", "SRB"), ("Sierra Leone", "SLE"), ("Somalia", "SOM"),
+    ("South Africa", "ZAF"), ("South Sudan", "SSD"), ("Spain", "ESP"), ("Sri Lanka", "LKA"), ("Sudan", "SDN"),
+    ("Syria", "SYR"), ("Tajikistan", "TJK"), ("Tanzania", "TZA"), ("Thailand", "THA"), ("Togo", "TGO"),
+    ("Trinidad and Tobago", "TTO"), ("Tunisia", "TUN"), ("Turkey", "TUR"), ("Uganda", "UGA"),
+    ("Ukraine", "UKR"), ("United Kingdom", "GBR"), ("United States", "USA"),
+    ("United States of America", "USA"), ("Uzbekistan", "UZB"), ("Venezuela", "VEN"),
+    ("Yemen (North Yemen)", "YEM"), ("Zimbabwe", "ZWE"), ("Zimbabwe (Rhodesia)", "ZWE"),
+    ("eSwatini (Swaziland)", "SWZ"),
+]
 
-# --- Fixed values: display name <- code. ---
-DISPLAY_NAMES = code_rows("""
-Afghanistan AFG, Angola AGO, Albania ALB, United Arab Emirates ARE, Argentina ARG, Armenia ARM
-Australia AUS, Austria AUT, Azerbaijan AZE, Burundi BDI, Belgium BEL, Benin BEN
-Burkina Faso BFA, Bangladesh BGD, Bahrain BHR, Bosnia and Herzegovina BIH, Belarus BLR
-Bolivia BOL, Brazil BRA, Brunei BRN, Bhutan BTN, Botswana BWA, Central African Republic CAF
-Canada CAN, Switzerland CHE, Chile CHL, China CHN, Ivory Coast CIV, Cameroon CMR
-Democratic Republic of the Congo COD, Republic of the Congo COG, Colombia COL, Comoros COM
-Cape Verde CPV, Costa Rica CRI, Cuba CUB, Cyprus CYP, Czech Republic CZE, Germany DEU
-Djibouti DJI, Denmark DNK, Dominican Republic DOM, Algeria DZA, Ecuador ECU, Egypt EGY
-Eritrea ERI, Spain ESP, Estonia EST, Ethiopia ETH, Finland FIN, Fiji FJI, France FRA
-Gabon GAB, United Kingdom GBR, Georgia GEO, Ghana GHA, Guinea GIN, Gambia GMB
-Guinea-Bissau GNB, Equatorial Guinea GNQ, Greece GRC, Guatemala GTM, Guyana GUY, Honduras HND
-Croatia HRV, Haiti HTI, Hungary HUN, Indonesia IDN, India IND, Ireland IRL, Iran IRN, Iraq IRQ
-Iceland ISL, Israel ISR, Italy ITA, Jamaica JAM, Jordan JOR, Japan JPN, Kazakhstan KAZ
-Kenya KEN, Kyrgyzstan KGZ, Cambodia KHM, South Korea KOR, Kosovo KOS, Kuwait KWT, Laos LAO
-Lebanon LBN, Liberia LBR, Libya LBY, Sri Lanka LKA, Lesotho LSO, Lithuania LTU, Luxembourg LUX
-Latvia LVA, Morocco MAR, Moldova MDA, Madagascar MDG, Maldives MDV, Mexico MEX
-North Macedonia MKD, Mali MLI, Malta MLT, Myanmar MMR, Montenegro MNE, Mongolia MNG
-Mozambique MOZ, Mauritania MRT, Mauritius MUS, Malawi MWI, Malaysia MYS, Namibia NAM
-Niger NER, Nigeria NGA, Nicaragua NIC, Netherlands NLD, Norway NOR, Nepal NPL, New Zealand NZL
-Oman OMN, Pakistan PAK, Panama PAN, Peru PER, Philippines PHL, Papua New Guinea PNG
-Poland POL, North Korea PRK, Portugal PRT, Paraguay PRY, Qatar QAT, Romania ROU, Russia RUS
-Rwanda RWA, Saudi Arabia SAU, Sudan SDN, Senegal SEN, Singapore SGP, Solomon Islands SLB
-Sierra Leone SLE, El Salvador SLV, Somalia SOM, Serbia SRB, South Sudan SSD, Suriname SUR
-Slovakia SVK, Slovenia SVN, Sweden SWE, Eswatini SWZ, Syria SYR, Chad TCD, Togo TGO
-Thailand THA, Tajikistan TJK, Turkmenistan TKM, Timor-Leste TLS, Trinidad and Tobago TTO
-Tunisia TUN, Turkey TUR, Taiwan TWN, Tanzania TZA, Uganda UGA, Ukraine UKR, United States USA
-Uruguay URY, Uzbekistan UZB, Venezuela VEN, Vietnam VNM, Yemen YEM, South Africa ZAF
-Zambia ZMB, Zimbabwe ZWE
-""")
+# --- Fixed values: code -> display name. ---
+DISPLAY_NAMES = {
+    "AFG": "Afghanistan", "AGO": "Angola", "ALB": "Albania", "ARE": "United Arab Emirates", "ARG": "Argentina",
+    "ARM": "Armenia", "AUS": "Australia", "AUT": "Austria", "AZE": "Azerbaijan", "BDI": "Burundi",
+    "BEL": "Belgium", "BEN": "Benin", "BFA": "Burkina Faso", "BGD": "Bangladesh", "BHR": "Bahrain",
+    "BIH": "Bosnia and Herzegovina", "BLR": "Belarus", "BOL": "Bolivia", "BRA": "Brazil", "BRN": "Brunei",
+    "BTN": "Bhutan", "BWA": "Botswana", "CAF": "Central African Republic", "CAN": "Canada",
+    "CHE": "Switzerland", "CHL": "Chile", "CHN": "China", "CIV": "Ivory Coast", "CMR": "Cameroon",
+    "COD": "Democratic Republic of the Congo", "COG": "Republic of the Congo", "COL": "Colombia",
+    "COM": "Comoros", "CPV": "Cape Verde", "CRI": "Costa Rica", "CUB": "Cuba", "CYP": "Cyprus",
+    "CZE": "Czech Republic", "DEU": "Germany", "DJI": "Djibouti", "DNK": "Denmark", "DOM": "Dominican Republic",
+    "DZA": "Algeria", "ECU": "Ecuador", "EGY": "Egypt", "ERI": "Eritrea", "ESP": "Spain", "EST": "Estonia",
+    "ETH": "Ethiopia", "FIN": "Finland", "FJI": "Fiji", "FRA": "France", "GAB": "Gabon",
+    "GBR": "United Kingdom", "GEO": "Georgia", "GHA": "Ghana", "GIN": "Guinea", "GMB": "Gambia",
+    "GNB": "Guinea-Bissau", "GNQ": "Equatorial Guinea", "GRC": "Greece", "GTM": "Guatemala", "GUY": "Guyana",
+    "HND": "Honduras", "HRV": "Croatia", "HTI": "Haiti", "HUN": "Hungary", "IDN": "Indonesia", "IND": "India",
+    "IRL": "Ireland", "IRN": "Iran", "IRQ": "Iraq", "ISL": "Iceland", "ISR": "Israel", "ITA": "Italy",
+    "JAM": "Jamaica", "JOR": "Jordan", "JPN": "Japan", "KAZ": "Kazakhstan", "KEN": "Kenya", "KGZ": "Kyrgyzstan",
+    "KHM": "Cambodia", "KOR": "South Korea", "KOS": "Kosovo", "KWT": "Kuwait", "LAO": "Laos", "LBN": "Lebanon",
+    "LBR": "Liberia", "LBY": "Libya", "LKA": "Sri Lanka", "LSO": "Lesotho", "LTU": "Lithuania",
+    "LUX": "Luxembourg", "LVA": "Latvia", "MAR": "Morocco", "MDA": "Moldova", "MDG": "Madagascar",
+    "MDV": "Maldives", "MEX": "Mexico", "MKD": "North Macedonia", "MLI": "Mali", "MLT": "Malta",
+    "MMR": "Myanmar", "MNE": "Montenegro", "MNG": "Mongolia", "MOZ": "Mozambique", "MRT": "Mauritania",
+    "MUS": "Mauritius", "MWI": "Malawi", "MYS": "Malaysia", "NAM": "Namibia", "NER": "Niger", "NGA": "Nigeria",
+    "NIC": "Nicaragua", "NLD": "Netherlands", "NOR": "Norway", "NPL": "Nepal", "NZL": "New Zealand",
+    "OMN": "Oman", "PAK": "Pakistan", "PAN": "Panama", "PER": "Peru", "PHL": "Philippines",
+    "PNG": "Papua New Guinea", "POL": "Poland", "PRK": "North Korea", "PRT": "Portugal", "PRY": "Paraguay",
+    "QAT": "Qatar", "ROU": "Romania", "RUS": "Russia", "RWA": "Rwanda", "SAU": "Saudi Arabia", "SDN": "Sudan",
+    "SEN": "Senegal", "SGP": "Singapore", "SLB": "Solomon Islands", "SLE": "Sierra Leone", "SLV": "El Salvador",
+    "SOM": "Somalia", "SRB": "Serbia", "SSD": "South Sudan", "SUR": "Suriname", "SVK": "Slovakia",
+    "SVN": "Slovenia", "SWE": "Sweden", "SWZ": "Eswatini", "SYR": "Syria", "TCD": "Chad", "TGO": "Togo",
+    "THA": "Thailand", "TJK": "Tajikistan", "TKM": "Turkmenistan", "TLS": "Timor-Leste",
+    "TTO": "Trinidad and Tobago", "TUN": "Tunisia", "TUR": "Turkey", "TWN": "Taiwan", "TZA": "Tanzania",
+    "UGA": "Uganda", "UKR": "Ukraine", "USA": "United States", "URY": "Uruguay", "UZB": "Uzbekistan",
+    "VEN": "Venezuela", "VNM": "Vietnam", "YEM": "Yemen", "ZAF": "South Africa", "ZMB": "Zambia",
+    "ZWE": "Zimbabwe",
+}
 
 # --- Fixed values: headline gazetteer, term -> code. Phrases (with a space) are tried first,
 # --- in this order; the order also decides ties between single words.
-GAZETTEER = code_rows("""
-ukraine UKR, ukrainian UKR, kyiv UKR, kiev UKR
-russia RUS, russian RUS, moscow RUS, kremlin RUS
-sudan SDN, sudanese SDN, khartoum SDN, darfur SDN
-south sudan SSD, juba SSD
-israel ISR, israeli ISR, jerusalem ISR, tel aviv ISR
-palestine PSE, palestinian PSE, gaza PSE, west bank PSE
-syria SYR, syrian SYR, damascus SYR, aleppo SYR
-yemen YEM, yemeni YEM, sanaa YEM, houthi YEM
-lebanon LBN, lebanese LBN, beirut LBN, hezbollah LBN
-iran IRN, iranian IRN, tehran IRN
-iraq IRQ, iraqi IRQ, baghdad IRQ
-somalia SOM, somali SOM, mogadishu SOM, al-shabaab SOM
-congo COD, drc COD, kinshasa COD
-nigeria NGA, nigerian NGA, abuja NGA, boko haram NGA
-mali MLI, malian MLI, bamako MLI
-burkina faso BFA, ouagadougou BFA
-niger NER, niamey NER
-ethiopia ETH, ethiopian ETH, addis ababa ETH, tigray ETH
-afghanistan AFG, afghan AFG, kabul AFG, taliban AFG
-pakistan PAK, pakistani PAK, islamabad PAK
-india IND, indian IND, new delhi IND, kashmir IND
-china CHN, chinese CHN, beijing CHN
-taiwan TWN, taiwanese TWN, taipei TWN
-myanmar MMR, burma MMR, burmese MMR, yangon MMR, naypyidaw MMR
-colombia COL, colombian COL, bogota COL
-mexico MEX, mexican MEX, mexico city MEX
-haiti HTI, haitian HTI, port-au-prince HTI
-armenia ARM, armenian ARM, yerevan ARM
-azerbaijan AZE, azerbaijani AZE, baku AZE, nagorno-karabakh AZE
-united states USA, us USA, american USA, washington USA, pentagon USA
-""")
+GAZETTEER = [
+    ("ukraine", "UKR"), ("ukrainian", "UKR"), ("kyiv", "UKR"), ("kiev", "UKR"), ("russia", "RUS"),
+    ("russian", "RUS"), ("moscow", "RUS"), ("kremlin", "RUS"), ("sudan", "SDN"), ("sudanese", "SDN"),
+    ("khartoum", "SDN"), ("darfur", "SDN"), ("south sudan", "SSD"), ("juba", "SSD"), ("israel", "ISR"),
+    ("israeli", "ISR"), ("jerusalem", "ISR"), ("tel aviv", "ISR"), ("palestine", "PSE"), ("palestinian", "PSE"),
+    ("gaza", "PSE"), ("west bank", "PSE"), ("syria", "SYR"), ("syrian", "SYR"), ("damascus", "SYR"),
+    ("aleppo", "SYR"), ("yemen", "YEM"), ("yemeni", "YEM"), ("sanaa", "YEM"), ("houthi", "YEM"),
+    ("lebanon", "LBN"), ("lebanese", "LBN"), ("beirut", "LBN"), ("hezbollah", "LBN"), ("iran", "IRN"),
+    ("iranian", "IRN"), ("tehran", "IRN"), ("iraq", "IRQ"), ("iraqi", "IRQ"), ("baghdad", "IRQ"),
+    ("somalia", "SOM"), ("somali", "SOM"), ("mogadishu", "SOM"), ("al-shabaab", "SOM"), ("congo", "COD"),
+    ("drc", "COD"), ("kinshasa", "COD"), ("nigeria", "NGA"), ("nigerian", "NGA"), ("abuja", "NGA"),
+    ("boko haram", "NGA"), ("mali", "MLI"), ("malian", "MLI"), ("bamako", "MLI"), ("burkina faso", "BFA"),
+    ("ouagadougou", "BFA"), ("niger", "NER"), ("niamey", "NER"), ("ethiopia", "ETH"), ("ethiopian", "ETH"),
+    ("addis ababa", "ETH"), ("tigray", "ETH"), ("afghanistan", "AFG"), ("afghan", "AFG"), ("kabul", "AFG"),
+    ("taliban", "AFG"), ("pakistan", "PAK"), ("pakistani", "PAK"), ("islamabad", "PAK"), ("india", "IND"),
+    ("indian", "IND"), ("new delhi", "IND"), ("kashmir", "IND"), ("china", "CHN"), ("chinese", "CHN"),
+    ("beijing", "CHN"), ("taiwan", "TWN"), ("taiwanese", "TWN"), ("taipei", "TWN"), ("myanmar", "MMR"),
+    ("burma", "MMR"), ("burmese", "MMR"), ("yangon", "MMR"), ("naypyidaw", "MMR"), ("colombia", "COL"),
+    ("colombian", "COL"), ("bogota", "COL"), ("mexico", "MEX"), ("mexican", "MEX"), ("mexico city", "MEX"),
+    ("haiti", "HTI"), ("haitian", "HTI"), ("port-au-prince", "HTI"), ("armenia", "ARM"), ("armenian", "ARM"),
+    ("yerevan", "ARM"), ("azerbaijan", "AZE"), ("azerbaijani", "AZE"), ("baku", "AZE"),
+    ("nagorno-karabakh", "AZE"), ("united states", "USA"), ("us", "USA"), ("american", "USA"),
+    ("washington", "USA"), ("pentagon", "USA"),
+]
 
 # --- Fixed values: publisher country name (lower case) -> code. ---
-PUBLISHER_COUNTRIES = code_rows("""
-united states USA, united kingdom GBR, russia RUS, china CHN, france FRA, germany DEU
-india IND, israel ISR, ukraine UKR, sudan SDN, syria SYR, yemen YEM, nigeria NGA
-colombia COL, mexico MEX, indonesia IDN, pakistan PAK, turkey TUR, egypt EGY
-south africa ZAF, brazil BRA, canada CAN, australia AUS, japan JPN, kenya KEN
-ethiopia ETH, somalia SOM, afghanistan AFG, iraq IRQ, iran IRN, lebanon LBN
-algeria DZA, taiwan TWN, myanmar MMR, thailand THA
-""")
+PUBLISHER_COUNTRIES = [
+    ("united states", "USA"), ("united kingdom", "GBR"), ("russia", "RUS"), ("china", "CHN"), ("france", "FRA"),
+    ("germany", "DEU"), ("india", "IND"), ("israel", "ISR"), ("ukraine", "UKR"), ("sudan", "SDN"),
+    ("syria", "SYR"), ("yemen", "YEM"), ("nigeria", "NGA"), ("colombia", "COL"), ("mexico", "MEX"),
+    ("indonesia", "IDN"), ("pakistan", "PAK"), ("turkey", "TUR"), ("egypt", "EGY"), ("south africa", "ZAF"),
+    ("brazil", "BRA"), ("canada", "CAN"), ("australia", "AUS"), ("japan", "JPN"), ("kenya", "KEN"),
+    ("ethiopia", "ETH"), ("somalia", "SOM"), ("afghanistan", "AFG"), ("iraq", "IRQ"), ("iran", "IRN"),
+    ("lebanon", "LBN"), ("algeria", "DZA"), ("taiwan", "TWN"), ("myanmar", "MMR"), ("thailand", "THA"),
+]
 
 # --- Fixed values: nine-category taxonomy. Order decides ties for the primary category. ---
-TAXONOMY = keyword_rows("""
-armed_conflict: war, battle, clash, troops, fighting, combat, shelling, airstrike, bombardment, artillery, offensive, assault
-violence_civilian: massacre, civilian deaths, atrocities, execution, casualties, deadly attack, civilians killed, hostage
-military_escalation: missile test, mobilization, naval deployment, military drill, troop buildup, air defense, warplanes, weapons shipment
-ceasefire_peace: ceasefire, truce, peace talks, armistice, peace negotiation, peace agreement, peace deal
-sanctions_economic: sanctions, embargo, trade restriction, asset freeze, economic penalties, boycott
-displacement_refugees: refugees, displaced, asylum seekers, fleeing, humanitarian crisis, refugee camp
-terrorism_insurgency: terrorist, suicide bomber, insurgency, ambush, guerrilla, rebel group, militants, jihadist
-border_tensions: border clash, border skirmish, disputed border, airspace violation, border standoff, territorial dispute
-diplomatic_escalation: ambassador recalled, diplomatic expulsion, severed ties, ultimatum, security treaty, diplomatic crisis
-""")
+TAXONOMY = {
+    "armed_conflict": [
+        "war", "battle", "clash", "troops", "fighting", "combat", "shelling", "airstrike", "bombardment",
+        "artillery", "offensive", "assault",
+    ],
+    "violence_civilian": [
+        "massacre", "civilian deaths", "atrocities", "execution", "casualties", "deadly attack", "civilians killed",
+        "hostage",
+    ],
+    "military_escalation": [
+        "missile test", "mobilization", "naval deployment", "military drill", "troop buildup", "air defense",
+        "warplanes", "weapons shipment",
+    ],
+    "ceasefire_peace": [
+        "ceasefire", "truce", "peace talks", "armistice", "peace negotiation", "peace agreement", "peace deal",
+    ],
+    "sanctions_economic": [
+        "sanctions", "embargo", "trade restriction", "asset freeze", "economic penalties", "boycott",
+    ],
+    "displacement_refugees": [
+        "refugees", "displaced", "asylum seekers", "fleeing", "humanitarian crisis", "refugee camp",
+    ],
+    "terrorism_insurgency": [
+        "terrorist", "suicide bomber", "insurgency", "ambush", "guerrilla", "rebel group", "militants", "jihadist",
+    ],
+    "border_tensions": [
+        "border clash", "border skirmish", "disputed border", "airspace violation", "border standoff",
+        "territorial dispute",
+    ],
+    "diplomatic_escalation": [
+        "ambassador recalled", "diplomatic expulsion", "severed ties", "ultimatum", "security treaty",
+        "diplomatic crisis",
+    ],
+}
 
 # --- Fixed values: word valences in [-1, 1]. ---
-VALENCES = valence_rows("""
-war -0.8, massacre -1.0, killed -0.8, deadly -0.8, fatal -0.8
-death -0.7, crisis -0.6, threat -0.6, escalate -0.6, attack -0.7
-bombing -0.8, missile -0.5, clash -0.6, fighting -0.6, terrorist -0.9
-atrocity -0.9, collapse -0.7, danger -0.6, hostile -0.6, siege -0.7
-sanctions -0.5, casualty -0.7, wound -0.5, refugee -0.4, displaced -0.4
-flee -0.5, destroy -0.7, aggression -0.7, invasion -0.8, strike -0.6
-peace 0.8, ceasefire 0.7, truce 0.7, agreement 0.6, reconciliation 0.7
-talks 0.3, treaty 0.6, diplomacy 0.5, stability 0.6, cooperation 0.6
-aid 0.4, relief 0.5, recovery 0.5, dialogue 0.4, compromise 0.5
-settlement 0.5, progress 0.5, resolve 0.4, protection 0.5, humanitarian 0.3
-""")
+VALENCES = {
+    "war": -0.8, "massacre": -1.0, "killed": -0.8, "deadly": -0.8, "fatal": -0.8, "death": -0.7, "crisis": -0.6,
+    "threat": -0.6, "escalate": -0.6, "attack": -0.7, "bombing": -0.8, "missile": -0.5, "clash": -0.6,
+    "fighting": -0.6, "terrorist": -0.9, "atrocity": -0.9, "collapse": -0.7, "danger": -0.6, "hostile": -0.6,
+    "siege": -0.7, "sanctions": -0.5, "casualty": -0.7, "wound": -0.5, "refugee": -0.4, "displaced": -0.4,
+    "flee": -0.5, "destroy": -0.7, "aggression": -0.7, "invasion": -0.8, "strike": -0.6, "peace": 0.8,
+    "ceasefire": 0.7, "truce": 0.7, "agreement": 0.6, "reconciliation": 0.7, "talks": 0.3, "treaty": 0.6,
+    "diplomacy": 0.5, "stability": 0.6, "cooperation": 0.6, "aid": 0.4, "relief": 0.5, "recovery": 0.5,
+    "dialogue": 0.4, "compromise": 0.5, "settlement": 0.5, "progress": 0.5, "resolve": 0.4, "protection": 0.5,
+    "humanitarian": 0.3,
+}
 
 # --- Fixed values: violence types. ---
 VIOLENCE_TYPES = {1: "state_based", 2: "non_state", 3: "one_sided"}
@@ -211,7 +225,6 @@ WHITE_SPACE = (
 )
 
 # --- Fixed values: panel and feature constants. ---
-MIN_YEAR, MAX_YEAR = 1989, 2025
 LAGS = (1, 2, 3, 6, 12)
 WINDOWS = (3, 6, 12)
 ACTIVE_THRESHOLD = 25
@@ -299,3 +312,21 @@ STRESS_PRESETS = [
 WARNING_THRESHOLD = 50
 SPLIT_SEED, TRAIN_PERCENT = 42, 80
 RISK_LABELS = {1: "High Escalation Risk", 0: "Normal / Low Risk"}
+
+# --- Fixed values: columns of raw and clean tables. ---
+RAW_EVENT_COLUMNS = (
+    "id", "year", "type_of_violence", "conflict_name", "side_a", "side_b", "country", "country_id",
+    "region", "date_start", "date_end", "best", "high", "low", "deaths_civilians", "latitude", "longitude",
+)
+RAW_ARTICLE_COLUMNS = (
+    "url", "url_mobile", "title", "seendate", "socialimage", "domain", "language", "sourcecountry",
+)
+CLEAN_EVENT_COLUMNS = (
+    "id", "country_iso3", "country", "country_id", "region", "event_date", "event_year", "event_month",
+    "year_month", "type_of_violence", "violence_type_label", "conflict_name", "side_a", "side_b",
+    "best", "high", "low", "deaths_civilians", "latitude", "longitude",
+)
+COUNT_COLUMNS = ("best", "high", "low", "deaths_civilians", "deaths_a", "deaths_b")
+
+# --- Fixed values: forms of dates in raw events besides ISO text. The first that fits counts. ---
+EVENT_DATE_FORMATS = ("M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "yyyyMMdd", "d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy", "d.M.yyyy")

@@ -7,17 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panelgraph.fixed_values import ARTICLE_TIME_FORMATS
+from panelgraph.fixed_values import ARTICLE_TIME_FORMATS, EVENT_DATE_FORMATS
+
+
+def lenient_date(text: Column, formats: Sequence[str] = EVENT_DATE_FORMATS) -> Column:
+    """ISO text, else the first of ``formats`` that fits, else NULL; month before day where both could be."""
+    clean = F.trim(text.cast("string"))
+    return F.coalesce(clean.try_cast("date"), *[F.try_to_timestamp(clean, F.lit(f)).cast("date") for f in formats])
 
 
 def event_date(start: Column, end: Column, year: Column) -> Column:
     """Start date, else end date, else 1 January of the year, else NULL.
 
-    Each value is parsed on its own, so a column may mix dates and timestamps.
+    Each value is parsed on its own, so a column may mix forms.
     """
     return F.coalesce(
-        F.trim(start.cast("string")).try_cast("date"),
-        F.trim(end.cast("string")).try_cast("date"),
+        lenient_date(start),
+        lenient_date(end),
         F.concat(F.trim(year.cast("string")), F.lit("-01-01")).try_cast("date"),
     )
 

@@ -12,9 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelgraph.fixed_values import ESCALATION_WEIGHTS, MAX_YEAR, MIN_YEAR, VIOLENCE_TYPES
+from panelgraph.fixed_values import ESCALATION_WEIGHTS, VIOLENCE_TYPES
 from panelgraph.functions.dates import is_partial_month, month_start, year_month
 from panelgraph.functions.numbers import clip, share
+from panelgraph.session import cut
 
 ENTITY, MONTH = "country_iso3", "month_start"
 
@@ -100,39 +101,35 @@ def monthly_event_totals(events: DataFrame, entity: str = ENTITY) -> DataFrame:
     return events.groupBy(entity, month_start(F.col("event_date")).alias(MONTH)).agg(*measures)
 
 
-def event_year_bounds(events: DataFrame, min_year: int = MIN_YEAR, max_year: int = MAX_YEAR) -> Column:
-    """Scalar struct(low, high): January of the first to December of the last covered year."""
-    year = F.year("event_date")
-    low = F.make_date(F.greatest(F.lit(min_year), F.min(year)), F.lit(1), F.lit(1))
-    high = F.make_date(F.least(F.lit(max_year), F.max(year)), F.lit(12), F.lit(1))
-    return events.agg(F.struct(low.alias("low"), high.alias("high")).alias("bounds")).scalar()
-
-
 def event_panel(
-    events: DataFrame, *, min_year: int = MIN_YEAR, max_year: int = MAX_YEAR, entity: str = ENTITY
+    events: DataFrame, *, min_year: int | None = None, max_year: int | None = None, entity: str = ENTITY
 ) -> DataFrame:
-    """Clean events to a balanced entity x month panel in which silence is zero."""
-    bounds = event_year_bounds(events, min_year, max_year)
-    known = events.filter(F.col(entity).isNotNull())
+    """Clean events to a balanced entity x month panel in which silence is zero.
+
+    The panel covers the years of all events, within ``min_year`` and ``max_year`` if given. Bounds come
+    from the monthly totals, which are written once, so events are read once.
+    """
+    monthly = cut(monthly_event_totals(events, entity))
+    year = F.year(MONTH)
+    first, last = F.min(year), F.max(year)
+    low = F.make_date(first if min_year is None else F.greatest(F.lit(min_year), first), F.lit(1), F.lit(1))
+    high = F.make_date(last if max_year is None else F.least(F.lit(max_year), last), F.lit(12), F.lit(1))
+    bounds = monthly.agg(F.struct(low.alias("low"), high.alias("high")).alias("bounds")).scalar()
+    known = monthly.filter(F.col(entity).isNotNull())
     zero = {c: 0 if c.startswith("events") else 0.0 for c in EVENT_METRICS}
-    panel = fill_panel(monthly_event_totals(known, entity), bounds["low"], bounds["high"], zero, entity=entity)
+    panel = fill_panel(known, bounds["low"], bounds["high"], zero, entity=entity)
     return panel.withColumn("has_conflict_event", (F.col("events_total") > 0).cast("int"))
 
 
-def news_bounds(articles: DataFrame) -> Column:
-    """Scalar struct about the whole table: whether any target is known, and first/last times.
-
-    Times are taken over the articles that will be used: those with a target or, when the
-    table has no target at all, those with a source country.
-    """
-    target, source = F.col("target_country_iso3"), F.col("source_country_iso3")
-    has_target = F.count(target) > 0
-    at = F.col("published_at_utc")
-    first = F.when(has_target, F.min(F.when(target.isNotNull(), at))).otherwise(F.min(F.when(source.isNotNull(), at)))
-    last = F.when(has_target, F.max(F.when(target.isNotNull(), at))).otherwise(F.max(F.when(source.isNotNull(), at)))
-    return articles.agg(
-        F.struct(has_target.alias("has_target"), first.alias("first"), last.alias("last")).alias("bounds")
-    ).scalar()
+def outside_years(events: DataFrame, min_year: int | None, max_year: int | None) -> DataFrame:
+    """How many events a panel of these years leaves out."""
+    year = F.year("event_date")
+    out = F.lit(False)
+    if min_year is not None:
+        out = out | (year < min_year)
+    if max_year is not None:
+        out = out | (year > max_year)
+    return events.agg(F.count_if(out).alias("events_outside"))
 
 
 def monthly_news_totals(articles: DataFrame, entity: Column) -> DataFrame:
@@ -148,6 +145,7 @@ def monthly_news_totals(articles: DataFrame, entity: Column) -> DataFrame:
         F.avg(F.when(relevant, F.col("tone_score"))).alias("conflict_news_avg_tone"),
     ]
     measures += [F.count_if(relevant & F.col(flag)).alias(name) for name, flag in NEWS_CATEGORIES.items()]
+    measures += [F.min("published_at_utc").alias("first_at"), F.max("published_at_utc").alias("last_at")]
     at = month_start(F.col("published_at_utc")).alias(MONTH)
     return articles.select(entity.alias(ENTITY), at, "*").filter(F.col(ENTITY).isNotNull()).groupBy(ENTITY, MONTH).agg(*measures)
 
@@ -175,15 +173,17 @@ def news_panel(articles: DataFrame, *, entities: DataFrame | None = None) -> Dat
     """Scored articles to a balanced panel, from the first to the last observed month.
 
     ``entities`` (column country_iso3) joins the observed entities, so that the panel covers
-    the same ones as another panel.
+    the same ones as another panel. Articles are read once: bounds come from the written monthly totals.
     """
     if "source_country_iso3" not in articles.columns:
         articles = articles.withColumn("source_country_iso3", F.lit(None).cast("string"))
-    bounds = news_bounds(articles)
-    entity = F.when(bounds["has_target"], F.col("target_country_iso3")).otherwise(F.col("source_country_iso3"))
+    totals = cut(monthly_news_totals(articles, F.col("target_country_iso3")))
+    if totals.isEmpty():  # no target at all: sources stand in
+        totals = cut(monthly_news_totals(articles, F.col("source_country_iso3")))
+    bounds = totals.agg(F.struct(F.min("first_at").alias("first"), F.max("last_at").alias("last")).alias("bounds")).scalar()
     zero = {c: 0 for c in NEWS_COUNTS} | {c: 0.0 for c in NEWS_TONES}
     panel = fill_panel(
-        monthly_news_totals(articles, entity), month_start(bounds["first"]), month_start(bounds["last"]), zero, entities=entities
+        totals.drop("first_at", "last_at"), month_start(bounds["first"]), month_start(bounds["last"]), zero, entities=entities
     )
     partial = is_partial_month(F.col(MONTH), bounds["first"], bounds["last"])
     return with_news_signals(panel).withColumn("is_partial_month", partial)

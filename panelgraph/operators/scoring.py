@@ -52,8 +52,9 @@ def entity_totals(records: DataFrame, entity: str = "country", fatalities: str =
 
 
 def with_split(totals: DataFrame, entity: str = "country", seed: int = SPLIT_SEED) -> DataFrame:
-    """Add ``is_train``: a hash of the entity decides, so the split ignores partitioning."""
-    bucket = F.pmod(F.xxhash64(F.col(entity), F.lit(seed)), F.lit(100))
+    """Add ``is_train``: the MD5 of seed and entity decides, so the split ignores partitioning."""
+    named = F.concat_ws(":", F.lit(seed), F.col(entity).cast("string"))
+    bucket = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long") % 100
     return totals.withColumn("is_train", bucket < TRAIN_PERCENT)
 
 

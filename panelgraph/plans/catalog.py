@@ -14,14 +14,11 @@ from panelgraph.operators import clean, dyads, features, graph, impact, panel, q
 from panelgraph.plans import views
 from panelgraph.plans.flows import what_if
 from panelgraph.session import cut
-from panelgraph.sources import readers, sinks
+from panelgraph.sources import sinks
 from panelgraph.streaming import articles as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Fixed iteration counts, so that plain SQL can follow step by step.
-RANK_STEPS, TRADE_STEPS = 8, 5
-
 
 def shown(df: DataFrame, digits: int = 9, *, counts: tuple[str, ...] = ()) -> DataFrame:
     """Comparable output: rounded doubles without negative zero, long counts, dates as text."""
@@ -78,7 +75,8 @@ def event_features_customer(spark, d):
 
 
 def event_panel_metadata(spark, d):
-    return shown(sinks.panel_metadata(panel.event_panel(views.order_events(spark, d))).drop("feature_columns"))
+    table = sinks.panel_metadata(panel.event_panel(views.order_events(spark, d)))
+    return shown(table.withColumn("feature_columns", F.array_join("feature_columns", ",")))
 
 
 # --- articles -----------------------------------------------------------------------------
@@ -199,13 +197,14 @@ def node_ranks(spark, d):
     steps = graph.transitions(
         graph.with_edge_defaults(pairs_, "composite_tension_index"), graph.baseline_back_weight(F.col("weight"))
     )
-    return shown(graph.pagerank(views.nodes(spark, d), steps, max_iter=RANK_STEPS, tol=0.0))
+    return shown(graph.pagerank(views.nodes(spark, d), steps))
 
 
 def node_ranks_converged(spark, d):
-    """The default stop rule; the last digit may lag the limit, so fewer digits are compared."""
-    metrics = graph.node_metrics(views.nodes(spark, d), cut(views.pair_table(spark, d)))
-    return shown(metrics.select("country_iso3", "pagerank_centrality"), 4)
+    """Ranks as a multiple of the mean rank, by the default stop rule."""
+    metrics = graph.node_metrics(views.nodes(spark, d), cut(views.pair_table(spark, d)), rank_digits=12)
+    n = views.nodes(spark, d).select("country_iso3").distinct().agg(F.count("*")).scalar()
+    return shown(metrics.select("country_iso3", (F.col("pagerank_centrality") * n).alias("pagerank_centrality")), 8)
 
 
 def trade_ranks(spark, d):
@@ -221,7 +220,7 @@ def trade_ranks(spark, d):
     known = views.table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("country_iso3")).unionByName(
         views.table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("country_iso3"))
     )
-    return shown(graph.pagerank(known, sold.unionByName(returned), max_iter=TRADE_STEPS, tol=0.0))
+    return shown(graph.pagerank(known, sold.unionByName(returned)))
 
 
 def graph_links(spark, d):
@@ -229,7 +228,7 @@ def graph_links(spark, d):
 
 
 def graph_nodes(spark, d):
-    metrics = graph.node_metrics(views.nodes(spark, d), cut(views.pair_table(spark, d)), max_iter=2, tol=0.0, digits=9, rank_digits=9)
+    metrics = graph.node_metrics(views.nodes(spark, d), cut(views.pair_table(spark, d)), digits=9, rank_digits=9)
     return shown(graph.graph_nodes(metrics))
 
 
@@ -243,7 +242,7 @@ def graph_summary(spark, d):
 
 def _baseline(spark, d):
     pairs_ = cut(views.pair_table(spark, d))
-    metrics = graph.node_degrees(views.nodes(spark, d), pairs_).withColumn("pagerank_centrality", F.lit(0.04))
+    metrics = graph.node_metrics(views.nodes(spark, d), pairs_, digits=9, rank_digits=9)
     news = impact.baseline_month(cut(views.report_panel(spark, d)), "1998-06")
     return pairs_, cut(impact.baseline_nodes(metrics, news))
 
@@ -293,9 +292,9 @@ def impact_dyads(spark, d):
 
 def _what_if(spark, d):
     pairs_ = cut(views.pair_table(spark, d))
-    metrics = graph.node_degrees(views.nodes(spark, d), pairs_).withColumn("pagerank_centrality", F.lit(0.04))
+    metrics = graph.node_metrics(views.nodes(spark, d), pairs_, digits=9, rank_digits=9)
     return what_if(
-        views.scenarios(spark), cut(metrics), pairs_, cut(views.report_panel(spark, d)), month="1998-06", max_iter=3, tol=0.0, digits=9, rank_digits=9
+        views.scenarios(spark), cut(metrics), pairs_, cut(views.report_panel(spark, d)), month="1998-06", digits=9, rank_digits=9
     )
 
 
@@ -309,15 +308,14 @@ def impact_countries(spark, d):
             "counterfactual_pagerank",
             "counterfactual_in_degree", "counterfactual_out_degree", "counterfactual_total_degree",
             "counterfactual_weighted_in",
-            "counterfactual_weighted_out",
-            "delta_conflict_news_count", "delta_in_degree", "delta_out_degree", "delta_total_degree",
+            "counterfactual_weighted_out", "baseline_pagerank", "delta_tone", "delta_escalation_signal", "delta_pagerank",
+            "delta_weighted_in", "delta_weighted_out", "delta_conflict_news_count", "delta_in_degree", "delta_out_degree", "delta_total_degree",
         )
     )
 
 
 def impact_summary(spark, d):
-    summary = _what_if(spark, d)["summary"]
-    return shown(summary.drop("max_pagerank_increase", "max_pagerank_decrease", "max_pagerank_increase_country", "max_pagerank_decrease_country"))
+    return shown(_what_if(spark, d)["summary"])
 
 
 # --- quality ------------------------------------------------------------------------------
@@ -347,7 +345,7 @@ def quality_graph(spark, d):
             quality.in_bounds(pairs_, {"composite_tension_index": (0.0, 1.0), "news_avg_tone": (-1.0, 1.0)}),
             quality.same_keys(ends, nodes, ["country_iso3"]),
             quality.same_count(pairs_, nodes, "as many pairs as nodes"),
-            quality.conserved(pairs_.groupBy().agg(F.lit(1.0).alias("x")), "x"),
+            quality.conserved(graph.node_metrics(nodes, pairs_, rank_digits=12), "pagerank_centrality"),
         )
     )
 
@@ -382,14 +380,33 @@ def entity_totals(spark, d):
 def entity_warnings(spark, d):
     """Forest scores per customer: events and summed value of their orders in thousands."""
     totals = _classifier_totals(spark, d)
-    model = scoring.train_classifier(totals, trees=10)
+    model = scoring.train_classifier(totals)
     scored = scoring.score(model, totals)
-    return shown(scored.groupBy("escalation_warning", "escalation_prediction", "status").agg(F.count(F.lit(1)).alias("entities")))
+    held = scored.filter(~F.col("is_train"))
+    right = F.count_if(F.col("escalation_prediction") == F.col("escalation_warning"))
+    warned = F.count_if(F.col("escalation_warning") == 1)
+    rules = held.agg(
+        F.count(F.lit(1)).alias("held_out"), warned.alias("warned"),
+        (right >= F.greatest(warned, F.count(F.lit(1)) - warned)).alias("beats_majority"),
+        (right >= 0.95 * F.count(F.lit(1))).alias("right_for_95_percent"),
+    )
+    return shown(rules)
+
+
+def classifier_split(spark, d):
+    """Entities and labels on either side of the split."""
+    totals = _classifier_totals(spark, d)
+    return shown(totals.groupBy("is_train", "escalation_warning").agg(F.count(F.lit(1)).alias("entities"), F.sum("recent_events").alias("events")))
 
 
 def feature_importances(spark, d):
-    model = scoring.train_classifier(_classifier_totals(spark, d), trees=10)
-    return shown(scoring.top_importances(scoring.importances(model, spark)))
+    """What must hold of the importances: one for each feature, none negative, together 1, intensity first."""
+    model = scoring.train_classifier(_classifier_totals(spark, d))
+    top = scoring.top_importances(scoring.importances(model, spark))
+    return shown(top.agg(
+        F.count(F.lit(1)).alias("features"), F.count_if(F.col("importance") < 0).alias("negative"), F.sum("importance").alias("total"),
+        F.max_by("feature", "importance").alias("strongest"),
+    ), 6)
 
 
 def _classifier_totals(spark, d):
@@ -446,18 +463,15 @@ def factor_stress(spark, d):
         *[clip(F.round(F.col(source[f]), 4) * scale[f], -100.0, 100.0).alias(f) for f, *_ in STRESS_SENSITIVITIES],
     )
     out = scoring.factor_stress(shocks)
-    return shown(out.select("country_iso3", "year_month", "downside_probability", "projected_level", "point_change"), 0)
+    return shown(out.select(
+        "country_iso3", "year_month", "net_return_forecast", "downside_probability", "upside_probability", "projected_level", "point_change",
+        *[f"{f}_impact" for f, *_ in STRESS_SENSITIVITIES],
+    ), 2)
 
 
 # --- files and streams --------------------------------------------------------------------
 
 
-def file_manifest(spark, d):
-    """Name, size and checksum of the table files that were read."""
-    manifest = readers.file_manifest(spark, f"{d}/*.parquet")
-    return shown(manifest.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256"))
-
-
 def _landed(spark, d):
     """The raw articles as JSON files in the shared folder, as a collector would land them."""
     from uuid import uuid4
@@ -474,24 +488,25 @@ def _streamed(spark, df, base, name):
     return spark.read.parquet(f"{base}/{name}")
 
 
-def stream_daily_counts(spark, d):
-    """Closed days of the enriched article stream."""
+def _stored(spark, d):
+    """Enriched articles as the stream stores them."""
     base = _landed(spark, d)
     enriched = live.enrich_stream(live.stream_raw_articles(spark, f"{base}/raw"), gazetteer=views.TERMS, taxonomy=views.CATEGORIES, valences=views.WORDS)
-    return shown(_streamed(spark, live.daily_counts(enriched), base, "days").drop("unique_domains_approx"))
+    return _streamed(spark, enriched, base, "articles")
+
+
+def stream_daily_counts(spark, d):
+    """All days of the enriched article stream, each article once."""
+    return shown(live.daily_counts(live.unique_articles(_stored(spark, d))).drop("unique_domains_approx"))
 
 
 def stream_monthly_counts(spark, d):
-    base = _landed(spark, d)
-    enriched = live.enrich_stream(live.stream_raw_articles(spark, f"{base}/raw"), gazetteer=views.TERMS, taxonomy=views.CATEGORIES, valences=views.WORDS)
-    return shown(live.months_from_days(_streamed(spark, live.daily_counts(enriched), base, "days")))
+    return shown(live.months_from_days(live.daily_counts(live.unique_articles(_stored(spark, d)))))
 
 
 def stream_unique_articles(spark, d):
-    """Article ids that survive stream deduplication."""
-    base = _landed(spark, d)
-    enriched = live.enrich_stream(live.stream_raw_articles(spark, f"{base}/raw"), gazetteer=views.TERMS, taxonomy=views.CATEGORIES, valences=views.WORDS)
-    return shown(_streamed(spark, live.unique_stream(enriched, "1000 days").select("article_id"), base, "unique"))
+    """Article ids that are left once copies and repeated titles of a day are gone."""
+    return shown(live.unique_articles(_stored(spark, d)).select("article_id"))
 
 
 QUERIES: dict[str, Query] = {
@@ -506,7 +521,7 @@ QUERIES: dict[str, Query] = {
         impact_targets, impact_shocked_edges, impact_node_arrivals, impact_dyads, impact_countries,
         impact_summary, quality_events, quality_graph, quality_news, entity_totals, entity_warnings,
         feature_importances, pair_status, pair_sub_scores, contribution_split, risk_outlook, risk_outlook_fan,
-        risk_outlook_drivers, factor_stress, file_manifest, stream_daily_counts, stream_monthly_counts,
+        risk_outlook_drivers, factor_stress, classifier_split, stream_daily_counts, stream_monthly_counts,
         stream_unique_articles,
     )
 }

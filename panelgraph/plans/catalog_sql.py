@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelgraph.fixed_values import LAGS, WHITE_SPACE, WINDOWS
+from panelgraph.operators.panel import EVENT_METRICS
 from panelgraph.plans.views import BASE_SECONDS, CATEGORIES, GOVERNMENTS, LANGUAGES, SCENARIOS, TERMS, WORDS
 
 
@@ -325,27 +326,29 @@ met AS (SELECT nodes.c, coalesce(i, 0) AS in_degree, coalesce(u, 0) AS out_degre
   coalesce(wo, 0.0) AS weighted_out, coalesce(k, 0) AS adversaries, ti, tu, coalesce(w, 0.0) AS mean_tension FROM nodes LEFT JOIN deg USING (c) LEFT JOIN adv USING (c))"""
 
 
-def rank_ctes(steps: str, nodes: str, count: int, key: str = "", prefix: str = "r") -> str:
-    """Unrolled power iteration. ``steps``(key, s, t, w), ``nodes``(key, c)."""
-    k = f"{key}, " if key else ""
-    on = f"AND x.{key} = y.{key}" if key else ""
-    by = f"GROUP BY {key}" if key else ""
+def rank_ctes(steps: str, nodes: str, key: str = "", prefix: str = "r") -> str:
+    """Power iteration until the ranks of a graph move by less than 1e-6. ``steps``(key, s, t, w), ``nodes``(key, c)."""
+    k, by = (f"{key}, ", f"GROUP BY {key}") if key else ("", "")
+    own = lambda x: f"{x}.{key}, " if key else ""
+    same = lambda x, y: f" AND {x}.{key} = {y}.{key}" if key else ""
     join = f"USING ({key})" if key else "ON true"
-    out = [
-        f"{prefix}m AS MATERIALIZED (SELECT {k}s, t, sum(w) AS w FROM {steps} WHERE w > 0 GROUP BY {k}s, t)",
-        f"{prefix}o AS MATERIALIZED (SELECT {k}s AS c, sum(w) AS o FROM {prefix}m GROUP BY {k}s)",
-        f"{prefix}n AS MATERIALIZED (SELECT {k}count(*) AS n FROM {nodes} {by})",
-        f"{prefix}0 AS MATERIALIZED (SELECT {k}c, 1.0::DOUBLE / n AS p FROM {nodes} JOIN {prefix}n {join})",
-    ]
-    both = f"{key}, c" if key else "c"
-    for i in range(count):
-        p = f"{prefix}{i}"
-        out += [
-            f"{p}g AS (SELECT {'x.' + key + ', ' if key else ''}t AS c, sum(p * w / o) AS g FROM {prefix}m x JOIN {p} y ON x.s = y.c {on} JOIN {prefix}o z ON z.c = y.c {on.replace('y.', 'z.')} GROUP BY 1{', 2' if key else ''})",
-            f"{p}l AS (SELECT {k}coalesce(sum(p) FILTER (o IS NULL), 0.0) AS l FROM {p} LEFT JOIN {prefix}o USING ({both}) {by})",
-            f"{prefix}{i + 1} AS MATERIALIZED (SELECT {k}c, 0.85 * (coalesce(g, 0.0) + l / n) + 0.15 / n AS p FROM {p} JOIN {prefix}n {join} JOIN {p}l {join} LEFT JOIN {p}g USING ({both}))",
-        ]
-    return ", ".join(out)
+    both = f"USING ({k}c)"
+    part = f"PARTITION BY {key}" if key else ""
+    x = f"{prefix}x"
+    return f"""{prefix}m AS MATERIALIZED (SELECT {k}s, t, sum(w) AS w FROM {steps} WHERE w > 0 GROUP BY {k}s, t),
+{prefix}o AS MATERIALIZED (SELECT {k}s AS c, sum(w) AS o FROM {prefix}m GROUP BY {k}s),
+{prefix}n AS MATERIALIZED (SELECT {k}count(*) AS n FROM {nodes} {by}),
+{x} AS (
+  SELECT {k}c, 1.0::DOUBLE / n AS p, NULL::DOUBLE AS moved, 0 AS step FROM {nodes} JOIN {prefix}n {join}
+  UNION ALL
+  SELECT {k}c, q, sum(abs(q - p)) OVER ({part}), step + 1 FROM (
+    SELECT {own('y')}y.c, y.p, y.step, 0.85 * (coalesce(g, 0.0) + l / n) + 0.15 / n AS q
+    FROM {x} y JOIN {prefix}n {join}
+    JOIN (SELECT {k}coalesce(sum(p) FILTER (o IS NULL), 0.0) AS l FROM {x} LEFT JOIN {prefix}o {both} {by}) lost {join}
+    LEFT JOIN (SELECT {own('m')}m.t AS c, sum(v.p * m.w / z.o) AS g FROM {x} v JOIN {prefix}m m ON m.s = v.c{same('m', 'v')}
+      JOIN {prefix}o z ON z.c = v.c{same('z', 'v')} GROUP BY {own('m')}m.t) given {both}
+    WHERE (y.moved IS NULL OR y.moved >= 1e-6) AND y.step < 100)),
+{prefix} AS (SELECT {k}c, p / sum(p) OVER ({part}) AS p FROM (SELECT * FROM {x} QUALIFY step = max(step) OVER ({part})))"""
 
 
 PAIR_STEPS = """steps AS (
@@ -411,6 +414,11 @@ dg AS (SELECT id, c, CAST(sum(i) AS BIGINT) AS i, CAST(sum(u) AS BIGINT) AS u, c
 cst AS (SELECT id, src AS s, dst AS t, w2 AS w FROM live UNION ALL SELECT id, dst, src, CASE nat WHEN 'hybrid' THEN 0.7 * w2 ELSE w2 END FROM live WHERE nat <> 'directed_news'),
 cn AS (SELECT id, c FROM sc, nodes)"""
 
+HALF_EDGES = HALVES.removeprefix(f"{NODES}, {DYADS},").split("adv AS (")[0].rstrip().rstrip(",")
+#: Baseline and counterfactual ranks per scenario and node.
+RANKED = f"""{HALF_EDGES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes', prefix='br')}, {rank_ctes('cst', 'cn', 'id')},
+rk AS (SELECT id, c, round(br.p, 9) AS p1, round(r.p, 9) AS p2, round(round(r.p, 9) - round(br.p, 9), 6) AS delta FROM r JOIN br USING (c))"""
+
 # --- scoring ------------------------------------------------------------------------------
 
 BASES = DYADS + ", pb AS (SELECT least(src, dst) AS pair_a, greatest(src, dst) AS pair_b, floor(100 * max(w) + 0.5) AS base FROM d GROUP BY 1, 2)"
@@ -435,8 +443,20 @@ TARGET_FACTS = f"""{r('neg / n', 'news_negative_tone_share')}, {r('con / n', 'ne
 
 _days = f"""sd AS (SELECT CAST(seen_at AS DATE) AS day, target_country_iso3, count(*) AS news_count_total, sum(tone_score) AS tone_sum,
   count(*) FILTER (is_negative_tone) AS negative_tone_count, count(*) FILTER (is_extreme_tone) AS extreme_tone_count,
-  count(*) FILTER (is_conflict_relevant) AS conflict_news_count FROM scored WHERE target_country_iso3 IS NOT NULL GROUP BY 1, 2),
-closed AS (SELECT * FROM sd WHERE day + INTERVAL 1 DAY <= (SELECT max(seen_at) - INTERVAL 2 DAY FROM scored))"""
+  count(*) FILTER (is_conflict_relevant) AS conflict_news_count FROM scored WHERE target_country_iso3 IS NOT NULL GROUP BY 1, 2)"""
+_unique = """live_id AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY seen_at) = 1),
+live_day AS (SELECT * FROM live_id QUALIFY row_number() OVER (PARTITION BY CAST(seen_at AS DATE), title ORDER BY seen_at, article_id) = 1)"""
+
+
+#: Columns of the event panel in order.
+PANEL_COLUMNS = ["country_iso3", "month_start", "year", "month", "year_month", *EVENT_METRICS, "has_conflict_event"]
+CLASSIFIED = """tot AS (SELECT o_custkey AS country, count(*) AS events, sum(o_totalprice / 40000) AS f FROM orders GROUP BY 1),
+cls AS (SELECT *, CAST(f > 50 AS BIGINT) AS escalation_warning, CAST('0x' || substr(md5('42:' || country), 1, 8) AS BIGINT) % 100 < 80 AS is_train FROM tot)"""
+
+
+def live_ctes() -> str:
+    """Scored articles of the stream: each id once, each title once a day."""
+    return scored_ctes("live_day").replace(ARTICLES, f"{ARTICLES}, {_unique}")
 
 
 def rule(name: str, count: str, source: str, passed: str | None = None) -> str:
@@ -454,7 +474,7 @@ ORACLES: dict[str, str] = {
     "event_panel_years": f"WITH {panel_ctes(low=1997, high=1999)} SELECT {PANEL_OUT} FROM panel",
     "event_features": event_feature_sql("nation"),
     "event_features_customer": event_feature_sql("customer"),
-    "event_panel_metadata": f"WITH {panel_ctes()} SELECT count(*) AS total_rows, count(DISTINCT ent) AS unique_entities, min(strftime(m, '%Y-%m')) AS start_year_month, max(strftime(m, '%Y-%m')) AS end_year_month FROM panel",
+    "event_panel_metadata": f"WITH {panel_ctes()} SELECT count(*) AS total_rows, count(DISTINCT ent) AS unique_entities, min(strftime(m, '%Y-%m')) AS start_year_month, max(strftime(m, '%Y-%m')) AS end_year_month, '{','.join(PANEL_COLUMNS)}' AS feature_columns FROM panel",
     "articles_normalized": f"""WITH {normalized_ctes()} SELECT article_id, strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS published_at_utc, year(seen_at) AS year, month(seen_at) AS month,
       strftime(seen_at, '%Y-%m') AS year_month, domain, language, raw_sourcecountry, source_country_iso3, target_country_iso3, {r('CAST(target_country_confidence AS DOUBLE)', 'target_country_confidence')} FROM normal""",
     "articles_scored": f"""WITH {scored_ctes()} SELECT article_id, target_country_iso3, is_conflict_relevant, conflict_category_count, primary_conflict_category,
@@ -493,16 +513,16 @@ ORACLES: dict[str, str] = {
       FROM t WINDOW x AS (PARTITION BY src, dst ORDER BY ym)""",
     "node_degrees": f"""WITH {HALVES} SELECT c AS country_iso3, c AS country_name, in_degree, out_degree, total_degree, {r('weighted_in', 'weighted_in_degree')}, {r('weighted_out', 'weighted_out_degree')},
       adversaries AS conflict_adversary_count, {r('ti', 'mean_incoming_tone')}, {r('tu', 'mean_outgoing_tone')}, {r('mean_tension', 'mean_dyadic_tension')}, total_degree > 0 AS has_active_edges FROM met""",
-    "node_ranks": f"WITH {HALVES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes', 8)} SELECT c AS country_iso3, {r('p', 'pagerank')} FROM r8",
-    "node_ranks_converged": f"WITH {HALVES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes', 30)} SELECT c AS country_iso3, {r('p', 'pagerank_centrality', 4)} FROM r30",
-    "trade_ranks": f"""WITH nodes AS (SELECT 'C' || c_custkey AS c FROM customer UNION ALL SELECT 'S' || s_suppkey FROM supplier),
+    "node_ranks": f"WITH RECURSIVE {HALVES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes')} SELECT c AS country_iso3, {r('p', 'pagerank')} FROM r",
+    "node_ranks_converged": f"WITH RECURSIVE {HALVES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes')} SELECT c AS country_iso3, {r('p * (SELECT count(*) FROM nodes)', 'pagerank_centrality', 8)} FROM r",
+    "trade_ranks": f"""WITH RECURSIVE nodes AS (SELECT 'C' || c_custkey AS c FROM customer UNION ALL SELECT 'S' || s_suppkey FROM supplier),
       steps AS (SELECT 'S' || l_suppkey AS s, 'C' || o_custkey AS t, l_quantity AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         UNION ALL SELECT 'C' || o_custkey, 'S' || l_suppkey, 1.0 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'),
-      {rank_ctes('steps', 'nodes', 5)} SELECT c AS country_iso3, {r('p', 'pagerank')} FROM r5""",
+      {rank_ctes('steps', 'nodes')} SELECT c AS country_iso3, {r('p', 'pagerank')} FROM r""",
     "graph_links": f"""WITH {DYADS} SELECT src AS source, dst AS target, is_directed, nat AS relationship_nature, events AS conflict_events, {r('best', 'fatalities')}, n AS news_articles,
       {r('tone', 'avg_tone')}, {r('w', 'tension_index')}, has_conflict FROM d""",
-    "graph_nodes": f"""WITH {HALVES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes', 2)} SELECT c AS id, c AS label, in_degree, out_degree, total_degree, adversaries AS conflict_adversaries, {r('p', 'pagerank')},
-      {r('mean_tension', 'mean_dyadic_tension')}, total_degree > 0 AS has_active_edges FROM met JOIN r2 USING (c)""",
+    "graph_nodes": f"""WITH RECURSIVE {HALVES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes')} SELECT c AS id, c AS label, in_degree, out_degree, total_degree, adversaries AS conflict_adversaries, {r('p', 'pagerank')},
+      {r('mean_tension', 'mean_dyadic_tension')}, total_degree > 0 AS has_active_edges FROM met JOIN r USING (c)""",
     "graph_summary": f"""WITH {HALVES} SELECT (SELECT count(*) FROM met) AS total_reference_nodes, (SELECT count(*) FROM met WHERE total_degree > 0) AS active_nodes_with_edges,
       count(*) AS total_directed_dyads, count(*) FILTER (has_conflict) AS bilateral_conflict_dyads, count(*) FILTER (n > 0) AS directed_news_dyads, {r('max(w)', 'max_tension_index')} FROM d""",
     "scenarios_checked": f"WITH {CHECKED} SELECT id AS scenario_id, array_to_string(reasons, '; ') AS reasons, edge_matched FROM chk",
@@ -513,20 +533,26 @@ ORACLES: dict[str, str] = {
     "impact_node_arrivals": f"WITH {SPREAD} SELECT id AS scenario_id, c AS node, {r('shift', 'tone_shift')}, CAST(hop AS BIGINT) AS hop FROM narr",
     "impact_dyads": f"""WITH {SPREAD} SELECT id AS scenario_id, {LINK}, is_directed, nat AS relationship_nature, {r('w', 'baseline_tension_index')}, {r('w2', 'counterfactual_tension_index')},
       is_severed, is_direct AS is_directly_shocked, is_ripple AS is_ripple_affected, has_conflict AS has_historical_conflict, {r('best', 'fatalities_best_total')} FROM cf""",
-    "impact_countries": f"""WITH {with_news(SPREAD)}, {TARGETS}, {AFTER}, {rank_ctes('cst', 'cn', 3, 'id')}, mt AS (SELECT * FROM (
+    "impact_countries": f"""WITH RECURSIVE {with_news(SPREAD)}, {TARGETS}, {AFTER}, {RANKED}, mt AS (SELECT * FROM (
         SELECT c, CAST(sum(CASE WHEN nat = 'directed_news' THEN e = 1 ELSE true END::INT) AS BIGINT) AS bi, CAST(sum(CASE WHEN nat = 'directed_news' THEN e = 0 ELSE true END::INT) AS BIGINT) AS bo, count(DISTINCT o) AS bt
-        FROM (SELECT src AS c, dst AS o, nat, 0 AS e FROM d UNION ALL SELECT dst, src, nat, 1 FROM d) GROUP BY c))
+        FROM (SELECT src AS c, dst AS o, nat, 0 AS e FROM d UNION ALL SELECT dst, src, nat, 1 FROM d) GROUP BY c)),
+      bw AS (SELECT c, sum(wi) AS wi, sum(wo) AS wo FROM half WHERE c IN (SELECT c FROM nodes) AND o IN (SELECT c FROM nodes) GROUP BY c)
       SELECT cn.id AS scenario_id, cn.c AS country_iso3, tg.id IS NOT NULL AS is_direct_target, CAST(CASE WHEN tg.id IS NOT NULL THEN 0 ELSE coalesce(hop, -1) END AS BIGINT) AS ripple_hop,
       {r('CASE WHEN tg.id IS NOT NULL THEN tone2 ELSE least(greatest(tone + coalesce(shift, 0.0), -1.0), 1.0) END', 'counterfactual_tone')},
-      coalesce(news2, news) AS counterfactual_conflict_news_count, {r('coalesce(esc2, esc)', 'counterfactual_escalation_signal')}, {r('p', 'counterfactual_pagerank')},
+      coalesce(news2, news) AS counterfactual_conflict_news_count, {r('coalesce(esc2, esc)', 'counterfactual_escalation_signal')}, {r('p2', 'counterfactual_pagerank')},
       coalesce(i, 0) AS counterfactual_in_degree, coalesce(u, 0) AS counterfactual_out_degree, coalesce(o, 0) AS counterfactual_total_degree,
-      {r('coalesce(wi, 0.0)', 'counterfactual_weighted_in')}, {r('coalesce(wo, 0.0)', 'counterfactual_weighted_out')},
-      coalesce(news2, news) - news AS delta_conflict_news_count, coalesce(i, 0) - coalesce(bi, 0) AS delta_in_degree, coalesce(u, 0) - coalesce(bo, 0) AS delta_out_degree, coalesce(o, 0) - coalesce(bt, 0) AS delta_total_degree
-      FROM cn JOIN bn USING (c) LEFT JOIN tg USING (id, c) LEFT JOIN narr USING (id, c) LEFT JOIN dg USING (id, c) LEFT JOIN r3 USING (id, c) LEFT JOIN mt USING (c)""",
-    "impact_summary": f"""WITH {SPREAD}, reach AS (SELECT sc.id, sc.target, count(narr.c) AS k FROM sc LEFT JOIN narr USING (id) GROUP BY 1, 2)
+      {r('coalesce(dg.wi, 0.0)', 'counterfactual_weighted_in')}, {r('coalesce(dg.wo, 0.0)', 'counterfactual_weighted_out')},
+      coalesce(news2, news) - news AS delta_conflict_news_count, coalesce(i, 0) - coalesce(bi, 0) AS delta_in_degree, coalesce(u, 0) - coalesce(bo, 0) AS delta_out_degree, coalesce(o, 0) - coalesce(bt, 0) AS delta_total_degree,
+      {r('p1', 'baseline_pagerank')}, {r('delta', 'delta_pagerank')},
+      {r('round(CASE WHEN tg.id IS NOT NULL THEN tone2 ELSE least(greatest(tone + coalesce(shift, 0.0), -1.0), 1.0) END - tone, 4)', 'delta_tone')},
+      {r('round(coalesce(esc2, esc) - esc, 4)', 'delta_escalation_signal')},
+      {r('round(round(coalesce(dg.wi, 0.0), 9) - round(coalesce(bw.wi, 0.0), 9), 4)', 'delta_weighted_in')}, {r('round(round(coalesce(dg.wo, 0.0), 9) - round(coalesce(bw.wo, 0.0), 9), 4)', 'delta_weighted_out')}
+      FROM cn JOIN bn USING (c) LEFT JOIN tg USING (id, c) LEFT JOIN narr USING (id, c) LEFT JOIN dg USING (id, c) LEFT JOIN rk USING (id, c) LEFT JOIN mt USING (c) LEFT JOIN bw USING (c)""",
+    "impact_summary": f"""WITH RECURSIVE {SPREAD}, {AFTER}, {RANKED}, ext AS (SELECT id, arg_min(c, (-delta, c)) AS up_c, max(delta) AS up, arg_min(c, (delta, c)) AS down_c, min(delta) AS down FROM rk GROUP BY id), reach AS (SELECT sc.id, sc.target, count(narr.c) AS k FROM sc LEFT JOIN narr USING (id) GROUP BY 1, 2)
       SELECT id AS scenario_id, target AS target_country_iso3, (SELECT count(*) FROM nodes) AS total_reference_countries, 1::BIGINT AS directly_shocked_countries, k AS ripple_affected_countries_count,
       k + 1 AS total_affected_countries_count, (SELECT count(*) FROM nodes) - k - 1 AS unaffected_countries_count, (SELECT count(*) FROM d) AS total_dyads_simulated,
-      (SELECT count(*) FROM hit WHERE hit.id = reach.id AND sever) AS severed_dyads_count FROM reach""",
+      (SELECT count(*) FROM hit WHERE hit.id = reach.id AND sever) AS severed_dyads_count,
+      up_c AS max_pagerank_increase_country, {r('up', 'max_pagerank_increase')}, down_c AS max_pagerank_decrease_country, {r('down', 'max_pagerank_decrease')} FROM reach JOIN ext USING (id)""",
     "quality_events": "WITH " + CLEANED + " " + " UNION ALL ".join([
         rule("not empty", "count(*)", "tidy", "count(*) > 0"),
         rule("no nulls in country_iso3", "count(*) FILTER (country_iso3 IS NULL)", "tidy"),
@@ -535,21 +561,28 @@ ORACLES: dict[str, str] = {
         rule("latitude in [-90, 90]", "count(*) FILTER (latitude NOT BETWEEN -90 AND 90)", "tidy"),
         rule("longitude in [-180, 180]", "count(*) FILTER (longitude NOT BETWEEN -180 AND 180)", "tidy"),
     ]),
-    "quality_graph": f"WITH {NODES}, {DYADS} " + " UNION ALL ".join([
+    "quality_graph": f"WITH RECURSIVE {HALVES}, {PAIR_STEPS}, {rank_ctes('steps', 'nodes')} " + " UNION ALL ".join([
         "SELECT 'has composite_tension_index' AS rule, true AS passed, 1.0::DOUBLE AS observed", "SELECT 'has gone', false, 0.0::DOUBLE",
         rule("no self loops", "count(*) FILTER (src = dst)", "d"),
         rule("composite_tension_index in [0.0, 1.0]", "count(*) FILTER (w NOT BETWEEN 0 AND 1)", "d"),
         rule("news_avg_tone in [-1.0, 1.0]", "count(*) FILTER (tone NOT BETWEEN -1 AND 1)", "d"),
         rule("same keys country_iso3", "(SELECT count(*) FROM ((SELECT DISTINCT src FROM d EXCEPT SELECT c FROM nodes) UNION ALL (SELECT c FROM nodes EXCEPT SELECT src FROM d)))", "(SELECT 1)"),
         rule("as many pairs as nodes", "((SELECT count(*) FROM d) - (SELECT count(*) FROM nodes))", "(SELECT 1)"),
-        "SELECT 'sum of x is 1.0', true, 1.0::DOUBLE",
+        f"SELECT 'sum of pagerank_centrality is 1.0', abs(sum(p) - 1.0) < 1e-3, {r('sum(p)').split(' AS ')[0]} FROM r",
     ]),
-    "quality_news": f"""WITH {panel_ctes()}, {news_panel_ctes(REPORT_NA)} SELECT 'is_partial_month is boolean' AS rule, true AS passed, NULL::DOUBLE AS observed
-      UNION ALL SELECT 'year is boolean', false, NULL UNION ALL SELECT 'conflict_news_lag_3m missing before month 4', true, 0.0 UNION ALL SELECT 'avg_tone_lag_12m missing before month 13', true, 0.0
+    "quality_news": f"""WITH {panel_ctes()}, {news_panel_ctes(REPORT_NA)}, lagged AS (SELECT *, lag(conflict_news_count, 3) OVER w AS conflict_lag, lag(avg_tone, 12) OVER w AS tone_lag,
+      lag(avg_tone) OVER w AS last_tone, date_diff('month', min(m) OVER (), m) AS age FROM npanel WINDOW w AS (PARTITION BY ent ORDER BY m))
+      SELECT 'is_partial_month is boolean' AS rule, true AS passed, NULL::DOUBLE AS observed UNION ALL SELECT 'year is boolean', false, NULL
+      UNION ALL SELECT 'conflict_news_lag_3m missing before month 4', count(*) FILTER (age < 3 AND conflict_lag IS NOT NULL) = 0, CAST(count(*) FILTER (age < 3 AND conflict_lag IS NOT NULL) AS DOUBLE) FROM lagged
+      UNION ALL SELECT 'avg_tone_lag_12m missing before month 13', count(*) FILTER (age < 12 AND tone_lag IS NOT NULL) = 0, CAST(count(*) FILTER (age < 12 AND tone_lag IS NOT NULL) AS DOUBLE) FROM lagged
       UNION ALL SELECT 'joinable on country_iso3, year_month', count(*) > 0, CAST(count(*) AS DOUBLE) FROM panel JOIN npanel USING (ent, m)
-      UNION ALL SELECT 'finite avg_tone', true, 0.0 UNION ALL SELECT 'finite avg_tone_lag_1m', true, 0.0""",
+      UNION ALL SELECT 'finite avg_tone', count(*) FILTER (isnan(avg_tone) OR isinf(avg_tone)) = 0, CAST(count(*) FILTER (isnan(avg_tone) OR isinf(avg_tone)) AS DOUBLE) FROM lagged
+      UNION ALL SELECT 'finite avg_tone_lag_1m', count(*) FILTER (isnan(last_tone) OR isinf(last_tone)) = 0, CAST(count(*) FILTER (isnan(last_tone) OR isinf(last_tone)) AS DOUBLE) FROM lagged""",
     "entity_totals": f"""WITH s AS (SELECT c_mktsegment AS country, c_acctbal AS f FROM customer UNION ALL SELECT p_brand, p_size FROM part UNION ALL SELECT s_name, NULL FROM supplier)
       SELECT country, count(*) AS recent_events, {r('sum(coalesce(f, 0.0))', 'conflict_intensity', 4)}, CAST(sum(coalesce(f, 0.0)) > 50 AS BIGINT) AS escalation_warning FROM s GROUP BY country""",
+    "classifier_split": f"""WITH {CLASSIFIED} SELECT is_train, escalation_warning, count(*) AS entities, CAST(sum(events) AS BIGINT) AS events FROM cls GROUP BY 1, 2""",
+    "entity_warnings": f"""WITH {CLASSIFIED} SELECT count(*) AS held_out, CAST(sum(escalation_warning) AS BIGINT) AS warned, true AS beats_majority, true AS right_for_95_percent FROM cls WHERE NOT is_train""",
+    "feature_importances": "SELECT 2::BIGINT AS features, 0::BIGINT AS negative, 1.0::DOUBLE AS total, 'conflict_intensity' AS strongest",
     "pair_status": f"WITH {DYADS}, x AS (SELECT {LINK}, round(100 * w, 4) + 0.0 AS score, unnest(['conflict', 'economy', 'energy', 'global_impact', 'overview', 'hotspot']) AS domain FROM d) SELECT *, {STATUS} AS status FROM x",
     "pair_sub_scores": f"WITH {BASES} SELECT pair_a, pair_b, base AS score, signal, least(95.0, base - k)::DOUBLE AS sub_score FROM pb, (VALUES ('political', 6), ('border', 12), ('cyber', 18)) v(signal, k)",
     "contribution_split": f"""WITH {panel_ctes()}, x AS (SELECT ent, fatalities_best_total - coalesce(lag(fatalities_best_total) OVER (PARTITION BY ent ORDER BY m), 0) AS d FROM panel)
@@ -566,11 +599,13 @@ ORACLES: dict[str, str] = {
       k AS (SELECT ent, m, least(greatest(gpr0, -100.0), 100.0) AS gpr, least(greatest(oil0, -100.0), 100.0) AS oil, least(greatest(gold0, -100.0), 100.0) AS gold, least(greatest(fx0, -100.0), 100.0) AS fx FROM h),
       z AS (SELECT *, 0.68::DOUBLE - 0.0018::DOUBLE * gpr - 0.095::DOUBLE * oil - 0.04::DOUBLE * gold - 0.22::DOUBLE * fx AS net,
         least(95.0::DOUBLE, greatest(8.0::DOUBLE, 41.6::DOUBLE + 0.15::DOUBLE * gpr + 1.25::DOUBLE * oil + 0.75::DOUBLE * gold + 2.8::DOUBLE * fx)) AS down FROM k)
-      SELECT ent AS country_iso3, strftime(m, '%Y-%m') AS year_month, {r('round(down, 1)', 'downside_probability', 0)}, CAST(floor(25014.60::DOUBLE * (1 + net / 100) + 0.5) AS BIGINT) AS projected_level,
-      CAST(floor(25014.60::DOUBLE * (1 + net / 100) - 25014.60::DOUBLE + 0.5) AS BIGINT) AS point_change FROM z""",
-    "stream_daily_counts": f"WITH {scored_ctes('keyed')}, {_days} SELECT CAST(day AS VARCHAR) AS day, target_country_iso3, news_count_total, {r('tone_sum')}, negative_tone_count, extreme_tone_count, conflict_news_count FROM closed",
-    "stream_monthly_counts": f"""WITH {scored_ctes('keyed')}, {_days} SELECT target_country_iso3, CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS month_start, CAST(sum(news_count_total) AS BIGINT) AS news_count_total,
+      SELECT ent AS country_iso3, strftime(m, '%Y-%m') AS year_month, {r('round(net, 2)', 'net_return_forecast', 2)}, {r('round(down, 1)', 'downside_probability', 2)}, {r('round(100 - down, 1)', 'upside_probability', 2)},
+      CAST(floor(25014.60::DOUBLE * (1 + net / 100) + 0.5) AS BIGINT) AS projected_level,
+      CAST(floor(25014.60::DOUBLE * (1 + net / 100) - 25014.60::DOUBLE + 0.5) AS BIGINT) AS point_change,
+      {r('round(-0.0018::DOUBLE * gpr, 2)', 'gpr_impact', 2)}, {r('round(-0.095::DOUBLE * oil, 2)', 'oil_impact', 2)}, {r('round(-0.04::DOUBLE * gold, 2)', 'gold_impact', 2)}, {r('round(-0.22::DOUBLE * fx, 2)', 'fx_impact', 2)} FROM z""",
+    "stream_daily_counts": f"WITH {live_ctes()}, {_days} SELECT CAST(day AS VARCHAR) AS day, target_country_iso3, news_count_total, {r('tone_sum')}, negative_tone_count, extreme_tone_count, conflict_news_count FROM sd",
+    "stream_monthly_counts": f"""WITH {live_ctes()}, {_days} SELECT target_country_iso3, CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS month_start, CAST(sum(news_count_total) AS BIGINT) AS news_count_total,
       CAST(sum(negative_tone_count) AS BIGINT) AS negative_tone_count, CAST(sum(extreme_tone_count) AS BIGINT) AS extreme_tone_count, CAST(sum(conflict_news_count) AS BIGINT) AS conflict_news_count,
-      {r('sum(tone_sum) / sum(news_count_total)', 'avg_tone')} FROM closed GROUP BY 1, 2""",
-    "stream_unique_articles": f"WITH {ARTICLES} SELECT DISTINCT article_id FROM keyed",
+      {r('sum(tone_sum) / sum(news_count_total)', 'avg_tone')} FROM sd GROUP BY 1, 2""",
+    "stream_unique_articles": f"WITH {ARTICLES}, {_unique} SELECT article_id FROM live_day",
 }

@@ -14,6 +14,14 @@ from panelgraph.session import cut
 from panelgraph.sources import sinks
 
 
+def _gated(*checks: DataFrame, stop: bool = True) -> DataFrame:
+    """The rules of a flow, written once; a failed one stops the run unless ``stop`` is off."""
+    stacked = cut(quality.stack_checks(*checks))
+    if stop:
+        quality.enforce(stacked)
+    return stacked
+
+
 def build_events(raw: DataFrame, folder: str, *, order: Column | None = None) -> DataFrame:
     """Raw event records -> events/, event_features/ and their metadata; returns the gates."""
     spark = raw.sparkSession
@@ -27,9 +35,9 @@ def build_events(raw: DataFrame, folder: str, *, order: Column | None = None) ->
     sinks.write_metadata(
         sinks.panel_metadata(stored),
         f"{folder}/event_metadata",
-        {"threshold_deaths_12m": fv.ACTIVE_THRESHOLD, "min_year": fv.MIN_YEAR, "max_year": fv.MAX_YEAR},
+        {"threshold_deaths_12m": fv.ACTIVE_THRESHOLD},
     )
-    return quality.stack_checks(
+    return _gated(
         quality.not_empty(events),
         quality.no_nulls(events, ["country_iso3"]),
         quality.not_empty(stored),
@@ -48,6 +56,7 @@ def build_news(
     taxonomy: Mapping[str, Sequence[str]] = fv.TAXONOMY,
     valences: Mapping[str, float] = fv.VALENCES,
     publishers: DataFrame | None = None,
+    stop: bool = True,
 ) -> DataFrame:
     """Raw articles -> articles/, news_features/ and their metadata; returns the gates."""
     spark = raw.sparkSession
@@ -72,7 +81,7 @@ def build_news(
     ]
     if other_panel is not None:
         checks.append(quality.joinable(other_panel, stored, ["country_iso3", "year_month"]))
-    return quality.stack_checks(*checks)
+    return _gated(*checks, stop=stop)
 
 
 def build_relationships(events: DataFrame, articles: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
@@ -87,7 +96,7 @@ def build_relationships(events: DataFrame, articles: DataFrame, nodes: DataFrame
     excluded = dyads.pair_exclusions(events).select(F.struct("*").alias("x")).scalar()
     summary = graph.graph_summary(metrics, stored).withColumn("exclusions", excluded)
     sinks.write_metadata(summary, f"{folder}/graph_metadata")
-    return quality.stack_checks(
+    return _gated(
         quality.has_columns(stored, dyads.CUMULATIVE_COLUMNS),
         quality.no_self_loops(stored),
         quality.in_bounds(stored, {"composite_tension_index": (0.0, 1.0)}),
@@ -145,7 +154,7 @@ def build_what_if(
     sinks.write_table(impact.impact_summary(valid, countries, edges), f"{folder}/summary")
     sinks.write_graph(impact.impact_graph_nodes(countries), impact.impact_graph_links(edges), f"{folder}/graph")
     ranks = countries.groupBy("scenario_id").agg(F.sum("counterfactual_pagerank").alias("rank_sum"))
-    return quality.stack_checks(
+    return _gated(
         quality.same_keys(countries, metrics, ["country_iso3"]),
         quality.in_bounds(ranks, {"rank_sum": (1 - 1e-3, 1 + 1e-3)}),
         quality.in_bounds(countries, {"counterfactual_tone": (-1.0, 1.0)}),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from panelgraph.plans.skew import fits_broadcast, hot_keys, replicate, salt
+from panelgraph.plans.skew import hot_keys, replicate, salt
 from panelgraph.session import checkpoint, cut
 
 
@@ -20,6 +21,7 @@ def rank_nodes(
     max_iter: int,
     tol: float,
     group: Sequence[str] = (),
+    report: dict | None = None,
 ) -> DataFrame:
     """(group..., node, rank) by power iteration from equal ranks.
 
@@ -32,8 +34,10 @@ def rank_nodes(
     So an iteration is one join and one aggregate over the same input, its totals are observed
     in the job that computes it, and only one row per node is checkpointed.
 
-    While one row per node fits Spark's broadcast threshold, an iteration shuffles only the
-    summed ranks. Beyond it the ways stay partitioned by source, with hubs split over tasks.
+    The ways stay partitioned by source with hubs split over tasks, at every size; an iteration
+    shuffles one row per node and the summed ranks. ``report`` gets the number of iterations, the last
+    L1 change (of all graphs that still moved) and whether it fell below ``tol``; ranks that did not
+    settle within ``max_iter`` are also warned about.
     """
     g = list(group)
     size = Observation()
@@ -53,19 +57,22 @@ def rank_nodes(
         state = out.withColumn("rank", F.lit(1.0 / n))
     state, totals = _observed(state.withColumn("previous", F.lit(None).cast("double")))
 
-    hot = None
-    if not fits_broadcast(state, n):
-        hot = cut(hot_keys(ways, [*g, "src"]))
-        ways = salt(ways, [*g, "src"], hot, F.col("dst")).repartition(*g, "src", "slot")
-    ways = ways.persist(StorageLevel.MEMORY_AND_DISK)
-    for _ in range(max_iter):
+    hot = cut(hot_keys(ways, [*g, "src"]))
+    ways = salt(ways, [*g, "src"], hot, F.col("dst")).repartition(*g, "src", "slot").persist(StorageLevel.MEMORY_AND_DISK)
+    steps_done, moved = 0, float("inf")
+    for steps_done in range(1, max_iter + 1):
         constants = _constants(state, tol, g) if g else None
         lost = totals["lost"] or 0.0
         state, totals = _observed(_iterate(state, ways, g, alpha, hot, constants, n, lost))
         # One graph: its L1 change. Many: nothing moves once all of them have stopped.
-        if totals["moved"] < tol:
+        moved = totals["moved"]
+        if moved < tol:
             break
     ways.unpersist()
+    if report is not None:
+        report.update(iterations=steps_done, moved=moved, converged=moved < tol)
+    if not moved < tol:
+        warnings.warn(f"ranks still move by {moved} after {steps_done} iterations", stacklevel=2)
     if g:
         sums = state.groupBy(*g).agg(F.sum("rank").alias("_total"))
         return state.join(sums, g).select(*g, "node", (F.col("rank") / F.col("_total")).alias("rank"))
@@ -105,17 +112,14 @@ def _iterate(
     ways: DataFrame,
     g: Sequence[str],
     alpha: float,
-    hot: DataFrame | None,
+    hot: DataFrame,
     constants: DataFrame | None,
     n: int,
     lost: float,
 ) -> DataFrame:
     # Built again in every iteration, so expressions are short SQL text, quick to build.
     senders = state.selectExpr(*g, "node AS src", "out", "rank")
-    if hot is None:
-        sent = ways.join(F.broadcast(senders), [*g, "src"])
-    else:
-        sent = ways.join(replicate(senders, [*g, "src"], hot), [*g, "src", "slot"])
+    sent = ways.join(replicate(senders, [*g, "src"], hot), [*g, "src", "slot"])
     received = sent.groupBy(*g, "dst").agg(
         F.expr("max(if(weight IS NULL, out, NULL)) AS out"),
         F.expr("max(if(weight IS NULL, rank, NULL)) AS previous"),

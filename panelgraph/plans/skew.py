@@ -9,13 +9,9 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1 / MAX_HOT of all rows, so fewer than MAX_HOT can be.
 MAX_HOT = 1000
-#: Groups below this size fit one task anyway.
-MIN_HOT_ROWS = 200_000
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], *, max_hot: int = MAX_HOT, min_rows: int = MIN_HOT_ROWS
-) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], *, max_hot: int = MAX_HOT) -> DataFrame:
     """(keys..., fan): keys with more than ``1/max_hot`` of the rows, and parts to split each in.
 
     By the pigeonhole principle there are fewer than ``max_hot`` of them, whatever the data,
@@ -23,7 +19,7 @@ def hot_keys(
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
-    part = F.greatest(F.lit(float(min_rows)), total / F.lit(float(max_hot)))
+    part = total / F.lit(float(max_hot))
     return counts.filter(F.col("_n") > part).select(*keys, F.ceil(F.col("_n") / part).cast("int").alias("fan"))
 
 
@@ -39,18 +35,3 @@ def replicate(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
     marked = df.join(F.broadcast(hot), list(keys), "left")
     slots = F.sequence(F.lit(0), F.coalesce(F.col("fan"), F.lit(1)) - 1)
     return marked.withColumn("slot", F.explode(slots)).drop("fan")
-
-
-def fits_broadcast(df: DataFrame, rows: int) -> bool:
-    """Whether ``rows`` rows of this schema stay below Spark's own broadcast threshold."""
-    limit = _threshold(df)
-    width = sum(40 if f.dataType.typeName() == "string" else 16 for f in df.schema.fields)
-    return limit > 0 and rows * width <= limit
-
-
-def _threshold(df: DataFrame) -> int:
-    text = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    digits = text.rstrip("bkmg")
-    unit = text[len(digits):].rstrip("b")
-    return int(digits) * units.get(unit, 1)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,18 +23,11 @@ def build_session(app: str = "panelgraph", master: str | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The shared folder named by ``spark.checkpoint.dir``, else one in the warehouse, which is shared too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
-
-
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_panelgraph"
 
 
 def cut(df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -28,8 +28,12 @@ def _pairs(spark: SparkSession, rows: Sequence[tuple[str, str]], key: str, value
     )
 
 
-def state_codes(spark: SparkSession, rows=fv.STATE_CODES) -> DataFrame:
-    return _pairs(spark, rows, "state_code", "iso3").withColumn("state_code", F.col("state_code").cast("int"))
+def state_codes(spark: SparkSession, codes: Mapping[int, str] = fv.STATE_CODES) -> DataFrame:
+    return local_table(
+        spark,
+        {"state_code": list(codes), "iso3": list(codes.values()), "ord": range(len(codes))},
+        {"state_code": pa.int32(), "iso3": pa.string(), "ord": pa.int32()},
+    )
 
 
 def event_country_names(spark: SparkSession, rows=fv.EVENT_COUNTRY_NAMES) -> DataFrame:
@@ -40,8 +44,8 @@ def government_names(spark: SparkSession, rows=fv.GOVERNMENT_NAMES) -> DataFrame
     return _pairs(spark, rows, "government", "iso3")
 
 
-def display_names(spark: SparkSession, rows=fv.DISPLAY_NAMES) -> DataFrame:
-    return _pairs(spark, rows, "country_name", "country_iso3").select("country_iso3", "country_name")
+def display_names(spark: SparkSession, names: Mapping[str, str] = fv.DISPLAY_NAMES) -> DataFrame:
+    return _pairs(spark, list(names.items()), "country_iso3", "country_name").drop("ord")
 
 
 def publisher_countries(spark: SparkSession, rows=fv.PUBLISHER_COUNTRIES) -> DataFrame:

@@ -10,13 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RAW_EVENT_COLUMNS = (
-    "id", "year", "type_of_violence", "conflict_name", "side_a", "side_b", "country", "country_id",
-    "region", "date_start", "date_end", "best", "high", "low", "deaths_civilians", "latitude", "longitude",
-)
-RAW_ARTICLE_COLUMNS = (
-    "url", "url_mobile", "title", "seendate", "socialimage", "domain", "language", "sourcecountry",
-)
+from panelgraph.fixed_values import RAW_ARTICLE_COLUMNS, RAW_EVENT_COLUMNS
+
 ARTICLE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_ARTICLE_COLUMNS])
 
 
@@ -48,7 +43,8 @@ def read_csv_text(spark: SparkSession, path: str | list[str], *, multi_line: boo
     """
     first = path if isinstance(path, str) else path[0]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in csv_header(spark, first)])
-    return spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"', encoding="UTF-8")
+    # a file whose header names other columns, or the same in another order, is an error, not a shift of values
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, multiLine=multi_line, escape='"', encoding="UTF-8")
 
 
 def read_raw_events(spark: SparkSession, path: str | list[str], *, multi_line: bool = True) -> DataFrame:
@@ -97,7 +93,7 @@ def read_drifting_csv(spark: SparkSession, paths: Iterable[str]) -> tuple[DataFr
     parts = []
     for header, files in by_header.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        parts.append(spark.read.schema(schema).csv(files, header=True, escape='"'))
+        parts.append(spark.read.schema(schema).csv(files, header=True, multiLine=True, escape='"'))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
     return stacked, spark.createDataFrame(skipped, "path string, reason string")
 

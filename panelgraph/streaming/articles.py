@@ -31,18 +31,22 @@ def enrich_stream(raw: DataFrame, *, gazetteer=GAZETTEER, publishers: DataFrame
     return score_articles(placed, taxonomy=taxonomy, valences=valences)
 
 
-def unique_stream(articles: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Drop repeated article ids within the watermark; state is one key per recent article."""
-    return articles.withWatermark("published_at_utc", delay).dropDuplicatesWithinWatermark(["article_id"])
+def unique_articles(stored: DataFrame) -> DataFrame:
+    """Every article once: the first of each id, then the first of each title and UTC day.
 
+    Works on all that has landed, whatever the order of files and the size of batches, so nothing
+    is late and no watermark drops a row.
+    """
+    earliest = F.struct("published_at_utc", "article_id")
+    by_id = keep_first(stored, ["article_id"], earliest)
+    return keep_first(by_id, [F.to_date("published_at_utc").alias("_day"), F.sha2("title", 256).alias("_title")], earliest)
 
-def daily_counts(articles: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Articles, approximate domains, tone and flags per target and UTC day, once a day is closed."""
-    days = F.window("published_at_utc", "1 day")
+
+def daily_counts(articles: DataFrame) -> DataFrame:
+    """Articles, approximate domains, tone and flags per target and UTC day, open days included."""
     return (
-        articles.withWatermark("published_at_utc", delay)
-        .filter(F.col("target_country_iso3").isNotNull())
-        .groupBy(days, "target_country_iso3")
+        articles.filter(F.col("target_country_iso3").isNotNull())
+        .groupBy(F.to_date("published_at_utc").alias("day"), "target_country_iso3")
         .agg(
             F.count("article_id").alias("news_count_total"),
             F.approx_count_distinct("domain").alias("unique_domains_approx"),
@@ -51,13 +55,11 @@ def daily_counts(articles: DataFrame, delay: str = "2 days") -> DataFrame:
             F.count_if("is_extreme_tone").alias("extreme_tone_count"),
             F.count_if("is_conflict_relevant").alias("conflict_news_count"),
         )
-        .select(F.to_date("window.start").alias("day"), "target_country_iso3", "news_count_total",
-                "unique_domains_approx", "tone_sum", "negative_tone_count", "extreme_tone_count", "conflict_news_count")
     )
 
 
 def months_from_days(days: DataFrame) -> DataFrame:
-    """Roll closed days up to months in batch: counts add up, the mean is sum over count."""
+    """Roll days up to months in batch: counts add up, the mean is sum over count."""
     month = dates.month_start(F.col("day")).alias("month_start")
     counts = ("news_count_total", "negative_tone_count", "extreme_tone_count", "conflict_news_count")
     return days.groupBy("target_country_iso3", month).agg(
@@ -75,9 +77,3 @@ def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         .trigger(availableNow=True)
         .start()
     )
-
-
-def first_of_day(stored: DataFrame) -> DataFrame:
-    """Second dedup rule over the stored stream: the first article of each title and UTC day."""
-    order = F.struct("published_at_utc", "article_id")
-    return keep_first(stored, [F.to_date("published_at_utc").alias("_day"), F.sha2("title", 256).alias("_title")], order)

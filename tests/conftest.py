@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -18,6 +19,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.sql.session.timeZone": "UTC",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

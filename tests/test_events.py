@@ -153,6 +153,14 @@ def test_no_leakage_from_future_events(table):
 def test_features_share_the_panel_shuffle(table):
     df = features.event_features(panel.event_panel(table(EVENTS, CLEAN)))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    # one exchange for the monthly totals, one by entity for gaps and all windows
-    assert plan.count("Exchange hashpartitioning") == 2
+    # the monthly totals are a table: one exchange by entity is left, for gaps and all windows
+    assert plan.count("Exchange hashpartitioning") == 1
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_dirty_numbers_and_dates_end_no_job(table):
+    given = [("1e30", "1", "2020-02-15"), ("615", "99999999999", "02/15/2020"), ("615", "nan", "15 Feb 2020"), ("615", "2", "20200215"), ("615", "3", "Feb 15, 2020")]
+    rows = [raw(id=str(i), code=c, kind=k, start=d, end="", seq=i) for i, (c, k, d) in enumerate(given)]
+    got = {r.id: r for r in clean.clean_events(table(rows, RAW), order=F.col("seq")).collect()}
+    assert len(got) == 5 and {str(r.event_date)[:10] for r in got.values()} == {"2020-02-15"}
+    assert got["1"].type_of_violence == 0 and got["3"].type_of_violence == 2

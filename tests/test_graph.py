@@ -211,11 +211,9 @@ def random_steps(rng, names):
     return [(rng.choice(names + ["OUT"]), rng.choice(names), rng.choice([0.0, 0.2, 0.5, 1.0, -1.0])) for _ in range(len(names) * 2)]
 
 
-@pytest.mark.parametrize("shuffled", [False, True])
-def test_pagerank_equals_dense(table, monkeypatch, shuffled):
-    if shuffled:  # the plan for graphs beyond the broadcast threshold, with hubs split
-        monkeypatch.setattr(pr, "fits_broadcast", lambda *a: False)
-        monkeypatch.setattr(pr, "hot_keys", lambda df, keys: skew.hot_keys(df, keys, max_hot=20, min_rows=1))
+@pytest.mark.parametrize("max_hot", [1000, 20])
+def test_pagerank_equals_dense(table, monkeypatch, max_hot):
+    monkeypatch.setattr(pr, "hot_keys", lambda df, keys: skew.hot_keys(df, keys, max_hot=max_hot))
     rng = random.Random(11)
     names = [f"n{i:02d}" for i in range(12)]
     steps = random_steps(rng, names) + [("n00", n, 0.3) for n in names[1:]]
@@ -239,6 +237,17 @@ def test_pagerank_of_many_graphs_stops_each_by_itself(table):
         assert mine == pytest.approx(want, abs=1e-12), g
 
 
+def test_pagerank_reports_its_steps(table):
+    steps = table([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 0.5), ("c", "b", 0.5)], "src string, dst string, weight double")
+    nodes = table([("a",), ("b",), ("c",)], "node string")
+    report = {}
+    pr.rank_nodes(nodes, steps, alpha=0.85, max_iter=100, tol=1e-3, report=report)
+    assert report["converged"] and report["moved"] < 1e-3 and 1 < report["iterations"] < 100
+    with pytest.warns(UserWarning, match="still move"):
+        pr.rank_nodes(nodes, steps, alpha=0.85, max_iter=2, tol=1e-12, report=report)
+    assert report["iterations"] == 2 and not report["converged"]
+
+
 def test_graph_form_and_summary(table):
     edges = table([conflict("RUS", "UKR", 0.95444), conflict("USA", "RUS", 0.2, 0.0, "directed_news", True, -0.3, False)], DYADS)
     metrics = graph.node_metrics(nodes_of(table, ["RUS", "UKR", "USA", "FRA"]), edges, max_iter=6)
@@ -254,7 +263,7 @@ def test_graph_form_and_summary(table):
 def test_hot_keys_are_few_and_salted_rows_still_meet(table):
     rows = [("hub", i) for i in range(300)] + [(f"k{i}", i) for i in range(600)]
     df = table(rows, "k string, v int")
-    hot = skew.hot_keys(df, ["k"], max_hot=10, min_rows=1)
+    hot = skew.hot_keys(df, ["k"], max_hot=10)
     assert [(r.k, r.fan) for r in hot.collect()] == [("hub", 4)]
     salted = skew.salt(df, ["k"], hot, F.col("v"))
     assert salted.filter("k = 'hub'").select("slot").distinct().count() == 4
