@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from . import pieces
 from .tables import Tables
 
-CAPACITY, SALTS = 4096, 32
+#: Tokens of a sequence; salts of a size; the tier of capacity over this takes all shorter documents too.
+CAPACITY, SALTS, LAST_TIER = 4096, 32, 16
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -58,72 +59,97 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def _ranked(rows: DataFrame, size: str, key: list[str]) -> DataFrame:
-    """rows plus ``nth``, their place among rows of equal size, from 0; no size meets in one task."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)))
-    counts = salted.groupBy(size, "salt").agg(F.count("*").alias("n"))
-    before = W.partitionBy(size).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select(size, "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+def _ranked(rows: DataFrame, size: str, key: list[str], bases: DataFrame) -> DataFrame:
+    """rows plus ``nth``, their rank by ``size``; ranks are counted inside a size and salt, so no size meets in one task."""
     inside = F.row_number().over(W.partitionBy(size, "salt").orderBy(*key)) - 1
-    return salted.withColumn("nth", inside).join(bases, [size, "salt"]).withColumn("nth", F.col("nth") + F.col("base")).drop("salt", "base")
+    return _salted(rows, key).withColumn("nth", inside).join(bases.withColumnRenamed("size", size), [size, "salt"]).withColumn("nth", F.col("nth") + F.col("base"))
 
 
-def _sweep(left: DataFrame, gaps: DataFrame | None, low: int, top: int) -> DataFrame:
-    """left (item, length) plus ``i``, its rank by length, and ``seq``, the gap it gets, null if none."""
-    if gaps is None:
-        return _classes(left, None)[0].withColumn("seq", F.lit(None).cast("long"))
-    # a gap offers whole places of the tier's largest size and one of what remains, if that is of use
+def _salted(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+
+
+def _slots(gaps: DataFrame, low: int, top: int) -> DataFrame:
+    """Places that a gap offers to a tier: whole ones of its largest size, and what remains if that is of use."""
     sizes = F.concat(
         F.array_repeat(F.lit(top).cast("long"), F.expr(f"cast(gap div {top} as int)")),
         F.filter(F.array(F.expr(f"gap % {top}")), lambda g: g > low),
     )
-    slots = gaps.where(F.col("gap") > low).select("seq", F.posexplode(sizes).alias("slot", "size"))
-    docs, slots = _classes(left, slots)
-    return docs.join(slots, "at", "left").select("item", "length", "i", "seq")
+    return gaps.where(F.col("gap") > low).select("seq", F.posexplode(sizes).alias("slot", "size"))
 
 
-def _classes(left: DataFrame, slots: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Documents with rank ``i`` and wanted slot ``at``; slots with rank ``at``. One row per size decides."""
-    sizes = left.groupBy(F.col("length").alias("size")).agg(F.count("*").alias("docs"), F.lit(0).cast("long").alias("places"))
+def _counts(left: DataFrame, slots: DataFrame | None) -> tuple[dict, dict]:
+    """How many documents and slots have each size and salt: at most 2 x capacity x ``SALTS`` numbers."""
+    rows = _salted(left, ["item"]).select(F.lit(0).alias("kind"), F.col("length").alias("size"), "salt")
     if slots is not None:
-        sizes = sizes.unionByName(slots.groupBy("size").agg(F.lit(0).cast("long").alias("docs"), F.count("*").alias("places")))
-    sizes = sizes.groupBy("size").agg(F.sum("docs").alias("docs"), F.sum("places").alias("places"))
-    before = W.orderBy("size").rowsBetween(W.unboundedPreceding, -1)
-    below = sizes.select(
-        "size", "docs", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("docs_below"),
-        F.coalesce(F.sum("places").over(before), F.lit(0)).alias("places_below"),
-    )
-    shift = F.max(F.when(F.col("docs") > 0, F.col("places_below") - F.col("docs_below"))).over(W.orderBy("size").rowsBetween(W.unboundedPreceding, 0))
-    table = below.withColumn("shift", shift)
-    docs = _ranked(left, "length", ["item"]).join(table.withColumnRenamed("size", "length"), "length")
-    i = F.col("docs_below") + F.col("nth")
-    docs = docs.select("item", "length", i.alias("i"), (i + F.col("shift")).alias("at"))
-    if slots is None:
-        return docs.drop("at"), None
-    return docs, _ranked(slots, "size", ["seq", "slot"]).join(table, "size").select("seq", (F.col("places_below") + F.col("nth")).alias("at"))
+        rows = rows.unionByName(_salted(slots, ["seq", "slot"]).select(F.lit(1).alias("kind"), "size", "salt"))
+    found: tuple[dict, dict] = ({}, {})
+    for kind, size, salt, n in rows.groupBy("kind", "size", "salt").agg(F.count("*").alias("n")).collect():
+        found[kind].setdefault(size, {})[salt] = n
+    return found
+
+
+def _bases(spark, counts: dict, extra: dict[int, int]) -> DataFrame:
+    """(size, salt, base, shift): rows before each size and salt; ``extra`` is the shift of each size."""
+    rows, before = [], 0
+    for size in sorted(counts):
+        for salt in sorted(counts[size]):
+            rows.append((size, salt, before, extra.get(size, 0)))
+            before += counts[size][salt]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, ["size", "salt", "base", "shift"]))
+
+
+def _sweep(left: DataFrame, gaps: DataFrame | None, low: int, top: int) -> tuple[DataFrame, dict[int, int], dict[int, int]]:
+    """left (item, length) plus ``i``, its rank by length, and ``seq``, the gap it gets, null if none;
+
+    how many documents of each length there are, and how many of them get a gap.
+    """
+    spark = left.sparkSession
+    slots = _slots(gaps, low, top) if gaps is not None else None
+    docs, places = _counts(left, slots)
+    number = {size: sum(n.values()) for size, n in docs.items()}
+    free = sorted((size, sum(n.values())) for size, n in places.items())
+    total = sum(n for _, n in free)
+    shift, matched, shifts, before, smaller, at = 0, {}, {}, 0, 0, 0
+    for size in sorted(number):  # the running maximum of gaps too small, less documents before
+        while at < len(free) and free[at][0] < size:
+            smaller, at = smaller + free[at][1], at + 1
+        shift = max(shift, smaller - before)
+        shifts[size] = shift
+        matched[size] = min(number[size], max(0, total - before - shift))
+        before += number[size]
+    ranked = _ranked(left, "length", ["item"], _bases(spark, docs, shifts)).select("item", "length", F.col("nth").alias("i"), (F.col("nth") + F.col("shift")).alias("at"))
+    if not total:
+        return ranked.select("item", "length", "i", F.lit(None).cast("long").alias("seq")), number, matched
+    offered = _ranked(slots, "size", ["seq", "slot"], _bases(spark, places, {})).select("seq", F.col("nth").alias("at"))
+    return ranked.join(offered, "at", "left").select("item", "length", "i", "seq"), number, matched
 
 
 def best_fit(tables: Tables, items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """item, seq, round for items (item: unique, length: at least 1) no longer than ``capacity``.
 
-    A sequence has the number of the item that opened it. Every item gets a place; none is cut.
+    A sequence has the number of the item that opened it. Every item gets a place; none is cut. The
+    driver sees counts per size, which ``capacity`` bounds; documents and gaps stay in tables.
     """
     rounds, gaps, top = [], None, capacity
     while top:
-        low = top // 2
+        low = top // 2 if top > capacity // LAST_TIER else 0
         left = items.where(F.col("length").between(low + 1, top)).select("item", "length")
-        number, words = left.agg(F.count("*"), F.sum("length")).first()
-        while number:
-            tried = tables.write(f"round{len(rounds)}", _sweep(left, gaps, low, top))
-            unmatched = tried.where("seq is null")
-            left_number, left_words = unmatched.agg(F.count("*"), F.sum("length")).first()
+        while True:
+            swept, number, matched = _sweep(left, gaps, low, top)
+            if not number:
+                break
+            waiting = {size: n - matched[size] for size, n in number.items()}
             # every item over half the capacity needs a sequence of its own; the others wait until nothing fits
-            opens = 0
             if top == capacity:
-                opens = left_number
-            elif left_number == number:
-                opens = math.ceil(left_words / capacity)
-            first = number - opens  # unmatched items are the largest: a suffix of the ranks
+                opens = sum(waiting.values())
+            elif not any(matched.values()):
+                opens = math.ceil(sum(size * n for size, n in waiting.items()) / capacity)
+            else:
+                opens = 0
+            first = sum(number.values()) - opens  # items without a gap are the largest: a suffix of the ranks
+            tried = tables.write(f"round{len(rounds)}", swept)
             seq = F.when(F.col("seq").isNull() & (F.col("i") >= first), F.col("item")).otherwise(F.col("seq"))
             rounds.append(tried.select("item", "length", seq.alias("seq"), F.lit(len(rounds)).alias("round")).where("seq is not null"))
             used = rounds[-1].groupBy("seq").agg(F.sum("length").alias("used"))
@@ -132,10 +158,9 @@ def best_fit(tables: Tables, items: DataFrame, capacity: int = CAPACITY) -> Data
             gaps = tables.write("gaps", joined.select(
                 "seq", (F.coalesce("gap", F.lit(capacity)) - F.coalesce("used", F.lit(0))).cast("long").alias("gap")
             ).where("gap > 0"))
-            left = unmatched.where(F.col("i") < first).select("item", "length")
-            if opens:
-                left_number, left_words = left.agg(F.count("*"), F.sum("length")).first()
-            number, words = left_number, left_words
+            if sum(waiting.values()) == opens:
+                break
+            left = tried.where(F.col("seq").isNull() & (F.col("i") < first)).select("item", "length")
         top = low
     tables.drop("gaps")
     if not rounds:
