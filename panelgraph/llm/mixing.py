@@ -66,9 +66,9 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most: int = 3) ->
     fewer than their number may be left over. Sources of size 0 have target 0. An empty table gives
     an empty result.
     """
-    tables = Tables(docs.sparkSession, "mix")
+    tables, columns = Tables(docs.sparkSession, "mix"), tuple(dict.fromkeys((*keep, "source")))
     sized = tables.write("sized", docs.select(
-        *keep, "source", n_words(F.col("text")).alias("size"), document_key(F.col("doc_id"), F.col("text")).alias("mix_key"),
+        *columns, n_words(F.col("text")).alias("size"), document_key(F.col("doc_id"), F.col("text")).alias("mix_key"),
     ))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = tables.write("targets", source_targets(sizes, most))
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most: int = 3) ->
     joined = sized.join(thresholds, sized["source"].eqNullSafe(thresholds["t_source"]))
     extra = F.when(F.col("mix_key") < F.col("threshold"), F.col("size")).when(F.col("mix_key") == F.col("threshold"), F.col("share"))
     taken = F.col("copies") * F.col("size") + F.coalesce(extra, F.lit(0))
-    return joined.select(*keep, "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select(*columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def _thresholds(tables: Tables, sized: DataFrame, targets: DataFrame) -> DataFrame:
