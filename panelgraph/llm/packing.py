@@ -6,7 +6,7 @@ counted per size and salt, so no size meets in one task. A sweep then finds for
 document the first free gap that holds it: with s(k) gaps too small for document k, that is gap
 i + max(s(k) - k for k <= i), a running maximum over at most ``capacity`` sizes. Two documents that
 want one gap are told apart by their rank. Matched documents and gaps meet in an equi join on the
-rank, gaps shrink, and the round repeats; once nothing fits, the longest documents left open as many
+rank, gaps shrink, and the round repeats; once few fit, the longest documents left open as many
 sequences as the words left need at least.
 """
 
@@ -29,6 +29,8 @@ from .tables import Tables
 
 #: Tokens of a sequence; salts of a size; the tier of capacity over this takes all shorter documents too.
 CAPACITY, SALTS, LAST_TIER = 4096, 32, 16
+#: A sweep that places no more than this share of a tier's documents is followed by new sequences.
+FEW = 0.1
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -108,6 +110,8 @@ def _sweep(left: DataFrame, gaps: DataFrame | None, low: int, top: int) -> tuple
     spark = left.sparkSession
     slots = _slots(gaps, low, top) if gaps is not None else None
     docs, places = _counts(left, slots)
+    if not docs:
+        return left, {}, {}
     number = {size: sum(n.values()) for size, n in docs.items()}
     free = sorted((size, sum(n.values())) for size, n in places.items())
     total = sum(n for _, n in free)
@@ -141,10 +145,10 @@ def best_fit(tables: Tables, items: DataFrame, capacity: int = CAPACITY) -> Data
             if not number:
                 break
             waiting = {size: n - matched[size] for size, n in number.items()}
-            # every item over half the capacity needs a sequence of its own; the others wait until nothing fits
+            # every item over half the capacity needs a sequence of its own; the others wait until few fit
             if top == capacity:
                 opens = sum(waiting.values())
-            elif not any(matched.values()):
+            elif sum(matched.values()) <= FEW * sum(number.values()):
                 opens = math.ceil(sum(size * n for size, n in waiting.items()) / capacity)
             else:
                 opens = 0

@@ -38,9 +38,8 @@ class IdCache:
         missing: set[str] = set()
         for pieces in split:
             missing.update(filterfalse(self.inner.__contains__, pieces[1:]))
-        large = self._learn(sorted(missing))
-        get = self.inner.__getitem__ if not large else (lambda p: self.inner[p] if p in self.inner else large[p])
-        out = []
+        self._learn(list(missing))
+        get, out = self.inner.__getitem__, []
         for text, pieces in zip(texts, split, strict=True):
             try:
                 if pieces[0] != pieces[0].rstrip() or (len(pieces) > 1 and not pieces[0]):
@@ -48,6 +47,9 @@ class IdCache:
                 out.append(self._direct(pieces[0]) + b"".join(map(get, pieces[1:])))
             except TypeError:  # a piece has white space at its edge
                 out.append(self._direct(text))
+        for p in missing:
+            if len(p) > LONGEST_PIECE:
+                del self.inner[p]
         return out
 
     def _direct(self, text: str) -> bytes:
@@ -55,25 +57,22 @@ class IdCache:
             return b""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes | None]:
-        """Ids of the pieces, each after a space; None marks those that can't stand alone."""
+    def _learn(self, pieces: list[str]) -> None:
+        """Keep the ids of the pieces, each after a space; None marks those that can't stand alone."""
         safe = []
         for p in pieces:
             if not p or p[0].isspace() or p[-1].isspace():
                 self.inner[p] = None
             else:
                 safe.append(p)
-        large: dict[str, bytes | None] = {}
         for at in range(0, len(safe), 4000):
             some = safe[at : at + 4000]
             starts = np.cumsum([0] + [len(p) + 1 for p in some])
             encoding = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-            ids = np.array(encoding.ids, "<u4")
-            begins = np.fromiter((o[0] for o in encoding.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(begins, starts)
-            for p, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                (self.inner if len(p) <= LONGEST_PIECE else large)[p] = ids[a:b].tobytes()
-        return large
+            ids = np.array(encoding.ids, "<u4").tobytes()
+            begins = np.array([o[0] for o in encoding.offsets], np.int64)
+            cuts = (4 * np.searchsorted(begins, starts)).tolist()
+            self.inner.update(zip(some, [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
 
 
 class LengthCache:
@@ -99,17 +98,17 @@ class LengthCache:
         missing: set[str] = set()
         for pieces in split:
             missing.update(filterfalse(self.known.__contains__, pieces))
-        new = sorted(missing)
-        large: dict[str, int | None] = {}
-        for p, n in zip(new, self.lengths(new), strict=True):
-            (self.known if len(p) <= LONGEST_PIECE else large)[p] = n
-        get = self.known.__getitem__ if not large else (lambda p: self.known[p] if p in self.known else large[p])
-        out = []
+        new = list(missing)
+        self.known.update(zip(new, self.lengths(new), strict=True))
+        get, out = self.known.__getitem__, []
         for text, pieces in zip(texts, split, strict=True):
             try:
                 out.append(sum(map(get, pieces)) if text else 0)
             except TypeError:  # a run of spaces, or a mark next to one
                 out.append(len(self.processor.encode(text)))
+        for p in missing:
+            if len(p) > LONGEST_PIECE:
+                del self.known[p]
         return out
 
 
