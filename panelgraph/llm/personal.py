@@ -133,18 +133,23 @@ def disclosures(tables: Tables, docs: DataFrame, share: float = SHARE, contexts:
     """
     mentions = tables.write("mentions", _mentions(docs))
     seen = mentions.select("doc", "entity", F.xxhash64("near").alias("context"), F.explode(F.array_distinct("near")).alias("term"))
-    by_doc = seen.groupBy("entity", "term", "doc").agg(F.min("context").alias("context"))
+    by_doc = tables.write("by_doc", seen.groupBy("entity", "term", "doc").agg(F.min("context").alias("context")))
+    of_entity = tables.write("of_entity", mentions.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_e")))
+    n = F.lit(docs.count()).cast("double")
+    content = F.log2(n / F.col("n_e"))
+
+    def discloses(n_t: str) -> Column:
+        return (content > 0) & (F.log2(F.col("both") * n / (F.col(n_t) * F.col("n_e"))) >= share * content)
+
+    # a term stands in at least as many documents as it stands near values, so most pairs fall before any text is read
+    near = by_doc.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     pairs = tables.write("pairs", by_doc.groupBy("entity", "term").agg(
         F.count("*").alias("both"), F.countDistinct("context").alias("contexts")
-    ).where(F.col("contexts") >= contexts))
+    ).where(F.col("contexts") >= contexts).join(of_entity, "entity").join(near, "term").where(discloses("n_near")))
     candidates = tables.write("candidates", pairs.select("term").distinct())
     own = F.array_distinct(F.regexp_extract_all(F.lower(whole("text")), F.lit(LETTERS), F.lit(0)))
     of_term = tables.write("of_term", docs.select(F.explode(own).alias("term")).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")))
-    of_entity = mentions.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n = F.lit(docs.count()).cast("double")
-    content = F.log2(n / F.col("n_e"))
-    pmi = F.log2(F.col("both") * n / (F.col("n_t") * F.col("n_e")))
-    disclosed = pairs.join(of_term, "term").join(of_entity, "entity").where((content > 0) & (pmi >= share * content)).select("entity", "term")
+    disclosed = pairs.join(of_term, "term").where(discloses("n_t")).select("entity", "term")
     return tables.write("terms", mentions.select("doc", "entity").distinct().join(disclosed, "entity").groupBy("doc").agg(F.collect_set("term").alias("terms")))
 
 
@@ -160,7 +165,7 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: float =
     columns = tuple(dict.fromkeys((*keep, "text")))
     keyed = docs.select("doc_id", whole("text").alias("text")).withColumn("doc", key).select("doc", "text")
     terms = disclosures(tables, keyed, share, contexts)
-    tables.drop("mentions", "pairs", "candidates", "of_term")
+    tables.drop("mentions", "by_doc", "of_entity", "pairs", "candidates", "of_term")
     joined = docs.select(*columns, key.alias("__doc")).join(terms, F.col("__doc") == F.col("doc"), "left")
     spotted = joined.withColumn("base", base_spans(F.col("text")))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(r")(?!\p{L})"))
