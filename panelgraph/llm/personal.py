@@ -127,9 +127,8 @@ def _mentions(docs: DataFrame) -> DataFrame:
 def disclosures(tables: Tables, docs: DataFrame, share: float = SHARE, contexts: int = CONTEXTS) -> DataFrame:
     """doc, terms: for each document that names an entity, the terms that disclose it.
 
-    docs: doc (a key), text. Counts cover all documents. Only candidate terms are counted over all
-    texts: they meet the texts' words in a semi join, whose way Spark picks by the size of the
-    written table.
+    docs: doc (a key), text. Counts cover all documents. Terms of all texts are counted
+    in tasks first, and only the sums meet the candidates.
     """
     mentions = tables.write("mentions", _mentions(docs))
     seen = mentions.select("doc", "entity", F.xxhash64("near").alias("context"), F.explode(F.array_distinct("near")).alias("term"))
@@ -148,7 +147,7 @@ def disclosures(tables: Tables, docs: DataFrame, share: float = SHARE, contexts:
     ).where(F.col("contexts") >= contexts).join(of_entity, "entity").join(near, "term").where(discloses("n_near")))
     candidates = tables.write("candidates", pairs.select("term").distinct())
     own = F.array_distinct(F.regexp_extract_all(F.lower(whole("text")), F.lit(LETTERS), F.lit(0)))
-    of_term = tables.write("of_term", docs.select(F.explode(own).alias("term")).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")))
+    of_term = tables.write("of_term", docs.select(F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(candidates, "term"))
     disclosed = pairs.join(of_term, "term").where(discloses("n_t")).select("entity", "term")
     return tables.write("terms", mentions.select("doc", "entity").distinct().join(disclosed, "entity").groupBy("doc").agg(F.collect_set("term").alias("terms")))
 
