@@ -169,6 +169,11 @@ def near_copies(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seeds: int
     first of them, so no group is expanded into pairs. docs: doc_id, text and what ``keep`` names; nulls
     and empty texts are one class. Repeated rows are kept. An empty table gives an empty result.
     """
+    return _copies(docs, keep, seeds, alike).select(*keep, "component_id")
+
+
+def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: float = ALIKE) -> DataFrame:
+    """keep columns, node (hash of the text), root (smallest node of the class, never null) and component_id."""
     tables = Tables(docs.sparkSession, "copies")
     fields = [f"fp{s}" for s in range(seeds)]
     schema = T.StructType(
@@ -178,14 +183,15 @@ def near_copies(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seeds: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep) + 1).to_pylist()
-            nodes = [xxhash.xxh3_64_intdigest((t or "").encode()) - 2**63 for t in texts]
+            texts = batch.column(len(keep) + 2).to_pylist()
             prints = list(zip(*(word_set_prints(t, seeds) for t in texts), strict=True)) or [()] * seeds
             held = [sketches.sketch(t).tobytes() for t in texts]
-            columns = [*batch.columns[: len(keep) + 1], pa.array(nodes, pa.int64()), *[pa.array(p, pa.int64()) for p in prints], pa.array(held, pa.binary())]
+            columns = [*batch.columns[: len(keep) + 2], *[pa.array(p, pa.int64()) for p in prints], pa.array(held, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    prints = tables.write("prints", docs.select(*keep, F.col("doc_id").cast("long").alias("__id"), whole("text").alias("__text")).mapInArrow(run, schema))
+    prints = tables.write("prints", docs.select(
+        *keep, F.col("doc_id").cast("long").alias("__id"), F.xxhash64(whole("text")).alias("node"), whole("text").alias("__text")
+    ).mapInArrow(run, schema))
     nodes = tables.write("nodes", prints.groupBy("node", *fields).agg(F.min("__id").alias("first")))
     met = []
     for f in fields:
@@ -213,18 +219,24 @@ def near_copies(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seeds: int
     verified = tables.write("verified", both.select("a", "b", "sa", "sb").mapInArrow(verify, "u long, v long"))
     roots = connected(tables, verified)
     linked = nodes.select("node", "first").join(roots, "node")
-    named = linked.select("node", "root").join(linked.groupBy("root").agg(F.min("first").alias("class_first")), "root").select("node", "class_first")
-    classes = tables.write("classes", nodes.select("node", "first").join(named, "node", "left").select("node", F.coalesce("class_first", "first").alias("component_id")))
+    named = linked.select("node", "root").join(linked.groupBy("root").agg(F.min("first").alias("class_first")), "root").select("node", "root", "class_first")
+    classes = tables.write("classes", nodes.select("node", "first").join(named, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"), F.coalesce("class_first", "first").alias("component_id")
+    ))
     tables.drop("nodes", "pairs", "held", "verified", "stars", *fields, *[f"met-{f}" for f in fields])
-    return prints.select(*keep, "node").join(classes, "node").select(*keep, "component_id")
+    return prints.select(*keep, "node").join(classes, "node").select(*keep, "node", "root", "component_id")
 
 
 def representatives(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest id; equal rows are one document.
+    """One document of each class of near copies: the one with the smallest id, of several texts with that id the
+    one with the smallest hash. Equal rows are one document.
 
-    Where all ids of a class are null, one of its texts stays.
+    A document without an id stays only if its class has no id; every such class keeps one of its texts.
     """
     tables = Tables(docs.sparkSession, "chosen")
-    chosen = tables.write("classes", near_copies(docs, ("doc_id",)).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.select(*columns).join(chosen.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = tables.write("classes", _copies(docs, ("doc_id",)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("one")
+    chosen = found.groupBy("root").agg(first).select(F.col("one.doc_id").alias("__id"), F.col("one.node").alias("__node"))
+    own = docs.select(*dict.fromkeys((*columns, "doc_id")), F.xxhash64(whole("text")).alias("__own"))
+    kept = own.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__node")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__own"]).select(*columns)

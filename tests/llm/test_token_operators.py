@@ -204,6 +204,14 @@ def test_near_copies_of_four_fifths(documents):
     assert simhash.near_copies(documents([])).count() == 0
 
 
+def test_representatives_without_or_with_repeated_ids(documents):
+    text = lambda name, *edits: " ".join("edit" if i in edits else f"{name}{i}" for i in range(200))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b", 9)), (None, text("c")), (3, text("c", 90)), (5, text("d")), (5, text("e")), (None, None), (5, text("e"))]
+    kept = simhash.representatives(documents(rows), ("doc_id", "text")).collect()
+    names = sorted((r.doc_id or 0, (r.text or "-")[0]) for r in kept)
+    assert names == [(0, "-"), (0, "a"), (0, "b"), (3, "c"), (5, "d"), (5, "e")]
+
+
 def test_pipeline_stages_take_effect(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
