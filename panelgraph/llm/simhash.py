@@ -138,9 +138,9 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), width:
     return prints.join(classes, prints["fingerprint"] == classes["fp"]).select(*keep, "fingerprint", "component_id")
 
 
-#: Near copies of 0.8 and more: independent word-set fingerprints, and the least estimated resemblance
-#: of 5-word shingles. The estimate's standard error is 0.035 at 0.8, so 0.75 keeps 9 of 10 such pairs.
-SEEDS, ALIKE = 4, 0.75
+#: Near copies: independent word-set fingerprints, the least resemblance of 5-word shingles, and the least estimate
+#: with which a pair is read. The estimate's standard error is 0.035 at 0.8, so 0.65 is more than 4 of them below.
+SEEDS, ALIKE, READ = 4, 0.8, 0.65
 
 
 def word_set_prints(text: str | None, seeds: int = SEEDS) -> list[int]:
@@ -160,12 +160,53 @@ def word_set_prints(text: str | None, seeds: int = SEEDS) -> list[int]:
     return out
 
 
+def _shingles(text: str) -> set[bytes]:
+    """Different shingles that ``sketches.sketch`` hashes."""
+    words, width = text.encode().split(), sketches.WIDTH
+    return set(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))) if len(words) >= width else {b" ".join(words)} - {b""}
+
+
+def _alike(tables: Tables, name: str, pairs: DataFrame, prints: DataFrame, docs: DataFrame, alike: float) -> DataFrame:
+    """u, v: those of the pairs (a, b) of nodes whose shingles are exactly ``alike`` or more; sketches only spare reading."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = tables.write("held", prints.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+
+    def worth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+                if sketches.resemblance(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= min(READ, alike)
+            ]
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(rows, pa.int64())) for c in batch.columns[:2]], ["a", "b"])
+
+    read = tables.write("read", both.select("a", "b", "sa", "sb").mapInArrow(worth, "a long, b long"))
+    ends = read.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = tables.write("texts", docs.select(F.xxhash64(whole("text")).alias("node"), whole("text").alias("text")).join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    pair = read.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, set()
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                x, y = batch.column(3)[i].as_py(), _shingles(batch.column(2)[i].as_py())
+                if x != last:
+                    last, left = x, _shingles(x)
+                shared = len(left & y)
+                if not left and not y or shared >= alike * (len(left) + len(y) - shared):
+                    rows.append(i)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(rows, pa.int64())) for c in batch.columns[:2]], ["u", "v"])
+
+    return tables.write(name, pair.select("a", "b", "ta", "tb").mapInArrow(verify, "u long, v long"))
+
+
 def near_copies(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seeds: int = SEEDS, alike: float = ALIKE) -> DataFrame:
-    """keep columns and component_id: classes of texts whose 5-word shingles are about 0.8 alike or more.
+    """keep columns and component_id: classes of texts whose 5-word shingles are 0.8 alike or more.
 
     A pair is found if one of ``seeds`` fingerprints of its word sets is within 3 bits, through the same
-    index of byte positions, and stays if bottom-k sketches of the 5-word shingles estimate a
-    resemblance of ``alike``. Equal texts are one node; texts with one fingerprint are held against the
+    index of byte positions, and stays if the resemblance of the 5-word shingles, counted on the texts, is
+    ``alike``. Equal texts are one node; texts with one fingerprint are held against the
     first of them, so no group is expanded into pairs. docs: doc_id, text and what ``keep`` names; nulls
     and empty texts are one class. Repeated rows are kept. An empty table gives an empty result.
     """
@@ -204,26 +245,14 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
         met.append(tables.write(f"met-{f}", between.unionByName(same).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
         inner.drop("sizes", "met", "deeper")
     pairs = tables.write("pairs", reduce(DataFrame.unionByName, met).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = tables.write("held", prints.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-                if sketches.resemblance(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= alike
-            ]
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(rows, pa.int64())) for c in batch.columns[:2]], ["u", "v"])
-
-    verified = tables.write("verified", both.select("a", "b", "sa", "sb").mapInArrow(verify, "u long, v long"))
+    verified = _alike(tables, "verified", pairs, prints, docs, alike)
     roots = connected(tables, verified)
     linked = nodes.select("node", "first").join(roots, "node")
     named = linked.select("node", "root").join(linked.groupBy("root").agg(F.min("first").alias("class_first")), "root").select("node", "root", "class_first")
     classes = tables.write("classes", nodes.select("node", "first").join(named, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), F.coalesce("class_first", "first").alias("component_id")
     ))
-    tables.drop("nodes", "pairs", "held", "verified", "stars", *fields, *[f"met-{f}" for f in fields])
+    tables.drop("nodes", "pairs", "held", "read", "texts", "verified", "stars", *fields, *[f"met-{f}" for f in fields])
     return prints.select(*keep, "node").join(classes, "node").select(*keep, "node", "root", "component_id")
 
 

@@ -212,6 +212,20 @@ def test_representatives_without_or_with_repeated_ids(documents):
     assert names == [(0, "-"), (0, "a"), (0, "b"), (3, "c"), (5, "d"), (5, "e")]
 
 
+def test_near_copies_are_decided_on_whole_shingle_sets(documents):
+    rows, want = [], {}
+    for i, cut in enumerate([120, 150, 170, 199, 200, 201, 203, 210, 230, 250] * 3):  # 1 - cut / 1000 of 1000 shingles
+        base = [f"t{i}w{j}" for j in range(1004)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: 1004 - cut]))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i if cut <= 200 else 2 * i + 1}
+    docs = documents(rows)
+    tables, node = Tables(docs.sparkSession, "alike"), {r.doc_id: r.node for r in docs.select("doc_id", F.xxhash64("text").alias("node")).collect()}
+    pairs = [(node[2 * i], node[2 * i + 1]) for i in range(len(rows) // 2)]
+    held = docs.sparkSession.createDataFrame([(node[d], bytearray(sketches.sketch(t).tobytes())) for d, t in rows], "node long, sketch binary")
+    found = {(r.u, r.v) for r in simhash._alike(tables, "found", docs.sparkSession.createDataFrame(pairs, "a long, b long"), held, docs, 0.8).collect()}
+    assert found == {p for i, p in enumerate(pairs) if want[2 * i + 1] == 2 * i}
+
+
 def test_pipeline_stages_take_effect(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
