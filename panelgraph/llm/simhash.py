@@ -79,22 +79,24 @@ def _lists(prints: DataFrame, positions: list[tuple[int, ...]]) -> DataFrame:
     return prints.select("fp", F.explode(F.array(*masks)).alias("m")).select("fp", "m.*")
 
 
-def _paired(lists: DataFrame, keys: list[str]) -> DataFrame:
+def _paired(lists: DataFrame, keys: list[str], apart: int = BITS_APART) -> DataFrame:
     a, b = lists.select(*keys, F.col("fp").alias("u")), lists.select(*keys, F.col("fp").alias("v"))
     x = F.col("u").bitwiseXOR(F.col("v"))
-    close = (F.col("u") < F.col("v")) & (shared_bytes(x) >= SHARED_BYTES) & (F.bit_count(x) <= BITS_APART)
+    close = (F.col("u") < F.col("v")) & (shared_bytes(x) >= SHARED_BYTES) & (F.bit_count(x) <= apart)
     return a.join(b, keys).where(close).select("u", "v")
 
 
-def links(tables: Tables, prints: DataFrame, long: int = LONG) -> DataFrame:
+def links(tables: Tables, prints: DataFrame, long: int = LONG, apart: int = BITS_APART) -> DataFrame:
     """u, v: links that join exactly the fingerprints (column fp, all different) that 3 bits or fewer part.
 
+    With ``apart`` 64, pairs of short lists need five shared bytes only.
+
     Short lists give all their close pairs; long ones may give other links of the same components.
     """
     entries = _lists(prints, BLOCKS)
     sizes = tables.write("sizes", entries.groupBy("list", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
     met = tables.write("met", entries.join(sizes, ["list", "bytes"]))
-    found = [_paired(met.where(F.col("n") <= long), ["list", "bytes"])]
+    found = [_paired(met.where(F.col("n") <= long), ["list", "bytes"], apart)]
     if sizes.where(F.col("n") > long).limit(1).count():
         fifth = [(*b, p) for b in BLOCKS for p in range(8) if p not in b]
         deeper = met.where(F.col("n") > long).select("fp", F.explode(F.array(*[
@@ -102,7 +104,7 @@ def links(tables: Tables, prints: DataFrame, long: int = LONG) -> DataFrame:
             for k, p in enumerate(fifth)
         ])).alias("m"), "list").where("m.of = list").select("fp", "m.five", "m.key")
         counted = tables.write("deeper", deeper.join(deeper.groupBy("five", "key").agg(F.count("*").alias("n")).where("n > 1"), ["five", "key"]))
-        found.append(_paired(counted.where(F.col("n") <= long), ["five", "key"]))
+        found.append(_paired(counted.where(F.col("n") <= long), ["five", "key"], apart))
         free = F.element_at(F.array(*[F.array(*[F.lit(8 * p + i) for p in range(8) if p not in five for i in range(8)]) for five in fifth]), F.col("five") + 1)
         picks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in combinations(range(24), BITS_APART)])
         one = lambda b: F.expr(f"shiftleft(1L, get(free, pick.{b}))")
@@ -138,26 +140,20 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), width:
     return prints.join(classes, prints["fingerprint"] == classes["fp"]).select(*keep, "fingerprint", "component_id")
 
 
-#: Near copies: independent word-set fingerprints, the least resemblance of 5-word shingles, and the least estimate
-#: with which a pair is read. The estimate's standard error is 0.035 at 0.8, so 0.65 is more than 4 of them below.
+#: Near copies: signatures, the least resemblance of 5-word shingles, and the least estimate with which a pair is read.
+#: The estimate's standard error is 0.035 at 0.8, so 0.65 is more than 4 of them below. Each of a signature's eight
+#: bytes is that of a MinHash, equal with probability 0.8 or more at 0.8, whatever was edited and wherever: fewer than
+#: ``SHARED_BYTES`` agree in 5.6 % of signatures, in all four of them for 1 pair in 100,000.
 SEEDS, ALIKE, READ = 4, 0.8, 0.65
+TURNS = [np.uint64(xxhash.xxh64_intdigest(bytes([i]), 42) | 1) for i in range(8 * SEEDS)]
 
 
-def word_set_prints(text: str | None, seeds: int = SEEDS) -> list[int]:
-    """Signed 64-bit fingerprints of the set of lower-cased words, one per seed; all 0 without words."""
-    words = set((text or "").encode().lower().split())
-    if not words:
+def signatures(hashes: np.ndarray, seeds: int = SEEDS) -> list[int]:
+    """Signed 64-bit signatures of a text's shingle hashes: bytes of MinHashes; all 0 without shingles."""
+    if not len(hashes):
         return [0] * seeds
-    base = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in words]), ">u8").astype(np.uint64)
-    out = []
-    for seed in range(seeds):
-        h = base + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))  # the splitmix finaliser
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        counts = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big", signed=True))
-    return out
+    least = np.array([(hashes * turn).min() for turn in TURNS[: 8 * seeds]], "<u8")
+    return (least & np.uint64(255)).astype(np.uint8).view("<i8").tolist()
 
 
 def _shingles(text: str) -> set[bytes]:
@@ -204,7 +200,7 @@ def _alike(tables: Tables, name: str, pairs: DataFrame, prints: DataFrame, docs:
 def near_copies(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seeds: int = SEEDS, alike: float = ALIKE) -> DataFrame:
     """keep columns and component_id: classes of texts whose 5-word shingles are 0.8 alike or more.
 
-    A pair is found if one of ``seeds`` fingerprints of its word sets is within 3 bits, through the same
+    A pair is found if one of ``seeds`` signatures has five bytes of MinHashes in common, through the same
     index of byte positions, and stays if the resemblance of the 5-word shingles, counted on the texts, is
     ``alike``. Equal texts are one node; texts with one fingerprint are held against the
     first of them, so no group is expanded into pairs. docs: doc_id, text and what ``keep`` names; nulls
@@ -225,8 +221,9 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(keep) + 2).to_pylist()
-            prints = list(zip(*(word_set_prints(t, seeds) for t in texts), strict=True)) or [()] * seeds
-            held = [sketches.sketch(t).tobytes() for t in texts]
+            hashes = [sketches.shingle_hashes(t) for t in texts]
+            prints = list(zip(*(signatures(h, seeds) for h in hashes), strict=True)) or [()] * seeds
+            held = [sketches.smallest(h).tobytes() for h in hashes]
             columns = [*batch.columns[: len(keep) + 2], *[pa.array(p, pa.int64()) for p in prints], pa.array(held, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -238,7 +235,7 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
     for f in fields:
         firsts = tables.write(f, nodes.groupBy(F.col(f).alias("fp")).agg(F.min("node").alias("rep")))
         inner = Tables(docs.sparkSession, f"copies-{f}")
-        near = links(inner, firsts.select("fp"))
+        near = links(inner, firsts.select("fp"), apart=64)
         u, v = firsts.select(F.col("fp").alias("u"), F.col("rep").alias("a")), firsts.select(F.col("fp").alias("v"), F.col("rep").alias("b"))
         between = near.join(u, "u").join(v, "v").select("a", "b")
         same = nodes.join(firsts, F.col(f) == F.col("fp")).select(F.col("node").alias("a"), F.col("rep").alias("b"))

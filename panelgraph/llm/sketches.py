@@ -25,14 +25,18 @@ from .tables import whole
 K, WIDTH = 128, 5
 
 
-def sketch(text: str | None, k: int = K, width: int = WIDTH) -> np.ndarray:
-    """Sorted smallest hashes of a text's shingles; fewer words than ``width``: one shingle; none: empty."""
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Hashes of a text's shingles; fewer words than ``width``: one shingle; none: empty."""
     words = (text or "").encode().split()
     if not words:
         return np.empty(0, "<u8")
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
     digest = xxhash.xxh3_64_digest
-    hashes = np.frombuffer(b"".join([digest(s) for s in shingles]), ">u8").astype("<u8")
+    return np.frombuffer(b"".join([digest(s) for s in shingles]), ">u8").astype("<u8")
+
+
+def smallest(hashes: np.ndarray, k: int = K) -> np.ndarray:
+    """The k smallest different hashes, sorted."""
     if len(hashes) > 8 * k:  # the k smallest stand among these unless too many are equal
         near = np.unique(np.partition(hashes, 4 * k)[: 4 * k])
         if len(near) >= k:
@@ -40,6 +44,11 @@ def sketch(text: str | None, k: int = K, width: int = WIDTH) -> np.ndarray:
     return np.unique(hashes)[:k]
 
 
+def sketch(text: str | None, k: int = K, width: int = WIDTH) -> np.ndarray:
+    """Sorted smallest hashes of a text's shingles; fewer words than ``width``: one shingle; none: empty."""
+    return smallest(shingle_hashes(text, width), k)
+
+
 def merge(*sketches: np.ndarray, k: int = K) -> np.ndarray:
     """Sketch of the union of the sets behind ``sketches``."""
     return np.unique(np.concatenate(sketches))[:k] if sketches else np.empty(0, "<u8")

@@ -226,6 +226,20 @@ def test_near_copies_are_decided_on_whole_shingle_sets(documents):
     assert found == {p for i, p in enumerate(pairs) if want[2 * i + 1] == 2 * i}
 
 
+def test_passages_replaced_appended_and_cut_are_found(documents):
+    rows = []
+    for i in range(60):
+        ws = [f"d{i}w{j}" for j in range(504)]
+        new = [f"n{i}w{j}" for j in range(120)]
+        edits = [ws[:-50] + new[:50], ws + new, ws[:-95], new[:50] + ws[50:], ws[:200] + new[:46] + ws[246:]]  # 0.81 to 0.83
+        rows += [(10 * i + k, " ".join(t)) for k, t in enumerate([ws, *edits])]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(documents(rows)).collect()}
+    for d, t in rows:
+        a, b = shingles(rows[d // 10 * 6][1]), shingles(t)
+        assert len(a & b) >= 0.8 * len(a | b)
+    assert found == {d: d // 10 * 10 for d, _ in rows}
+
+
 def test_pipeline_stages_take_effect(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
