@@ -16,7 +16,6 @@ linked exactly without pairs: two of them differ in at most 3 bits if, and only
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -79,24 +78,22 @@ def _lists(prints: DataFrame, positions: list[tuple[int, ...]]) -> DataFrame:
     return prints.select("fp", F.explode(F.array(*masks)).alias("m")).select("fp", "m.*")
 
 
-def _paired(lists: DataFrame, keys: list[str], apart: int = BITS_APART) -> DataFrame:
+def _paired(lists: DataFrame, keys: list[str]) -> DataFrame:
     a, b = lists.select(*keys, F.col("fp").alias("u")), lists.select(*keys, F.col("fp").alias("v"))
     x = F.col("u").bitwiseXOR(F.col("v"))
-    close = (F.col("u") < F.col("v")) & (shared_bytes(x) >= SHARED_BYTES) & (F.bit_count(x) <= apart)
+    close = (F.col("u") < F.col("v")) & (shared_bytes(x) >= SHARED_BYTES) & (F.bit_count(x) <= BITS_APART)
     return a.join(b, keys).where(close).select("u", "v")
 
 
-def links(tables: Tables, prints: DataFrame, long: int = LONG, apart: int = BITS_APART) -> DataFrame:
+def links(tables: Tables, prints: DataFrame, long: int = LONG) -> DataFrame:
     """u, v: links that join exactly the fingerprints (column fp, all different) that 3 bits or fewer part.
 
-    With ``apart`` 64, pairs of short lists need five shared bytes only.
-
     Short lists give all their close pairs; long ones may give other links of the same components.
     """
     entries = _lists(prints, BLOCKS)
     sizes = tables.write("sizes", entries.groupBy("list", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
     met = tables.write("met", entries.join(sizes, ["list", "bytes"]))
-    found = [_paired(met.where(F.col("n") <= long), ["list", "bytes"], apart)]
+    found = [_paired(met.where(F.col("n") <= long), ["list", "bytes"])]
     if sizes.where(F.col("n") > long).limit(1).count():
         fifth = [(*b, p) for b in BLOCKS for p in range(8) if p not in b]
         deeper = met.where(F.col("n") > long).select("fp", F.explode(F.array(*[
@@ -104,7 +101,7 @@ def links(tables: Tables, prints: DataFrame, long: int = LONG, apart: int = BITS
             for k, p in enumerate(fifth)
         ])).alias("m"), "list").where("m.of = list").select("fp", "m.five", "m.key")
         counted = tables.write("deeper", deeper.join(deeper.groupBy("five", "key").agg(F.count("*").alias("n")).where("n > 1"), ["five", "key"]))
-        found.append(_paired(counted.where(F.col("n") <= long), ["five", "key"], apart))
+        found.append(_paired(counted.where(F.col("n") <= long), ["five", "key"]))
         free = F.element_at(F.array(*[F.array(*[F.lit(8 * p + i) for p in range(8) if p not in five for i in range(8)]) for five in fifth]), F.col("five") + 1)
         picks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in combinations(range(24), BITS_APART)])
         one = lambda b: F.expr(f"shiftleft(1L, get(free, pick.{b}))")
@@ -197,13 +194,19 @@ def _alike(tables: Tables, name: str, pairs: DataFrame, prints: DataFrame, docs:
     return tables.write(name, pair.select("a", "b", "ta", "tb").mapInArrow(verify, "u long, v long"))
 
 
+def _possible(u: str, v: str, n_u: str, n_v: str, alike: float) -> Column:
+    """Signatures share enough bytes, and the numbers of different shingles allow the resemblance."""
+    near = F.least(n_u, n_v) >= F.lit(alike - 1e-9) * F.greatest(n_u, n_v)
+    return (shared_bytes(F.col(u).bitwiseXOR(F.col(v))) >= SHARED_BYTES) & near
+
+
 def near_copies(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seeds: int = SEEDS, alike: float = ALIKE) -> DataFrame:
     """keep columns and component_id: classes of texts whose 5-word shingles are 0.8 alike or more.
 
     A pair is found if one of ``seeds`` signatures has five bytes of MinHashes in common, through the same
     index of byte positions, and stays if the resemblance of the 5-word shingles, counted on the texts, is
-    ``alike``. Equal texts are one node; texts with one fingerprint are held against the
-    first of them, so no group is expanded into pairs. docs: doc_id, text and what ``keep`` names; nulls
+    ``alike``. Equal texts are one node. The members of a list are held against one of them first, and
+    then each against all that are not of its class yet, however long the list is. docs: doc_id, text and what ``keep`` names; nulls
     and empty texts are one class. Repeated rows are kept. An empty table gives an empty result.
     """
     return _copies(docs, keep, seeds, alike).select(*keep, "component_id")
@@ -215,7 +218,7 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
     fields = [f"fp{s}" for s in range(seeds)]
     schema = T.StructType(
         [docs.schema[c] for c in keep] + [T.StructField("__id", T.LongType()), T.StructField("node", T.LongType())]
-        + [T.StructField(f, T.LongType()) for f in fields] + [T.StructField("sketch", T.BinaryType())]
+        + [T.StructField(f, T.LongType()) for f in ("shingles", *fields)] + [T.StructField("sketch", T.BinaryType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,32 +227,51 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
             hashes = [sketches.shingle_hashes(t) for t in texts]
             prints = list(zip(*(signatures(h, seeds) for h in hashes), strict=True)) or [()] * seeds
             held = [sketches.smallest(h).tobytes() for h in hashes]
-            columns = [*batch.columns[: len(keep) + 2], *[pa.array(p, pa.int64()) for p in prints], pa.array(held, pa.binary())]
+            sizes = pa.array([len(np.unique(h)) for h in hashes], pa.int64())
+            columns = [*batch.columns[: len(keep) + 2], sizes, *[pa.array(p, pa.int64()) for p in prints], pa.array(held, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     prints = tables.write("prints", docs.select(
         *keep, F.col("doc_id").cast("long").alias("__id"), F.xxhash64(whole("text")).alias("node"), whole("text").alias("__text")
     ).mapInArrow(run, schema))
-    nodes = tables.write("nodes", prints.groupBy("node", *fields).agg(F.min("__id").alias("first")))
-    met = []
-    for f in fields:
-        firsts = tables.write(f, nodes.groupBy(F.col(f).alias("fp")).agg(F.min("node").alias("rep")))
-        inner = Tables(docs.sparkSession, f"copies-{f}")
-        near = links(inner, firsts.select("fp"), apart=64)
-        u, v = firsts.select(F.col("fp").alias("u"), F.col("rep").alias("a")), firsts.select(F.col("fp").alias("v"), F.col("rep").alias("b"))
-        between = near.join(u, "u").join(v, "v").select("a", "b")
-        same = nodes.join(firsts, F.col(f) == F.col("fp")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-        met.append(tables.write(f"met-{f}", between.unionByName(same).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
-        inner.drop("sizes", "met", "deeper")
-    pairs = tables.write("pairs", reduce(DataFrame.unionByName, met).distinct())
-    verified = _alike(tables, "verified", pairs, prints, docs, alike)
+    nodes = tables.write("nodes", prints.groupBy("node", "shingles", *fields).agg(F.min("__id").alias("first")))
+    places = [
+        F.struct(F.lit(k).alias("list"), F.lit(k % len(BLOCKS)).alias("block"), F.col(f).alias("fp"), F.col(f).bitwiseAND(F.lit(_mask(b)).cast("long")).alias("bytes"))
+        for k, (f, b) in enumerate((f, b) for f in fields for b in BLOCKS)
+    ]
+    entries = nodes.select("node", "shingles", F.explode(F.array(*places)).alias("m")).select("node", "shingles", "m.*")
+    lists = entries.groupBy("list", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    met = tables.write("met", entries.join(lists, ["list", "bytes"]))
+
+    # first all members of a list against the one that stands in the longest lists: the original of many copies
+    score = met.groupBy("node").agg(F.sum("n").alias("score"))
+    leader = met.join(score, "node").groupBy("list", "bytes").agg(F.max(F.struct("score", "node", "fp", "shingles")).alias("l"))
+    led = met.join(leader, ["list", "bytes"]).select(*met.columns, F.col("l.node").alias("v"), F.col("l.fp").alias("fv"), F.col("l.shingles").alias("sv"))
+    pairs = tables.write("pairs", led.where((F.col("node") != F.col("v")) & _possible("fp", "fv", "shingles", "sv", alike)).select(
+        F.greatest("node", "v").alias("a"), F.least("node", "v").alias("b")
+    ).distinct())
+    verified = _alike(tables, "first", pairs, prints, docs, alike)
+
+    # then, in lists that hold several classes still, every pair of different classes
+    so_far = connected(tables, verified)
+    placed = met.join(so_far, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("list", "bytes").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("list", "bytes")
+    mixed = tables.write("mixed", placed.join(several, ["list", "bytes"]))
+    side = lambda *names: mixed.select("list", "bytes", "block", *[F.col(c).alias(n) for c, n in zip(("node", "root", "fp", "shingles"), names, strict=True)])
+    x = F.col("fu").bitwiseXOR(F.col("fv"))
+    lowest = F.array_position(F.array(*[x.bitwiseAND(F.lit(_mask(b)).cast("long")) for b in BLOCKS]), 0) - 1  # a pair counts in its first list only
+    rest = side("u", "ru", "fu", "su").join(side("v", "rv", "fv", "sv"), ["list", "bytes", "block"]).where(
+        (F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & (lowest == F.col("block")) & _possible("fu", "fv", "su", "sv", alike)
+    ).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    others = tables.write("others", rest.join(pairs, ["a", "b"], "left_anti"))
+    verified = tables.write("verified", verified.unionByName(_alike(tables, "second", others, prints, docs, alike)))
     roots = connected(tables, verified)
     linked = nodes.select("node", "first").join(roots, "node")
     named = linked.select("node", "root").join(linked.groupBy("root").agg(F.min("first").alias("class_first")), "root").select("node", "root", "class_first")
     classes = tables.write("classes", nodes.select("node", "first").join(named, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), F.coalesce("class_first", "first").alias("component_id")
     ))
-    tables.drop("nodes", "pairs", "held", "read", "texts", "verified", "stars", *fields, *[f"met-{f}" for f in fields])
+    tables.drop("nodes", "met", "pairs", "held", "read", "texts", "first", "mixed", "others", "second", "verified", "stars")
     return prints.select(*keep, "node").join(classes, "node").select(*keep, "node", "root", "component_id")
 
 

@@ -240,6 +240,18 @@ def test_passages_replaced_appended_and_cut_are_found(documents):
     assert found == {d: d // 10 * 10 for d, _ in rows}
 
 
+def test_strangers_of_the_same_words_do_not_hide_copies(documents):
+    sentence = [" ".join(f"s{k}w{j}" for j in range(40)) for k in range(30)]
+    swapped = [*sentence[1::-1], *sentence[2:]]
+    rows = [(1, " ".join(sentence).upper()), (2, " ".join(sentence)), (3, " ".join(swapped)), (4, " ".join(sentence[::-1]).upper()), (5, None), (6, " \n")]
+    chain = [f"c{j}" for j in range(700)]
+    rows += [(10 + k, " ".join(chain[60 * k : 60 * k + 400])) for k in range(6)]  # near the neighbours only: 0.74
+    rows += [(20 + k, " ".join(chain[40 * k : 40 * k + 400])) for k in range(7)]  # 0.82 with the neighbours, 0.66 beyond
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(documents(rows)).collect()}
+    sets = {d: shingles(t) for d, t in rows}
+    assert found == classes(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
 def test_pipeline_stages_take_effect(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
