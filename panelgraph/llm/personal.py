@@ -1,13 +1,16 @@
 """Personal data: fixed patterns, and terms that give the protected values away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct value is a
-protected entity. Words near its mentions are candidate terms, and what the corpus tells decides: with
-N documents, n(e) of them naming e, n(t) having t and n(t, e) both (t near e), the term discloses
+protected entity. All words outside base spans of the documents that name it are candidate terms, and what
+the corpus tells decides: with N documents, n(e) of them naming e, n(t) having t and n(t, e) both, the term
+discloses
 
     PMI(t; e) = log2(n(t, e) N / (n(t) n(e)))   of   IC(e) = log2(N / n(e))   bits.
 
-A term whose PMI reaches ``SHARE`` of the information content is a disclosure, once it was seen in
-``CONTEXTS`` different contexts (copies of one passage are one observation). In documents that name e such
+A term whose PMI reaches ``SHARE`` of the information content is a disclosure, unless chance explains it: of
+the m different texts that name e (copies are one observation) k have t with a probability of at most
+2^(-m D(k / m || n(t) / N)) by Chernoff's bound, and that times the number of their words must stay within ``DOUBT``. Two documents are enough
+for that in a few hundred, a single one in a hundred times as many as it has words. In documents that name e such
 terms become spans too, and the sanitised text replaces values by their kind and terms by ``[TERM]``.
 """
 
@@ -27,10 +30,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 TERM_KIND = "term"
 
-#: Words of context on either side and the characters they are looked for in.
-NEAR_WORDS, NEAR_CHARS = 8, 160
-SHARE, CONTEXTS = 0.8, 3
-LETTERS = r"\p{L}{3,}+"
+SHARE, DOUBT = 0.8, 0.01
+LETTERS = r"\p{L}{2,}+"
 SPAN = "struct<start:int,end:int,value:string>"
 
 
@@ -107,64 +108,66 @@ def labelled(spans: dict[str, Column]) -> Column:
     return F.array_join(F.concat(*[named(k, a) for k, a in spans.items()]), ",")
 
 
-def _mentions(docs: DataFrame) -> DataFrame:
-    """doc, entity, context of every mention: words near it, itself left out."""
-    found = docs.withColumn("base", base_spans(F.col("text"))).where(F.greatest(*[F.size(f"base.{k}") for k in KINDS]) > 0)
+def _observed(docs: DataFrame) -> DataFrame:
+    """doc, entities, words (different, outside base spans), copies of every different text."""
+    found = docs.withColumn("base", base_spans(F.col("text")))
+    base = {k: F.col(f"base.{k}") for k in KINDS}
 
     def named(kind: str) -> Column:
-        return F.transform(f"base.{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        value = (lambda v: _digits(v)) if kind in ("card", "phone") else F.lower
+        return F.transform(base[kind], lambda s: F.concat_ws(":", F.lit(kind), value(s["value"])))
 
-    spans = F.concat(*map(named, KINDS))
-    one = found.select("doc", "text", F.explode(spans).alias("s"))
-    first = F.greatest(F.col("s.start") - NEAR_CHARS, F.lit(0))
-    left = F.regexp_extract_all(F.lower(F.substring("text", first + 1, F.col("s.start") - first)), F.lit(LETTERS), F.lit(0))
-    right = F.regexp_extract_all(F.lower(F.substring("text", F.col("s.end") + 1, F.lit(NEAR_CHARS))), F.lit(LETTERS), F.lit(0))
-    near = F.concat(F.slice(left, F.greatest(F.size(left) - NEAR_WORDS + 1, F.lit(1)), F.lit(NEAR_WORDS)), F.slice(right, 1, NEAR_WORDS))
-    value = F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    return one.select("doc", F.concat_ws(":", "s.kind", value).alias("entity"), near.alias("near"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(sanitised(F.col("text"), base, F.lit(" "))), F.lit(LETTERS), F.lit(0)))
+    return found.select("doc", F.array_distinct(F.concat(*map(named, KINDS))).alias("entities"), words.alias("words")).dropDuplicates(["doc"]).join(
+        docs.select("doc", "row").distinct().groupBy("doc").agg(F.count("*").alias("copies")), "doc"
+    )
 
 
-def disclosures(tables: Tables, docs: DataFrame, share: float = SHARE, contexts: int = CONTEXTS) -> DataFrame:
-    """doc, terms: for each document that names an entity, the terms that disclose it.
+def disclosures(tables: Tables, docs: DataFrame, share: float = SHARE, doubt: float = DOUBT) -> DataFrame:
+    """doc, terms: for each text that names an entity, the terms that disclose it.
 
-    docs: doc (a key), text. Counts cover all documents. Terms of all texts are counted
-    in tasks first, and only the sums meet the candidates.
+    docs: doc (a key of the text), row (one of the document), text. Counts cover all documents. Words are counted first; those too
+    common to disclose any entity of their text fall before words meet entities.
     """
-    mentions = tables.write("mentions", _mentions(docs))
-    seen = mentions.select("doc", "entity", F.xxhash64("near").alias("context"), F.explode(F.array_distinct("near")).alias("term"))
-    by_doc = tables.write("by_doc", seen.groupBy("entity", "term", "doc").agg(F.min("context").alias("context")))
-    of_entity = tables.write("of_entity", mentions.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_e")))
-    n = F.lit(docs.count()).cast("double")
-    content = F.log2(n / F.col("n_e"))
-
-    def discloses(n_t: str) -> Column:
-        return (content > 0) & (F.log2(F.col("both") * n / (F.col(n_t) * F.col("n_e"))) >= share * content)
-
-    # a term stands in at least as many documents as it stands near values, so most pairs fall before any text is read
-    near = by_doc.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = tables.write("pairs", by_doc.groupBy("entity", "term").agg(
-        F.count("*").alias("both"), F.countDistinct("context").alias("contexts")
-    ).where(F.col("contexts") >= contexts).join(of_entity, "entity").join(near, "term").where(discloses("n_near")))
-    candidates = tables.write("candidates", pairs.select("term").distinct())
-    own = F.array_distinct(F.regexp_extract_all(F.lower(whole("text")), F.lit(LETTERS), F.lit(0)))
-    of_term = tables.write("of_term", docs.select(F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(candidates, "term"))
-    disclosed = pairs.join(of_term, "term").where(discloses("n_t")).select("entity", "term")
-    return tables.write("terms", mentions.select("doc", "entity").distinct().join(disclosed, "entity").groupBy("doc").agg(F.collect_set("term").alias("terms")))
-
-
-def detect(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: float = SHARE, contexts: int = CONTEXTS) -> DataFrame:
+    observed = tables.write("observed", _observed(docs))
+    n = F.lit(observed.agg(F.sum("copies")).first()[0] or 0).cast("double")
+    naming = observed.where(F.size("entities") > 0)
+    mentions = tables.write("mentions", naming.select("doc", "copies", F.size("words").alias("tried"), F.explode("entities").alias("entity")))
+    of_entity = tables.write("of_entity", mentions.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts"), F.sum("tried").alias("tried")))
+    of_term = tables.write("of_term", observed.select("copies", F.explode("words").alias("term")).groupBy("term").agg(F.sum("copies").alias("n_t")))
+
+    # PMI >= share * IC asks for n(t) <= n(t, e) (N / n(e))^(1 - share), which is n(e)^share N^(1 - share) at most
+    known = tables.write("known", mentions.select("doc", "copies", "entity").join(of_entity, "entity"))
+    most = known.groupBy("doc").agg(F.max("n_e").alias("most"))
+    rare = naming.select("doc", F.explode("words").alias("term")).join(of_term, "term").join(most, "doc").where(
+        F.col("n_t") <= F.pow("most", F.lit(share)) * F.pow(n, F.lit(1 - share)) * 1.000001
+    )
+    both = rare.select("doc", "term", "n_t").join(known, "doc").groupBy("entity", "term", "n_t", "n_e", "texts", "tried").agg(
+        F.sum("copies").alias("both"), F.count("*").alias("seen")
+    )
+    content, p, a = F.log2(n / F.col("n_e")), F.col("n_t") / n, F.col("seen") / F.col("texts")
+    bits = F.col("texts") * (a * F.log2(a / p) + F.when(a < 1, (1 - a) * F.log2((1 - a) / (1 - p))).otherwise(0.0))
+    disclosed = tables.write("disclosed", both.where(
+        (content > 0) & (F.log2(F.col("both") * n / (F.col("n_t") * F.col("n_e"))) >= share * content) & (a > p) & (bits >= F.log2(F.col("tried") / doubt))
+    ).select("entity", "term"))
+    found = mentions.select("doc", "entity").join(disclosed, "entity").select("doc", "term").distinct()
+    here = naming.select("doc", F.explode("words").alias("term")).join(found, ["doc", "term"], "left_semi")
+    return tables.write("terms", here.groupBy("doc").agg(F.collect_set("term").alias("terms")))
+
+
+def detect(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: float = SHARE, doubt: float = DOUBT) -> DataFrame:
     """keep columns, text, and one span array for each kind and for ``term``.
 
     docs: doc_id, text and what ``keep`` names; others are ignored. Null texts count as empty and have no
-    span. Repeated rows (same id and text) are one document to the counts and get the same spans. Terms
+    span. Repeated rows (same id and text) are one document to the counts, equal texts get the same spans. Terms
     inside a base span are left to it. An empty table gives an empty result.
     """
     tables = Tables(docs.sparkSession, "personal")
-    key = F.xxhash64("doc_id", whole("text"))
+    key = F.xxhash64(whole("text"))
     columns = tuple(dict.fromkeys((*keep, "text")))
-    keyed = docs.select("doc_id", whole("text").alias("text")).withColumn("doc", key).select("doc", "text")
-    terms = disclosures(tables, keyed, share, contexts)
-    tables.drop("mentions", "by_doc", "of_entity", "pairs", "candidates", "of_term")
+    keyed = docs.select(key.alias("doc"), F.xxhash64("doc_id", whole("text")).alias("row"), whole("text").alias("text"))
+    terms = disclosures(tables, keyed, share, doubt)
+    tables.drop("observed", "mentions", "of_entity", "of_term", "known", "disclosed")
     joined = docs.select(*columns, key.alias("__doc")).join(terms, F.col("__doc") == F.col("doc"), "left")
     spotted = joined.withColumn("base", base_spans(F.col("text")))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(r")(?!\p{L})"))
@@ -173,11 +176,11 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: float =
     return spotted.withColumn("term", own).select(*columns, *[F.col(f"base.{k}").alias(k) for k in KINDS], "term")
 
 
-def sanitised(text: Column, spans: dict[str, Column]) -> Column:
-    """The text with every span replaced by its kind in capitals; of spans that overlap, the later gives way."""
+def sanitised(text: Column, spans: dict[str, Column], mark: Column | None = None) -> Column:
+    """The text with every span replaced by its kind in capitals (or ``mark``); of spans that overlap, the later gives way."""
 
     def tagged(kind: str, found: Column) -> Column:
-        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.lit(f"[{kind.upper()}]") if mark is None else mark).alias("tag")))
 
     every = F.array_sort(F.concat(*[tagged(k, a) for k, a in spans.items()]))
     t = whole(text)

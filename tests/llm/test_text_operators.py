@@ -162,3 +162,14 @@ def test_terms_that_give_an_entity_away(documents):
     assert out[0].clean == "near aaaaa the agent [TERM] wrote from [EMAIL] and the ffff rest"
     assert not any(out[i].term for i in [*range(50, 59), *range(100, 300)])
     assert out[100].clean == plain[0][1]
+
+
+def test_terms_far_from_rare_entities(documents):
+    filler = " ".join(f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "klmnprst")
+    plain = [(100 + i, f"letter {filler} and write to number {i}") for i in range(400)]
+    twice = [(i, f"Zorblatt and 李明 write. {filler} {'ab'[i] * 3} to rare.one@x.example") for i in range(2)]
+    out = {r.doc_id: [s.value for s in r.term] for r in personal.detect(documents(twice + plain)).collect()}
+    assert all(out[i] == ["Zorblatt", "李明"] for i in range(2)) and not any(out[100 + i] for i in range(400))
+    many = [(1000 + i, f"a short note number {i}") for i in range(3000)]
+    out = {r.doc_id: [s.value for s in r.term] for r in personal.detect(documents([(1, "Quibble keeps a short note under +1 (017) 555-7713"), *many])).collect()}
+    assert "Quibble" in out[1] and "short" not in out[1] and not any(out[1000 + i] for i in range(3000))
