@@ -1,5 +1,5 @@
 """Operators of a training-data pipeline: formatting, token files, mixing, fingerprints, near-duplicates,
-quality, packing, token counts, licences and personal data. Nothing outside this package imports it."""
+quality, packing, token counts, licences, personal data, periodic runs, conversation repair and a quality classifier. Nothing outside this package imports it."""
 
 import sys
 

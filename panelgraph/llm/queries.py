@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, packing, personal, quality, simhash, sketches, token_counts, token_files
-from .tables import Tables
+from . import additive, chat, licenses, mixing, packing, periodic, personal, quality, repair, simhash, sketches, token_counts, token_files
+from .tables import Tables, words
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,6 +81,64 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents whose id's CRC is a multiple of ten repeat a stretch of their words to the end."""
+    h, n = F.crc32(F.col("doc_id").cast("string")), F.size("words").cast("long")
+    g = F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", place(i))), " ")
+    chosen = h % 10 == 0
+    split = docs.withColumn("words", F.when(chosen, words(F.col("text"))))
+    return split.withColumn("text", F.when(chosen & (n > 0), repeated).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(_with_planted_runs(_read(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.withColumn("best", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(F.lit(1000) * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut, repeated and given to the user by the CRC of their place."""
+    null = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat_ws(":", null("conv_id"), null("turn"))) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(null("text"), "[.!?]", "")).otherwise(null("text"))
+    role = F.when(fault == 4, "user").otherwise(null("role"))
+    return rows.where(fault != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), F.when(fault == 3, 2).otherwise(1)))).drop("col")
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "conversations")
+    found = repair.report(repair.repair(_damaged(rows)), rows.schema["conv_id"].dataType.simpleString())
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    docs = _read(spark, folder, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    found = additive.classify(docs, _read(spark, folder, "labels"), ~F.col("held_out"), ("doc_id", "held_out"))
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_token_files": op2_token_files,
@@ -92,4 +150,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_license_scans": op9_license_scans,
     "op10_personal_data": op10_personal_data,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_quality_classifier": op13_quality_classifier,
 }
