@@ -241,7 +241,10 @@ def train(features: DataFrame, labels: DataFrame, label: str = "quality", most_r
     sample = rows.where(F.col("key") < F.lit(int((2 * share - 1) * 2**63) if share < 1 else 2**63 - 1))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = pd.concat(batches).sort_values("key", kind="stable")
+        held = list(batches)
+        if not held:
+            return
+        table = pd.concat(held).sort_values("key", kind="stable")
         values = np.array(table["features"].tolist(), float).reshape(len(table), len(FEATURES))
         yield pd.DataFrame({"model": [pickle.dumps(vars(fit(values, table["label"].to_numpy(float))))]})
 
