@@ -248,7 +248,7 @@ def train(features: DataFrame, labels: DataFrame, label: str = "quality", most_r
         values = np.array(table["features"].tolist(), float).reshape(len(table), len(FEATURES))
         yield pd.DataFrame({"model": [pickle.dumps(vars(fit(values, table["label"].to_numpy(float))))]})
 
-    fitted = sample.select("features", "label", "key").coalesce(1).mapInPandas(learn, "model binary").first()
+    fitted = sample.select("features", "label", "key").repartition(1).mapInPandas(learn, "model binary").first()
     return Model(**pickle.loads(fitted["model"])) if fitted else fit(np.empty((0, len(FEATURES))), np.empty(0))
 
 
