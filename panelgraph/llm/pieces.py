@@ -30,11 +30,20 @@ class IdCache:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.inner: dict[str, bytes | None] = {}
+        self.first: dict[str, bytes] = {}
+        # byte-level BPE writes the space as a letter of its own, so tokens tell where a piece begins
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) > MOST_PIECES:
             self.inner.clear()
+        if len(self.first) > MOST_PIECES:
+            self.first.clear()
         split = [t.split(" ") for t in texts]
+        new = list({p[0] for p in split if p[0]}.difference(self.first))
+        self.first.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         missing: set[str] = set()
         for pieces in split:
             missing.update(filterfalse(self.inner.__contains__, pieces[1:]))
@@ -44,12 +53,15 @@ class IdCache:
             try:
                 if pieces[0] != pieces[0].rstrip() or (len(pieces) > 1 and not pieces[0]):
                     raise TypeError
-                out.append(self._direct(pieces[0]) + b"".join(map(get, pieces[1:])))
+                out.append((self.first[pieces[0]] if pieces[0] else b"") + b"".join(map(get, pieces[1:])))
             except TypeError:  # a piece has white space at its edge
                 out.append(self._direct(text))
         for p in missing:
             if len(p) > LONGEST_PIECE:
                 del self.inner[p]
+        for p in new:
+            if len(p) > LONGEST_PIECE:
+                del self.first[p]
         return out
 
     def _direct(self, text: str) -> bytes:
@@ -67,8 +79,16 @@ class IdCache:
                 safe.append(p)
         for at in range(0, len(safe), 4000):
             some = safe[at : at + 4000]
+            joined = " " + " ".join(some)
+            if self.begins.any():
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.flatnonzero(self.begins[ids])
+                if len(cuts) == len(some):
+                    cuts, ids = (4 * np.append(cuts, len(ids))).tolist(), ids.tobytes()
+                    self.inner.update(zip(some, [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+                    continue
             starts = np.cumsum([0] + [len(p) + 1 for p in some])
-            encoding = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            encoding = self.tokenizer.encode(joined, add_special_tokens=False)
             ids = np.array(encoding.ids, "<u4").tobytes()
             begins = np.array([o[0] for o in encoding.offsets], np.int64)
             cuts = (4 * np.searchsorted(begins, starts)).tolist()
