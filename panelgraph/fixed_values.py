@@ -9,11 +9,11 @@ from __future__ import annotations
 
 # --- Fixed values: state number -> ISO 3166-1 alpha-3 code. ---
 STATE_CODES = {
-    2: "USA", 20: "CAN", 40: "CUB", 41: "HTI", 42: "DOM", 51: "JAM", 52: "TTO", 70: "MEX", 90: "GTM", 91: "HND",
+    2: "USA", 20: "CAN", 40: "CUB", 41: "HTI", 42: "DOM", 70: "MEX", 90: "GTM", 91: "HND",
     92: "SLV", 93: "NIC", 94: "CRI", 95: "PAN", 100: "COL", 101: "VEN", 110: "GUY", 115: "SUR", 130: "ECU",
     135: "PER", 140: "BRA", 145: "BOL", 150: "PRY", 155: "CHL", 160: "ARG", 165: "URY", 200: "GBR", 205: "IRL",
     210: "NLD", 211: "BEL", 212: "LUX", 220: "FRA", 225: "CHE", 230: "ESP", 235: "PRT", 260: "DEU", 290: "POL",
-    305: "AUT", 310: "HUN", 315: "CZE", 316: "CZE", 317: "SVK", 325: "ITA", 338: "MLT", 339: "ALB", 341: "MNE",
+    305: "AUT", 310: "HUN", 315: "CZE", 316: "CZE", 317: "SVK", 325: "ITA", 339: "ALB", 341: "MNE",
     343: "MKD", 344: "HRV", 345: "SRB", 346: "BIH", 347: "KOS", 349: "SVN", 350: "GRC", 352: "CYP", 355: "BGR",
     359: "MDA", 360: "ROU", 365: "RUS", 366: "EST", 367: "LVA", 368: "LTU", 369: "UKR", 370: "BLR", 371: "ARM",
     372: "GEO", 373: "AZE", 375: "FIN", 380: "SWE", 385: "NOR", 390: "DNK", 395: "ISL", 402: "CPV", 404: "GNB",
@@ -28,7 +28,7 @@ STATE_CODES = {
     712: "MNG", 713: "TWN", 731: "PRK", 732: "KOR", 740: "JPN", 750: "IND", 760: "BTN", 770: "PAK", 771: "BGD",
     775: "MMR", 780: "LKA", 781: "MDV", 790: "NPL", 800: "THA", 811: "KHM", 812: "LAO", 816: "VNM", 820: "MYS",
     830: "SGP", 835: "BRN", 840: "PHL", 850: "IDN", 860: "TLS", 900: "AUS", 910: "PNG", 920: "NZL", 940: "SLB",
-    950: "FJI",
+    950: "FJI", 51: "JAM", 52: "TTO", 338: "MLT",
 }
 
 # --- Fixed values: country name as written in event records -> code. ---

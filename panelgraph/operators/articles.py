@@ -65,11 +65,8 @@ def first_articles(articles: DataFrame, order: Column) -> DataFrame:
     Titles can be whole texts, so the second key holds the title's SHA-256: sorting and
     hashing copies costs the same however long they are.
     """
-    ordered = articles.withColumn("_order", order)
-    by_id = keep_first(ordered, ["article_id"], F.col("_order"))
-    same_day = [F.to_date("published_at_utc").alias("_day"), F.sha2("title", 256).alias("_title")]
-    by_day = keep_first(by_id, same_day, F.col("_order"))
-    return by_day.drop("_order")
+    same_day = [F.to_date("published_at_utc"), F.sha2("title", 256)]
+    return keep_first(articles, ["article_id"], order, same_day)
 
 
 def normalize_articles(

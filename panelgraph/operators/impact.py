@@ -41,6 +41,7 @@ from panelgraph.operators.graph import (
     within,
 )
 from panelgraph.plans.pagerank import rank_nodes
+from panelgraph.plans.skew import hot_keys, replicate, salt
 from panelgraph.session import cut
 
 SCENARIO = "scenario_id"
@@ -262,6 +263,9 @@ def propagate(scenarios: DataFrame, nodes: DataFrame, dyads: DataFrame, shocked:
     """
     edges = within(with_edge_defaults(dyads, "composite_tension_index"), nodes)
     ways = cut(adjacency(edges))
+    # A hub's ways are dealt over slots, and what moves from it goes to each of them: no task holds them all.
+    hot = cut(hot_keys(ways, ["node"]))
+    dealt = salt(ways, ["node"], hot, F.col("neighbour"))
     # Joined to the few frontier nodes of a hop, never to all ways.
     totals = cut(ways.groupBy("node").agg(F.sum("way_weight").alias("_total")))
     severed = shocked.filter("is_severed").select(SCENARIO, SOURCE, TARGET)
@@ -290,7 +294,8 @@ def propagate(scenarios: DataFrame, nodes: DataFrame, dyads: DataFrame, shocked:
         arrivals = (
             moving.join(totals, "node")
             .join(lost, [SCENARIO, "node"], "left")
-            .join(ways, "node")
+            .transform(lambda df: replicate(df, ["node"], hot))
+            .join(dealt, ["node", "slot"])
             .join(severed.withColumn("_severed", F.lit(True)), [SCENARIO, SOURCE, TARGET], "left")
             .filter(F.col("_severed").isNull())
             .join(

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelgraph.fixed_values import (
@@ -37,6 +37,9 @@ FEATURES = ("recent_events", "conflict_intensity")
 LABEL = "escalation_warning"
 
 
+#: Rows among which values are swapped in one task.
+SWAP_ROWS = 4096
+
 # --- classifier ---------------------------------------------------------------------------
 
 
@@ -96,6 +99,39 @@ def importances(model: PipelineModel, spark, categories: Mapping[str, str] | Non
     return spark.createDataFrame(rows, "feature string, category string, importance double")
 
 
+def with_swapped(totals: DataFrame, entity: str = "country", seed: int = SPLIT_SEED, group_rows: int = SWAP_ROWS) -> DataFrame:
+    """Every row once as it is (``swapped`` NULL) and once per feature with that feature's value of another row.
+
+    Rows are dealt by a hash of the entity into groups of about ``group_rows``; inside a group each row takes the value of the
+    next one in the order of the hash, the last that of the first. So no task orders the whole table.
+    """
+    hashed = totals.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.lit("swap"), F.col(entity).cast("string"))))
+    groups = F.ceil(totals.agg(F.count(F.lit(1))).scalar() / group_rows)
+    grouped = hashed.withColumn("_g", F.conv(F.substring("_h", 25, 8), 16, 10).cast("long") % groups)
+    inside = Window.partitionBy("_g").orderBy("_h", entity)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    others = grouped.withColumns({f"_{f}": F.coalesce(F.lead(f).over(inside), F.first(f).over(whole)) for f in FEATURES})
+    copies = others.withColumn("swapped", F.explode(F.array(F.lit(None).cast("string"), *[F.lit(f) for f in FEATURES])))
+    taken = {f: F.when(F.col("swapped").eqNullSafe(f), F.col(f"_{f}")).otherwise(F.col(f)) for f in FEATURES}
+    return copies.withColumns(taken).drop("_h", "_g", *[f"_{f}" for f in FEATURES])
+
+
+def permutation_importances(
+    model: PipelineModel, totals: DataFrame, entity: str = "country", *, seed: int = SPLIT_SEED, categories: Mapping[str, str] | None = None, group_rows: int = SWAP_ROWS
+) -> DataFrame:
+    """(feature, category, importance): how much accuracy is lost when a feature's values are dealt to other rows.
+
+    ``totals`` are labelled rows, best the ones held out of the training. Works for any model of ``FEATURES``.
+    """
+    right = (F.col("prediction") == F.col(LABEL)).cast("double")
+    scored = model.transform(with_swapped(totals, entity, seed, group_rows)).groupBy("swapped").agg(F.avg(right).alias("accuracy"))
+    whole = scored.filter(F.col("swapped").isNull()).select(F.col("accuracy").alias("_whole")).scalar()
+    category = F.lit("events")
+    for feature, name in (categories or {}).items():
+        category = F.when(F.col("swapped") == feature, F.lit(name)).otherwise(category)
+    return scored.filter(F.col("swapped").isNotNull()).select(F.col("swapped").alias("feature"), category.alias("category"), (whole - F.col("accuracy")).alias("importance"))
+
+
 def top_importances(table: DataFrame, category: str = "all", top: int = TOP_IMPORTANCES) -> DataFrame:
     """The ``top`` most important features, or all features of one category."""
     ordered = [F.desc("importance"), F.asc("feature")]

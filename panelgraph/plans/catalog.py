@@ -16,6 +16,7 @@ from panelgraph.plans.flows import what_if
 from panelgraph.session import cut
 from panelgraph.sources import sinks
 from panelgraph.streaming import articles as live
+from panelgraph.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -284,10 +285,18 @@ def impact_node_arrivals(spark, d):
     return shown(arrived.groupBy("scenario_id", "node").agg(F.sum("tone_shift").alias("tone_shift"), F.min("hop").alias("hop")))
 
 
+def impact_deep_arrivals(spark, d):
+    """Nodes reached over up to four hops of a sparse graph, and what reaches them."""
+    pairs_, nodes = cut(views.bulk_pairs(spark, d)), views.bulk_nodes(spark, d)
+    chosen = impact.with_scenario_defaults(spark.createDataFrame(views.BULK_SCENARIOS, views.SCENARIO_DDL))
+    arrived, _ = impact.propagate(chosen, nodes, pairs_, cut(impact.shocked_edges(chosen, pairs_)))
+    return shown(arrived.groupBy("scenario_id", "node").agg(F.sum("tone_shift").alias("tone_shift"), F.min("hop").alias("hop")))
+
+
 def impact_dyads(spark, d):
     pairs_, valid, shocked, _, shifts = _propagated(spark, d)
     edges = impact.counterfactual_edges(valid, pairs_, shocked, shifts)
-    return shown(edges.drop("news_avg_tone", "delta_tension_index"))
+    return shown(edges)
 
 
 def _what_if(spark, d):
@@ -380,17 +389,7 @@ def entity_totals(spark, d):
 def entity_warnings(spark, d):
     """Forest scores per customer: events and summed value of their orders in thousands."""
     totals = _classifier_totals(spark, d)
-    model = scoring.train_classifier(totals)
-    scored = scoring.score(model, totals)
-    held = scored.filter(~F.col("is_train"))
-    right = F.count_if(F.col("escalation_prediction") == F.col("escalation_warning"))
-    warned = F.count_if(F.col("escalation_warning") == 1)
-    rules = held.agg(
-        F.count(F.lit(1)).alias("held_out"), warned.alias("warned"),
-        (right >= F.greatest(warned, F.count(F.lit(1)) - warned)).alias("beats_majority"),
-        (right >= 0.95 * F.count(F.lit(1))).alias("right_for_95_percent"),
-    )
-    return shown(rules)
+    return shown(scoring.score(scoring.train_classifier(totals), totals))
 
 
 def classifier_split(spark, d):
@@ -400,13 +399,10 @@ def classifier_split(spark, d):
 
 
 def feature_importances(spark, d):
-    """What must hold of the importances: one for each feature, none negative, together 1, intensity first."""
-    model = scoring.train_classifier(_classifier_totals(spark, d))
-    top = scoring.top_importances(scoring.importances(model, spark))
-    return shown(top.agg(
-        F.count(F.lit(1)).alias("features"), F.count_if(F.col("importance") < 0).alias("negative"), F.sum("importance").alias("total"),
-        F.max_by("feature", "importance").alias("strongest"),
-    ), 6)
+    """Accuracy on the held-out customers that is lost when a feature's values are dealt to other customers."""
+    totals = _classifier_totals(spark, d)
+    table = scoring.permutation_importances(scoring.train_classifier(totals), totals.filter(~F.col("is_train")))
+    return shown(scoring.top_importances(table))
 
 
 def _classifier_totals(spark, d):
@@ -479,34 +475,33 @@ def _landed(spark, d):
     from panelgraph.session import shared_folder
 
     base = f"{shared_folder(spark)}/panelgraph/{uuid4().hex}"
-    views.raw_articles(spark, d).drop("kind", "number").write.json(f"{base}/raw")
+    views.raw_articles(spark, d).drop("kind", "number").repartition(6, "url").write.json(f"{base}/raw")
     return base
 
 
-def _streamed(spark, df, base, name):
-    live.write_stream(df, f"{base}/{name}", f"{base}/{name}_progress").awaitTermination()
-    return spark.read.parquet(f"{base}/{name}")
-
-
-def _stored(spark, d):
-    """Enriched articles as the stream stores them."""
+def _followed(spark, d):
+    """Articles stored by the stream, then unique articles and counts kept up in several batches."""
     base = _landed(spark, d)
     enriched = live.enrich_stream(live.stream_raw_articles(spark, f"{base}/raw"), gazetteer=views.TERMS, taxonomy=views.CATEGORIES, valences=views.WORDS)
-    return _streamed(spark, enriched, base, "articles")
+    incremental.store_articles(enriched, base, span="month").awaitTermination()
+    files = len(spark.read.parquet(f"{base}/articles").inputFiles())
+    incremental.follow_articles(spark, base, max_files=files // 2 + 1, span="month").awaitTermination()
+    return base
 
 
 def stream_daily_counts(spark, d):
     """All days of the enriched article stream, each article once."""
-    return shown(live.daily_counts(live.unique_articles(_stored(spark, d))).drop("unique_domains_approx"))
+    return shown(incremental.daily_counts(spark.read.parquet(f"{_followed(spark, d)}/domain_counts")))
 
 
 def stream_monthly_counts(spark, d):
-    return shown(live.months_from_days(live.daily_counts(live.unique_articles(_stored(spark, d)))))
+    """Months merged from the days' counts; a domain of several days counts once."""
+    return shown(incremental.monthly_counts(spark.read.parquet(f"{_followed(spark, d)}/domain_counts")))
 
 
 def stream_unique_articles(spark, d):
     """Article ids that are left once copies and repeated titles of a day are gone."""
-    return shown(live.unique_articles(_stored(spark, d)).select("article_id"))
+    return shown(spark.read.parquet(f"{_followed(spark, d)}/unique").select("article_id"))
 
 
 QUERIES: dict[str, Query] = {
@@ -518,7 +513,7 @@ QUERIES: dict[str, Query] = {
         news_pairs_monthly, news_pairs_total, news_pairs_weighted, conflict_pairs_total, dyads_cumulative,
         dyads_by_supplier, dyads_strongest, dyads_monthly, node_degrees, node_ranks, node_ranks_converged,
         trade_ranks, graph_links, graph_nodes, graph_summary, scenarios_checked, news_baseline_month,
-        impact_targets, impact_shocked_edges, impact_node_arrivals, impact_dyads, impact_countries,
+        impact_targets, impact_shocked_edges, impact_node_arrivals, impact_deep_arrivals, impact_dyads, impact_countries,
         impact_summary, quality_events, quality_graph, quality_news, entity_totals, entity_warnings,
         feature_importances, pair_status, pair_sub_scores, contribution_split, risk_outlook, risk_outlook_fan,
         risk_outlook_drivers, factor_stress, classifier_split, stream_daily_counts, stream_monthly_counts,

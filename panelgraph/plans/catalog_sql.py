@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from panelgraph.fixed_values import LAGS, WHITE_SPACE, WINDOWS
 from panelgraph.operators.panel import EVENT_METRICS
-from panelgraph.plans.views import BASE_SECONDS, CATEGORIES, GOVERNMENTS, LANGUAGES, SCENARIOS, TERMS, WORDS
+from panelgraph.plans.views import BASE_SECONDS, BULK_SCENARIOS, CATEGORIES, GOVERNMENTS, LANGUAGES, SCENARIOS, TERMS, WORDS
 
 
 def r(expression: str, name: str | None = None, digits: int = 9) -> str:
@@ -393,6 +393,25 @@ cf AS (SELECT sc.id, d.*, coalesce(hit.sever, false) AS is_severed, hit.id IS NO
   CASE WHEN hit.id IS NOT NULL THEN direct WHEN earr.id IS NOT NULL THEN least(greatest(w + shift, 0.0), 1.0) ELSE w END AS w2
   FROM sc CROSS JOIN d LEFT JOIN hit ON hit.id = sc.id AND hit.src = d.src AND hit.dst = d.dst
   LEFT JOIN earr ON earr.id = sc.id AND earr.src = d.src AND earr.dst = d.dst)"""
+
+
+def deep_ctes(hops: int = 4) -> str:
+    """Arrivals over several hops of the bulk graph, one CTE a hop; every arrival by itself."""
+    sc = ", ".join(f"({q(i)}, {q(t)}, {tone}::DOUBLE, {m}::DOUBLE, {'NULL' if x is None else x}::DOUBLE, {depth}, {decay}::DOUBLE)" for i, t, _, _, tone, m, x, _, depth, decay in BULK_SCENARIOS)
+    out = f"""sc AS (SELECT *, coalesce(given, -0.5 * tone_delta + 0.2 * (mult - 1)) AS seed FROM (VALUES {sc}) v(id, target, tone_delta, mult, given, depth, decay)),
+e AS (SELECT 'S' || l_suppkey AS src, 'C' || o_custkey AS dst, min(l_returnflag) AS kind, (1 + max(round(l_discount * 100))) / 20 AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY 1, 2),
+way0 AS (SELECT src AS a, dst AS b, w FROM e UNION ALL SELECT dst, src, CASE kind WHEN 'A' THEN 0.5 * w ELSE w END FROM e WHERE kind <> 'R'),
+way AS (SELECT *, w / sum(w) OVER (PARTITION BY a) AS part FROM way0),
+seen0 AS (SELECT id, target AS c FROM sc), hop0 AS (SELECT id, target AS c, seed AS delta FROM sc)"""
+    for k in range(1, hops + 1):
+        out += f""",
+hop{k} AS (SELECT h.id, b AS c, h.delta * decay * part AS delta FROM hop{k - 1} h JOIN sc USING (id) JOIN way ON a = h.c
+  WHERE depth >= {k} AND NOT EXISTS (SELECT 1 FROM seen{k - 1} z WHERE z.id = h.id AND z.c = b)),
+seen{k} AS (SELECT * FROM seen{k - 1} UNION SELECT id, c FROM hop{k})"""
+    return out + ", arr AS (" + " UNION ALL ".join(f"SELECT *, {k} AS hop FROM hop{k}" for k in range(1, hops + 1)) + ")"
+
+
 _base = """bm AS (SELECT ent AS c, avg_tone, conflict_news_count, escalation_signal FROM npanel WHERE m = DATE '1998-06-01'),
 bn AS (SELECT nodes.c, coalesce(avg_tone, 0.0) AS tone, coalesce(conflict_news_count, 0) AS news, coalesce(escalation_signal, 0.0) AS esc FROM nodes LEFT JOIN bm USING (c))"""
 _na = "na AS (SELECT dst AS ent, src AS domain, * FROM rep)"
@@ -443,7 +462,7 @@ TARGET_FACTS = f"""{r('neg / n', 'news_negative_tone_share')}, {r('con / n', 'ne
 
 _days = f"""sd AS (SELECT CAST(seen_at AS DATE) AS day, target_country_iso3, count(*) AS news_count_total, sum(tone_score) AS tone_sum,
   count(*) FILTER (is_negative_tone) AS negative_tone_count, count(*) FILTER (is_extreme_tone) AS extreme_tone_count,
-  count(*) FILTER (is_conflict_relevant) AS conflict_news_count FROM scored WHERE target_country_iso3 IS NOT NULL GROUP BY 1, 2)"""
+  count(*) FILTER (is_conflict_relevant) AS conflict_news_count, count(DISTINCT domain) AS unique_domains FROM scored WHERE target_country_iso3 IS NOT NULL GROUP BY 1, 2)"""
 _unique = """live_id AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY seen_at) = 1),
 live_day AS (SELECT * FROM live_id QUALIFY row_number() OVER (PARTITION BY CAST(seen_at AS DATE), title ORDER BY seen_at, article_id) = 1)"""
 
@@ -531,8 +550,9 @@ ORACLES: dict[str, str] = {
     "impact_targets": f"WITH {with_news(VALID)}, {TARGETS} SELECT id AS scenario_id, c AS country_iso3, {r('tone2', 'shocked_tone')}, news2 AS shocked_news, {r('esc2', 'shocked_escalation')} FROM tg",
     "impact_shocked_edges": f"WITH {VALID} SELECT id AS scenario_id, {LINK}, sever AS is_severed, {r('direct', 'direct_tension')} FROM hit",
     "impact_node_arrivals": f"WITH {SPREAD} SELECT id AS scenario_id, c AS node, {r('shift', 'tone_shift')}, CAST(hop AS BIGINT) AS hop FROM narr",
+    "impact_deep_arrivals": f"WITH {deep_ctes()} SELECT id AS scenario_id, c AS node, {r('sum(-sign(delta) * least(0.4, abs(delta)))', 'tone_shift')}, CAST(min(hop) AS BIGINT) AS hop FROM arr GROUP BY 1, 2",
     "impact_dyads": f"""WITH {SPREAD} SELECT id AS scenario_id, {LINK}, is_directed, nat AS relationship_nature, {r('w', 'baseline_tension_index')}, {r('w2', 'counterfactual_tension_index')},
-      is_severed, is_direct AS is_directly_shocked, is_ripple AS is_ripple_affected, has_conflict AS has_historical_conflict, {r('best', 'fatalities_best_total')} FROM cf""",
+      is_severed, is_direct AS is_directly_shocked, is_ripple AS is_ripple_affected, has_conflict AS has_historical_conflict, {r('best', 'fatalities_best_total')}, {r('tone', 'news_avg_tone')}, {r('round(w2 - w, 4)', 'delta_tension_index')} FROM cf""",
     "impact_countries": f"""WITH RECURSIVE {with_news(SPREAD)}, {TARGETS}, {AFTER}, {RANKED}, mt AS (SELECT * FROM (
         SELECT c, CAST(sum(CASE WHEN nat = 'directed_news' THEN e = 1 ELSE true END::INT) AS BIGINT) AS bi, CAST(sum(CASE WHEN nat = 'directed_news' THEN e = 0 ELSE true END::INT) AS BIGINT) AS bo, count(DISTINCT o) AS bt
         FROM (SELECT src AS c, dst AS o, nat, 0 AS e FROM d UNION ALL SELECT dst, src, nat, 1 FROM d) GROUP BY c)),
@@ -581,8 +601,6 @@ ORACLES: dict[str, str] = {
     "entity_totals": f"""WITH s AS (SELECT c_mktsegment AS country, c_acctbal AS f FROM customer UNION ALL SELECT p_brand, p_size FROM part UNION ALL SELECT s_name, NULL FROM supplier)
       SELECT country, count(*) AS recent_events, {r('sum(coalesce(f, 0.0))', 'conflict_intensity', 4)}, CAST(sum(coalesce(f, 0.0)) > 50 AS BIGINT) AS escalation_warning FROM s GROUP BY country""",
     "classifier_split": f"""WITH {CLASSIFIED} SELECT is_train, escalation_warning, count(*) AS entities, CAST(sum(events) AS BIGINT) AS events FROM cls GROUP BY 1, 2""",
-    "entity_warnings": f"""WITH {CLASSIFIED} SELECT count(*) AS held_out, CAST(sum(escalation_warning) AS BIGINT) AS warned, true AS beats_majority, true AS right_for_95_percent FROM cls WHERE NOT is_train""",
-    "feature_importances": "SELECT 2::BIGINT AS features, 0::BIGINT AS negative, 1.0::DOUBLE AS total, 'conflict_intensity' AS strongest",
     "pair_status": f"WITH {DYADS}, x AS (SELECT {LINK}, round(100 * w, 4) + 0.0 AS score, unnest(['conflict', 'economy', 'energy', 'global_impact', 'overview', 'hotspot']) AS domain FROM d) SELECT *, {STATUS} AS status FROM x",
     "pair_sub_scores": f"WITH {BASES} SELECT pair_a, pair_b, base AS score, signal, least(95.0, base - k)::DOUBLE AS sub_score FROM pb, (VALUES ('political', 6), ('border', 12), ('cyber', 18)) v(signal, k)",
     "contribution_split": f"""WITH {panel_ctes()}, x AS (SELECT ent, fatalities_best_total - coalesce(lag(fatalities_best_total) OVER (PARTITION BY ent ORDER BY m), 0) AS d FROM panel)
@@ -603,9 +621,11 @@ ORACLES: dict[str, str] = {
       CAST(floor(25014.60::DOUBLE * (1 + net / 100) + 0.5) AS BIGINT) AS projected_level,
       CAST(floor(25014.60::DOUBLE * (1 + net / 100) - 25014.60::DOUBLE + 0.5) AS BIGINT) AS point_change,
       {r('round(-0.0018::DOUBLE * gpr, 2)', 'gpr_impact', 2)}, {r('round(-0.095::DOUBLE * oil, 2)', 'oil_impact', 2)}, {r('round(-0.04::DOUBLE * gold, 2)', 'gold_impact', 2)}, {r('round(-0.22::DOUBLE * fx, 2)', 'fx_impact', 2)} FROM z""",
-    "stream_daily_counts": f"WITH {live_ctes()}, {_days} SELECT CAST(day AS VARCHAR) AS day, target_country_iso3, news_count_total, {r('tone_sum')}, negative_tone_count, extreme_tone_count, conflict_news_count FROM sd",
+    "stream_daily_counts": f"WITH {live_ctes()}, {_days} SELECT CAST(day AS VARCHAR) AS day, target_country_iso3, news_count_total, {r('tone_sum')}, negative_tone_count, extreme_tone_count, conflict_news_count, unique_domains FROM sd",
     "stream_monthly_counts": f"""WITH {live_ctes()}, {_days} SELECT target_country_iso3, CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS month_start, CAST(sum(news_count_total) AS BIGINT) AS news_count_total,
       CAST(sum(negative_tone_count) AS BIGINT) AS negative_tone_count, CAST(sum(extreme_tone_count) AS BIGINT) AS extreme_tone_count, CAST(sum(conflict_news_count) AS BIGINT) AS conflict_news_count,
-      {r('sum(tone_sum) / sum(news_count_total)', 'avg_tone')} FROM sd GROUP BY 1, 2""",
+      {r('sum(tone_sum) / sum(news_count_total)', 'avg_tone')}, any_value(md.unique_domains) AS unique_domains
+      FROM sd JOIN (SELECT target_country_iso3 AS t, date_trunc('month', seen_at) AS m, count(DISTINCT domain) AS unique_domains FROM scored GROUP BY 1, 2) md
+      ON md.t = target_country_iso3 AND md.m = date_trunc('month', day) GROUP BY 1, 2""",
     "stream_unique_articles": f"WITH {ARTICLES}, {_unique} SELECT article_id FROM live_day",
 }

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from panelgraph.plans.skew import hot_keys, replicate, salt
-from panelgraph.session import checkpoint, cut
+from panelgraph.session import Revolving, cut
+
+
+#: Steps of one job of a single graph.
+STEPS_AT_ONCE = 4
 
 
 def rank_nodes(
@@ -30,9 +34,8 @@ def rank_nodes(
     without a way out is spread evenly, and each graph stops by itself at the first iteration
     whose L1 change is below ``tol``.
 
-    Each node has one own row (weight NULL) among the ways, which carries its old rank along.
-    So an iteration is one join and one aggregate over the same input, its totals are observed
-    in the job that computes it, and only one row per node is checkpointed.
+    Each node has one own row (weight NULL) among the ways, which carries its old values along.
+    So an iteration is one join and one aggregate over the same input.
 
     The ways stay partitioned by source with hubs split over tasks, at every size; an iteration
     shuffles one row per node and the summed ranks. ``report`` gets the number of iterations, the last
@@ -48,35 +51,87 @@ def rank_nodes(
     n = size.get["n"]
     if n == 0:
         return nodes.select(*g, "node", F.lit(1.0).alias("rank"))
-
+    hot = cut(hot_keys(ways, [*g, "src"]))
     out = ways.groupBy(*g, F.col("src").alias("node")).agg(F.sum("weight").alias("out"))
     if g:
-        counts = ways.filter(is_own).groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
-        state = out.join(counts, g).withColumn("rank", 1.0 / F.col("n")).drop("n")
+        ranks, done, moved = _many(ways, out, hot, g, alpha, max_iter, tol)
     else:
-        state = out.withColumn("rank", F.lit(1.0 / n))
-    state, totals = _observed(state.withColumn("previous", F.lit(None).cast("double")))
+        ranks, done, moved = _one(ways, out, hot, n, alpha, max_iter, tol)
+    if report is not None:
+        report.update(iterations=done, moved=moved, converged=moved < tol)
+    if not moved < tol:
+        warnings.warn(f"ranks still move by {moved} after {done} iterations", stacklevel=2)
+    return ranks
 
-    hot = cut(hot_keys(ways, [*g, "src"]))
+
+def _one(ways: DataFrame, out: DataFrame, hot: DataFrame, n: int, alpha: float, max_iter: int, tol: float) -> tuple[DataFrame, int, float]:
+    """One graph, several iterations a job.
+
+    An iteration is x' = M x + c, where M follows the ways and the number c, the same for all nodes, comes of the rank stuck in
+    nodes without a way out. So x after j iterations is M^j x + sum of c(j-i) M^i 1: a job computes the powers of M on x (and once
+    on 1), and their sums over stuck nodes give the numbers c afterwards, without a pass over all nodes in between.
+    """
+    spark = ways.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split = not hot.isEmpty()
+    keys = ["src", "slot"] if split else ["src"]
+    if split:
+        ways = salt(ways, ["src"], hot, F.col("dst"))
+    ways = ways.repartition(parts, *keys).sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)  # sorted once for all merges
+    k = STEPS_AT_ONCE
+    fixed = [f"v{i}" for i in range(1, k)]
+    state = out.selectExpr("node", "out", f"{1.0 / n!r}D AS u0", "1D AS v0", *[f"CAST(NULL AS DOUBLE) AS {v}" for v in fixed])
+    table, done, moved, stuck_v = Revolving(spark), 0, float("inf"), None
+    while True:
+        first = done == 0
+        for j in range(1, k + 1):
+            senders = state.withColumnRenamed("node", "src")
+            sent = ways.join(replicate(senders, ["src"], hot) if split else senders, keys)
+            carried = ["out", *[f"u{i}" for i in range(j)], *([f"v{i}" for i in range(j)] if first else ["v0", *fixed])]
+            sums = [F.expr(f"max(if(weight IS NULL, {c}, NULL)) AS {c}") for c in carried]
+            sums.append(F.expr(f"{alpha!r}D * coalesce(sum(u{j - 1} * weight / out), 0D) AS u{j}"))
+            if first and j < k:
+                sums.append(F.expr(f"{alpha!r}D * coalesce(sum(v{j - 1} * weight / out), 0D) AS v{j}"))
+            state = sent.groupBy("dst").agg(*sums).withColumnRenamed("dst", "node")
+        seen = Observation()
+        wanted = [f"u{j}" for j in range(k)] + ([f"v{i}" for i in range(k)] if first else [])
+        kept = table.keep(state.observe(seen, *[F.expr(f"coalesce(sum(if(out IS NULL, {c}, NULL)), 0D) AS {c}") for c in wanted]))
+        stuck_v = [seen.get[f"v{i}"] for i in range(k)] if first else stuck_v
+        c = []  # c[j - 1] goes into iteration j
+        for j in range(k):
+            lost = seen.get[f"u{j}"] + sum(c[j - 1 - i] * stuck_v[i] for i in range(j))
+            c.append(alpha * lost / n + (1.0 - alpha) / n)
+        x = [" + ".join([f"u{j}", *[f"{c[j - 1 - i]!r}D * v{i}" for i in range(j)]]) for j in range(k + 1)]
+        totals = kept.agg(*[F.expr(f"sum(abs(({x[j]}) - ({x[j - 1]}))) AS m{j}") for j in range(1, k + 1)], *[F.expr(f"sum({x[j]}) AS t{j}") for j in range(1, k + 1)]).first()
+        last = min(k, max_iter - done)
+        stop = next((j for j in range(1, last + 1) if totals[f"m{j}"] < tol), last)
+        done, moved = done + stop, totals[f"m{stop}"]
+        if moved < tol or done >= max_iter:
+            break
+        state = kept.selectExpr("node", "out", f"{x[k]} AS u0", "v0", *fixed)
+    ways.unpersist()
+    return kept.selectExpr("node", f"({x[stop]}) / {totals[f't{stop}']!r}D AS rank"), done, moved
+
+
+def _many(
+    ways: DataFrame, out: DataFrame, hot: DataFrame, g: Sequence[str], alpha: float, max_iter: int, tol: float
+) -> tuple[DataFrame, int, float]:
+    """Many graphs at once, an iteration a job; its totals are observed in the job that computes it."""
+    table = Revolving(ways.sparkSession)
+    counts = ways.filter("weight IS NULL").groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
+    state = out.join(counts, list(g)).withColumn("rank", 1.0 / F.col("n")).drop("n")
+    state = table.keep(state.withColumn("previous", F.lit(None).cast("double")))
     ways = salt(ways, [*g, "src"], hot, F.col("dst")).repartition(*g, "src", "slot").persist(StorageLevel.MEMORY_AND_DISK)
-    steps_done, moved = 0, float("inf")
-    for steps_done in range(1, max_iter + 1):
-        constants = _constants(state, tol, g) if g else None
-        lost = totals["lost"] or 0.0
-        state, totals = _observed(_iterate(state, ways, g, alpha, hot, constants, n, lost))
-        # One graph: its L1 change. Many: nothing moves once all of them have stopped.
-        moved = totals["moved"]
+    done, moved = 0, float("inf")
+    for done in range(1, max_iter + 1):
+        seen = Observation()
+        state = table.keep(_iterate(state, ways, g, alpha, hot, _constants(state, tol, g)).observe(seen, F.expr("sum(abs(rank - previous)) AS moved")))
+        moved = seen.get["moved"]  # nothing moves once all of them have stopped
         if moved < tol:
             break
     ways.unpersist()
-    if report is not None:
-        report.update(iterations=steps_done, moved=moved, converged=moved < tol)
-    if not moved < tol:
-        warnings.warn(f"ranks still move by {moved} after {steps_done} iterations", stacklevel=2)
-    if g:
-        sums = state.groupBy(*g).agg(F.sum("rank").alias("_total"))
-        return state.join(sums, g).select(*g, "node", (F.col("rank") / F.col("_total")).alias("rank"))
-    return state.select("node", (F.col("rank") / F.lit(totals["total"])).alias("rank"))
+    sums = state.groupBy(*g).agg(F.sum("rank").alias("_total"))
+    return state.join(sums, list(g)).select(*g, "node", (F.col("rank") / F.col("_total")).alias("rank")), done, moved
 
 
 def _inside(nodes: DataFrame, steps: DataFrame, g: Sequence[str]) -> DataFrame:
@@ -90,14 +145,6 @@ def _inside(nodes: DataFrame, steps: DataFrame, g: Sequence[str]) -> DataFrame:
     return merged.select(*g, "src", "dst", "weight")
 
 
-def _observed(state: DataFrame) -> tuple[DataFrame, dict]:
-    """Checkpoint the state and return its totals from the same job."""
-    seen = Observation()
-    totals = ("sum(abs(rank - previous)) AS moved", "sum(if(out IS NULL, rank, NULL)) AS lost", "sum(rank) AS total")
-    kept = checkpoint(state.observe(seen, *[F.expr(t) for t in totals]))
-    return kept, seen.get
-
-
 def _constants(state: DataFrame, tol: float, g: Sequence[str]) -> DataFrame:
     """Per graph: its size, the rank stuck in nodes without a way out, and whether it has stopped."""
     return state.groupBy(*g).agg(
@@ -107,16 +154,7 @@ def _constants(state: DataFrame, tol: float, g: Sequence[str]) -> DataFrame:
     )
 
 
-def _iterate(
-    state: DataFrame,
-    ways: DataFrame,
-    g: Sequence[str],
-    alpha: float,
-    hot: DataFrame,
-    constants: DataFrame | None,
-    n: int,
-    lost: float,
-) -> DataFrame:
+def _iterate(state: DataFrame, ways: DataFrame, g: Sequence[str], alpha: float, hot: DataFrame, constants: DataFrame) -> DataFrame:
     # Built again in every iteration, so expressions are short SQL text, quick to build.
     senders = state.selectExpr(*g, "node AS src", "out", "rank")
     sent = ways.join(replicate(senders, [*g, "src"], hot), [*g, "src", "slot"])
@@ -125,9 +163,5 @@ def _iterate(
         F.expr("max(if(weight IS NULL, rank, NULL)) AS previous"),
         F.expr("coalesce(sum(rank * weight / out), 0D) AS received"),
     )
-    if constants is None:
-        rank = f"{alpha!r}D * (received + {lost / n!r}D) + {(1.0 - alpha) / n!r}D"
-    else:
-        received = received.join(constants, list(g))
-        rank = f"if(done, previous, {alpha!r}D * (received + lost / n) + {1.0 - alpha!r}D / n)"
-    return received.selectExpr(*g, "dst AS node", "out", f"{rank} AS rank", "previous")
+    rank = f"if(done, previous, {alpha!r}D * (received + lost / n) + {1.0 - alpha!r}D / n)"
+    return received.join(constants, list(g)).selectExpr(*g, "dst AS node", "out", f"{rank} AS rank", "previous")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelgraph.fixed_values import EVENT_DATE_FORMATS
 from panelgraph.operators import articles as art
 from panelgraph.operators import dyads, features, impact, panel
 
@@ -72,13 +73,16 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     nations = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    lines = table(spark, folder, "lineitem")
+    # one row group of the table stands for many landed files: its rows are dealt out before they are parsed
+    lines = table(spark, folder, "lineitem").repartition("l_orderkey")
     joined = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     )
-    shipped = F.date_format("l_shipdate", "yyyy-MM-dd")
+    shipped = iso = F.date_format("l_shipdate", "yyyy-MM-dd")
+    for i, form in enumerate(EVENT_DATE_FORMATS, start=1):  # a column that mixes all forms
+        shipped = F.when(F.col("l_orderkey") % 10 == i, F.date_format("l_shipdate", form)).otherwise(shipped)
     return joined.select(
         F.col("l_orderkey").alias("id"),
         F.year("l_shipdate").cast("string").alias("year"),
@@ -90,15 +94,17 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("c_mktsegment") != "MACHINERY", F.col("n_nationkey").cast("string")).alias("country_id"),
         F.col("r_name").alias("region"),
         F.when(F.col("o_orderpriority") == "5-LOW", "soon").when(F.col("o_orderpriority") != "4-NOT SPECIFIED", shipped).alias("date_start"),
-        F.when(F.col("o_orderpriority") == "5-LOW", F.concat(shipped, F.lit(" 10:00:00"))).alias("date_end"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.when(F.col("l_linenumber") % 2 == 0, F.concat(iso, F.lit(" 10:00:00"))).otherwise(shipped)).alias("date_end"),
         F.col("l_extendedprice").cast("string").alias("best"),
         F.when(F.col("l_linestatus") == "O", "n/a").otherwise(F.col("l_quantity").cast("string")).alias("high"),
         F.when(F.col("l_linestatus") == "O", "NaN").otherwise(F.col("l_quantity").cast("string")).alias("low"),
         F.col("c_acctbal").cast("string").alias("deaths_civilians"),
         (F.col("c_acctbal") / 100).alias("latitude"),
         (F.col("o_totalprice") / 2000).alias("longitude"),
+        # prices in cents, letters as their numbers: an order of fixed width
         F.struct(
-            "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"
+            F.col("l_linenumber").cast("byte"), F.col("l_shipdate").cast("date"), F.round(F.col("l_extendedprice") * 100).cast("int").alias("cents"),
+            F.col("l_quantity").cast("short"), F.ascii("l_returnflag").cast("byte").alias("flag"), F.ascii("l_linestatus").cast("byte").alias("status"),
         ).alias("ingest_order"),
     )
 
@@ -277,5 +283,35 @@ def report_panel(spark: SparkSession, folder: str) -> DataFrame:
     return panel.news_panel(reports(spark, folder))
 
 
+def bulk_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """A sparse graph of many nodes: suppliers and the customers of their largest lines, tense by discount."""
+    lines = table(spark, folder, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_suppkey", "l_discount", "l_returnflag")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    traded = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+        F.concat(F.lit("S"), "l_suppkey").alias("source_country_iso3"), F.concat(F.lit("C"), "o_custkey").alias("target_country_iso3")
+    )
+    kind = F.min("l_returnflag")
+    return traded.agg(
+        (kind != "N").alias("is_directed"),
+        F.when(kind == "A", "hybrid").when(kind == "R", "directed_news").otherwise("undirected_conflict").alias("relationship_nature"),
+        ((1 + F.max(F.round(F.col("l_discount") * 100))) / 20).alias("composite_tension_index"),
+    )
+
+
+def bulk_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("country_iso3")).unionByName(
+        table(spark, folder, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("country_iso3"))
+    )
+
+
+#: As ``SCENARIOS``: up to four hops; the last stays near its target.
+BULK_SCENARIOS = [
+    ("four", "S1", None, None, -0.9, 3.0, None, False, 4, 0.95),
+    ("three", "S7", None, None, 0.8, 1.0, None, False, 3, 0.9),
+    ("push", "S3", None, None, 0.0, 1.0, 0.7, False, 4, 1.0),
+    ("near", "C10", None, None, -1.0, 1.5, None, False, 1, 0.5),
+]
+
+
 def scenarios(spark: SparkSession) -> DataFrame:
     return impact.with_scenario_defaults(spark.createDataFrame(SCENARIOS, SCENARIO_DDL))

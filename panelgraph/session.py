@@ -51,3 +51,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Revolving:
+    """The state of an iteration as a table in the shared folder: each new one replaces the one before, which it was made of."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path, old = f"{shared_folder(self.spark)}/panelgraph/{uuid.uuid4().hex}", self.path
+        df.write.mode("error").parquet(path)
+        self.path = path
+        if old:
+            delete(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(path)

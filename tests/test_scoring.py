@@ -1,5 +1,9 @@
 """Classifier, bands, outlook, stress and quality gates."""
 
+import hashlib
+import math
+import random
+
 import pytest
 from conftest import rows_by
 from pyspark.sql import functions as F
@@ -33,6 +37,58 @@ def test_classifier_learns_and_split_ignores_partitions(spark, table, tmp_path):
         scoring.train_classifier(a.limit(1))
 
 
+def plain_forest(model):
+    """The fitted forest in plain Python: features -> class, by walking its trees."""
+
+    def read(node):
+        stats = list(node.impurityStats().stats())
+        if node.numDescendants() == 0:
+            return [x / sum(stats) for x in stats]
+        split = node.split()
+        return split.featureIndex(), split.threshold(), read(node.leftChild()), read(node.rightChild())
+
+    def votes(node, x):
+        while isinstance(node, tuple):
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        return node
+
+    trees = [read(t._java_obj.rootNode()) for t in model.stages[-1].trees]
+
+    def predict(x):
+        total = [sum(v) for v in zip(*(votes(t, x) for t in trees), strict=True)]
+        return total.index(max(total))
+
+    return predict
+
+
+def test_scores_and_permutation_importances_match_plain_python(spark, table):
+    rnd = random.Random(4)
+    rows = [(f"c{i}", rnd.randrange(1, 9), rnd.uniform(30, 70)) for i in range(300)]
+    totals = table(rows, "country string, recent_events long, conflict_intensity double")
+    totals = scoring.with_split(totals.withColumn("escalation_warning", (F.col("conflict_intensity") > 50).cast("int"))).cache()
+    model = scoring.train_classifier(totals, trees=8)
+    predict = plain_forest(model)
+    held = [r for r in totals.collect() if not r.is_train]
+    scored = rows_by(scoring.score(model, totals), "country")
+    assert all(scored[c].escalation_prediction == predict((n, x)) for c, n, x in rows)
+    place = lambda r: hashlib.md5(f"42:swap:{r.country}".encode()).hexdigest()
+    for group_rows in (4096, 20):
+        groups = {}
+        for r in held:
+            groups.setdefault(int(place(r)[24:], 16) % math.ceil(len(held) / group_rows), []).append(r)
+        pairs = [(r, q[(i + 1) % len(q)]) for g in groups.values() for q in [sorted(g, key=place)] for i, r in enumerate(q)]
+        right = lambda of: sum(predict(of(r, o)) == r.escalation_warning for r, o in pairs) / len(held)
+        whole = right(lambda r, o: (r.recent_events, r.conflict_intensity))
+        want = {
+            "recent_events": whole - right(lambda r, o: (o.recent_events, r.conflict_intensity)),
+            "conflict_intensity": whole - right(lambda r, o: (r.recent_events, o.conflict_intensity)),
+        }
+        got = rows_by(scoring.permutation_importances(model, totals.filter("not is_train"), group_rows=group_rows, categories={"conflict_intensity": "deaths"}), "feature")
+        assert {f: r.importance for f, r in got.items()} == pytest.approx(want)
+        assert got["conflict_intensity"].category == "deaths" and want["conflict_intensity"] > 0.2
+    assert scoring.permutation_importances(model, totals.limit(0)).count() == 0
+
+
 def test_top_importances_by_category(table):
     rows = [(f"f{i:02d}", "macro" if i % 2 else "market", float(i)) for i in range(20)]
     df = table(rows, "feature string, category string, importance double")
