@@ -334,11 +334,12 @@ def quality_events(spark, d):
     codes, names = views.code_tables(spark, d)
     events = clean.clean_events(views.raw_events(spark, d), order=F.col("ingest_order"), codes=codes, names=names)
     return shown(
-        quality.stack_checks(
-            quality.not_empty(events),
-            quality.no_nulls(events, ["country_iso3", "latitude"]),
-            quality.finite_numbers(events.select("best", "high", "low", "deaths_civilians")),
-            quality.in_bounds(events, {"latitude": (-90, 90), "longitude": (-180, 180)}),
+        quality.check(
+            events,
+            quality.rows_rule(),
+            quality.null_rules(["country_iso3", "latitude"]),
+            quality.finite_rules(events.select("best", "high", "low", "deaths_civilians")),
+            quality.bound_rules({"latitude": (-90, 90), "longitude": (-180, 180)}),
         )
     )
 
@@ -350,8 +351,7 @@ def quality_graph(spark, d):
     return shown(
         quality.stack_checks(
             quality.has_columns(pairs_, ["composite_tension_index", "gone"]),
-            quality.no_self_loops(pairs_),
-            quality.in_bounds(pairs_, {"composite_tension_index": (0.0, 1.0), "news_avg_tone": (-1.0, 1.0)}),
+            quality.check(pairs_, quality.loop_rule(), quality.bound_rules({"composite_tension_index": (0.0, 1.0), "news_avg_tone": (-1.0, 1.0)})),
             quality.same_keys(ends, nodes, ["country_iso3"]),
             quality.same_count(pairs_, nodes, "as many pairs as nodes"),
             quality.conserved(graph.node_metrics(nodes, pairs_, rank_digits=12), "pagerank_centrality"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,10 @@ from panelgraph.session import cut
 from panelgraph.sources import sinks
 
 
+def _prefixed(rules: quality.Rules, prefix: str) -> quality.Rules:
+    return {prefix + name: rule for name, rule in rules.items()}
+
+
 def _gated(*checks: DataFrame, stop: bool = True) -> DataFrame:
     """The rules of a flow, written once; a failed one stops the run unless ``stop`` is off."""
     stacked = cut(quality.stack_checks(*checks))
@@ -27,22 +32,19 @@ def build_events(raw: DataFrame, folder: str, *, order: Column | None = None) ->
     spark = raw.sparkSession
     order = order if order is not None else F.col("ingest_order")
     cleaned = clean.clean_events(raw, order=order)
-    sinks.write_table(cleaned, f"{folder}/events", partition_by=["event_year"], sort_by=["event_date", "country_iso3"])
+    by_year = functools.partial(sinks.write_table, partition_by=["event_year"], sort_by=["event_date", "country_iso3"])
+    event_checks = quality.write_checked(cleaned, f"{folder}/events", quality.rows_rule(), quality.null_rules(["country_iso3"]), write=by_year)
     events = spark.read.parquet(f"{folder}/events")
     table = features.month_as_text(features.event_features(panel.event_panel(events)))
-    sinks.write_table(table, f"{folder}/event_features", sort_by=["country_iso3", "month_start"])
+    in_order = functools.partial(sinks.write_table, sort_by=["country_iso3", "month_start"])
+    feature_checks = quality.write_checked(table, f"{folder}/event_features", _prefixed(quality.rows_rule(), "features "), quality.finite_rules(table), write=in_order)
     stored = spark.read.parquet(f"{folder}/event_features")
     sinks.write_metadata(
         sinks.panel_metadata(stored),
         f"{folder}/event_metadata",
         {"threshold_deaths_12m": fv.ACTIVE_THRESHOLD},
     )
-    return _gated(
-        quality.not_empty(events),
-        quality.no_nulls(events, ["country_iso3"]),
-        quality.not_empty(stored),
-        quality.finite_numbers(stored),
-    )
+    return _gated(event_checks, feature_checks)
 
 
 def build_news(
@@ -70,10 +72,8 @@ def build_news(
     sinks.write_metadata(sinks.panel_metadata(stored), f"{folder}/news_metadata")
     now = [*panel.NEWS_COUNTS, *panel.NEWS_TONES, "conflict_news_ratio", "negative_tone_share", "source_diversity", "escalation_signal"]
     checks = [
-        quality.not_empty(scored),
-        quality.in_bounds(scored, {"tone_score": (-1.0, 1.0)}),
-        quality.finite_numbers(stored, allow_null=None),
-        quality.no_nulls(stored, now),
+        quality.check(scored, quality.rows_rule(), quality.bound_rules({"tone_score": (-1.0, 1.0)})),
+        quality.check(stored, quality.finite_rules(stored, allow_null=None), quality.null_rules(now)),
         quality.boolean_columns(stored, ["is_partial_month"]),
         quality.missing_history_kept(
             stored, {f"conflict_news_lag_{k}m": k for k in fv.LAGS}, "country_iso3", "month_start"
@@ -98,11 +98,9 @@ def build_relationships(events: DataFrame, articles: DataFrame, nodes: DataFrame
     sinks.write_metadata(summary, f"{folder}/graph_metadata")
     return _gated(
         quality.has_columns(stored, dyads.CUMULATIVE_COLUMNS),
-        quality.no_self_loops(stored),
-        quality.in_bounds(stored, {"composite_tension_index": (0.0, 1.0)}),
-        quality.in_bounds(metrics, {"in_degree": (0, None), "out_degree": (0, None)}),
+        quality.check(stored, quality.loop_rule(), quality.bound_rules({"composite_tension_index": (0.0, 1.0)})),
+        quality.check(metrics, quality.bound_rules({"in_degree": (0, None), "out_degree": (0, None)}), quality.sum_rule("pagerank_centrality")),
         quality.same_keys(metrics, nodes, ["country_iso3"]),
-        quality.conserved(metrics, "pagerank_centrality"),
         quality.same_count(graph.graph_links(stored), stored, "one link per dyad"),
     )
 
@@ -157,9 +155,6 @@ def build_what_if(
     return _gated(
         quality.same_keys(countries, metrics, ["country_iso3"]),
         quality.in_bounds(ranks, {"rank_sum": (1 - 1e-3, 1 + 1e-3)}),
-        quality.in_bounds(countries, {"counterfactual_tone": (-1.0, 1.0)}),
+        quality.check(countries, quality.bound_rules({"counterfactual_tone": (-1.0, 1.0)} | {f"counterfactual_{d}_degree": (0, None) for d in ("in", "out", "total")})),
         quality.in_bounds(edges, {"counterfactual_tension_index": (0.0, 1.0)}),
-        quality.in_bounds(
-            countries, {f"counterfactual_{d}_degree": (0, None) for d in ("in", "out", "total")}
-        ),
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,27 +75,57 @@ def read_table(spark: SparkSession, path: str | list[str], columns: Sequence[str
 def read_drifting_csv(spark: SparkSession, paths: Iterable[str]) -> tuple[DataFrame | None, DataFrame]:
     """Stack CSV files with different headers (lower-cased); also report files left out.
 
-    Files with one header are read in one scan, so the plan grows with the number of
-    distinct headers and not with the number of files.
+    Headers are found by one distributed pass, however many files there are; the driver sees distinct headers and their files'
+    names. Files with one header are read in one scan, so the plan grows with the number of
+    distinct headers. A file whose header names a column twice once lower-cased is left out and reported.
     """
+    there = {p: _as_uri(spark, p) for p in paths}
+    skipped = [(p, "no such file") for p, uri in there.items() if uri is None]
+    uris = {uri: p for p, uri in there.items() if uri is not None}
+    heads = read_heads(spark, list(uris.values())) if uris else []
     by_header: dict[tuple[str, ...], list[str]] = {}
-    skipped: list[tuple[str, str]] = []
-    for path in paths:
-        try:
-            header = tuple(c.lower() for c in csv_header(spark, path))
-        except AnalysisException as error:
-            skipped.append((path, str(error).splitlines()[0]))
-            continue
-        if header:
-            by_header.setdefault(header, []).append(path)
-        else:
-            skipped.append((path, "no header"))
+    for header, files in heads:
+        names = tuple(c.strip().lower() for c in header)
+        twice = sorted({c for c in names if names.count(c) > 1})
+        for uri in files:
+            if twice:
+                skipped.append((uris.get(uri, uri), f"columns named twice: {', '.join(twice)}"))
+            else:
+                by_header.setdefault(names, []).append(uris.get(uri, uri))
+    found = {uri for _, files in heads for uri in files}
+    skipped += [(p, "no header") for uri, p in uris.items() if uri not in found]
     parts = []
-    for header, files in by_header.items():
+    for header, files in sorted(by_header.items()):
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        parts.append(spark.read.schema(schema).csv(files, header=True, multiLine=True, escape='"'))
+        parts.append(spark.read.schema(schema).csv(sorted(files), header=True, multiLine=True, escape='"'))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
-    return stacked, spark.createDataFrame(skipped, "path string, reason string")
+    return stacked, spark.createDataFrame(sorted(skipped), "path string, reason string")
+
+
+def _as_uri(spark: SparkSession, path: str) -> str | None:
+    """The full name under which Spark reports a file, None if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return _plain(files.makeQualified(target).toUri().toString()) if files.exists(target) else None
+
+
+def _plain(uri: str) -> str:
+    """One slash after the scheme, however many a reader writes."""
+    return re.sub(r"^(\w+):/+", r"\1:/", uri)
+
+
+def read_heads(spark: SparkSession, files: list[str]) -> list[tuple[list[str], list[str]]]:
+    """Distinct headers of CSV files, each with its files.
+
+    One distributed pass over the lines keeps the first of each file, parsing nothing else: it costs a read of the files, but
+    no job and no round trip per file.
+    """
+    rows = spark.read.text(files)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"), F.col("value"))
+    first = rows.select(F.col("_metadata.file_path").alias("path"), place.alias("at")).groupBy("path").agg(F.min("at")["value"].alias("line"))
+    parsed = first.where(F.trim("line") != "").select("path", F.split(F.regexp_replace("line", "^\ufeff", ""), ',(?=(?:[^"]*"[^"]*")*[^"]*$)').alias("cells"))
+    clean = parsed.select("path", F.transform("cells", lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"'))).alias("header"))
+    return [(r["header"], [_plain(f) for f in r["files"]]) for r in clean.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files")).collect()]
 
 
 def record_count(df: DataFrame) -> int:

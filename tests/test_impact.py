@@ -235,3 +235,40 @@ def test_propagation_on_random_graphs(table):
                 assert (got.hop if got else None) == hop.get(n)
         for k, e in enumerate(edges):
             assert links[s[0], e[0], e[1]].counterfactual_tension_index == pytest.approx(tension[k], abs=1e-9), (s, e)
+
+
+def test_a_hub_is_spread_over_slots_and_reached_all_the_same(spark, table, monkeypatch):
+    """A node with half of all edges: its ways leave from many slots, and arrivals are those of a plain walk."""
+    from panelgraph.plans import skew
+
+    rnd = random.Random(2)
+    edges = [("HUB", f"L{i}", rnd.uniform(0.1, 1)) for i in range(120)] + [(f"L{i}", f"M{i % 60}", rnd.uniform(0.1, 1)) for i in range(120)]
+    dyads = table([(a, b, False, "undirected_conflict", w) for a, b, w in edges], "source_country_iso3 string, target_country_iso3 string, is_directed boolean, relationship_nature string, composite_tension_index double")
+    nodes = table([(n,) for n in {x for a, b, _ in edges for x in (a, b)}], "country_iso3 string")
+    chosen = impact.with_scenario_defaults(table([scenario("far", "M7", tone=-0.9, mult=3.0, depth=4, decay=0.9), scenario("hub", "HUB", tone=-0.9, depth=2)], SCEN_DDL))
+    slots = []
+
+    def watched(df, keys, hot, spread):
+        out = skew.salt(df, keys, hot, spread)
+        slots.append({r.node: r.n for r in out.groupBy("node").agg(F.count_distinct("slot").alias("n")).collect()})
+        return out
+
+    monkeypatch.setattr(impact, "salt", watched)
+    monkeypatch.setattr(impact, "hot_keys", lambda df, keys: skew.hot_keys(df, keys, max_hot=20))
+    arrived, _ = impact.propagate(chosen, nodes, dyads, impact.shocked_edges(chosen, dyads))
+    got = {(r.scenario_id, r.node): (r.hop, r.shift) for r in arrived.groupBy("scenario_id", "node").agg(F.min("hop").alias("hop"), F.sum("tone_shift").alias("shift")).collect()}
+    assert slots[0]["HUB"] > 3 and max(n for k, n in slots[0].items() if k != "HUB") == 1
+    ways = {}
+    for a, b, w in edges:
+        ways.setdefault(a, []).append((b, w))
+        ways.setdefault(b, []).append((a, w))
+    for name, target, seed, depth, decay in (("far", "M7", 0.45 + 0.4, 4, 0.9), ("hub", "HUB", 0.45, 2, 0.5)):
+        hops, front, shifts = {target: 0}, [(target, seed)], {}
+        for hop in range(1, depth + 1):
+            new = [(b, d * decay * w / sum(x for _, x in ways[a])) for a, d in front for b, w in ways[a] if hops.get(b, hop) >= hop]
+            for b, d in new:
+                hops.setdefault(b, hop)
+                shifts[b] = shifts.get(b, 0.0) - min(0.4, d)
+            front = new
+        assert {n: h for (s, n), (h, _) in got.items() if s == name} == {n: hops[n] for n in shifts}
+        assert all(got[name, n][1] == pytest.approx(shifts[n]) for n in shifts)

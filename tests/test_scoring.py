@@ -167,3 +167,27 @@ def test_gates(table):
     assert quality.same_keys(keys, keys.limit(1), ["s"]).first().observed == 1
     assert not quality.same_count(keys, df).first().passed
     assert quality.joinable(keys, df, ["s"]).first().observed == 2
+
+
+def test_fused_rules_read_a_table_once(spark, table, tmp_path):
+    rows = [("A", 1.0, 5), ("B", float("nan"), None), (None, 3.0, 200), ("D", None, -1)]
+    df = table(rows, "k string, x double, n int")
+    rules = lambda d: (quality.rows_rule(), quality.null_rules(["k"]), quality.finite_rules(d, allow_null=["n"]), quality.bound_rules({"n": (0, 100)}), quality.sum_rule("n", 204.0))
+    want = {
+        "not empty": (True, 4.0), "no nulls in k": (False, 1.0), "finite x": (False, 2.0), "finite n": (True, 0.0), "n in [0, 100]": (False, 2.0),
+        "sum of n is 204.0": (True, 204.0),
+    }
+    written = quality.write_checked(df, str(tmp_path / "t"), *rules(df))
+    assert {r.rule: (r.passed, r.observed) for r in written.collect()} == want
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    fused = quality.check(stored, *rules(stored))
+    assert {r.rule: (r.passed, r.observed) for r in fused.collect()} == want
+    assert fused._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    apart = quality.stack_checks(quality.not_empty(stored), quality.no_nulls(stored, ["k"]), quality.finite_numbers(stored, allow_null=["n"]), quality.in_bounds(stored, {"n": (0, 100)}), quality.conserved(stored, "n", 204.0))
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, fused.collect()))
+    nothing = quality.write_checked(df.limit(0), str(tmp_path / "e"), *rules(df))
+    assert {r.rule for r in nothing.collect() if not r.passed} == {"not empty", "sum of n is 204.0"}
+    with pytest.raises(ValueError, match="twice"):
+        quality.check(df, quality.rows_rule(), quality.rows_rule())
+    with pytest.raises(ValueError, match="no nulls in k"):
+        quality.enforce(fused)

@@ -50,6 +50,27 @@ def test_drifting_csv(spark, tmp_path):
     assert [r.path for r in skipped.collect()] == [paths[3]]
 
 
+def test_headers_are_found_in_one_pass(spark, tmp_path):
+    names = []
+    for i in range(120):
+        path = tmp_path / f"f {i}.csv"
+        head = ['"Country","Fatal, all"', "country,FATALITIES", "Other,COUNTRY"][i % 3]
+        path.write_text(f"{head}\n" + "".join(f"{a},{b}\n" for a, b in [(f"c{i}", i)] * 3))
+        names.append(str(path))
+    (tmp_path / "twice.csv").write_text("Id,id,x\n1,2,3\n")
+    (tmp_path / "empty.csv").write_text("")
+    odd = [str(tmp_path / n) for n in ("twice.csv", "empty.csv", "gone.csv")]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    df, skipped = readers.read_drifting_csv(spark, names + odd)
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(jobs.getJobIdsForGroup("headers")) < 12  # whatever the number of files
+    reasons = {r.path: r.reason for r in skipped.collect()}
+    assert reasons == {odd[0]: "columns named twice: id", odd[1]: "no header", odd[2]: "no such file"}
+    assert set(df.columns) == {"country", "fatal, all", "fatalities", "other"} and df.count() == 360
+    assert df.filter("country = 'c3'").select("fatal, all").distinct().first()[0] == "3"
+
+
 def test_manifest_and_new_files(spark, tmp_path):
     for name, content in (("a.bin", b"one"), ("b.bin", b"two")):
         (tmp_path / name).write_bytes(content)
