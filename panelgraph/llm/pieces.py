@@ -29,7 +29,7 @@ class IdCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.inner: dict[str, bytes | None] = {}
+        self.inner: dict[str, bytes | bool] = {}
         self.first: dict[str, bytes] = {}
         # byte-level BPE writes the space as a letter of its own, so tokens tell where a piece begins
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -45,15 +45,21 @@ class IdCache:
         new = list({p[0] for p in split if p[0]}.difference(self.first))
         self.first.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         missing: set[str] = set()
-        for pieces in split:
-            missing.update(filterfalse(self.inner.__contains__, pieces[1:]))
+        get, known = self.inner.get, []
+        for pieces in split:  # one look-up a piece; only texts with a new piece are gone through again
+            found = list(map(get, pieces[1:]))
+            if None in found:
+                missing.update(p for p, f in zip(pieces[1:], found, strict=True) if f is None)
+                found = None
+            known.append(found)
         self._learn(list(missing))
-        get, out = self.inner.__getitem__, []
-        for text, pieces in zip(texts, split, strict=True):
+        out = []
+        for text, pieces, found in zip(texts, split, known, strict=True):
             try:
                 if pieces[0] != pieces[0].rstrip() or (len(pieces) > 1 and not pieces[0]):
                     raise TypeError
-                out.append((self.first[pieces[0]] if pieces[0] else b"") + b"".join(map(get, pieces[1:])))
+                found = map(get, pieces[1:]) if found is None else found
+                out.append((self.first[pieces[0]] if pieces[0] else b"") + b"".join(found))
             except TypeError:  # a piece has white space at its edge
                 out.append(self._direct(text))
         for p in missing:
@@ -70,11 +76,11 @@ class IdCache:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Keep the ids of the pieces, each after a space; None marks those that can't stand alone."""
+        """Keep the ids of the pieces, each after a space; False marks those that can't stand alone."""
         safe = []
         for p in pieces:
             if not p or p[0].isspace() or p[-1].isspace():
-                self.inner[p] = None
+                self.inner[p] = False
             else:
                 safe.append(p)
         for at in range(0, len(safe), 4000):
