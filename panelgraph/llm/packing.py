@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +60,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def _ranked(rows: DataFrame, size: str, key: list[str], bases: DataFrame) -> DataFrame:
-    """rows plus ``nth``, their rank by ``size``; ranks are counted inside a size and salt, so no size meets in one task."""
-    inside = F.row_number().over(W.partitionBy(size, "salt").orderBy(*key)) - 1
-    return _salted(rows, key).withColumn("nth", inside).join(bases.withColumnRenamed("size", size), [size, "salt"]).withColumn("nth", F.col("nth") + F.col("base"))
-
-
 def _salted(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
 
 
+def _ranked(rows: DataFrame, size: str, key: list[str], bases: DataFrame) -> DataFrame:
+    """rows plus ``nth``, their rank by ``size``, and ``shift``; ranks are counted inside a size and salt, so no size meets in one task."""
+    inside = F.row_number().over(W.partitionBy(size, "salt").orderBy(*key)) - 1
+    return _salted(rows, key).withColumn("inside", inside).join(bases.withColumnRenamed("size", size), [size, "salt"]).withColumn("nth", F.col("inside") + F.col("base"))
+
+
 def _slots(gaps: DataFrame, low: int, top: int) -> DataFrame:
     """Places that a gap offers to a tier: whole ones of its largest size, and what remains if that is of use."""
     sizes = F.concat(
@@ -80,96 +79,92 @@ def _slots(gaps: DataFrame, low: int, top: int) -> DataFrame:
     return gaps.where(F.col("gap") > low).select("seq", F.posexplode(sizes).alias("slot", "size"))
 
 
-def _counts(left: DataFrame, slots: DataFrame | None) -> tuple[dict, dict]:
-    """How many documents and slots have each size and salt: at most 2 x capacity x ``SALTS`` numbers."""
-    rows = _salted(left, ["item"]).select(F.lit(0).alias("kind"), F.col("length").alias("size"), "salt")
-    if slots is not None:
-        rows = rows.unionByName(_salted(slots, ["seq", "slot"]).select(F.lit(1).alias("kind"), "size", "salt"))
-    found: tuple[dict, dict] = ({}, {})
-    for kind, size, salt, n in rows.groupBy("kind", "size", "salt").agg(F.count("*").alias("n")).collect():
-        found[kind].setdefault(size, {})[salt] = n
-    return found
-
+def _by_size(counts: DataFrame) -> DataFrame:
+    """One row per size, at most ``capacity``: documents ``d`` and places ``f`` of it, how many of either are smaller, and what the sweep gives.
 
-def _bases(spark, counts: dict, extra: dict[int, int]) -> DataFrame:
-    """(size, salt, base, shift): rows before each size and salt; ``extra`` is the shift of each size."""
-    rows, before = [], 0
-    for size in sorted(counts):
-        for salt in sorted(counts[size]):
-            rows.append((size, salt, before, extra.get(size, 0)))
-            before += counts[size][salt]
-    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
-    return spark.createDataFrame(pa.Table.from_arrays(columns, ["size", "salt", "base", "shift"]))
+    ``shift``: the running maximum of places too small less documents before; ``matched``: documents of the size that get a place.
+    """
+    sizes = counts.groupBy("size").agg(
+        F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)).alias("d"), F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("n"))), F.lit(0)).alias("f")
+    )
+    order = W.orderBy("size")
+    earlier, until, every = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    placed = sizes.select(
+        "size", "d", "f", F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("before"), F.coalesce(F.sum("f").over(earlier), F.lit(0)).alias("smaller"), F.sum("f").over(every).alias("total")
+    )
+    shifted = placed.withColumn("shift", F.greatest(F.lit(0), F.max(F.when(F.col("d") > 0, F.col("smaller") - F.col("before"))).over(until)))
+    return shifted.withColumn("matched", F.least("d", F.greatest(F.lit(0), F.col("total") - F.col("before") - F.col("shift"))))
 
 
-def _sweep(left: DataFrame, gaps: DataFrame | None, low: int, top: int) -> tuple[DataFrame, dict[int, int], dict[int, int]]:
+def _sweep(tables: Tables, left: DataFrame, gaps: DataFrame | None, low: int, top: int) -> tuple[DataFrame | None, int, int, int]:
     """left (item, length) plus ``i``, its rank by length, and ``seq``, the gap it gets, null if none;
 
-    how many documents of each length there are, and how many of them get a gap.
+    how many documents there are, how many of them get a gap, and the tokens of those that don't: all that the driver sees.
     """
-    spark = left.sparkSession
+    rows = _salted(left, ["item"]).select(F.lit(0).alias("kind"), F.col("length").alias("size"), "salt")
     slots = _slots(gaps, low, top) if gaps is not None else None
-    docs, places = _counts(left, slots)
-    if not docs:
-        return left, {}, {}
-    number = {size: sum(n.values()) for size, n in docs.items()}
-    free = sorted((size, sum(n.values())) for size, n in places.items())
-    total = sum(n for _, n in free)
-    shift, matched, shifts, before, smaller, at = 0, {}, {}, 0, 0, 0
-    for size in sorted(number):  # the running maximum of gaps too small, less documents before
-        while at < len(free) and free[at][0] < size:
-            smaller, at = smaller + free[at][1], at + 1
-        shift = max(shift, smaller - before)
-        shifts[size] = shift
-        matched[size] = min(number[size], max(0, total - before - shift))
-        before += number[size]
-    ranked = _ranked(left, "length", ["item"], _bases(spark, docs, shifts)).select("item", "length", F.col("nth").alias("i"), (F.col("nth") + F.col("shift")).alias("at"))
-    if not total:
-        return ranked.select("item", "length", "i", F.lit(None).cast("long").alias("seq")), number, matched
-    offered = _ranked(slots, "size", ["seq", "slot"], _bases(spark, places, {})).select("seq", F.col("nth").alias("at"))
-    return ranked.join(offered, "at", "left").select("item", "length", "i", "seq"), number, matched
+    if slots is not None:
+        rows = rows.unionByName(_salted(slots, ["seq", "slot"]).select(F.lit(1).alias("kind"), "size", "salt"))
+    counts = tables.write("counts", rows.groupBy("kind", "size", "salt").agg(F.count("*").alias("n")).coalesce(1))
+    sizes = tables.write("sizes", _by_size(counts))
+    number, matched, waiting = sizes.agg(F.sum("d"), F.sum("matched"), F.sum(F.col("size") * (F.col("d") - F.col("matched")))).first()
+    if not number:
+        return None, 0, 0, 0
+    salts = F.coalesce(F.sum("n").over(W.partitionBy("kind", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    based = counts.withColumn("within", salts).join(sizes, "size")
+    bases = tables.write("bases", based.select("kind", "size", "salt", (F.when(F.col("kind") == 0, F.col("before")).otherwise(F.col("smaller")) + F.col("within")).alias("base"), "shift"))
+    ranked = _ranked(left, "length", ["item"], bases.where("kind = 0").drop("kind")).select("item", "length", F.col("nth").alias("i"), (F.col("nth") + F.col("shift")).alias("at"))
+    if not matched:
+        return ranked.select("item", "length", "i", F.lit(None).cast("long").alias("seq")), number, 0, waiting
+    offered = _ranked(slots, "size", ["seq", "slot"], bases.where("kind = 1").drop("kind")).select("seq", F.col("nth").alias("at"))
+    return ranked.join(offered, "at", "left").select("item", "length", "i", "seq"), number, matched, waiting
+
+
+PLACED = "item long, length long, seq long, round int"
 
 
 def best_fit(tables: Tables, items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """item, seq, round for items (item: unique, length: at least 1) no longer than ``capacity``.
 
-    A sequence has the number of the item that opened it. Every item gets a place; none is cut. The
-    driver sees counts per size, which ``capacity`` bounds; documents and gaps stay in tables.
+    A sequence has the number of the item that opened it. Every item gets a place; none is cut. Counts per size
+    are tables of at most ``capacity`` x ``SALTS`` rows a kind; the driver sees three sums a round. The rounds go to one table.
     """
-    rounds, gaps, top = [], None, capacity
+    done, gaps, top = 0, None, capacity
     while top:
         low = top // 2 if top > capacity // LAST_TIER else 0
         left = items.where(F.col("length").between(low + 1, top)).select("item", "length")
         while True:
-            swept, number, matched = _sweep(left, gaps, low, top)
+            swept, number, matched, tokens = _sweep(tables, left, gaps, low, top)
             if not number:
                 break
-            waiting = {size: n - matched[size] for size, n in number.items()}
+            waiting = number - matched
             # every item over half the capacity needs a sequence of its own; the others wait until few fit
             if top == capacity:
-                opens = sum(waiting.values())
-            elif sum(matched.values()) <= FEW * sum(number.values()):
-                opens = math.ceil(sum(size * n for size, n in waiting.items()) / capacity)
+                opens = waiting
+            elif matched <= FEW * number:
+                opens = math.ceil(tokens / capacity)
             else:
                 opens = 0
-            first = sum(number.values()) - opens  # items without a gap are the largest: a suffix of the ranks
-            tried = tables.write(f"round{len(rounds)}", swept)
+            first = number - opens  # items without a gap are the largest: a suffix of the ranks
+            tried = tables.write("tried", swept)
             seq = F.when(F.col("seq").isNull() & (F.col("i") >= first), F.col("item")).otherwise(F.col("seq"))
-            rounds.append(tried.select("item", "length", seq.alias("seq"), F.lit(len(rounds)).alias("round")).where("seq is not null"))
-            used = rounds[-1].groupBy("seq").agg(F.sum("length").alias("used"))
+            placed = tried.select("item", "length", seq.alias("seq"), F.lit(done).alias("round")).where("seq is not null")
+            tables.append("rounds", placed)
+            done += 1
+            used = placed.groupBy("seq").agg(F.sum("length").alias("used"))
             # a new sequence appears here for the first time; an old one has its gap
             joined = used.join(gaps, "seq", "full") if gaps is not None else used.withColumn("gap", F.lit(None).cast("long"))
             gaps = tables.write("gaps", joined.select(
                 "seq", (F.coalesce("gap", F.lit(capacity)) - F.coalesce("used", F.lit(0))).cast("long").alias("gap")
             ).where("gap > 0"))
-            if sum(waiting.values()) == opens:
+            if waiting == opens:
                 break
             left = tried.where(F.col("seq").isNull() & (F.col("i") < first)).select("item", "length")
         top = low
-    tables.drop("gaps")
-    if not rounds:
+    tables.drop("gaps", "counts", "sizes", "bases", "tried")
+    if not done:
         return items.select("item", F.col("item").alias("seq"), F.lit(0).alias("round"))
-    return reduce(DataFrame.unionByName, rounds).select("item", "seq", "round")
+    return tables.read("rounds", PLACED).select("item", "seq", "round")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

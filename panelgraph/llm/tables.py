@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelgraph.session import shared_folder
 
@@ -38,6 +39,14 @@ class Tables:
             self._delete(old)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """Add rows to the table ``name``, which ``read`` gives."""
+        path = self._paths.setdefault(name, f"{self.root}/{name}-{uuid.uuid4().hex[:8]}")
+        df.write.mode("append").parquet(path)
+
+    def read(self, name: str, schema: T.StructType | str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self._paths[name])
+
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self._paths.pop(name, None):
