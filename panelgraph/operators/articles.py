@@ -7,7 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelgraph.fixed_values import ARTICLE_TIME_FORMATS, GAZETTEER, TAXONOMY, VALENCES
+from panelgraph.fixed_values import (
+    ARTICLE_TIME_FORMATS,
+    GAZETTEER,
+    PHRASE_CONFIDENCE,
+    SHORT_WORD_CONFIDENCE,
+    TAXONOMY,
+    VALENCES,
+    WORD_CONFIDENCE,
+)
 from panelgraph.functions import dates, text
 from panelgraph.operators.dedup import keep_first
 from panelgraph.sources import dims
@@ -59,6 +67,46 @@ def with_target_country(articles: DataFrame, gazetteer: Sequence[tuple[str, str]
     ).drop("_words", "_target")
 
 
+#: Characters of a phrase, from its first space on, by which it is found in a text.
+PHRASE_KEY = 8
+
+
+def with_target_by_join(articles: DataFrame, gazetteer: DataFrame, key: str = "article_id") -> DataFrame:
+    """``with_target_country`` for a gazetteer that is a table of any size; the same answers.
+
+    gazetteer: term, iso3, ord (its place in the list). A phrase (a term with a space) may stand anywhere in the lower-case title, also
+    inside words. It then has its first space somewhere in the title, so the characters from there on are its key: phrases and
+    titles meet in an equi join on them, and the phrase itself is looked for in the title afterwards. Single words meet the
+    title's tokens. Only ``key`` (unique; a row without it names no entity) and keys are shuffled for the search; titles move once, to meet what was found.
+    """
+    lowered = F.lower("title")
+    terms = gazetteer.filter(F.col("term").isNotNull() & (F.col("term") != "")).groupBy("term").agg(F.min(F.struct("ord", "iso3")).alias("_t")).select("term", "_t.ord", "_t.iso3")
+    spaced = F.col("term").contains(" ")
+    tail = F.substring(F.expr("substring(term, instr(term, ' '))"), 1, PHRASE_KEY)
+    # of words, long ones come before short ones, then the list's order
+    keyed = terms.select("term", "iso3", "ord", spaced.alias("phrase"), F.when(spaced, tail).otherwise(F.col("term")).alias("_key"), (F.length("term") <= 3).alias("short"))
+    ahead = lambda ps, j: F.concat(F.lit(" "), F.array_join(F.slice(ps, j + 1, PHRASE_KEY), " "))  # noqa: E731 - what follows a space
+    prefixes = lambda t: F.transform(F.sequence(F.lit(1), F.lit(PHRASE_KEY)), lambda n: F.substring(t, F.lit(1), n))
+    # the parts are bound once, not split again at every space
+    cut_at_spaces = F.transform(F.array(F.split(lowered, " ")), lambda ps: F.transform(ps, lambda p, j: F.when(j > 0, prefixes(ahead(ps, j))).otherwise(F.array().cast("array<string>"))))
+    tails = F.flatten(F.flatten(cut_at_spaces))
+    both = F.array_distinct(F.concat(
+        F.transform(tails, lambda t: F.struct(F.lit(True).alias("phrase"), t.alias("_key"))),
+        F.transform(text.tokens(F.col("title")), lambda t: F.struct(F.lit(False).alias("phrase"), t.alias("_key"))),
+    ))
+    met = articles.filter(F.col(key).isNotNull()).select(key, F.explode(both).alias("_k")).select(key, "_k.*").join(keyed, ["phrase", "_key"])
+    found = met.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.when(F.col("phrase"), F.struct("ord", "term", "iso3")))).alias("_phrases"),
+        F.min(F.when(~F.col("phrase"), F.struct("short", "ord", "iso3"))).alias("_word"),
+    )
+    joined = articles.join(found, key, "left").withColumn("_low", lowered)
+    first = F.get(F.filter("_phrases", lambda p: F.contains(F.col("_low"), p["term"])), 0)
+    confidence = F.when(first.isNotNull(), PHRASE_CONFIDENCE).when(F.col("_word").isNull(), 0.0).when(F.col("_word.short"), SHORT_WORD_CONFIDENCE).otherwise(WORD_CONFIDENCE)
+    return joined.withColumns(
+        {"target_country_iso3": F.when(first.isNotNull(), first["iso3"]).otherwise(F.col("_word.iso3")), "target_country_confidence": confidence.cast("double")}
+    ).drop("_phrases", "_word", "_low")
+
+
 def first_articles(articles: DataFrame, order: Column) -> DataFrame:
     """First copy of each article_id, then the first of each title on one UTC day.
 

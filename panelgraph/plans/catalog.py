@@ -87,6 +87,13 @@ def articles_normalized(spark, d):
     return shown(views.normal_articles(spark, d).drop("title", "url").withColumn("year", F.col("year").cast("long")))
 
 
+def articles_targets_joined(spark, d):
+    """The entities of the titles again, with the gazetteer as a table that is joined."""
+    articles = cut(views.normal_articles(spark, d).drop("target_country_iso3", "target_country_confidence"))
+    terms = spark.createDataFrame([(t, c, i) for i, (t, c) in enumerate(views.TERMS)], "term string, iso3 string, ord int")
+    return shown(art.with_target_by_join(articles, terms).select("article_id", "target_country_iso3", "target_country_confidence"))
+
+
 def articles_scored(spark, d):
     scored = views.scored_articles(spark, d)
     return shown(
@@ -508,7 +515,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         events_clean, events_unmapped, event_monthly_totals, event_panel, event_panel_years, event_features,
-        event_features_customer, event_panel_metadata, articles_normalized, articles_scored, articles_relevance,
+        event_features_customer, event_panel_metadata, articles_normalized, articles_targets_joined, articles_scored, articles_relevance,
         news_panel, news_features, news_panel_by_publisher, panels_joinable, state_pairs, pair_exclusions,
         news_pairs_monthly, news_pairs_total, news_pairs_weighted, conflict_pairs_total, dyads_cumulative,
         dyads_by_supplier, dyads_strongest, dyads_monthly, node_degrees, node_ranks, node_ranks_converged,

@@ -496,6 +496,7 @@ ORACLES: dict[str, str] = {
     "event_panel_metadata": f"WITH {panel_ctes()} SELECT count(*) AS total_rows, count(DISTINCT ent) AS unique_entities, min(strftime(m, '%Y-%m')) AS start_year_month, max(strftime(m, '%Y-%m')) AS end_year_month, '{','.join(PANEL_COLUMNS)}' AS feature_columns FROM panel",
     "articles_normalized": f"""WITH {normalized_ctes()} SELECT article_id, strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS published_at_utc, year(seen_at) AS year, month(seen_at) AS month,
       strftime(seen_at, '%Y-%m') AS year_month, domain, language, raw_sourcecountry, source_country_iso3, target_country_iso3, {r('CAST(target_country_confidence AS DOUBLE)', 'target_country_confidence')} FROM normal""",
+    "articles_targets_joined": f"WITH {normalized_ctes()} SELECT article_id, target_country_iso3, {r('CAST(target_country_confidence AS DOUBLE)', 'target_country_confidence')} FROM normal",
     "articles_scored": f"""WITH {scored_ctes()} SELECT article_id, target_country_iso3, is_conflict_relevant, conflict_category_count, primary_conflict_category,
       {', '.join(f'cat_{n}' for n in _names)}, {r('tone_score')}, is_negative_tone, is_extreme_tone, {r('conflict_intensity')} FROM scored""",
     "articles_relevance": f"WITH {scored_ctes()} SELECT count(*) AS articles, count(*) FILTER (is_conflict_relevant) AS relevant, {r('count(*) FILTER (is_conflict_relevant) / count(*)', 'relevant_share')} FROM scored",
