@@ -13,8 +13,8 @@ from panelgraph.plans.skew import hot_keys, replicate, salt
 from panelgraph.session import Revolving, cut
 
 
-#: Steps of one job of a single graph.
-STEPS_AT_ONCE = 4
+#: Share of ``tol`` that a jump over the remaining iterations may be wrong by, summed over all nodes.
+JUMP_ERROR = 1e-6
 
 
 def rank_nodes(
@@ -34,89 +34,106 @@ def rank_nodes(
     without a way out is spread evenly, and each graph stops by itself at the first iteration
     whose L1 change is below ``tol``.
 
-    Each node has one own row (weight NULL) among the ways, which carries its old values along.
-    So an iteration is one join and one aggregate over the same input.
-
     The ways stay partitioned by source with hubs split over tasks, at every size; an iteration
     shuffles one row per node and the summed ranks. ``report`` gets the number of iterations, the last
     L1 change (of all graphs that still moved) and whether it fell below ``tol``; ranks that did not
     settle within ``max_iter`` are also warned about.
     """
     g = list(group)
-    size = Observation()
-    own = nodes.select(*g, F.col("node").alias("src")).distinct()
-    own = own.select("*", F.col("src").alias("dst"), F.lit(None).cast("double").alias("weight"))
-    is_own = F.col("weight").isNull()
-    ways = cut(_inside(nodes, steps, g).unionByName(own).observe(size, F.count_if(is_own).alias("n")))
-    n = size.get["n"]
-    if n == 0:
-        return nodes.select(*g, "node", F.lit(1.0).alias("rank"))
-    hot = cut(hot_keys(ways, [*g, "src"]))
-    out = ways.groupBy(*g, F.col("src").alias("node")).agg(F.sum("weight").alias("out"))
-    if g:
-        ranks, done, moved = _many(ways, out, hot, g, alpha, max_iter, tol)
-    else:
-        ranks, done, moved = _one(ways, out, hot, n, alpha, max_iter, tol)
+    ranks, done, moved = _many(nodes, steps, g, alpha, max_iter, tol) if g else _one(nodes, steps, alpha, max_iter, tol)
     if report is not None:
         report.update(iterations=done, moved=moved, converged=moved < tol)
-    if not moved < tol:
+    if not moved < tol and done:
         warnings.warn(f"ranks still move by {moved} after {done} iterations", stacklevel=2)
     return ranks
 
 
-def _one(ways: DataFrame, out: DataFrame, hot: DataFrame, n: int, alpha: float, max_iter: int, tol: float) -> tuple[DataFrame, int, float]:
-    """One graph, several iterations a job.
+def _one(nodes: DataFrame, steps: DataFrame, alpha: float, max_iter: int, tol: float) -> tuple[DataFrame, int, float]:
+    """One graph, an iteration a job. Nodes are numbers here, so ways and sums are narrow; the rank stuck in nodes without a way
+    out is observed in the job that computes it.
 
-    An iteration is x' = M x + c, where M follows the ways and the number c, the same for all nodes, comes of the rank stuck in
-    nodes without a way out. So x after j iterations is M^j x + sum of c(j-i) M^i 1: a job computes the powers of M on x (and once
-    on 1), and their sums over stuck nodes give the numbers c afterwards, without a pass over all nodes in between.
+    Iterations that are known before they are run are not run. Two steps turn the change d(k-2) into d(k) = (alpha P)^2 d(k-2), with
+    P a stochastic matrix. Parts of a change that P (nearly) keeps, as pieces of the graph that do not mix, or swaps, as the sides of a
+    two-sided graph, shrink slowly, all others die out soon. Once d(k) = c d(k-2) + e for a number c <= alpha^2, all later changes are
+    d(k-1) and d(k) times powers of c, but for less than 2 alpha^2 / (1 - alpha^2)^2 |e| in the L1 norm over all of them, because P
+    never lengthens a vector. Where that is below ``JUMP_ERROR * tol``, the rest of the series is added up, to the iteration at which
+    the stop rule holds. c is the best one of the iteration before.
     """
-    spark = ways.sparkSession
+    spark, size = nodes.sparkSession, Observation()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = nodes.select("node").distinct().withColumn("id", F.monotonically_increasing_id())
+    known = cut(known.observe(size, F.count(F.lit(1)).alias("n")))  # written once, so the numbers stay
+    n = size.get["n"]
+    if n == 0:
+        return nodes.select("node", F.lit(1.0).alias("rank")), 0, float("inf")
+    merged = steps.filter(F.col("weight") > 0).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    for end in ("src", "dst"):
+        merged = merged.join(known.select(F.col("node").alias(end), F.col("id").alias(f"_{end}")), end).drop(end)
+    ways = cut(merged.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "weight"))
+    hot = cut(hot_keys(ways, ["src"]))
+    out = cut(ways.groupBy("src").agg(F.sum("weight").alias("out")))
     split = not hot.isEmpty()
     keys = ["src", "slot"] if split else ["src"]
     if split:
-        ways = salt(ways, ["src"], hot, F.col("dst"))
+        ways, shares = salt(ways, ["src"], hot, F.col("dst")), replicate(out, ["src"], hot)
+    else:
+        shares = out
+    ways = ways.join(shares, keys).select(*keys, "dst", F.expr(f"{alpha!r}D * weight / out AS share"))
     ways = ways.repartition(parts, *keys).sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)  # sorted once for all merges
-    k = STEPS_AT_ONCE
-    fixed = [f"v{i}" for i in range(1, k)]
-    state = out.selectExpr("node", "out", f"{1.0 / n!r}D AS u0", "1D AS v0", *[f"CAST(NULL AS DOUBLE) AS {v}" for v in fixed])
-    table, done, moved, stuck_v = Revolving(spark), 0, float("inf"), None
-    while True:
-        first = done == 0
-        for j in range(1, k + 1):
-            senders = state.withColumnRenamed("node", "src")
-            sent = ways.join(replicate(senders, ["src"], hot) if split else senders, keys)
-            carried = ["out", *[f"u{i}" for i in range(j)], *([f"v{i}" for i in range(j)] if first else ["v0", *fixed])]
-            sums = [F.expr(f"max(if(weight IS NULL, {c}, NULL)) AS {c}") for c in carried]
-            sums.append(F.expr(f"{alpha!r}D * coalesce(sum(u{j - 1} * weight / out), 0D) AS u{j}"))
-            if first and j < k:
-                sums.append(F.expr(f"{alpha!r}D * coalesce(sum(v{j - 1} * weight / out), 0D) AS v{j}"))
-            state = sent.groupBy("dst").agg(*sums).withColumnRenamed("dst", "node")
-        seen = Observation()
-        wanted = [f"u{j}" for j in range(k)] + ([f"v{i}" for i in range(k)] if first else [])
-        kept = table.keep(state.observe(seen, *[F.expr(f"coalesce(sum(if(out IS NULL, {c}, NULL)), 0D) AS {c}") for c in wanted]))
-        stuck_v = [seen.get[f"v{i}"] for i in range(k)] if first else stuck_v
-        c = []  # c[j - 1] goes into iteration j
-        for j in range(k):
-            lost = seen.get[f"u{j}"] + sum(c[j - 1 - i] * stuck_v[i] for i in range(j))
-            c.append(alpha * lost / n + (1.0 - alpha) / n)
-        x = [" + ".join([f"u{j}", *[f"{c[j - 1 - i]!r}D * v{i}" for i in range(j)]]) for j in range(k + 1)]
-        totals = kept.agg(*[F.expr(f"sum(abs(({x[j]}) - ({x[j - 1]}))) AS m{j}") for j in range(1, k + 1)], *[F.expr(f"sum({x[j]}) AS t{j}") for j in range(1, k + 1)]).first()
-        last = min(k, max_iter - done)
-        stop = next((j for j in range(1, last + 1) if totals[f"m{j}"] < tol), last)
-        done, moved = done + stop, totals[f"m{stop}"]
-        if moved < tol or done >= max_iter:
+    table, seen = Revolving(spark), Observation()
+    state = known.join(out.withColumnRenamed("src", "id"), "id", "left").selectExpr("id", "out IS NULL AS stuck", f"{1.0 / n!r}D AS x", *[f"CAST(NULL AS DOUBLE) AS p{i}" for i in (1, 2, 3)])
+    state = table.keep(state.observe(seen, F.expr("coalesce(sum(if(stuck, x, NULL)), 0D) AS lost")))
+    lost, done, moved, total, odd, even = seen.get["lost"], 0, float("inf"), 1.0, 0.0, 0.0
+    a2 = c = alpha * alpha
+    while done < max_iter and not moved < tol:
+        seen, before = Observation(), moved
+        senders = state.selectExpr("id AS src", "x")
+        sent = ways.join(replicate(senders, ["src"], hot) if split else senders, keys)
+        received = sent.groupBy(F.col("dst").alias("id")).agg(F.expr("sum(share * x) AS received"))
+        step = f"coalesce(received, 0D) + {alpha * lost / n + (1.0 - alpha) / n!r}D"
+        moves = state.join(received, "id", "left").selectExpr("id", "stuck", f"{step} AS x", "x AS p1", "p1 AS p2", "p2 AS p3")
+        state = table.keep(
+            moves.observe(
+                seen,
+                F.expr("coalesce(sum(if(stuck, x, NULL)), 0D) AS lost"),
+                F.expr("sum(abs(x - p1)) AS moved"),
+                F.expr("sum(x) AS total"),
+                F.expr(f"sum(abs((x - p1) - {c!r}D * (p2 - p3))) AS e"),
+                F.expr("sum((x - p1) * (p2 - p3)) AS dot"),
+                F.expr("sum((p2 - p3) * (p2 - p3)) AS square"),
+            )
+        )
+        lost, moved, total, e = (seen.get[c] for c in ("lost", "moved", "total", "e"))
+        done += 1
+        if e is not None and not moved < tol and 2 * a2 / (1 - a2) ** 2 * e <= JUMP_ERROR * tol:
+            changes, power = (before, moved), 1.0
+            while done < max_iter and not moved < tol:  # d(k-1), d(k), d(k-1), ... times powers of c
+                on_odd = odd == even
+                power = power * c if on_odd else power
+                odd, even = (odd + power, even) if on_odd else (odd, even + power)
+                moved, done = power * changes[0 if on_odd else 1], done + 1
             break
-        state = kept.selectExpr("node", "out", f"{x[k]} AS u0", "v0", *fixed)
+        c = min(max(seen.get["dot"] / seen.get["square"], 0.0), a2) if seen.get["square"] else a2
     ways.unpersist()
-    return kept.selectExpr("node", f"({x[stop]}) / {totals[f't{stop}']!r}D AS rank"), done, moved
+    rank = f"(x + {odd!r}D * coalesce(p1 - p2, 0D) + {even!r}D * coalesce(x - p1, 0D)) / {total!r}D"
+    return state.join(known, "id").selectExpr("node", f"{rank} AS rank"), done, moved
+
 
+def _many(nodes: DataFrame, steps: DataFrame, g: Sequence[str], alpha: float, max_iter: int, tol: float) -> tuple[DataFrame, int, float]:
+    """Many graphs at once, an iteration a job; its totals are observed in the job that computes it.
 
-def _many(
-    ways: DataFrame, out: DataFrame, hot: DataFrame, g: Sequence[str], alpha: float, max_iter: int, tol: float
-) -> tuple[DataFrame, int, float]:
-    """Many graphs at once, an iteration a job; its totals are observed in the job that computes it."""
+    Each node has one own row (weight NULL) among the ways, which carries its old values along.
+    So an iteration is one join and one aggregate over the same input.
+    """
+    size = Observation()
+    own = nodes.select(*g, F.col("node").alias("src")).distinct()
+    own = own.select("*", F.col("src").alias("dst"), F.lit(None).cast("double").alias("weight"))
+    is_own = F.col("weight").isNull()
+    ways = cut(_inside(nodes, steps, g).unionByName(own).observe(size, F.count_if(is_own).alias("n")))
+    if size.get["n"] == 0:
+        return nodes.select(*g, "node", F.lit(1.0).alias("rank")), 0, float("inf")
+    hot = cut(hot_keys(ways, [*g, "src"]))
+    out = ways.groupBy(*g, F.col("src").alias("node")).agg(F.sum("weight").alias("out"))
     table = Revolving(ways.sparkSession)
     counts = ways.filter("weight IS NULL").groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
     state = out.join(counts, list(g)).withColumn("rank", 1.0 / F.col("n")).drop("n")
