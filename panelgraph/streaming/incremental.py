@@ -8,6 +8,9 @@ those of its own rows, and later days that lose an id to an earlier copy. Only t
 again and written, each as a whole. Nothing depends on the order of files, the size of
 batches or lateness, and no watermark drops a row.
 
+Texts are written once, into ``articles``. All later steps tell titles apart by their SHA-256, stored beside them, so a batch that
+redoes a day reads and moves narrow rows only; ``unique_rows`` gives the whole rows back.
+
 Every write replaces partitions or a folder named by the batch, so a batch that is cut short is simply done again.
 """
 
@@ -30,6 +33,8 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 SEEN = T.StructType([T.StructField("article_id", T.StringType()), *(T.StructField(c, T.DateType()) for c in ("first_day", DAY, SPAN)), T.StructField("batch", T.IntegerType())])
 #: Files that one batch may store for one span.
 FILES_PER_SPAN = 4
+#: Stored with each article: the key of its title, and a hash of the whole row, which breaks ties.
+TITLE_KEY, CONTENT = "title_key", "content"
 COUNTS = ("news_count_total", "tone_sum", "negative_tone_count", "extreme_tone_count", "conflict_news_count")
 
 
@@ -41,10 +46,12 @@ def spans(day: Column, span: str) -> Column:
 def store_articles(enriched: DataFrame, folder: str, *, span: str = "day") -> StreamingQuery:
     """Append the enriched stream to ``articles`` by span of UTC days, exactly once, until the landed files are used up."""
     placed = enriched.withColumn(DAY, F.to_date("published_at_utc")).withColumn(SPAN, spans(F.col(DAY), span))
+    placed = placed.withColumns({TITLE_KEY: F.sha2("title", 256), CONTENT: F.xxhash64(*[F.col(c) for c in sorted(placed.columns)])})
     # few files a span and batch, and a span with most of a batch on several tasks
     dealt = placed.repartition(F.col(SPAN), F.pmod(F.xxhash64("article_id"), F.lit(FILES_PER_SPAN)))
     return (
         dealt.writeStream.format("parquet").option("path", f"{folder}/articles").option("checkpointLocation", f"{folder}/_articles")
+        .option("compression", "zstd")
         .partitionBy(SPAN).outputMode("append").trigger(availableNow=True).start()
     )
 
@@ -80,7 +87,7 @@ def redo_days(changes: DataFrame, batch: int, folder: str, articles: T.StructTyp
     if not touched:
         return
     elsewhere = _read(spark, f"{folder}/seen", SEEN, touched).where(F.col("first_day") < F.col(DAY)).select("article_id", DAY).distinct()
-    stored = spark.read.schema(articles).parquet(f"{folder}/articles").where(F.col(SPAN).isin(touched))  # pruned by the stream's log
+    stored = spark.read.schema(articles).parquet(f"{folder}/articles").drop("title").where(F.col(SPAN).isin(touched))  # pruned by the stream's log
     unique = unique_of_days(stored.join(elsewhere, ["article_id", DAY], "left_anti"))
     _replace(unique, f"{folder}/unique", touched, batch)
     _replace(domain_counts(_read(spark, f"{folder}/unique", unique.schema, touched)), f"{folder}/domain_counts", touched, batch)
@@ -89,9 +96,15 @@ def redo_days(changes: DataFrame, batch: int, folder: str, articles: T.StructTyp
 def unique_of_days(stored: DataFrame) -> DataFrame:
     """The first copy of each id, then the first article of each title, within each day; the content breaks ties."""
     second = F.unix_seconds("published_at_utc").cast("decimal(12,0)").alias("second")
-    content = F.xxhash64(*[F.col(c) for c in sorted(stored.columns)]).alias("content")
-    by_id = keep_first(stored, [DAY, "article_id"], F.struct(second, content))
-    return keep_first(by_id, [DAY, F.sha2("title", 256)], earliest())
+    by_id = keep_first(stored, [DAY, "article_id"], F.struct(second, CONTENT))
+    return keep_first(by_id, [DAY, TITLE_KEY], earliest())
+
+
+def unique_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The articles of ``unique`` with their titles; rows that are equal in everything count once."""
+    keys = [SPAN, DAY, "article_id", CONTENT]
+    articles = spark.read.parquet(f"{folder}/articles")
+    return articles.join(spark.read.parquet(f"{folder}/unique").select(*keys), keys, "left_semi").dropDuplicates(keys)
 
 
 def domain_counts(unique: DataFrame) -> DataFrame:

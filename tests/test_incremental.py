@@ -108,3 +108,14 @@ def test_months_count_a_domain_of_several_days_once(spark, table):
     assert (august.news_count_total, august.unique_domains, august.avg_tone) == (2, 1, 0.5)
     by_day = rows_by(incremental.daily_counts(counts), "day")
     assert by_day[datetime.date(2026, 7, 2)].unique_domains == 2
+
+
+def test_batches_move_no_texts(spark, table, tmp_path):
+    """Texts are written once; what a batch redoes is narrow, and whole rows come back from the articles."""
+    landed, folder = str(tmp_path / "landed"), str(tmp_path / "t")
+    land(table, landed_rows(), landed)
+    advance(spark, landed, folder, 3)
+    assert "title" not in spark.read.parquet(f"{folder}/unique").columns
+    whole = incremental.unique_rows(spark, folder)
+    assert sorted(r.article_id for r in whole.collect()) == ids(spark, folder)
+    assert whole.where(F.col("title").isNull() | (F.sha2("title", 256) != F.col("title_key"))).count() == 0
