@@ -85,14 +85,12 @@ def with_target_by_join(articles: DataFrame, gazetteer: DataFrame, key: str = "a
     tail = F.substring(F.expr("substring(term, instr(term, ' '))"), 1, PHRASE_KEY)
     # of words, long ones come before short ones, then the list's order
     keyed = terms.select("term", "iso3", "ord", spaced.alias("phrase"), F.when(spaced, tail).otherwise(F.col("term")).alias("_key"), (F.length("term") <= 3).alias("short"))
-    ahead = lambda ps, j: F.concat(F.lit(" "), F.array_join(F.slice(ps, j + 1, PHRASE_KEY), " "))  # noqa: E731 - what follows a space
     lengths = [r["n"] for r in keyed.filter("phrase").select(F.length("_key").alias("n")).distinct().collect()]  # at most PHRASE_KEY
-    prefixes = lambda t: F.array(*[F.substring(t, 1, n) for n in sorted(lengths)]).cast("array<string>")
-    # the parts are bound once, not split again at every space
-    cut_at_spaces = F.transform(F.array(F.split(lowered, " ")), lambda ps: F.transform(ps, lambda p, j: F.when(j > 0, prefixes(ahead(ps, j))).otherwise(F.array().cast("array<string>"))))
-    tails = F.flatten(F.flatten(cut_at_spaces))
+    # one scan a length: what follows each space, with enough characters for a key of that length
+    follows = [F.array_distinct(F.regexp_extract_all(lowered, F.lit(rf"(?s) (?=(.{{{n - 1}}}))"), F.lit(1))) for n in sorted(lengths)]
+    tails = F.transform(F.flatten(F.array(*follows).cast("array<array<string>>")), lambda t: F.concat(F.lit(" "), t))
     # a phrase's key begins with its space, a word's has none
-    both = F.array_distinct(F.concat(tails, text.tokens(F.col("title"))))
+    both = F.concat(tails, F.array_distinct(text.tokens(F.col("title"))))
     met = articles.filter(F.col(key).isNotNull()).select(key, F.explode(both).alias("_key")).join(keyed, "_key")
     found = met.groupBy(key).agg(
         F.sort_array(F.collect_list(F.when(F.col("phrase"), F.struct("ord", "term", "iso3")))).alias("_phrases"),

@@ -46,3 +46,12 @@ def test_a_hundred_thousand_phrases(spark, table):
     titles = [("t1", "Unrest at Place4 of n4 and place2 of n2"), ("t2", "placejjjjj talks"), ("t3", "place100001 of n1"), ("t4", "old placej and placeh"), ("t5", "xplace4 of n42")]
     got = rows_by(art.with_target_by_join(table(titles, "article_id string, title string"), terms), "article_id")
     assert {k: r.target_country_iso3 for k, r in got.items()} == {"t1": "C2", "t2": "C99999", "t3": None, "t4": "C7", "t5": "C4"}
+
+
+def test_keys_come_of_scans(spark, table):
+    """What follows a space is cut out by a scan, not put together again from the parts behind it at every space."""
+    rows = table([("a1", "talks in new york  city")], "article_id string, title string")
+    terms = table([("new york", "N1", 0), ("york  ci", "N2", 1), ("n ", "N3", 2)], TERMS)
+    named = art.with_target_by_join(rows, terms)
+    assert "array_join" not in named._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.target_country_iso3 for r in named.collect()] == ["N1"]
