@@ -5,13 +5,19 @@ white space: byte-level BPE gives that space to the word after it, word BPE drop
 it into the mark that only starts a piece. So a text's ids are those of its pieces, each piece but the
 first with the space before it, one after the other. Texts with other white space next to a space go
 to the tokenizer whole. The caches live as long as a Python worker and are emptied when full.
+
+A word BPE that lower-cases and splits by one known pattern is learnt a word at a time: a text of plain
+characters is cut by that pattern, its words (fewer than pieces: case and punctuation are gone) are looked
+up, and new ones go to the library's model together, where a token that ends a word tells them apart.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
-from itertools import filterfalse
+from itertools import compress, filterfalse
 from pathlib import Path
 from types import ModuleType
 
@@ -19,6 +25,70 @@ import numpy as np
 
 #: Entries of a worker's cache; a piece longer than this many characters is not kept.
 MOST_PIECES, LONGEST_PIECE = 1_000_000, 64
+#: The word BPE's steps before its model, and its mark of a word's end.
+WORD_STEPS = (
+    ("NFC", "Replace", "Lowercase"), ("Split", "ByteLevel"),
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
+WORD_END = "</w>"
+#: Characters that those steps do nothing to but lower-case and cut, and the cut of what is lower-cased.
+PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+class WordIds:
+    """Ids of plain texts by their words, for a word BPE whose steps are ``WORD_STEPS``."""
+
+    def __init__(self, file: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.model = Tokenizer.from_file(file)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.known: dict[str, bytes] = {}
+
+    @staticmethod
+    def fits(tokenizer) -> bool:
+        """Whether the tokenizer takes exactly the steps that ``PLAIN`` is made for."""
+        spec = json.loads(tokenizer.to_str())
+        before, split = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+        cuts = split.get("pretokenizers") or [{}]
+        return (
+            (tuple(n["type"] for n in before.get("normalizers", ())), tuple(c.get("type") for c in cuts), cuts[0].get("pattern", {}).get("Regex")) == WORD_STEPS
+            and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+            and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+            and spec["model"].get("end_of_word_suffix") == WORD_END and not spec["model"].get("ignore_merges")
+            and all(t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"])
+        )
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and "<|" not in text
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are all ``plain``."""
+        if len(self.known) > MOST_PIECES:
+            self.known.clear()
+        cut = [WORDS.findall(t.lower()) for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        for at in range(0, len(new), 256):
+            some = new[at : at + 256]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                cuts, ids = [0, *(4 * ends).tolist()], ids.tobytes()
+                self.known.update(zip(some, [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+            else:
+                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, words)) for words in cut]
+        for w in new:
+            if len(w) > LONGEST_PIECE:
+                del self.known[w]
+        return out
 
 
 class IdCache:
@@ -29,6 +99,7 @@ class IdCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.words = WordIds(file) if WordIds.fits(self.tokenizer) else None
         self.inner: dict[str, bytes | bool] = {}
         self.first: dict[str, bytes] = {}
         # byte-level BPE writes the space as a letter of its own, so tokens tell where a piece begins
@@ -37,6 +108,13 @@ class IdCache:
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.words is None:
+            return self._by_pieces(texts)
+        plain = list(map(self.words.plain, texts))
+        words, others = iter(self.words.encode(list(compress(texts, plain)))), iter(self._by_pieces([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(words if p else others) for p in plain]
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) > MOST_PIECES:
             self.inner.clear()
         if len(self.first) > MOST_PIECES:

@@ -15,7 +15,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from panelgraph.llm import packing, simhash, sketches, token_counts, token_files  # noqa: E402
+from panelgraph.llm import packing, pieces, simhash, sketches, token_counts, token_files  # noqa: E402
 from panelgraph.llm.components import connected  # noqa: E402
 from panelgraph.llm.tables import Tables  # noqa: E402
 
@@ -273,3 +273,25 @@ def test_pipeline_stages_take_effect(spark):
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_words_of_plain_texts_are_learnt_once():
+    cache = pieces.IdCache(public_tokenizers.path("word_bpe_49k.json"))
+    odd = [
+        "It's 'S thing, DON'T we'LL .'s x's'd a_b __ 12 3.4e5 'rev'em", "", " ", "\t\r\n", "  two  spaces\nLine ", "Ünïcöde STRASSE straße ÿÀÖØ", "a<b <| c", "x<|endoftext|>y",
+        "<|startoftext|>", "×÷ªº¿ soft­hyphen", "no break", "é é", "İI ſ ẞ ΣΑΣ", "日本 語 text", "\x0b\x0c\x1c\x85", "q" * 200 + " " + "'" * 100, "!?..,;'\"#$%&()*+-/:=@[]^`{}~|\\",
+    ]
+    for _ in range(2):
+        for text, code in zip(odd, cache.encode(odd), strict=True):
+            assert np.frombuffer(code, "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids, text
+    cache = pieces.IdCache(public_tokenizers.path("word_bpe_49k.json"))
+    asked, model = [], cache.words.model
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(w for t in texts for w in t.split(" "))
+            return model.encode_batch_fast(texts, **options)
+
+    cache.words.model = Counted()
+    cache.encode(["Word word, WORD. word\nWord", "(word) 'word'"])  # eight pieces, one word
+    assert sorted(asked) == sorted(["word", ",", ".", "(", ")", "'"]) and not cache.inner and not cache.first
