@@ -57,28 +57,48 @@ def event_features(
     """Lags, prior and trailing windows, deltas, growth and momentum; missing history is zero."""
     w = timeline(entity, month)
     measures = {"fatalities": "fatalities_best_total", "events": "events_total"}
+    # each earlier row is fetched once; sums over frames add them up, oldest first, in the order a frame would
+    longest = max(windows)
+    steps = sorted({1, *lags, *range(1, longest + 1)})
+    rows = panel.select("*", *[F.lag(c, k).over(w).alias(f"_{name}_{k}") for name, c in measures.items() for k in steps])
+
+    def at(name: str, k: int) -> Column:
+        return F.col(f"_{name}_{k}" if k else measures[name])
+
+    def earlier(name: str, k: int) -> Column:
+        return F.coalesce(at(name, k), F.lit(0))
+
+    def total(name: str, first: int, last: int) -> Column:
+        """Sum over the rows from ``first`` to ``last`` steps back."""
+        terms = [earlier(name, k) for k in range(first, last - 1, -1)]
+        return sum(terms[1:], terms[0])
+
+    def mean(name: str, first: int, last: int) -> Column:
+        known = [at(name, k).isNotNull().cast("int") for k in range(first, last - 1, -1)]
+        number = sum(known[1:], known[0])
+        return F.when(number > 0, total(name, first, last).cast("double") / number).otherwise(F.lit(0.0))
+
     new: dict[str, Column] = {}
     for k in lags:
-        for name, c in measures.items():
-            new[f"{name}_lag_{k}m"] = lagged(c, k, w, 0)
+        for name in measures:
+            new[f"{name}_lag_{k}m"] = earlier(name, k)
     for n in windows:
-        for name, c in measures.items():
-            new[f"{name}_prior_sum_{n}m"] = rolling(c, "sum", before(w, n), fill=0)
+        for name in measures:
+            new[f"{name}_prior_sum_{n}m"] = total(name, n, 1)
     for n in windows:
-        for name, c in measures.items():
-            new[f"{name}_rolling_sum_{n}m"] = rolling(c, "sum", upto(w, n), fill=0)
-        new[f"fatalities_rolling_mean_{n}m"] = rolling("fatalities_best_total", "mean", upto(w, n), fill=0)
-    previous = {name: lagged(c, 1, w, 0) for name, c in measures.items()}
+        for name in measures:
+            new[f"{name}_rolling_sum_{n}m"] = total(name, n - 1, 0)
+        new[f"fatalities_rolling_mean_{n}m"] = mean("fatalities", n - 1, 0)
+    previous = {name: earlier(name, 1) for name in measures}
     for name, c in measures.items():
         new[f"delta_{name}_1m"] = F.col(c) - previous[name]
     for name, c in measures.items():
         new[f"growth_rate_{name}_1m"] = safe_growth_or_zero(F.col(c), previous[name])
     for name, c in measures.items():
         new[f"momentum_{name}_log_1m"] = log_momentum(F.col(c), previous[name])
-    longest = max(windows)
-    active = rolling("fatalities_best_total", "sum", upto(w, longest), fill=0) >= threshold
+    active = total("fatalities", longest - 1, 0) >= threshold
     new["project_active_conflict_indicator"] = active.cast("int")
-    return panel.select("*", *[c.alias(n) for n, c in new.items()])
+    return rows.select(*panel.columns, *[c.alias(n) for n, c in new.items()])
 
 
 NEWS_LAGGED = {

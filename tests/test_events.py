@@ -1,6 +1,8 @@
 """Cleaning, the event panel and its features."""
 
 import datetime as dt
+import functools
+import operator
 import random
 
 import pytest
@@ -164,3 +166,27 @@ def test_dirty_numbers_and_dates_end_no_job(table):
     got = {r.id: r for r in clean.clean_events(table(rows, RAW), order=F.col("seq")).collect()}
     assert len(got) == 5 and {str(r.event_date)[:10] for r in got.values()} == {"2020-02-15"}
     assert got["1"].type_of_violence == 0 and got["3"].type_of_violence == 2
+
+
+def test_wide_features_fetch_earlier_rows_once_and_compile(spark):
+    import __spark_entry__
+
+    panel_rows = spark.createDataFrame(
+        [("A", f"2020-{m:02d}-01", None if m == 4 else 0.1 * m, m) for m in range(1, 13)] + [("B", "2020-01-01", None, 5)],
+        "country_iso3 string, m string, fatalities_best_total double, events_total long",
+    ).selectExpr("country_iso3", "to_date(m) as month_start", "fatalities_best_total", "events_total")
+    table = features.event_features(panel_rows)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" in plan and " sum(" not in plan and " avg(" not in plan
+    out = {(r.country_iso3, r.month_start.month): r for r in table.collect()}
+    best = [None if m == 4 else 0.1 * m for m in range(1, 13)]
+    for m in range(1, 13):
+        for n in (3, 6, 12):
+            known = [x for x in best[max(0, m - n) : m] if x is not None]
+            assert out["A", m][f"fatalities_rolling_sum_{n}m"] == functools.reduce(operator.add, known)  # the built-in compensates
+            assert out["A", m][f"fatalities_rolling_mean_{n}m"] == functools.reduce(operator.add, known) / len(known)
+            assert out["A", m][f"events_prior_sum_{n}m"] == sum(range(max(1, m - n), m))
+    assert out["B", 1].fatalities_rolling_sum_3m == 0 and out["B", 1].fatalities_rolling_mean_3m == 0
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    __spark_entry__.queries()["event_features"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
