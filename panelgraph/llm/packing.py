@@ -1,20 +1,18 @@
-"""Best-fit packing of documents into sequences of bounded length, in bulk-synchronous rounds.
-
-Documents are handled by tiers of length, each tier's shortest being over half of its longest. A
-round range-sorts the tier's documents and the gaps of open sequences by size, as ranks that are
-counted per size and salt, so no size meets in one task. A sweep then finds for the i-th smallest
-document the first free gap that holds it: with s(k) gaps too small for document k, that is gap
-i + max(s(k) - k for k <= i), a running maximum over at most ``capacity`` sizes. Two documents that
-want one gap are told apart by their rank. Matched documents and gaps meet in an equi join on the
-rank, gaps shrink, and the round repeats; once few fit, the longest documents left open as many
-sequences as the words left need at least.
+"""Best-fit packing of documents into sequences of bounded length, by one successor sweep over lengths.
+
+Which documents of a length share a sequence is all the same, so a plan needs their number only. Lengths are
+counted (at most ``capacity`` rows). The sweep goes from the longest to the shortest; the successor of a length
+among the open gaps, the smallest that holds it, takes as many of its documents as go in, for all sequences with
+that gap at once, and new sequences open once no gap is left. This is best fit by decreasing length. A range of
+the plan says where the documents of a length from one rank on go; a document finds its place by its rank.
+Ranks are counted inside a length and a salt, and a length has the more salts the more documents it has.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +24,8 @@ from pyspark.sql import types as T
 from . import pieces
 from .tables import Tables
 
-#: Tokens of a sequence; salts of a size; the tier of capacity over this takes all shorter documents too.
-CAPACITY, SALTS, LAST_TIER = 4096, 32, 16
-#: A sweep that places no more than this share of a tier's documents is followed by new sequences.
-FEW = 0.1
+#: Tokens of a sequence; documents of a length that are ranked together, about.
+CAPACITY, TOGETHER = 4096, 4096
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -60,111 +56,79 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def _salted(rows: DataFrame, key: list[str]) -> DataFrame:
-    return rows.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+def sweep(numbers: Iterable[tuple[int, int]], capacity: int = CAPACITY) -> Iterator[tuple[int, list[dict]]]:
+    """length and ranges of its documents, for (length, number of documents), in falling order of length.
 
-
-def _ranked(rows: DataFrame, size: str, key: list[str], bases: DataFrame) -> DataFrame:
-    """rows plus ``nth``, their rank by ``size``, and ``shift``; ranks are counted inside a size and salt, so no size meets in one task."""
-    inside = F.row_number().over(W.partitionBy(size, "salt").orderBy(*key)) - 1
-    return _salted(rows, key).withColumn("inside", inside).join(bases.withColumnRenamed("size", size), [size, "salt"]).withColumn("nth", F.col("inside") + F.col("base"))
-
-
-def _slots(gaps: DataFrame, low: int, top: int) -> DataFrame:
-    """Places that a gap offers to a tier: whole ones of its largest size, and what remains if that is of use."""
-    sizes = F.concat(
-        F.array_repeat(F.lit(top).cast("long"), F.expr(f"cast(gap div {top} as int)")),
-        F.filter(F.array(F.expr(f"gap % {top}")), lambda g: g > low),
-    )
-    return gaps.where(F.col("gap") > low).select("seq", F.posexplode(sizes).alias("slot", "size"))
-
-
-def _by_size(counts: DataFrame) -> DataFrame:
-    """One row per size, at most ``capacity``: documents ``d`` and places ``f`` of it, how many of either are smaller, and what the sweep gives.
-
-    ``shift``: the running maximum of places too small less documents before; ``matched``: documents of the size that get a place.
+    Of a range, sequences from ``seq`` on take ``each`` documents, the first of them at ``offset``; it begins with the
+    document of rank ``first`` and ends where the next begins. A length ends or a gap's sequences are used up
+    at each step, so the ranges are bounded by ``capacity``, however many documents there are.
     """
-    sizes = counts.groupBy("size").agg(
-        F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)).alias("d"), F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("n"))), F.lit(0)).alias("f")
-    )
-    order = W.orderBy("size")
-    earlier, until, every = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    placed = sizes.select(
-        "size", "d", "f", F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("before"), F.coalesce(F.sum("f").over(earlier), F.lit(0)).alias("smaller"), F.sum("f").over(every).alias("total")
-    )
-    shifted = placed.withColumn("shift", F.greatest(F.lit(0), F.max(F.when(F.col("d") > 0, F.col("smaller") - F.col("before"))).over(until)))
-    return shifted.withColumn("matched", F.least("d", F.greatest(F.lit(0), F.col("total") - F.col("before") - F.col("shift"))))
-
+    gaps: list[int] = []
+    open_: dict[int, list[tuple[int, int]]] = {}  # gap: sequences with that gap, as first and number
+    made = 0
+
+    def leave(gap: int, seq: int, n: int) -> None:
+        if gap and n:
+            if gap not in open_:
+                insort(gaps, gap)
+            open_.setdefault(gap, []).append((seq, n))
+
+    for length, number in sorted(numbers, reverse=True):
+        first, ranges = 0, []
+        while first < number:
+            at = bisect_left(gaps, length)
+            if at == len(gaps):
+                gap, seq, n = capacity, made, -(-(number - first) // (capacity // length))
+                made += n
+            else:
+                gap = gaps[at]
+                seq, n = open_[gap].pop()
+                if not open_[gap]:
+                    del open_[gap], gaps[at]
+            each = gap // length
+            full = min(n, (number - first) // each)
+            for take, some in ((each, full), (number - first - each * full, 1)):
+                if n and take and some:
+                    ranges.append({"first": first, "each": take, "seq": seq, "offset": capacity - gap})
+                    leave(gap - take * length, seq, some)
+                    first, seq, n = first + take * some, seq + some, n - some
+            leave(gap, seq, n)
+        yield length, ranges
 
-def _sweep(tables: Tables, left: DataFrame, gaps: DataFrame | None, low: int, top: int) -> tuple[DataFrame | None, int, int, int]:
-    """left (item, length) plus ``i``, its rank by length, and ``seq``, the gap it gets, null if none;
 
-    how many documents there are, how many of them get a gap, and the tokens of those that don't: all that the driver sees.
-    """
-    rows = _salted(left, ["item"]).select(F.lit(0).alias("kind"), F.col("length").alias("size"), "salt")
-    slots = _slots(gaps, low, top) if gaps is not None else None
-    if slots is not None:
-        rows = rows.unionByName(_salted(slots, ["seq", "slot"]).select(F.lit(1).alias("kind"), "size", "salt"))
-    counts = tables.write("counts", rows.groupBy("kind", "size", "salt").agg(F.count("*").alias("n")).coalesce(1))
-    sizes = tables.write("sizes", _by_size(counts))
-    number, matched, waiting = sizes.agg(F.sum("d"), F.sum("matched"), F.sum(F.col("size") * (F.col("d") - F.col("matched")))).first()
-    if not number:
-        return None, 0, 0, 0
-    salts = F.coalesce(F.sum("n").over(W.partitionBy("kind", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    based = counts.withColumn("within", salts).join(sizes, "size")
-    bases = tables.write("bases", based.select("kind", "size", "salt", (F.when(F.col("kind") == 0, F.col("before")).otherwise(F.col("smaller")) + F.col("within")).alias("base"), "shift"))
-    ranked = _ranked(left, "length", ["item"], bases.where("kind = 0").drop("kind")).select("item", "length", F.col("nth").alias("i"), (F.col("nth") + F.col("shift")).alias("at"))
-    if not matched:
-        return ranked.select("item", "length", "i", F.lit(None).cast("long").alias("seq")), number, 0, waiting
-    offered = _ranked(slots, "size", ["seq", "slot"], bases.where("kind = 1").drop("kind")).select("seq", F.col("nth").alias("at"))
-    return ranked.join(offered, "at", "left").select("item", "length", "i", "seq"), number, matched, waiting
-
-
-PLACED = "item long, length long, seq long, round int"
+PLAN = "length long, salts long, ranges array<struct<first: bigint, each: bigint, seq: bigint, offset: bigint>>"
 
 
 def best_fit(tables: Tables, items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """item, seq, round for items (item: unique, length: at least 1) no longer than ``capacity``.
+    """items plus sequence_id and offset, by best fit in falling order of length; items: item (unique), length (1 to ``capacity``).
 
-    A sequence has the number of the item that opened it. Every item gets a place; none is cut. Counts per size
-    are tables of at most ``capacity`` x ``SALTS`` rows a kind; the driver sees three sums a round. The rounds go to one table.
+    The numbers of documents by length, at most ``capacity`` rows, are swept in one task; no more than that ever meets
+    there, and nothing of it reaches the driver. All else is two passes over the items.
     """
-    done, gaps, top = 0, None, capacity
-    while top:
-        low = top // 2 if top > capacity // LAST_TIER else 0
-        left = items.where(F.col("length").between(low + 1, top)).select("item", "length")
-        while True:
-            swept, number, matched, tokens = _sweep(tables, left, gaps, low, top)
-            if not number:
-                break
-            waiting = number - matched
-            # every item over half the capacity needs a sequence of its own; the others wait until few fit
-            if top == capacity:
-                opens = waiting
-            elif matched <= FEW * number:
-                opens = math.ceil(tokens / capacity)
-            else:
-                opens = 0
-            first = number - opens  # items without a gap are the largest: a suffix of the ranks
-            tried = tables.write("tried", swept)
-            seq = F.when(F.col("seq").isNull() & (F.col("i") >= first), F.col("item")).otherwise(F.col("seq"))
-            placed = tried.select("item", "length", seq.alias("seq"), F.lit(done).alias("round")).where("seq is not null")
-            tables.append("rounds", placed)
-            done += 1
-            used = placed.groupBy("seq").agg(F.sum("length").alias("used"))
-            # a new sequence appears here for the first time; an old one has its gap
-            joined = used.join(gaps, "seq", "full") if gaps is not None else used.withColumn("gap", F.lit(None).cast("long"))
-            gaps = tables.write("gaps", joined.select(
-                "seq", (F.coalesce("gap", F.lit(capacity)) - F.coalesce("used", F.lit(0))).cast("long").alias("gap")
-            ).where("gap > 0"))
-            if waiting == opens:
-                break
-            left = tried.where(F.col("seq").isNull() & (F.col("i") < first)).select("item", "length")
-        top = low
-    tables.drop("gaps", "counts", "sizes", "bases", "tried")
-    if not done:
-        return items.select("item", F.col("item").alias("seq"), F.lit(0).alias("round"))
-    return tables.read("rounds", PLACED).select("item", "seq", "round")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = dict(pair for batch in batches for pair in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        rows = [{"length": n, "salts": 1 + numbers[n] // TOGETHER, "ranges": ranges} for n, ranges in sweep(numbers.items(), capacity)]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("length", pa.int64()), ("salts", pa.int64()), (
+                "ranges", pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "each", "seq", "offset")]))
+            )]))
+
+    counts = items.groupBy(F.col("length").cast("long").alias("length")).agg(F.count("*").alias("n"))
+    plan = tables.write("plan", counts.coalesce(1).mapInArrow(run, PLAN))
+    salted = items.join(plan.select("length", "salts"), "length").withColumn("salt", F.pmod(F.xxhash64("item"), F.col("salts"))).drop("salts")
+    earlier = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    bases = tables.write("bases", salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select(
+        "length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")
+    ))
+    inside = F.row_number().over(W.partitionBy("length", "salt").orderBy("item")) - 1
+    ranked = salted.withColumn("inside", inside).join(bases, ["length", "salt"]).withColumn("nth", F.col("inside") + F.col("base"))
+    placed = ranked.join(plan.select("length", "ranges"), "length").withColumn("range", F.expr("element_at(filter(ranges, r -> r.first <= nth), -1)"))
+    within = F.col("nth") - F.col("range.first")
+    return placed.select(
+        *items.columns, F.expr("range.seq + (nth - range.first) div range.each").alias("sequence_id"),
+        (F.col("range.offset") + within % F.col("range.each") * F.col("length")).cast("long").alias("offset"),
+    )
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -172,13 +136,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
 
     docs: text and what ``keep`` names; others are ignored. Null texts count as empty, a piece of
     ``end_id`` alone. Only texts longer than ``capacity`` ids are cut. Repeated rows are packed each;
-    an empty table gives an empty result. A sequence holds at most ``capacity`` pieces, so its offsets
-    are counted in one task.
+    an empty table gives an empty result.
     """
     tables = Tables(docs.sparkSession, "pack")
     found = tables.write("pieces", token_pieces(docs, tokenizer, end_id, capacity, keep).withColumn("item", F.monotonically_increasing_id()))
-    placed = best_fit(tables, found.select("item", "length"), capacity)
-    inside = W.partitionBy("sequence_id").orderBy("round", F.desc("length"), "item").rowsBetween(W.unboundedPreceding, -1)
-    return found.join(placed, "item").withColumnRenamed("seq", "sequence_id").withColumn(
-        "offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")
-    ).select(*keep, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return best_fit(tables, found, capacity).select(*keep, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -1,5 +1,6 @@
 """Token files, token counts, packing, fingerprints, near-duplicates and the pipeline against brute force."""
 
+import bisect
 import hashlib
 import itertools
 import os
@@ -91,6 +92,31 @@ def test_packing_places_every_piece_once(documents):
     assert packing.pack(documents([]), file, 1).count() == 0
 
 
+def test_packing_is_best_fit_in_a_few_jobs(spark):
+    rnd = random.Random(4)
+    lengths = [min(512, 1 + int(rnd.expovariate(1 / 90))) for _ in range(1500)] + [17] * 9000
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):  # plain best fit, one by one
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else 512
+        opened += gap == 512
+        bisect.insort(gaps, gap - n)
+    spark.sparkContext.setJobGroup("packing", "packing")
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    out = packing.best_fit(Tables(spark, "bins"), items, 512).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("packing"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.item, r.length) for r in out) == list(enumerate(lengths)) and jobs < 30
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in sequences.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+    full = [512 - sum(n for _, n in places) for places in sequences.values()]
+    assert len(full) == opened and sorted(full) == sorted(gaps)
+
+
 def shingles(text, k=5):
     ws = (text or "").encode().split()
     return {b" ".join(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} if ws else set()
