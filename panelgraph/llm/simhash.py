@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,13 +201,48 @@ def _possible(u: str, v: str, n_u: str, n_v: str, alike: float) -> Column:
     return (shared_bytes(F.col(u).bitwiseXOR(F.col(v))) >= SHARED_BYTES) & near
 
 
+def _allowed(tables: Tables, members: DataFrame, docs: DataFrame, alike: float) -> DataFrame:
+    """a, b: pairs of members (node, root) of different roots that can be ``alike``, among them all that are: a prefix filter.
+
+    Each text's different shingles are put in one order, those of the fewest members first. Texts that share ``o`` shingles
+    share the first of these at a place with at least ``o`` to go in both, and ``alike`` asks for at least
+    ``alike`` / (1 + ``alike``) of both sizes. So the rarest fifth of the larger text and the rarest ninth of the smaller meet there
+    (at 0.8), and members of a large group that differ by more than that from all others meet none of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a text without shingles has one of its own
+            hashes = [np.unique(h) if len(h) else np.zeros(1, "<u8") for h in map(sketches.shingle_hashes, batch.column(1).to_pylist())]
+            sizes = np.array([len(h) for h in hashes], np.int64)
+            node = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([node, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*hashes, []], dtype="<u8", casting="unsafe").view("<i8"))], ["node", "n", "shingle"])
+
+    own = docs.select(F.xxhash64(whole("text")).alias("node"), whole("text").alias("text")).join(members.select("node"), "node", "left_semi")
+    shingles = tables.write("shingles", own.dropDuplicates(["node"]).mapInArrow(run, "node long, n long, shingle long"))
+    held = shingles.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    mine = W.partitionBy("node")
+    rank = F.row_number().over(mine.orderBy("held", "shingle")) - 1
+    least = lambda share, n: F.ceil(F.lit(share) * n - 1e-6)
+    n = F.col("n")
+    placed = shingles.join(held, "shingle").withColumn("at", n - F.count("*").over(mine) + rank).where(F.col("at") <= n - least(alike, n))
+    rare = tables.write("rare", placed.join(members, "node").select("node", "root", "n", "shingle", "at", (F.col("at") <= n - least(2 * alike / (1 + alike), n)).alias("rarest")))
+    side = lambda x: rare.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "at", "rarest")])
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") > F.col("node_b")))
+    to_go = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    met = side("a").join(side("b").where("rarest_b"), "shingle").where(
+        larger & (F.col("root_a") != F.col("root_b")) & (to_go >= least(alike / (1 + alike), F.col("n_a") + F.col("n_b")))
+    )
+    return met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seeds: int = SEEDS, alike: float = ALIKE) -> DataFrame:
     """keep columns and component_id: classes of texts whose 5-word shingles are 0.8 alike or more.
 
     A pair is found if one of ``seeds`` signatures has five bytes of MinHashes in common, through the same
     index of byte positions, and stays if the resemblance of the 5-word shingles, counted on the texts, is
-    ``alike``. Equal texts are one node. The members of a list are held against one of them first, and
-    then each against all that are not of its class yet, however long the list is. docs: doc_id, text and what ``keep`` names; nulls
+    ``alike``. Equal texts are one node. The members of a list are held against one of them first; members of lists that
+    hold several classes then against all others that their rarest shingles allow, however long the list is. docs: doc_id, text and what ``keep`` names; nulls
     and empty texts are one class. Repeated rows are kept. An empty table gives an empty result.
     """
     return _copies(docs, keep, seeds, alike).select(*keep, "component_id")
@@ -252,17 +288,12 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
     ).distinct())
     verified = _alike(tables, "first", pairs, prints, docs, alike)
 
-    # then, in lists that hold several classes still, every pair of different classes
+    # then, among the members of lists that hold several classes still, the pairs of different classes that rare shingles allow
     so_far = connected(tables, verified)
     placed = met.join(so_far, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.groupBy("list", "bytes").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("list", "bytes")
-    mixed = tables.write("mixed", placed.join(several, ["list", "bytes"]))
-    side = lambda *names: mixed.select("list", "bytes", "block", *[F.col(c).alias(n) for c, n in zip(("node", "root", "fp", "shingles"), names, strict=True)])
-    x = F.col("fu").bitwiseXOR(F.col("fv"))
-    lowest = F.array_position(F.array(*[x.bitwiseAND(F.lit(_mask(b)).cast("long")) for b in BLOCKS]), 0) - 1  # a pair counts in its first list only
-    rest = side("u", "ru", "fu", "su").join(side("v", "rv", "fv", "sv"), ["list", "bytes", "block"]).where(
-        (F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & (lowest == F.col("block")) & _possible("fu", "fv", "su", "sv", alike)
-    ).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    members = tables.write("members", placed.join(several, ["list", "bytes"]).select("node", "root").distinct())
+    rest = _allowed(tables, members, docs, alike)
     others = tables.write("others", rest.join(pairs, ["a", "b"], "left_anti"))
     verified = tables.write("verified", verified.unionByName(_alike(tables, "second", others, prints, docs, alike)))
     roots = connected(tables, verified)
@@ -271,7 +302,7 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
     classes = tables.write("classes", nodes.select("node", "first").join(named, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), F.coalesce("class_first", "first").alias("component_id")
     ))
-    tables.drop("nodes", "met", "pairs", "held", "read", "texts", "first", "mixed", "others", "second", "verified", "stars")
+    tables.drop("nodes", "met", "pairs", "held", "read", "texts", "first", "members", "shingles", "rare", "others", "second", "verified", "stars")
     return prints.select(*keep, "node").join(classes, "node").select(*keep, "node", "root", "component_id")
 
 

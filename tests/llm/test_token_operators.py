@@ -266,6 +266,23 @@ def test_passages_replaced_appended_and_cut_are_found(documents):
     assert found == {d: d // 10 * 10 for d, _ in rows}
 
 
+def test_pairs_of_a_large_group_are_not_all_compared(documents, monkeypatch):
+    rnd = random.Random(11)
+    base = [f"b{j}" for j in range(400)]
+    rows = [(0, " ".join(base)), (1, None), (2, "  "), (3, "one"), (4, "one  ")]
+    for i in range(80):
+        ws = list(base)
+        for k in rnd.sample(range(400), 14 if i % 8 else 4):  # far from the original and from one another, or near both
+            ws[k] = f"e{i}w{k}"
+        rows += [(10 + i, " ".join(ws))] + [(200 + i, " ".join(ws[:-6]))] * (i % 10 == 1)  # some have a near copy of their own
+    compared, alike = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda tables, name, pairs, *rest: compared.append(pairs.count()) or alike(tables, name, pairs, *rest))
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(documents(rows)).collect()}
+    sets = {d: shingles(t) for d, t in rows}
+    assert found == classes(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert sum(compared) < 5 * len(rows)
+
+
 def test_strangers_of_the_same_words_do_not_hide_copies(documents):
     sentence = [" ".join(f"s{k}w{j}" for j in range(40)) for k in range(30)]
     swapped = [*sentence[1::-1], *sentence[2:]]
