@@ -162,7 +162,8 @@ def _shingles(text: str) -> set[bytes]:
 
 def _alike(tables: Tables, name: str, pairs: DataFrame, prints: DataFrame, docs: DataFrame, alike: float) -> DataFrame:
     """u, v: those of the pairs (a, b) of nodes whose shingles are exactly ``alike`` or more; sketches only spare reading."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # the nodes are tables, so their true size tells Spark whether all sketches and texts must move to meet them
+    ends = tables.write("ends", pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     held = tables.write("held", prints.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
 
@@ -175,7 +176,7 @@ def _alike(tables: Tables, name: str, pairs: DataFrame, prints: DataFrame, docs:
             yield pa.RecordBatch.from_arrays([c.take(pa.array(rows, pa.int64())) for c in batch.columns[:2]], ["a", "b"])
 
     read = tables.write("read", both.select("a", "b", "sa", "sb").mapInArrow(worth, "a long, b long"))
-    ends = read.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = tables.write("ends", read.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = tables.write("texts", docs.select(F.xxhash64(whole("text")).alias("node"), whole("text").alias("text")).join(ends, "node", "left_semi").dropDuplicates(["node"]))
     pair = read.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -302,7 +303,7 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
     classes = tables.write("classes", nodes.select("node", "first").join(named, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), F.coalesce("class_first", "first").alias("component_id")
     ))
-    tables.drop("nodes", "met", "pairs", "held", "read", "texts", "first", "members", "shingles", "rare", "others", "second", "verified", "stars")
+    tables.drop("nodes", "met", "pairs", "held", "ends", "read", "texts", "first", "members", "shingles", "rare", "others", "second", "verified", "stars")
     return prints.select(*keep, "node").join(classes, "node").select(*keep, "node", "root", "component_id")
 
 
