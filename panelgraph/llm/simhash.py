@@ -154,6 +154,16 @@ def signatures(hashes: np.ndarray, seeds: int = SEEDS) -> list[int]:
     return (least & np.uint64(255)).astype(np.uint8).view("<i8").tolist()
 
 
+#: Words of a text's parities; with 512 bits they tell texts of up to about 600 shingles apart.
+PARITIES = [f"parity{i}" for i in range(8)]
+
+
+def parities(hashes: np.ndarray) -> list[int]:
+    """For each of 512 slots whether an odd number of the different hashes falls there, as signed 64-bit words."""
+    odd = np.bincount((hashes & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
 def _shingles(text: str) -> set[bytes]:
     """Different shingles that ``sketches.sketch`` hashes."""
     words, width = text.encode().split(), sketches.WIDTH
@@ -202,13 +212,16 @@ def _possible(u: str, v: str, n_u: str, n_v: str, alike: float) -> Column:
     return (shared_bytes(F.col(u).bitwiseXOR(F.col(v))) >= SHARED_BYTES) & near
 
 
-def _allowed(tables: Tables, members: DataFrame, docs: DataFrame, alike: float) -> DataFrame:
-    """a, b: pairs of members (node, root) of different roots that can be ``alike``, among them all that are: a prefix filter.
+def _allowed(tables: Tables, members: DataFrame, nodes: DataFrame, docs: DataFrame, alike: float) -> DataFrame:
+    """a, b: pairs of members (node, root; of ``nodes``, which have parities) of different roots that can be ``alike``, among them all that are: a prefix filter.
 
     Each text's different shingles are put in one order, those of the fewest members first. Texts that share ``o`` shingles
     share the first of these at a place with at least ``o`` to go in both, and ``alike`` asks for at least
     ``alike`` / (1 + ``alike``) of both sizes. So the rarest fifth of the larger text and the rarest ninth of the smaller meet there
     (at 0.8), and members of a large group that differ by more than that from all others meet none of them.
+
+    Copies of one lost original pass that: each has few shingles of its own, and then the original's. So those that meet are told apart
+    by parities: a shingle that only one of two texts has turns one bit, so at least as many as there are different bits are not shared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +232,9 @@ def _allowed(tables: Tables, members: DataFrame, docs: DataFrame, alike: float)
             node = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
             yield pa.RecordBatch.from_arrays([node, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*hashes, []], dtype="<u8", casting="unsafe").view("<i8"))], ["node", "n", "shingle"])
 
-    own = docs.select(F.xxhash64(whole("text")).alias("node"), whole("text").alias("text")).join(members.select("node"), "node", "left_semi")
+    # a table of nodes alone, so texts move to meet them only if these, and nothing beside them, are too many to send
+    alone = tables.write("alone", members.select("node"))
+    own = docs.select(F.xxhash64(whole("text")).alias("node"), whole("text").alias("text")).join(alone, "node", "left_semi")
     shingles = tables.write("shingles", own.dropDuplicates(["node"]).mapInArrow(run, "node long, n long, shingle long"))
     held = shingles.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
     mine = W.partitionBy("node")
@@ -227,12 +242,15 @@ def _allowed(tables: Tables, members: DataFrame, docs: DataFrame, alike: float)
     least = lambda share, n: F.ceil(F.lit(share) * n - 1e-6)
     n = F.col("n")
     placed = shingles.join(held, "shingle").withColumn("at", n - F.count("*").over(mine) + rank).where(F.col("at") <= n - least(alike, n))
-    rare = tables.write("rare", placed.join(members, "node").select("node", "root", "n", "shingle", "at", (F.col("at") <= n - least(2 * alike / (1 + alike), n)).alias("rarest")))
-    side = lambda x: rare.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "at", "rarest")])
+    rare = tables.write("rare", placed.join(members, "node").join(nodes.select("node", *PARITIES), "node").select("node", "root", *PARITIES, "n", "shingle", "at", (F.col("at") <= n - least(2 * alike / (1 + alike), n)).alias("rarest")))
+    side = lambda x: rare.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", *PARITIES, "n", "at", "rarest")])
     larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") > F.col("node_b")))
     to_go = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    both = F.col("n_a") + F.col("n_b")
+    needed = least(alike / (1 + alike), both)
+    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES), F.lit(0))
     met = side("a").join(side("b").where("rarest_b"), "shingle").where(
-        larger & (F.col("root_a") != F.col("root_b")) & (to_go >= least(alike / (1 + alike), F.col("n_a") + F.col("n_b")))
+        larger & (F.col("root_a") != F.col("root_b")) & (to_go >= needed) & (apart <= both - 2 * needed)
     )
     return met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
@@ -255,7 +273,7 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
     fields = [f"fp{s}" for s in range(seeds)]
     schema = T.StructType(
         [docs.schema[c] for c in keep] + [T.StructField("__id", T.LongType()), T.StructField("node", T.LongType())]
-        + [T.StructField(f, T.LongType()) for f in ("shingles", *fields)] + [T.StructField("sketch", T.BinaryType())]
+        + [T.StructField(f, T.LongType()) for f in ("shingles", *fields, *PARITIES)] + [T.StructField("sketch", T.BinaryType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,14 +282,16 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
             hashes = [sketches.shingle_hashes(t) for t in texts]
             prints = list(zip(*(signatures(h, seeds) for h in hashes), strict=True)) or [()] * seeds
             held = [sketches.smallest(h).tobytes() for h in hashes]
-            sizes = pa.array([len(np.unique(h)) for h in hashes], pa.int64())
-            columns = [*batch.columns[: len(keep) + 2], sizes, *[pa.array(p, pa.int64()) for p in prints], pa.array(held, pa.binary())]
+            different = [np.unique(h) for h in hashes]
+            odd = np.array([parities(h) for h in different], np.int64).reshape(-1, len(PARITIES)).T
+            sizes = pa.array([len(h) for h in different], pa.int64())
+            columns = [*batch.columns[: len(keep) + 2], sizes, *[pa.array(p, pa.int64()) for p in prints], *map(pa.array, odd), pa.array(held, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     prints = tables.write("prints", docs.select(
         *keep, F.col("doc_id").cast("long").alias("__id"), F.xxhash64(whole("text")).alias("node"), whole("text").alias("__text")
     ).mapInArrow(run, schema))
-    nodes = tables.write("nodes", prints.groupBy("node", "shingles", *fields).agg(F.min("__id").alias("first")))
+    nodes = tables.write("nodes", prints.groupBy("node", "shingles", *fields, *PARITIES).agg(F.min("__id").alias("first")))
     places = [
         F.struct(F.lit(k).alias("list"), F.lit(k % len(BLOCKS)).alias("block"), F.col(f).alias("fp"), F.col(f).bitwiseAND(F.lit(_mask(b)).cast("long")).alias("bytes"))
         for k, (f, b) in enumerate((f, b) for f in fields for b in BLOCKS)
@@ -294,7 +314,7 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
     placed = met.join(so_far, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.groupBy("list", "bytes").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("list", "bytes")
     members = tables.write("members", placed.join(several, ["list", "bytes"]).select("node", "root").distinct())
-    rest = _allowed(tables, members, docs, alike)
+    rest = _allowed(tables, members, nodes, docs, alike)
     others = tables.write("others", rest.join(pairs, ["a", "b"], "left_anti"))
     verified = tables.write("verified", verified.unionByName(_alike(tables, "second", others, prints, docs, alike)))
     roots = connected(tables, verified)
@@ -303,7 +323,7 @@ def _copies(docs: DataFrame, keep: tuple[str, ...], seeds: int = SEEDS, alike: f
     classes = tables.write("classes", nodes.select("node", "first").join(named, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), F.coalesce("class_first", "first").alias("component_id")
     ))
-    tables.drop("nodes", "met", "pairs", "held", "ends", "read", "texts", "first", "members", "shingles", "rare", "others", "second", "verified", "stars")
+    tables.drop("nodes", "met", "pairs", "held", "ends", "read", "texts", "first", "members", "alone", "shingles", "rare", "others", "second", "verified", "stars")
     return prints.select(*keep, "node").join(classes, "node").select(*keep, "node", "root", "component_id")
 
 

@@ -283,6 +283,32 @@ def test_pairs_of_a_large_group_are_not_all_compared(documents, monkeypatch):
     assert sum(compared) < 5 * len(rows)
 
 
+def test_copies_of_a_lost_original_are_not_all_compared(documents, monkeypatch):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(240):  # each near the original, which is missing, and most of them far from one another
+        ws = [f"b{j}" for j in range(150)]
+        for k in rnd.sample(range(2, 148, 5), 3 - (i % 20 == 0)):
+            ws[k] = f"e{i}w{k}"
+        rows.append((i, " ".join(ws)))
+    compared, alike = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda tables, name, pairs, *rest: compared.append(pairs.count()) or alike(tables, name, pairs, *rest))
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(documents(rows)).collect()}
+    sets = {d: shingles(t) for d, t in rows}
+    assert found == classes(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert sum(compared) < 5 * len(rows)
+
+
+def test_parities_differ_by_no_more_than_the_shingles():
+    rnd = random.Random(13)
+    for n in (0, 1, 40, 146, 400, 3000):
+        a = np.array([rnd.getrandbits(64) for _ in range(n)], "<u8")
+        for own in (0, 1, 15, 60):
+            b = np.concatenate([a[min(own, n):], np.array([rnd.getrandbits(64) for _ in range(own)], "<u8")])
+            turned = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(simhash.parities(a), simhash.parities(b), strict=True))
+            assert turned <= len(set(a.tolist()) ^ set(b.tolist())) and (turned or not own)
+
+
 def test_strangers_of_the_same_words_do_not_hide_copies(documents):
     sentence = [" ".join(f"s{k}w{j}" for j in range(40)) for k in range(30)]
     swapped = [*sentence[1::-1], *sentence[2:]]
