@@ -132,6 +132,13 @@ def outside_years(events: DataFrame, min_year: int | None, max_year: int | None)
     return events.agg(F.count_if(out).alias("events_outside"))
 
 
+#: What a panel reads of scored articles.
+NEWS_INPUTS = (
+    "article_id", "published_at_utc", "source_country_iso3", "target_country_iso3", "domain", "tone_score",
+    "is_negative_tone", "is_extreme_tone", "is_conflict_relevant", *NEWS_CATEGORIES.values(),
+)
+
+
 def monthly_news_totals(articles: DataFrame, entity: Column) -> DataFrame:
     """Article counts, distinct domains, tones and category counts in one pass."""
     relevant = F.coalesce(F.col("is_conflict_relevant"), F.lit(False))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from panelgraph.plans import views
+from panelgraph.plans import catalog, views
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -19,3 +19,10 @@ def test_orders_meet_customers_before_lines(spark, view):
             break
         below.append(line)
     assert below and not any("l_orderkey" in line for line in below)
+
+
+def test_news_panel_writes_no_texts(spark, monkeypatch):
+    written, cut = [], catalog.cut
+    monkeypatch.setattr(catalog, "cut", lambda df: written.append(df.columns) or cut(df))
+    assert catalog.news_panel(spark, "/root/testdata/sf0.001").columns[0] == "country_iso3"
+    assert len(written) == 1 and not {"title", "url", "conflict_intensity"} & set(written[0])
